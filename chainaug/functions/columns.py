@@ -38,3 +38,13 @@ def safe_div(num: Column, den: Column) -> Column:
 def f_measure(p: Column, r: Column) -> Column:
     """2PR/(P+R), 0 when P+R = 0."""
     return F.when((p + r) > 0, F.lit(2.0) * p * r / (p + r)).otherwise(F.lit(0.0))
+
+
+def micro(c: Column) -> Column:
+    """x in integer millionths (floor(x*1e6 + 0.5)); sums of these are exact in both engines."""
+    return F.floor(c * F.lit(1e6) + F.lit(0.5))
+
+
+def mean6(c: Column) -> Column:
+    """Order-independent mean of a 6-digit quantity: integer sum of millionths, one division."""
+    return round6(F.sum(micro(c)).cast("double") / (F.count(c) * F.lit(1e6)))

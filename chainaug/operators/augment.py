@@ -161,3 +161,24 @@ def compare_generations(a: DataFrame, b: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("n_rows"),
         F.coalesce(F.sum(F.when(F.col("ga") == F.col("gb"), 1).otherwise(0)), F.lit(0)).cast("long").alias("n_equal"),
     )
+
+
+# Which method sets each source belongs to (one scan builds all three methods).
+_MEMBERSHIP = {
+    "original": ("aug_pair", "ori_mix", "aug_mix"),
+    "prem1": ("ori_mix", "aug_mix"),
+    "prem2": ("ori_mix", "aug_mix"),
+    "pair": ("aug_pair", "aug_mix"),
+}
+
+
+def all_methods(originals: DataFrame, generation: DataFrame, filtering=True,
+                floor: float = 0.95, ceil: float = 0.99) -> DataFrame:
+    """The three methods' training sets in one plan: each row is computed once and tagged with
+    every method it belongs to (aug_mix = ori_mix added rows + aug_pair added rows + originals)."""
+    rows = originals_set(originals).unionByName(added_rows("aug_mix", originals, generation, filtering, floor, ceil))
+    member = F.col("source")
+    m = F.when(member == "original", F.array(*[F.lit(x) for x in _MEMBERSHIP["original"]]))
+    m = m.when(member == "pair", F.array(*[F.lit(x) for x in _MEMBERSHIP["pair"]]))
+    m = m.otherwise(F.array(*[F.lit(x) for x in _MEMBERSHIP["prem1"]]))
+    return rows.select(F.explode(m).alias("method"), *SET_COLS)
