@@ -67,3 +67,12 @@ def fold_of_position(pos: Column, n: Column | int, k: int) -> Column:
         .otherwise(r + F.floor((pos - big) / F.greatest(q, F.lit(1))))
         .cast("int")
     )
+
+
+def with_group_position(df: DataFrame, keys: list, order: list, pos_col: str = "pos") -> DataFrame:
+    """0-based position inside each group of ``keys`` under ``order`` without a window per group
+    (a hot group would land in one task): global positions over (keys, order), minus each group's
+    first position (one small aggregate joined back)."""
+    g = with_position(df, [*keys, *order], "_gpos")
+    starts = g.groupBy(*keys).agg(F.min("_gpos").alias("_start"))
+    return g.join(starts, keys).withColumn(pos_col, F.col("_gpos") - F.col("_start")).drop("_gpos", "_start")

@@ -83,7 +83,7 @@ FROM conversations u JOIN conversations a
   ON u.conv_id = a.conv_id AND a.turn = u.turn + 1 AND u.role = 'user' AND a.role = 'assistant'""")
 
 
-def with_ctes(names: list[str], extra: list[tuple[str, str]], select: str) -> str:
+def with_ctes(names: list[str], extra: list[tuple[str, str]], select: str, recursive: bool = False) -> str:
     """``WITH`` clause holding ``names`` (and their dependencies, in order) followed by the
     query-specific CTEs ``extra`` and the final ``select``."""
     order: list[str] = []
@@ -98,5 +98,5 @@ def with_ctes(names: list[str], extra: list[tuple[str, str]], select: str) -> st
     for n in names:
         visit(n)
     parts = [f"{n} AS ({CTES[n][1]})" for n in order] + [f"{n} AS ({body})" for n, body in extra]
-    head = ("WITH " + ",\n".join(parts) + "\n") if parts else ""
+    head = (("WITH RECURSIVE " if recursive else "WITH ") + ",\n".join(parts) + "\n") if parts else ""
     return head + select
