@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import phash, round6
 from ..operators.folds import assign_folds
 from ..operators.generate import drop_token_generator, generation_rows, overlap_f1
+from ..session import materialize
 
 EPOCH0 = "2024-01-01"
 
@@ -37,9 +38,10 @@ def corpus(spark: SparkSession, d: str) -> DataFrame:
         .where(F.size("p") >= 3)
         .select(
             "idx",
-            F.col("p")[0].alias("premise_1"),
-            F.col("p")[1].alias("premise_2"),
-            F.col("p")[2].alias("conclusion"),
+            # get() is NULL-safe: filters may be evaluated in any order under ANSI mode
+            F.get(F.col("p"), 0).alias("premise_1"),
+            F.get(F.col("p"), 1).alias("premise_2"),
+            F.get(F.col("p"), 2).alias("conclusion"),
         )
     )
     labels = table(spark, d, "labels").select(F.col("doc_id").alias("idx"), "quality")
@@ -61,13 +63,17 @@ def folds(spark: SparkSession, d: str, k: int = 5, seed: int = 42) -> DataFrame:
 
 
 def generation(spark: SparkSession, d: str, rounds: int = 3) -> DataFrame:
-    """Out-of-fold generations of both premises for rounds 1..rounds (built-in generator)."""
+    """Out-of-fold generations of both premises for rounds 1..rounds (built-in generator).
+
+    Materialised like the output of a batch-inference job: downstream filters on ``f1`` then
+    read stored values instead of Catalyst inlining the generator into every pushed-down filter."""
     rows = generation_rows(valid(spark, d).join(folds(spark, d), "idx"), rounds)
     key = F.concat_ws(":", F.col("round"), F.col("target"), F.col("idx"))
     gen = drop_token_generator(F.col("label"), key)
-    return rows.select(
+    out = rows.select(
         "idx", "round", "target", "fold", gen.alias("generation"), "label"
     ).withColumn("f1", overlap_f1(F.col("generation"), F.col("label")))
+    return materialize(out)
 
 
 def epoch_log(spark: SparkSession, d: str) -> DataFrame:
