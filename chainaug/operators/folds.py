@@ -14,19 +14,23 @@ def shuffle_key(idx_col: str = "idx", seed: int = 42):
     return phash(str(seed) + ":", F.col(idx_col))
 
 
-def assign_folds(df: DataFrame, k: int = 5, seed: int = 42, idx_col: str = "idx", mode: str = "exact") -> DataFrame:
-    """(idx, fold) for every row of ``df`` (K1).
+def assign_folds(df: DataFrame, k: int = 5, seed: int = 42, idx_col: str = "idx", mode: str = "exact",
+                 keep_columns: bool = False) -> DataFrame:
+    """(idx, fold) for every row of ``df`` (K1); with ``keep_columns`` all of ``df``'s columns
+    ride along (the numbering pass materialises them once).
 
     mode='exact': fold sizes equal ntile(k) over the seeded order (two-pass numbering).
     mode='hash' : fold = H(seed:idx) mod k, one narrow pass, sizes only approximately equal.
     """
-    keyed = df.select(F.col(idx_col).alias("idx")).withColumn("_h", shuffle_key("idx", seed))
+    src = df.withColumnRenamed(idx_col, "idx") if keep_columns else df.select(F.col(idx_col).alias("idx"))
+    keyed = src.withColumn("_h", shuffle_key("idx", seed))
+    out_cols = [c for c in src.columns] if keep_columns else ["idx"]
     if mode == "hash":
-        return keyed.select("idx", (F.col("_h") % k).cast("int").alias("fold"))
+        return keyed.select(*out_cols, (F.col("_h") % k).cast("int").alias("fold"))
     if mode != "exact":
         raise ValueError("mode must be 'exact' or 'hash'")
     positioned, n = positions(keyed, ["_h", "idx"], "_pos")
-    return positioned.select("idx", fold_of_position(F.col("_pos"), n, k).alias("fold"))
+    return positioned.select(*out_cols, fold_of_position(F.col("_pos"), n, k).alias("fold"))
 
 
 def kfold_split(rows: DataFrame, folds: DataFrame, f: int, idx_col: str = "idx"):

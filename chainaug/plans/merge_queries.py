@@ -47,7 +47,7 @@ def method_cte(method: str, filtering: bool = True) -> list[tuple[str, str]]:
 
 
 def training(spark, d, method, filtering=True):
-    return A.training_set(method, X.valid(spark, d), X.generation(spark, d), filtering, FLOOR, CEIL)
+    return A.training_set(method, *X.valid_and_generation(spark, d), filtering, FLOOR, CEIL)
 
 
 @query("valid_syllogisms", with_ctes(["valid"], [], "SELECT idx, premise_1, premise_2, relation, conclusion FROM valid"))
@@ -108,8 +108,8 @@ def join_prem1_original(spark, d):
        "SELECT p2.idx, p2.round, v.premise_1, p2.premise_2, p2.premise_2_f1, p2.conclusion, 'yes' AS relation "
        "FROM p2 JOIN valid v ON p2.idx = v.idx"))
 def join_prem2_original(spark, d):
-    v = X.valid(spark, d)
-    _, p2 = A.premise_tables(X.generation(spark, d))
+    g, v = X.generation(spark, d), X.valid(spark, d)
+    _, p2 = A.premise_tables(g)
     return A.join_prem2_original(A.attach_conclusion(p2, v), v).select(
         "idx", "round", "premise_1", "premise_2", "premise_2_f1", "conclusion", "relation")
 
@@ -118,8 +118,8 @@ def join_prem2_original(spark, d):
        "SELECT p1.idx, p1.round, p1.premise_1, p1.premise_1_f1, p2.premise_2, p2.premise_2_f1, p2.conclusion, "
        "'yes' AS relation FROM p1 JOIN p2 ON p1.idx = p2.idx AND p1.round = p2.round"))
 def join_generated_pair(spark, d):
-    v = X.valid(spark, d)
-    p1, p2 = A.premise_tables(X.generation(spark, d))
+    g, v = X.generation(spark, d), X.valid(spark, d)
+    p1, p2 = A.premise_tables(g)
     return A.join_generated_pair(p1, A.attach_conclusion(p2, v)).select(
         "idx", "round", "premise_1", "premise_1_f1", "premise_2", "premise_2_f1", "conclusion", "relation")
 
@@ -127,8 +127,8 @@ def join_generated_pair(spark, d):
 @query("attach_conclusion", with_ctes(["generation", "valid"], _P12,
        "SELECT idx, round, premise_2, premise_2_f1, conclusion FROM p2"))
 def attach_conclusion(spark, d):
-    v = X.valid(spark, d)
-    _, p2 = A.premise_tables(X.generation(spark, d))
+    g, v = X.generation(spark, d), X.valid(spark, d)
+    _, p2 = A.premise_tables(g)
     return A.attach_conclusion(p2, v).select("idx", "round", "premise_2", "premise_2_f1", "conclusion")
 
 

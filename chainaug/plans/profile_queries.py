@@ -28,7 +28,7 @@ SETS = _P12 + [
 
 
 def prefixed_sets(spark, d):
-    sets = A.all_methods(X.valid(spark, d), X.generation(spark, d), True, FLOOR, CEIL)
+    sets = A.all_methods(*X.valid_and_generation(spark, d), True, FLOOR, CEIL)
     return A.round_prefixes(sets, 3)
 
 
@@ -66,7 +66,7 @@ SELECT text_col, max_tokens FROM (
          max(len(list_filter(regexp_split_to_array(conclusion, '[ \\t\\n\\r\\f\\x0B]+'), lambda x: x <> ''))) AS conclusion
   FROM sets WHERE method = 'aug_mix') UNPIVOT (max_tokens FOR text_col IN (premise_1, premise_2, conclusion))"""))
 def max_token_len(spark, d):
-    t = A.training_set("aug_mix", X.valid(spark, d), X.generation(spark, d), True, FLOOR, CEIL)
+    t = A.training_set("aug_mix", *X.valid_and_generation(spark, d), True, FLOOR, CEIL)
     return PR.max_token_len(t, ["premise_1", "premise_2", "conclusion"])
 
 
@@ -110,8 +110,8 @@ WHERE r = 1""")]
 
 
 def recovered(spark, d) -> DataFrame:
-    v = X.valid(spark, d)
-    t = A.training_set("aug_mix", v, X.generation(spark, d), True, FLOOR, CEIL).drop("idx", "relation")
+    g, v = X.generation(spark, d), X.valid(spark, d)
+    t = A.training_set("aug_mix", v, g, True, FLOOR, CEIL).drop("idx", "relation")
     cand = A.recover_index(t, v)
     return A.keep_first(cand, "idx", ["round", "source", "premise_1", "premise_2"]).select(
         "idx", "round", "source", "premise_1", "premise_2", "conclusion")
@@ -160,8 +160,8 @@ SELECT v.idx, p1.round, v.premise_1 AS original_premise_1, p1.premise_1 AS aug_p
        v.premise_2 AS original_premise_2, p2.premise_2 AS aug_premise_2
 FROM valid v JOIN p1 ON v.idx = p1.idx JOIN p2 ON p1.idx = p2.idx AND p1.round = p2.round"""))
 def premise_lookup(spark, d):
-    v = X.valid(spark, d)
-    p1, p2 = A.premise_tables(X.generation(spark, d))
+    g, v = X.generation(spark, d), X.valid(spark, d)
+    p1, p2 = A.premise_tables(g)
     return (
         v.select("idx", F.col("premise_1").alias("original_premise_1"), F.col("premise_2").alias("original_premise_2"))
         .join(p1.select("idx", "round", F.col("premise_1").alias("aug_premise_1")), "idx")
@@ -174,8 +174,8 @@ SELECT idx, 'valid' AS part FROM valid WHERE idx IN (SELECT idx FROM folds WHERE
 UNION ALL
 SELECT idx, 'train' AS part FROM valid WHERE idx NOT IN (SELECT idx FROM folds WHERE fold = 0)"""))
 def fold_semi_join(spark, d):
-    v = X.valid(spark, d).select("idx")
     members = X.folds(spark, d).where(F.col("fold") == 0).select("idx")
+    v = X.valid(spark, d).select("idx")
     return K.fold_rows(v, members).withColumn("part", F.lit("valid")).unionByName(
         K.fold_rows(v, members, complement=True).withColumn("part", F.lit("train")))
 
@@ -194,7 +194,7 @@ SELECT f.f, CASE WHEN fo.fold = f.f THEN 'valid' ELSE 'train' END AS part, t.idx
 FROM tset t JOIN folds fo ON t.idx = fo.idx CROSS JOIN (SELECT unnest(range(0, 5))::INTEGER AS f) f
 WHERE fo.fold <> f.f OR t.round = 0"""))
 def leakage_free_split(spark, d):
-    t = A.training_set("ori_mix", X.valid(spark, d), X.generation(spark, d), True, FLOOR, CEIL)
+    t = A.training_set("ori_mix", *X.valid_and_generation(spark, d), True, FLOOR, CEIL)
     tagged = t.join(X.folds(spark, d), "idx").select(
         "idx", "round", "source", "fold", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("f"))
     # K3 per fold f: train = fold <> f; valid = fold = f and original rows only
@@ -215,7 +215,7 @@ def fold_union(spark, d):
     fold), then the five outputs are unioned by name."""
     from ..operators.generate import generation_rows
 
-    rows = generation_rows(X.valid(spark, d).join(X.folds(spark, d), "idx"), 3)
+    rows = generation_rows(X.valid_folds(spark, d), 3)
     key = F.concat_ws(":", F.col("round"), F.col("target"), F.col("idx"))
     parts = [
         rows.where(F.col("fold") == f).select(
@@ -246,8 +246,8 @@ FROM (SELECT idx, premise_1, row_number() OVER (ORDER BY idx) - 1 AS pos FROM va
 FULL OUTER JOIN (SELECT idx, generation, row_number() OVER (ORDER BY idx, round, target) - 1 AS pos
                  FROM generation WHERE {_band('f1')}) r ON l.pos = r.pos"""))
 def column_concat(spark, d):
-    left = with_position(X.valid(spark, d).select("idx", "premise_1"), ["idx"], "pos")
     g = X.generation(spark, d).where(A.band(F.col("f1"), FLOOR, CEIL)).select("idx", "round", "target", "generation")
+    left = with_position(X.valid(spark, d).select("idx", "premise_1"), ["idx"], "pos")
     right = with_position(g, ["idx", "round", "target"], "pos")
     j = left.withColumnRenamed("idx", "left_idx").join(
         right.select("pos", F.col("idx").alias("right_idx"), "generation"), "pos", "full_outer")
@@ -258,7 +258,7 @@ def column_concat(spark, d):
 SELECT row_number() OVER (ORDER BY {H("'42:' || idx || ':' || round || ':' || source")}, idx, round, source) - 1 AS pos,
        idx, round, source FROM tset"""))
 def seeded_shuffle(spark, d):
-    t = A.training_set("ori_mix", X.valid(spark, d), X.generation(spark, d), True, FLOOR, CEIL)
+    t = A.training_set("ori_mix", *X.valid_and_generation(spark, d), True, FLOOR, CEIL)
     k = t.select("idx", "round", "source").withColumn("_h", phash("42:", F.col("idx"), ":", F.col("round"), ":", F.col("source")))
     return with_position(k, ["_h", "idx", "round", "source"], "pos").select("pos", "idx", "round", "source")
 

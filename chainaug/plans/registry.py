@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,7 +15,15 @@ def query(name: str, sql: str | None = None):
     def deco(fn):
         if name in QUERIES:
             raise KeyError(f"duplicate query {name}")
-        QUERIES[name] = fn
+
+        @functools.wraps(fn)
+        def scoped(spark: SparkSession, sf_dir: str) -> DataFrame:
+            from ..sources.fixtures import query_scope
+
+            with query_scope():
+                return fn(spark, sf_dir)
+
+        QUERIES[name] = scoped
         if sql is not None:
             ORACLE[name] = sql
         return fn

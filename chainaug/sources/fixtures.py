@@ -11,6 +11,9 @@ scored_run    (run, idx, generation, label) three runs of differing quality
 
 from __future__ import annotations
 
+import functools
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,11 +24,39 @@ from ..session import materialize
 
 EPOCH0 = "2024-01-01"
 
+# Within one query call every fixture is derived once and shared by all branches of the plan.
+_SCOPE: dict | None = None
+
+
+@contextmanager
+def query_scope():
+    global _SCOPE
+    outer = _SCOPE
+    _SCOPE = {} if outer is None else outer
+    try:
+        yield
+    finally:
+        _SCOPE = outer
+
+
+def _shared(fn):
+    @functools.wraps(fn)
+    def wrapped(spark, d, *args, **kw):
+        if _SCOPE is None:
+            return fn(spark, d, *args, **kw)
+        key = (fn.__name__, id(spark), d, args, tuple(sorted(kw.items())))
+        if key not in _SCOPE:
+            _SCOPE[key] = fn(spark, d, *args, **kw)
+        return _SCOPE[key]
+
+    return wrapped
+
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+@_shared
 def corpus(spark: SparkSession, d: str) -> DataFrame:
     """Triples = the first three sentence pieces of each document with >= 3 pieces.
 
@@ -55,19 +86,44 @@ def corpus(spark: SparkSession, d: str) -> DataFrame:
 
 
 def valid(spark: SparkSession, d: str) -> DataFrame:
+    """Valid triples.  When the query already materialised them with their folds (folds,
+    generations), they are read back from there instead of parsing the documents again."""
+    if _SCOPE is not None:
+        for key, df in _SCOPE.items():
+            if key[0] == "valid_folds" and key[1] == id(spark) and key[2] == d:
+                return df.drop("fold")
+    return _valid_plain(spark, d)
+
+
+@_shared
+def _valid_plain(spark: SparkSession, d: str) -> DataFrame:
     return corpus(spark, d).where(F.col("relation") == "yes")
 
 
+@_shared
+def valid_folds(spark: SparkSession, d: str, k: int = 5, seed: int = 42) -> DataFrame:
+    """Valid triples with their fold, materialised by the two-pass numbering."""
+    return assign_folds(_valid_plain(spark, d), k=k, seed=seed, keep_columns=True)
+
+
+def valid_and_generation(spark: SparkSession, d: str):
+    """(valid, generation) with the generations derived first, so the valid rows are read back
+    from the materialised fold assignment rather than parsed again."""
+    g = generation(spark, d)
+    return valid(spark, d), g
+
+
 def folds(spark: SparkSession, d: str, k: int = 5, seed: int = 42) -> DataFrame:
-    return assign_folds(valid(spark, d), k=k, seed=seed)
+    return valid_folds(spark, d, k, seed).select("idx", "fold")
 
 
+@_shared
 def generation(spark: SparkSession, d: str, rounds: int = 3) -> DataFrame:
     """Out-of-fold generations of both premises for rounds 1..rounds (built-in generator).
 
     Materialised like the output of a batch-inference job: downstream filters on ``f1`` then
     read stored values instead of Catalyst inlining the generator into every pushed-down filter."""
-    rows = generation_rows(valid(spark, d).join(folds(spark, d), "idx"), rounds)
+    rows = generation_rows(valid_folds(spark, d), rounds)
     key = F.concat_ws(":", F.col("round"), F.col("target"), F.col("idx"))
     gen = drop_token_generator(F.col("label"), key)
     out = rows.select(
@@ -76,6 +132,7 @@ def generation(spark: SparkSession, d: str, rounds: int = 3) -> DataFrame:
     return materialize(out)
 
 
+@_shared
 def epoch_log(spark: SparkSession, d: str) -> DataFrame:
     """Per (event type, user_id mod 5, day): one log row; day 0 is the pre-training entry."""
     ev = table(spark, d, "events")
@@ -102,6 +159,7 @@ def epoch_log(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+@_shared
 def token_vectors(spark: SparkSession, d: str) -> DataFrame:
     """One vector per distinct corpus token: H(token) mod |embeddings| picks the row."""
     emb = table(spark, d, "embeddings").select("vec_id", "embedding")
@@ -114,6 +172,7 @@ def token_vectors(spark: SparkSession, d: str) -> DataFrame:
     return toks.join(emb, (phash(F.col("token")) % n) == emb["vec_id"]).select("token", "embedding")
 
 
+@_shared
 def scored_run(spark: SparkSession, d: str) -> DataFrame:
     """Three generation runs over the valid conclusions: run m drops token i when H(run:idx:i) mod m = 0."""
     v = valid(spark, d).select("idx", F.col("conclusion").alias("label"))
@@ -124,6 +183,7 @@ def scored_run(spark: SparkSession, d: str) -> DataFrame:
     return runs.select("run", "idx", F.array_join(kept, " ").alias("generation"), "label")
 
 
+@_shared
 def conversation_pairs(spark: SparkSession, d: str) -> DataFrame:
     """(run='conversations', idx, generation=assistant reply, label=user turn) for each user turn
     followed by an assistant turn."""
