@@ -145,13 +145,27 @@ def keep_first(df: DataFrame, key: str, order: list) -> DataFrame:
     return df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") == 1).drop("_rn")
 
 
-def recover_index(aug_without_idx: DataFrame, originals: DataFrame) -> DataFrame:
-    """Recover idx by the conclusion text (NULL matches NULL, as pandas merge does), then
-    keep one row per recovered idx (U5).  The right side is reduced to distinct
-    (conclusion, idx) before joining so common conclusions do not multiply the text side twice."""
+def recover_index(aug_without_idx: DataFrame, originals: DataFrame, order: list) -> DataFrame:
+    """J7 + U5: recover ``idx`` through the conclusion text (NULL matches NULL, as a pandas merge
+    does) and keep one row per recovered idx: the first under ``order`` among the rows sharing
+    that conclusion.
+
+    The first row is chosen per distinct conclusion *before* the join (a partially aggregated
+    ``min(struct)``), so a conclusion shared by M augmented rows and K source rows yields K output
+    rows instead of M x K joined pairs."""
+    cols = [c for c in aug_without_idx.columns if c != "conclusion"]
+    first = aug_without_idx.groupBy("conclusion").agg(
+        F.min(F.struct(*[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)], *[F.col(c) for c in cols])).alias("_f"))
+    first = first.select("conclusion", *[F.col(f"_f.{c}").alias(c) for c in cols])
     keys = originals.select(F.col("conclusion").alias("_c"), "idx").distinct()
-    joined = aug_without_idx.join(keys, aug_without_idx["conclusion"].eqNullSafe(keys["_c"]), "inner").drop("_c")
-    return joined
+    return first.join(keys, first["conclusion"].eqNullSafe(keys["_c"]), "inner").drop("_c")
+
+
+def recover_index_candidates(aug_without_idx: DataFrame, originals: DataFrame) -> DataFrame:
+    """J7 as the reference's merge: every (augmented row, source idx) pair with the same
+    conclusion.  Many-to-many on repeated text; prefer ``recover_index`` at scale."""
+    keys = originals.select(F.col("conclusion").alias("_c"), "idx").distinct()
+    return aug_without_idx.join(keys, aug_without_idx["conclusion"].eqNullSafe(keys["_c"]), "inner").drop("_c")
 
 
 def compare_generations(a: DataFrame, b: DataFrame) -> DataFrame:

@@ -50,5 +50,4 @@ def leakage_free_split(training_rows: DataFrame, folds: DataFrame, f: int, idx_c
 
 def fold_rows(df: DataFrame, members: DataFrame, idx_col: str = "idx", complement: bool = False) -> DataFrame:
     """Rows whose idx is in ``members`` (hash semi join), or its complement (anti join)."""
-    keys = members.select(F.col(members.columns[0]).alias(idx_col)).distinct() if idx_col not in members.columns else members.select(idx_col)
-    return df.join(keys, idx_col, "left_anti" if complement else "left_semi")
+    return df.join(members.select(idx_col), idx_col, "left_anti" if complement else "left_semi")

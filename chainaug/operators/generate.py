@@ -15,6 +15,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.columns import phash, round6
 
@@ -56,7 +57,7 @@ def generate_with_pandas(
 
     Partitions stay as they are: each batch is split by fold so the generator receives rows
     of one fold at a time (and can hold one model per fold)."""
-    schema = rows.schema.add("generation", "string")
+    schema = T.StructType(list(rows.schema.fields) + [T.StructField("generation", T.StringType())])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

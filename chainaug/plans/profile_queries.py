@@ -112,8 +112,7 @@ WHERE r = 1""")]
 def recovered(spark, d) -> DataFrame:
     g, v = X.generation(spark, d), X.valid(spark, d)
     t = A.training_set("aug_mix", v, g, True, FLOOR, CEIL).drop("idx", "relation")
-    cand = A.recover_index(t, v)
-    return A.keep_first(cand, "idx", ["round", "source", "premise_1", "premise_2"]).select(
+    return A.recover_index(t, v, ["round", "source", "premise_1", "premise_2"]).select(
         "idx", "round", "source", "premise_1", "premise_2", "conclusion")
 
 
