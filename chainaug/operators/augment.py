@@ -80,6 +80,23 @@ def join_generated_pair(prem1: DataFrame, prem2_with_conclusion: DataFrame) -> D
     return prem1.join(prem2_with_conclusion, ["idx", "round"], "inner").withColumn("relation", F.lit("yes"))
 
 
+def generated_pairs(generation: DataFrame, originals: DataFrame) -> DataFrame:
+    """J3 over one generation table: premise 1 and premise 2 generated for the same (idx, round),
+    with the conclusion attached by key.
+
+    (idx, round, target) is unique in a generation table, so the inner join of the two premise
+    tables on (idx, round) equals a pivot grouped by (idx, round) keeping groups with both
+    targets.  The aggregation reuses an idx partitioning of its input (an equi-join on
+    (idx, round) would re-shuffle both sides under the default co-partitioning rule)."""
+    g = generation.where(F.col("target").isin("prem1", "prem2")).groupBy("idx", "round").agg(
+        F.max(F.when(F.col("target") == "prem1", F.struct(F.col("generation").alias("g"), F.col("f1").alias("f")))).alias("_a"),
+        F.max(F.when(F.col("target") == "prem2", F.struct(F.col("generation").alias("g"), F.col("f1").alias("f")))).alias("_b"),
+    ).where(F.col("_a").isNotNull() & F.col("_b").isNotNull())
+    pairs = g.select("idx", "round", F.col("_a.g").alias("premise_1"), F.col("_a.f").alias("premise_1_f1"),
+                     F.col("_b.g").alias("premise_2"), F.col("_b.f").alias("premise_2_f1"))
+    return attach_conclusion(pairs, originals).withColumn("relation", F.lit("yes"))
+
+
 def _as_set(df: DataFrame, source: str) -> DataFrame:
     return df.select("idx", "round", F.lit(source).alias("source"), "premise_1", "premise_2", "conclusion", "relation")
 
@@ -108,7 +125,7 @@ def added_rows(method: str, originals: DataFrame, generation: DataFrame, filteri
             j2 = j2.where(band(F.col("premise_2_f1"), floor, ceil))
         parts += [_as_set(j1, "prem1"), _as_set(j2, "prem2")]
     if method in ("aug_pair", "aug_mix"):
-        j3 = join_generated_pair(p1, p2c)
+        j3 = generated_pairs(generation, originals)
         if filtering:
             j3 = j3.where(pair_band(F.col("premise_1_f1"), F.col("premise_2_f1"), floor, ceil))
         parts.append(_as_set(j3, "pair"))

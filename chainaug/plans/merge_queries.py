@@ -89,8 +89,7 @@ def band_filter(spark, d):
        "SELECT p1.idx, p1.round, p1.premise_1_f1, p2.premise_2_f1 FROM p1 JOIN p2 ON p1.idx = p2.idx AND p1.round = p2.round "
        f"WHERE {_band('p1.premise_1_f1')} AND {_band('p2.premise_2_f1')}"))
 def pair_band_filter(spark, d):
-    p1, p2 = A.premise_tables(X.generation(spark, d))
-    j = p1.join(p2, ["idx", "round"])
+    j = A.generated_pairs(*reversed(X.valid_and_generation(spark, d)))
     return j.where(A.pair_band(F.col("premise_1_f1"), F.col("premise_2_f1"), FLOOR, CEIL)).select(
         "idx", "round", "premise_1_f1", "premise_2_f1")
 
@@ -118,9 +117,8 @@ def join_prem2_original(spark, d):
        "SELECT p1.idx, p1.round, p1.premise_1, p1.premise_1_f1, p2.premise_2, p2.premise_2_f1, p2.conclusion, "
        "'yes' AS relation FROM p1 JOIN p2 ON p1.idx = p2.idx AND p1.round = p2.round"))
 def join_generated_pair(spark, d):
-    g, v = X.generation(spark, d), X.valid(spark, d)
-    p1, p2 = A.premise_tables(g)
-    return A.join_generated_pair(p1, A.attach_conclusion(p2, v)).select(
+    v, g = X.valid_and_generation(spark, d)
+    return A.generated_pairs(g, v).select(
         "idx", "round", "premise_1", "premise_1_f1", "premise_2", "premise_2_f1", "conclusion", "relation")
 
 

@@ -52,6 +52,18 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint in the shared checkpoint folder."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Cut lineage with a reliable checkpoint in the shared checkpoint folder.
+
+    The checkpoint job runs with adaptive execution paused: an adaptive plan reports no output
+    partitioning before it runs, so the checkpointed scan would forget that the data is already
+    hash-partitioned (and co-partitioned joins on it would shuffle again).  Later queries run
+    with AQE as configured."""
+    spark = df.sparkSession
+    checkpoint_dir(spark)
+    key = "spark.sql.adaptive.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "false")
+    try:
+        return df.checkpoint(eager=True)
+    finally:
+        spark.conf.set(key, before)

@@ -46,7 +46,16 @@ def test_ngram_metrics_shuffle_text_once(spark):
 
 
 def test_corpus_scan_prunes_columns(spark):
-    df = X.valid(spark, SF_SMALL)
+    df = X.corpus(spark, SF_SMALL)
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<doc_id:bigint,text:string>" in plan
     assert "ReadSchema: struct<doc_id:bigint,quality:int>" in plan
+
+
+def test_merges_are_co_partitioned(spark):
+    """Valid rows and generations are stored hash-partitioned by idx, so the merge joins of the
+    three methods run without any exchange."""
+    for name in ("ori_mix", "aug_pair", "aug_mix"):
+        df = Q.QUERIES[name](spark, SF_SMALL)
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan, (name, plan)
