@@ -75,9 +75,8 @@ def html_table_rows(spark, d):
     g = X.generation(spark, d).withColumn("doc", F.floor(F.col("idx") / HTML_ROWS_PER_DOC))
     docs = HT.render_tables(g, ["round", "target", "doc"], "idx", ["idx", "generation", "label"])
     rows = HT.extract_first_table(docs, "html", ["round", "target"])
-    cell = lambda name: F.try_element_at("cells", F.array_position("header", name).cast("int"))
-    return rows.select("round", "target", cell("idx").cast("long").alias("idx"),
-                       cell("generation").alias("generation"), cell("label").alias("label"))
+    return rows.select("round", "target", HT.cell("idx").cast("long").alias("idx"),
+                       HT.cell("generation").alias("generation"), HT.cell("label").alias("label"))
 
 
 def _leaderboard_sql() -> str:

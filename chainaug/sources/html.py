@@ -39,7 +39,8 @@ def render_tables(df: DataFrame, doc_keys: list, order_col: str, cols: list) ->
 
 
 def extract_first_table(docs: DataFrame, html_col: str, keep: list) -> DataFrame:
-    """Rows of the first table of each document: ``keep`` columns + row_no + header + cells."""
+    """Rows of the first table of each document: ``keep`` columns + row_no + header + raw cells
+    (use ``cell`` to pick and clean a column; cleaning outside a lambda keeps it in codegen)."""
     table = F.regexp_extract(F.col(html_col), "(?s)<table[^>]*>(.*?)</table>", 1)
     t = docs.select(*keep, table.alias("_t"))
     head = F.regexp_extract(F.col("_t"), "(?s)<thead[^>]*>(.*?)</thead>", 1)
@@ -47,10 +48,15 @@ def extract_first_table(docs: DataFrame, html_col: str, keep: list) -> DataFrame
     t = t.select(*keep,
                  F.regexp_extract_all(head, F.lit("(?s)<th[^>]*>(.*?)</th>"), 1).alias("header"),
                  F.posexplode(F.regexp_extract_all(body, F.lit("(?s)<tr[^>]*>(.*?)</tr>"), 1)).alias("row_no", "_tr"))
-    cells = F.transform(F.regexp_extract_all(F.col("_tr"), F.lit("(?s)<td[^>]*>(.*?)</td>"), 1), clean_cell)
+    cells = F.regexp_extract_all(F.col("_tr"), F.lit("(?s)<td[^>]*>(.*?)</td>"), 1)
     return t.select(*keep, "row_no", "header", cells.alias("cells"))
 
 
+def cell(name: str) -> Column:
+    """The cleaned cell under header ``name`` of an extracted row (NULL when absent or empty)."""
+    return clean_cell(F.try_element_at("cells", F.array_position("header", name).cast("int")))
+
+
 def read_html_files(spark, path: str) -> DataFrame:
     """One row per file (wholetext), with the file path for run-key extraction."""
     return spark.read.text(path, wholetext=True).select(F.col("value").alias("html"), F.input_file_name().alias("path"))

@@ -38,16 +38,26 @@ def _exists(spark: SparkSession, path: str) -> bool:
 
 
 def _upsert(table_dir: str, best_dir: str, n: int, k: int):
+    """The table is partitioned by run: each batch reads back only the runs it touches
+    (partition pruning), so the per-batch cost follows the batch, not the table."""
+
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        fresh = batch.dropDuplicates(KEYS)
-        if _exists(spark, table_dir):
-            fresh = fresh.join(spark.read.schema(LOG_SCHEMA).parquet(table_dir).select(*KEYS), KEYS, "left_anti")
-        fresh.write.mode("append").parquet(table_dir)
-        touched = batch.select("run").distinct()
-        log = spark.read.schema(LOG_SCHEMA).parquet(table_dir).join(touched, "run", "left_semi")
-        best = S.model_selection(log, n, k).withColumn("batch_id", F.lit(batch_id).cast("long"))
-        best.write.mode("append").parquet(best_dir)
+        batch = batch.persist()
+        try:
+            runs = [r["run"] for r in batch.select("run").distinct().collect()]  # run names of one batch
+            if not runs:
+                return
+            fresh = batch.dropDuplicates(KEYS)
+            if _exists(spark, table_dir):
+                stored = spark.read.schema(LOG_SCHEMA).parquet(table_dir).where(F.col("run").isin(runs))
+                fresh = fresh.join(stored.select(*KEYS), KEYS, "left_anti")
+            fresh.write.mode("append").partitionBy("run").parquet(table_dir)
+            log = spark.read.schema(LOG_SCHEMA).parquet(table_dir).where(F.col("run").isin(runs))
+            best = S.model_selection(log, n, k).withColumn("batch_id", F.lit(batch_id).cast("long"))
+            best.write.mode("append").parquet(best_dir)
+        finally:
+            batch.unpersist()
 
     return run
 

@@ -210,8 +210,9 @@ def test_html_first_table_escapes_and_empty_cells(spark):
             "<tr><td>3</td><td>two\n  lines</td></tr></tbody></table>"
             "<table><thead><tr><th>x</th></tr></thead><tbody><tr><td>9</td></tr></tbody></table></html>")
     docs = spark.createDataFrame([(1, html)], "doc int, html string")
-    rows = {r.row_no: r.cells for r in HT.extract_first_table(docs, "html", ["doc"]).collect()}
-    assert rows == {0: ["1", "a <b> &amp; c"], 1: ["2", None], 2: ["3", "two lines"]}
+    ext = HT.extract_first_table(docs, "html", ["doc"]).select("row_no", HT.cell("idx").alias("i"), HT.cell("text").alias("t"))
+    rows = {r.row_no: (r.i, r.t) for r in ext.collect()}
+    assert rows == {0: ("1", "a <b> &amp; c"), 1: ("2", None), 2: ("3", "two lines")}
 
 
 def test_leaderboard_append_is_idempotent(spark, tmpdir_path):
@@ -280,3 +281,17 @@ def test_writers_partition_layout_and_pruning(spark, tmpdir_path):
     sinks.write_generations(g, gen_path)
     assert spark.read.parquet(gen_path).where("round = 1 AND target = 'prem1'").count() == \
         g.where("round = 1 AND target = 'prem1'").count()
+
+
+def test_embedding_f1_blocks_equal_whole_matrix(monkeypatch):
+    import numpy as np
+
+    from chainaug.functions import embedding as EM
+
+    rng = np.random.default_rng(7)
+    a = [rng.normal(size=16).astype(np.float32) for _ in range(37)]
+    b = [rng.normal(size=16).astype(np.float32) for _ in range(23)]
+    whole = EM.greedy_f1(a, b)
+    monkeypatch.setattr(EM, "BLOCK_CELLS", 50)  # two rows per block
+    assert EM.greedy_f1(a, b) == whole
+    assert EM.greedy_f1([], b) == (0.0, 0.0, 0.0)
