@@ -70,3 +70,20 @@ def greedy_f1(pred_vecs, ref_vecs) -> tuple[float, float, float]:
 def greedy_f1_udf(pred: pd.Series, ref: pd.Series) -> pd.DataFrame:
     out = [greedy_f1(a, b) for a, b in zip(pred, ref)]
     return pd.DataFrame(out, columns=["p", "r", "f"])
+
+
+def greedy_f1_lookup_udf(bc):
+    """Embedding F1 from token arrays, vectors looked up in a broadcast table (tokens without a
+    vector are ignored, as in the join path)."""
+
+    @F.pandas_udf(RESULT)
+    def run(pred: pd.Series, ref: pd.Series) -> pd.DataFrame:
+        table = bc.value
+        out = []
+        for a, b in zip(pred, ref):
+            va = [table[t] for t in (a if a is not None else []) if t in table]
+            vb = [table[t] for t in (b if b is not None else []) if t in table]
+            out.append(greedy_f1(va, vb))
+        return pd.DataFrame(out, columns=["p", "r", "f"])
+
+    return run

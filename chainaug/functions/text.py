@@ -6,10 +6,23 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+_WS = "[ \\t\\n\\r\\f\\x0B]+"
+
+
+def _tokens_of(normalized: Column) -> Column:
+    return F.when(normalized == "", F.array().cast("array<string>")).otherwise(F.split(normalized, " "))
+
+
+def ws_normalized(text: Column) -> Column:
+    """Whitespace tokens joined by single spaces (runs of ASCII blanks collapse, ends trimmed)."""
+    return F.regexp_replace(F.regexp_replace(text, f"^{_WS}|{_WS}$", ""), _WS, " ")
+
+
 def ws_tokens(text: Column) -> Column:
     """Whitespace tokens as Python's ``str.split()`` gives them for ASCII blanks:
-    no empty tokens, leading/trailing blanks ignored."""
-    return F.filter(F.split(text, r"[ \t\n\r\f\u000B]+"), lambda x: x != "")
+    no empty tokens, leading/trailing blanks ignored.  Built-in expressions only (no lambda),
+    so it stays inside whole-stage codegen."""
+    return _tokens_of(ws_normalized(text))
 
 
 def space_tokens(text: Column) -> Column:
@@ -17,9 +30,15 @@ def space_tokens(text: Column) -> Column:
     return F.split(text, " ")
 
 
+def rouge_normalized(text: Column) -> Column:
+    """ROUGE tokens joined by single spaces: lower case, every run of characters outside
+    [a-z0-9] is a break."""
+    return F.regexp_replace(F.regexp_replace(F.lower(text), "[^a-z0-9]+", " "), "^ | $", "")
+
+
 def rouge_tokens(text: Column) -> Column:
-    """ROUGE tokens: lower case, every run of characters outside [a-z0-9] is a break."""
-    return F.filter(F.split(F.regexp_replace(F.lower(text), "[^a-z0-9]+", " "), " "), lambda x: x != "")
+    """ROUGE tokens (see ``rouge_normalized``)."""
+    return _tokens_of(rouge_normalized(text))
 
 
 # Special tokens and prompt words used by the three prompt styles.

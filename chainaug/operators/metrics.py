@@ -15,36 +15,45 @@ from __future__ import annotations
 from functools import reduce
 from math import exp
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import f_measure, mean6, phash, round6
-from ..functions.embedding import greedy_f1_udf
+from ..functions.embedding import greedy_f1_lookup_udf, greedy_f1_udf
 from ..functions.lcs import lcs_udf
-from ..functions.text import rouge_tokens, ws_tokens
+from ..functions.text import rouge_normalized, rouge_tokens, ws_normalized
 
 
-def _grams(toks: Column, n: Column) -> Column:
-    """All contiguous n-grams of a token array, joined by single spaces (tokens hold no spaces)."""
-    starts = F.when(F.size(toks) >= n, F.sequence(F.lit(1), F.size(toks) - n + 1)).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.array_join(F.slice(toks, i, n), " "))
+def gram_pattern(n: int) -> str:
+    """Regex whose capture at every token start is the n-gram starting there (tokens are
+    separated by single spaces and hold no spaces)."""
+    return "(?<![^ ])(?=([^ ]+" + "(?: [^ ]+)" * (n - 1) + "))"
 
 
-def ngram_overlap(pairs: DataFrame, keys: list, pred_toks: Column, ref_toks: Column, orders=(1, 2, 3, 4)) -> DataFrame:
-    """Per (keys, idx, n): clipped n-gram overlap, prediction and reference token counts."""
-    base = pairs.select(*keys, "idx", pred_toks.alias("_pt"), ref_toks.alias("_rt")).withColumn(
-        "lp", F.size("_pt")).withColumn("lr", F.size("_rt"))
+def _tagged_grams(text: Column, side: int, n: int) -> Column:
+    grams = F.regexp_extract_all(text, F.lit(gram_pattern(n)), 1)
+    return F.arrays_zip(grams.alias("g"), F.array_repeat(F.lit(side * 10 + n), F.size(grams)).alias("t"))
+
+
+def ngram_overlap(pairs: DataFrame, keys: list, pred_norm: Column, ref_norm: Column, orders=(1, 2, 3, 4)) -> DataFrame:
+    """Per (keys, idx, n): clipped n-gram overlap, prediction and reference token counts.
+
+    ``pred_norm`` / ``ref_norm`` are token strings joined by single spaces.  All n-grams of both
+    sides are produced by codegen'd ``regexp_extract_all`` (no lambdas), tagged with side*10+n,
+    and exploded once; one NULL sentinel per order keeps pairs without n-grams."""
+    n_of = lambda c: F.when(c == "", F.lit(0)).otherwise(F.size(F.split(c, " ")))
+    base = pairs.select(*keys, "idx", pred_norm.alias("_pt"), ref_norm.alias("_rt"))
+    base = base.withColumn("lp", n_of(F.col("_pt"))).withColumn("lr", n_of(F.col("_rt")))
     base = base.repartition(*keys, "idx")
-    byn = base.select(*keys, "idx", "lp", "lr", "_pt", "_rt", F.explode(F.array(*[F.lit(n) for n in orders])).alias("n"))
-    tag = lambda side: (lambda g: F.struct(F.lit(side).alias("s"), g.alias("g")))
-    tagged = F.concat(
-        F.transform(_grams(F.col("_pt"), F.col("n")), tag(0)),
-        F.transform(_grams(F.col("_rt"), F.col("n")), tag(1)),
-        F.array(F.struct(F.lit(2).alias("s"), F.lit(None).cast("string").alias("g"))),
-    )
-    g = byn.select(*keys, "idx", "lp", "lr", "n", F.explode(tagged).alias("x"))
-    counts = g.groupBy(*keys, "idx", "lp", "lr", "n", F.col("x.g").alias("gram")).agg(
-        F.sum((F.col("x.s") == 0).cast("long")).alias("cp"), F.sum((F.col("x.s") == 1).cast("long")).alias("cr"))
+    sentinel = F.array(*[F.struct(F.lit(None).cast("string").alias("g"), F.lit(20 + n).alias("t")) for n in orders])
+    tagged = F.concat(*[_tagged_grams(F.col("_pt"), 0, n) for n in orders],
+                      *[_tagged_grams(F.col("_rt"), 1, n) for n in orders], sentinel)
+    g = base.select(*keys, "idx", "lp", "lr", F.explode(tagged).alias("x"))
+    g = g.select(*keys, "idx", "lp", "lr", (F.col("x.t") % 10).alias("n"), (F.col("x.t") / 10).cast("int").alias("s"),
+                 F.col("x.g").alias("gram"))
+    counts = g.groupBy(*keys, "idx", "lp", "lr", "n", "gram").agg(
+        F.sum((F.col("s") == 0).cast("long")).alias("cp"), F.sum((F.col("s") == 1).cast("long")).alias("cr"))
     return counts.groupBy(*keys, "idx", "lp", "lr", "n").agg(F.sum(F.least("cp", "cr")).alias("overlap"))
 
 
@@ -52,7 +61,7 @@ def corpus_bleu(pairs: DataFrame, keys: list, pred: str = "generation", ref: str
     """M1: corpus BLEU-4, one reference, no smoothing (Papineni et al. 2002): clipped n-gram sums
     over the whole corpus, geometric mean of the four precisions (0 if any is 0), brevity penalty
     exp(1 - 1/ratio) when ratio <= 1.  Whitespace tokens."""
-    ov = ngram_overlap(pairs, keys, ws_tokens(F.col(pred)), ws_tokens(F.col(ref)))
+    ov = ngram_overlap(pairs, keys, ws_normalized(F.col(pred)), ws_normalized(F.col(ref)))
     aggs = []
     for n in (1, 2, 3, 4):
         aggs.append(F.sum(F.when(F.col("n") == n, F.col("overlap"))).alias(f"m{n}"))
@@ -72,7 +81,7 @@ def corpus_bleu(pairs: DataFrame, keys: list, pred: str = "generation", ref: str
 
 def rouge_n(pairs: DataFrame, keys: list, pred: str = "generation", ref: str = "label") -> DataFrame:
     """M2: per pair ROUGE-1 and ROUGE-2 F (P = overlap / max(pred n-grams, 1), R likewise)."""
-    ov = ngram_overlap(pairs, keys, rouge_tokens(F.col(pred)), rouge_tokens(F.col(ref)), orders=(1, 2))
+    ov = ngram_overlap(pairs, keys, rouge_normalized(F.col(pred)), rouge_normalized(F.col(ref)), orders=(1, 2))
     per = ov.groupBy(*keys, "idx", "lp", "lr").agg(
         *[F.max(F.when(F.col("n") == n, F.col("overlap"))).alias(f"o{n}") for n in (1, 2)])
     cols = []
@@ -148,17 +157,36 @@ def rouge_bootstrap(per_pair: DataFrame, keys: list, metric: str = "rougeL", rep
         *[round6(F.percentile(F.col("m"), q)).alias(f"q{int(q * 1000):03d}") for q in quantiles])
 
 
-def embedding_f1(pairs: DataFrame, keys: list, vectors: DataFrame, pred: str = "generation", ref: str = "label") -> DataFrame:
+# Largest token-vector table (rows x dim x 8 bytes) shipped to executors as a broadcast.
+EMBED_BROADCAST_LIMIT = 256 << 20
+
+
+def embedding_f1(pairs: DataFrame, keys: list, vectors: DataFrame, pred: str = "generation", ref: str = "label",
+                 broadcast_limit: int = EMBED_BROADCAST_LIMIT) -> DataFrame:
     """M5: per pair (P, R, F) by greedy max-cosine over token vectors (tokens = single-space split,
-    empties dropped; tokens without a vector are ignored)."""
+    empties dropped; tokens without a vector are ignored).
+
+    Size-checked broadcast: a one-row aggregate measures the vector table; when it fits
+    ``broadcast_limit`` it is broadcast and the pairs are scored in one narrow pass (no shuffle).
+    Beyond the limit the vectors travel by a join on token and are regrouped per pair."""
     tok = lambda c: F.filter(F.split(F.col(c), " "), lambda x: x != "")
+    v = vectors.select("token", "embedding")
+    stats = v.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("embedding")).alias("dim")).first()
+    n, dim = stats["n"], stats["dim"] or 0
+    if n * max(dim, 1) * 8 <= broadcast_limit:
+        spark = pairs.sparkSession
+        # bounded by the check above; float32 arrays, widened per pair inside the UDF
+        table = {r["token"]: np.asarray(r["embedding"], dtype=np.float32) for r in v.toLocalIterator()}
+        bc = spark.sparkContext.broadcast(table)
+        m = pairs.select(*keys, "idx", greedy_f1_lookup_udf(bc)(tok(pred), tok(ref)).alias("m"))
+        return m.select(*keys, "idx", F.col("m.p").alias("p"), F.col("m.r").alias("r"), F.col("m.f").alias("f1"))
     tagged = F.concat(
         F.transform(tok(pred), lambda t: F.struct(F.lit(0).alias("s"), t.alias("t"))),
         F.transform(tok(ref), lambda t: F.struct(F.lit(1).alias("s"), t.alias("t"))),
     )
     e = pairs.select(*keys, "idx", F.explode_outer(tagged).alias("x")).select(
         *keys, "idx", F.col("x.s").alias("s"), F.col("x.t").alias("token"))
-    j = e.join(vectors.select("token", "embedding"), "token", "left")
+    j = e.join(v, "token", "left")
     g = j.groupBy(*keys, "idx").agg(
         F.collect_list(F.when(F.col("s") == 0, F.col("embedding"))).alias("pv"),
         F.collect_list(F.when(F.col("s") == 1, F.col("embedding"))).alias("rv"))

@@ -295,3 +295,15 @@ def test_embedding_f1_blocks_equal_whole_matrix(monkeypatch):
     monkeypatch.setattr(EM, "BLOCK_CELLS", 50)  # two rows per block
     assert EM.greedy_f1(a, b) == whole
     assert EM.greedy_f1([], b) == (0.0, 0.0, 0.0)
+
+
+def test_embedding_f1_broadcast_and_join_paths_agree(spark):
+    from conftest import SF_SMALL
+
+    from chainaug.sources import fixtures as X
+
+    pairs = X.scored_run(spark, SF_SMALL)
+    vec = X.token_vectors(spark, SF_SMALL)
+    a = sorted(tuple(r) for r in MT.embedding_f1(pairs, ["run"], vec).collect())
+    b = sorted(tuple(r) for r in MT.embedding_f1(pairs, ["run"], vec, broadcast_limit=0).collect())
+    assert a == b and len(a) == pairs.count()
