@@ -171,14 +171,18 @@ def embedding_f1(pairs: DataFrame, keys: list, vectors: DataFrame, pred: str = "
     Beyond the limit the vectors travel by a join on token and are regrouped per pair."""
     tok = lambda c: F.filter(F.split(F.col(c), " "), lambda x: x != "")
     v = vectors.select("token", "embedding")
-    stats = v.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("embedding")).alias("dim")).first()
-    n, dim = stats["n"], stats["dim"] or 0
-    if n * max(dim, 1) * 8 <= broadcast_limit:
-        spark = pairs.sparkSession
-        # bounded by the check above; float32 arrays, widened per pair inside the UDF
-        table = {r["token"]: np.asarray(r["embedding"], dtype=np.float32) for r in v.toLocalIterator()}
-        bc = spark.sparkContext.broadcast(table)
-        m = pairs.select(*keys, "idx", greedy_f1_lookup_udf(bc)(tok(pred), tok(ref)).alias("m"))
+    small = None
+    if broadcast_limit > 0:
+        v = v.persist()
+        stats = v.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("embedding")).alias("dim")).first()
+        if stats["n"] * max(stats["dim"] or 0, 1) * 8 <= broadcast_limit:
+            # bounded by the check above; float32 arrays, widened per pair inside the UDF
+            small = {r["token"]: np.asarray(r["embedding"], dtype=np.float32) for r in v.collect()}
+        v.unpersist()
+    if small is not None:
+        bc = pairs.sparkSession.sparkContext.broadcast(small)
+        # spread the CPU-heavy scoring over tasks by pair key (text moves, vectors do not)
+        m = pairs.repartition(*keys, "idx").select(*keys, "idx", greedy_f1_lookup_udf(bc)(tok(pred), tok(ref)).alias("m"))
         return m.select(*keys, "idx", F.col("m.p").alias("p"), F.col("m.r").alias("r"), F.col("m.f").alias("f1"))
     tagged = F.concat(
         F.transform(tok(pred), lambda t: F.struct(F.lit(0).alias("s"), t.alias("t"))),

@@ -292,7 +292,7 @@ def test_embedding_f1_blocks_equal_whole_matrix(monkeypatch):
     a = [rng.normal(size=16).astype(np.float32) for _ in range(37)]
     b = [rng.normal(size=16).astype(np.float32) for _ in range(23)]
     whole = EM.greedy_f1(a, b)
-    monkeypatch.setattr(EM, "BLOCK_CELLS", 50)  # two rows per block
+    monkeypatch.setattr(EM, "BLOCK_CELLS", 23 * 16 * 2)  # two rows per block
     assert EM.greedy_f1(a, b) == whole
     assert EM.greedy_f1([], b) == (0.0, 0.0, 0.0)
 
