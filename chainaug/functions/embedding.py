@@ -42,11 +42,18 @@ def _norms(a: np.ndarray) -> np.ndarray:
 BLOCK_CELLS = 1 << 22
 
 
+def _matrix(vecs) -> np.ndarray:
+    """Rows of vectors as a float64 matrix (a 2-D array already, or a sequence of vectors)."""
+    if isinstance(vecs, np.ndarray) and vecs.ndim == 2:
+        return vecs.astype(np.float64, copy=False)
+    return np.vstack([np.asarray(v, dtype=np.float64) for v in vecs])
+
+
 def greedy_f1(pred_vecs, ref_vecs) -> tuple[float, float, float]:
     if pred_vecs is None or ref_vecs is None or len(pred_vecs) == 0 or len(ref_vecs) == 0:
         return 0.0, 0.0, 0.0
-    a = np.vstack([np.asarray(v, dtype=np.float64) for v in pred_vecs])
-    b = np.vstack([np.asarray(v, dtype=np.float64) for v in ref_vecs])
+    a = _matrix(pred_vecs)
+    b = _matrix(ref_vecs)
     na, nb = _norms(a), _norms(b)
     rows = max(1, BLOCK_CELLS // (b.shape[0] * b.shape[1]))
     row_max = np.empty(a.shape[0])
@@ -68,18 +75,31 @@ def greedy_f1_udf(pred: pd.Series, ref: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["p", "r", "f"])
 
 
+_INDEX: dict = {}
+
+
+def _index(tokens: list, mat: np.ndarray):
+    """Per Python worker: token -> row of the broadcast matrix, built once per broadcast value."""
+    key = id(mat)
+    got = _INDEX.get(key)
+    if got is None:
+        _INDEX.clear()
+        got = _INDEX[key] = ({t: i for i, t in enumerate(tokens)}, mat.astype(np.float64))
+    return got
+
+
 def greedy_f1_lookup_udf(bc):
-    """Embedding F1 from token arrays, vectors looked up in a broadcast table (tokens without a
-    vector are ignored, as in the join path)."""
+    """Embedding F1 from token arrays, vectors looked up in a broadcast (tokens, matrix) table
+    (tokens without a vector are ignored, as in the join path)."""
 
     @F.pandas_udf(RESULT)
     def run(pred: pd.Series, ref: pd.Series) -> pd.DataFrame:
-        table = bc.value
+        index, mat = _index(*bc.value)
         out = []
         for a, b in zip(pred, ref):
-            va = [table[t] for t in (a if a is not None else []) if t in table]
-            vb = [table[t] for t in (b if b is not None else []) if t in table]
-            out.append(greedy_f1(va, vb))
+            ia = [index[t] for t in (a if a is not None else []) if t in index]
+            ib = [index[t] for t in (b if b is not None else []) if t in index]
+            out.append(greedy_f1(mat[ia], mat[ib]))
         return pd.DataFrame(out, columns=["p", "r", "f"])
 
     return run

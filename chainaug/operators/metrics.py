@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import f_measure, mean6, phash, round6
 from ..functions.embedding import greedy_f1_lookup_udf, greedy_f1_udf
 from ..functions.lcs import lcs_udf
+from ..session import materialize
 from ..functions.text import rouge_normalized, rouge_tokens, ws_normalized
 
 
@@ -36,16 +37,19 @@ def _tagged_grams(text: Column, side: int, n: int) -> Column:
     return F.arrays_zip(grams.alias("g"), F.array_repeat(F.lit(side * 10 + n), F.size(grams)).alias("t"))
 
 
-def ngram_overlap(pairs: DataFrame, keys: list, pred_norm: Column, ref_norm: Column, orders=(1, 2, 3, 4)) -> DataFrame:
+def ngram_overlap(pairs: DataFrame, keys: list, pred_norm: Column, ref_norm: Column, orders=(1, 2, 3, 4),
+                  partitioned: bool = False) -> DataFrame:
     """Per (keys, idx, n): clipped n-gram overlap, prediction and reference token counts.
 
     ``pred_norm`` / ``ref_norm`` are token strings joined by single spaces.  All n-grams of both
     sides are produced by codegen'd ``regexp_extract_all`` (no lambdas), tagged with side*10+n,
-    and exploded once; one NULL sentinel per order keeps pairs without n-grams."""
+    and exploded once; one NULL sentinel per order keeps pairs without n-grams.  ``partitioned``
+    says the input is already hash-partitioned by (keys, idx) (no repartition needed)."""
     n_of = lambda c: F.when(c == "", F.lit(0)).otherwise(F.size(F.split(c, " ")))
     base = pairs.select(*keys, "idx", pred_norm.alias("_pt"), ref_norm.alias("_rt"))
     base = base.withColumn("lp", n_of(F.col("_pt"))).withColumn("lr", n_of(F.col("_rt")))
-    base = base.repartition(*keys, "idx")
+    if not partitioned:
+        base = base.repartition(*keys, "idx")
     sentinel = F.array(*[F.struct(F.lit(None).cast("string").alias("g"), F.lit(20 + n).alias("t")) for n in orders])
     tagged = F.concat(*[_tagged_grams(F.col("_pt"), 0, n) for n in orders],
                       *[_tagged_grams(F.col("_rt"), 1, n) for n in orders], sentinel)
@@ -57,11 +61,12 @@ def ngram_overlap(pairs: DataFrame, keys: list, pred_norm: Column, ref_norm: Col
     return counts.groupBy(*keys, "idx", "lp", "lr", "n").agg(F.sum(F.least("cp", "cr")).alias("overlap"))
 
 
-def corpus_bleu(pairs: DataFrame, keys: list, pred: str = "generation", ref: str = "label") -> DataFrame:
+def corpus_bleu(pairs: DataFrame, keys: list, pred: str = "generation", ref: str = "label",
+                partitioned: bool = False) -> DataFrame:
     """M1: corpus BLEU-4, one reference, no smoothing (Papineni et al. 2002): clipped n-gram sums
     over the whole corpus, geometric mean of the four precisions (0 if any is 0), brevity penalty
     exp(1 - 1/ratio) when ratio <= 1.  Whitespace tokens."""
-    ov = ngram_overlap(pairs, keys, ws_normalized(F.col(pred)), ws_normalized(F.col(ref)))
+    ov = ngram_overlap(pairs, keys, ws_normalized(F.col(pred)), ws_normalized(F.col(ref)), partitioned=partitioned)
     aggs = []
     for n in (1, 2, 3, 4):
         aggs.append(F.sum(F.when(F.col("n") == n, F.col("overlap"))).alias(f"m{n}"))
@@ -79,9 +84,11 @@ def corpus_bleu(pairs: DataFrame, keys: list, pred: str = "generation", ref: str
     return s.select(*keys, round6(bleu).alias("bleu"), F.col("pred_len").cast("long"), F.col("ref_len").cast("long"))
 
 
-def rouge_n(pairs: DataFrame, keys: list, pred: str = "generation", ref: str = "label") -> DataFrame:
+def rouge_n(pairs: DataFrame, keys: list, pred: str = "generation", ref: str = "label",
+            partitioned: bool = False) -> DataFrame:
     """M2: per pair ROUGE-1 and ROUGE-2 F (P = overlap / max(pred n-grams, 1), R likewise)."""
-    ov = ngram_overlap(pairs, keys, rouge_normalized(F.col(pred)), rouge_normalized(F.col(ref)), orders=(1, 2))
+    ov = ngram_overlap(pairs, keys, rouge_normalized(F.col(pred)), rouge_normalized(F.col(ref)), orders=(1, 2),
+                       partitioned=partitioned)
     per = ov.groupBy(*keys, "idx", "lp", "lr").agg(
         *[F.max(F.when(F.col("n") == n, F.col("overlap"))).alias(f"o{n}") for n in (1, 2)])
     cols = []
@@ -92,9 +99,10 @@ def rouge_n(pairs: DataFrame, keys: list, pred: str = "generation", ref: str = "
     return per.select(*keys, "idx", *cols)
 
 
-def rouge_l(pairs: DataFrame, keys: list, pred: str = "generation", ref: str = "label", dedupe: bool = True) -> DataFrame:
-    """M3: per pair ROUGE-L F from the LCS of ROUGE tokens (Arrow UDF, bit-parallel).  With
-    ``dedupe`` the UDF runs once per distinct (prediction, reference) text pair."""
+def rouge_l(pairs: DataFrame, keys: list, pred: str = "generation", ref: str = "label", dedupe: bool = False) -> DataFrame:
+    """M3: per pair ROUGE-L F from the LCS of ROUGE tokens (Arrow UDF, bit-parallel), a narrow
+    pass over the pairs.  With ``dedupe`` the UDF runs once per distinct (prediction, reference)
+    text pair, at the price of two text shuffles: worth it only when pairs repeat a lot."""
     src = pairs.select(*keys, "idx", F.col(pred).alias("_g"), F.col(ref).alias("_l"))
     texts = src.select("_g", "_l").distinct() if dedupe else src
     pt, rt = rouge_tokens(F.col("_g")), rouge_tokens(F.col("_l"))
@@ -107,9 +115,10 @@ def rouge_l(pairs: DataFrame, keys: list, pred: str = "generation", ref: str = "
     return scored.select(*keys, "idx", F.col("lcs").cast("long").alias("lcs"), round6(f_measure(p, r)).alias("rougeL"))
 
 
-def rouge_scores(pairs: DataFrame, keys: list, pred: str = "generation", ref: str = "label") -> DataFrame:
+def rouge_scores(pairs: DataFrame, keys: list, pred: str = "generation", ref: str = "label",
+                 partitioned: bool = False) -> DataFrame:
     """Per pair ROUGE-1, -2, -L F (one row per pair)."""
-    n = rouge_n(pairs, keys, pred, ref)
+    n = rouge_n(pairs, keys, pred, ref, partitioned)
     l_ = rouge_l(pairs, keys, pred, ref).drop("lcs")
     return n.join(l_, [*keys, "idx"])
 
@@ -176,8 +185,11 @@ def embedding_f1(pairs: DataFrame, keys: list, vectors: DataFrame, pred: str = "
         v = v.persist()
         stats = v.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("embedding")).alias("dim")).first()
         if stats["n"] * max(stats["dim"] or 0, 1) * 8 <= broadcast_limit:
-            # bounded by the check above; float32 arrays, widened per pair inside the UDF
-            small = {r["token"]: np.asarray(r["embedding"], dtype=np.float32) for r in v.collect()}
+            # bounded by the check above: one token list and one float32 matrix, via Arrow
+            pdf = v.toPandas()
+            dim = stats["dim"] or 0
+            mat = np.stack(pdf["embedding"].to_numpy()).astype(np.float32) if len(pdf) else np.zeros((0, dim), np.float32)
+            small = (pdf["token"].tolist(), mat)
         v.unpersist()
     if small is not None:
         bc = pairs.sparkSession.sparkContext.broadcast(small)
@@ -206,11 +218,15 @@ def embedding_f1_corpus(per_pair: DataFrame, keys: list) -> DataFrame:
 
 
 def score_grid(pairs: DataFrame, vectors: DataFrame, key: str = "run") -> DataFrame:
-    """M6: one leaderboard row per run: embedding F1, ROUGE-1/2/L and BLEU, all runs in one job."""
+    """M6: one leaderboard row per run: embedding F1, ROUGE-1/2/L and BLEU, all runs in one job.
+    The pair table feeds four metric plans, so it is materialised once (shared checkpoint
+    folder), hash-partitioned by the pair key the n-gram metrics group on."""
     keys = [key]
+    n = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pairs = materialize(pairs.repartition(n, key, "idx"))
     emb = embedding_f1_corpus(embedding_f1(pairs, keys, vectors), keys).select(key, F.col("f1").alias("bert_score"))
-    rc = rouge_corpus(rouge_scores(pairs, keys), keys).select(
+    rc = rouge_corpus(rouge_scores(pairs, keys, partitioned=True), keys).select(
         key, F.col("rouge1").alias("rouge_1"), F.col("rouge2").alias("rouge_2"), F.col("rougeL").alias("rouge_l"))
-    bl = corpus_bleu(pairs, keys).select(key, "bleu")
+    bl = corpus_bleu(pairs, keys, partitioned=True).select(key, "bleu")
     return emb.join(rc, key).join(bl, key).select(
         F.col(key).alias("model_name"), "bert_score", "rouge_1", "rouge_2", "rouge_l", "bleu")
