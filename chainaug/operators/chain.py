@@ -65,11 +65,12 @@ def chain(originals: DataFrame, rounds: int,
 
 
 def premise_merge(generation: DataFrame, originals: DataFrame, vectors: DataFrame) -> DataFrame:
-    """Score every generated premise against its label by embedding F1, keep the raw premise
+    """C1 (``generation`` hash-partitioned by idx, as stored by the generation step): score every generated premise against its label by embedding F1, keep the raw premise
     tables, attach the conclusion by key, and build the next-round input rows: generated premise
     + its score + the other original premise + relation + conclusion."""
     scored = MT.embedding_f1(
-        generation.select("round", "target", "idx", "generation", "label"), ["round", "target"], vectors)
+        generation.select("round", "target", "idx", "generation", "label"), ["round", "target"], vectors,
+        partitioned=True)
     g = generation.select("idx", "round", "target", "generation").join(
         scored.select("idx", "round", "target", F.col("f1").alias("aug_f1")), ["idx", "round", "target"])
     # J5 (conclusion by key) and J1/J2 (other original premise) in one join on idx

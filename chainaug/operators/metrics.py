@@ -99,11 +99,16 @@ def rouge_n(pairs: DataFrame, keys: list, pred: str = "generation", ref: str = "
     return per.select(*keys, "idx", *cols)
 
 
-def rouge_l(pairs: DataFrame, keys: list, pred: str = "generation", ref: str = "label", dedupe: bool = False) -> DataFrame:
+def rouge_l(pairs: DataFrame, keys: list, pred: str = "generation", ref: str = "label", dedupe: bool = False,
+            partitioned: bool = False) -> DataFrame:
     """M3: per pair ROUGE-L F from the LCS of ROUGE tokens (Arrow UDF, bit-parallel), a narrow
     pass over the pairs.  With ``dedupe`` the UDF runs once per distinct (prediction, reference)
-    text pair, at the price of two text shuffles: worth it only when pairs repeat a lot."""
+    text pair, at the price of two text shuffles: worth it only when pairs repeat a lot.
+    Unless ``partitioned`` (already hash-partitioned by (keys, idx)), the texts are spread by
+    pair key first so the CPU-heavy UDF runs balanced over tasks."""
     src = pairs.select(*keys, "idx", F.col(pred).alias("_g"), F.col(ref).alias("_l"))
+    if not (partitioned or dedupe):
+        src = src.repartition(*keys, "idx")
     texts = src.select("_g", "_l").distinct() if dedupe else src
     pt, rt = rouge_tokens(F.col("_g")), rouge_tokens(F.col("_l"))
     scored = texts.select("*", lcs_udf(pt, rt).alias("lcs"), F.size(pt).alias("lp"), F.size(rt).alias("lr"))
@@ -119,7 +124,7 @@ def rouge_scores(pairs: DataFrame, keys: list, pred: str = "generation", ref: st
                  partitioned: bool = False) -> DataFrame:
     """Per pair ROUGE-1, -2, -L F (one row per pair)."""
     n = rouge_n(pairs, keys, pred, ref, partitioned)
-    l_ = rouge_l(pairs, keys, pred, ref).drop("lcs")
+    l_ = rouge_l(pairs, keys, pred, ref, partitioned=partitioned).drop("lcs")
     return n.join(l_, [*keys, "idx"])
 
 
@@ -171,7 +176,7 @@ EMBED_BROADCAST_LIMIT = 256 << 20
 
 
 def embedding_f1(pairs: DataFrame, keys: list, vectors: DataFrame, pred: str = "generation", ref: str = "label",
-                 broadcast_limit: int = EMBED_BROADCAST_LIMIT) -> DataFrame:
+                 broadcast_limit: int = EMBED_BROADCAST_LIMIT, partitioned: bool = False) -> DataFrame:
     """M5: per pair (P, R, F) by greedy max-cosine over token vectors (tokens = single-space split,
     empties dropped; tokens without a vector are ignored).
 
@@ -194,7 +199,8 @@ def embedding_f1(pairs: DataFrame, keys: list, vectors: DataFrame, pred: str = "
     if small is not None:
         bc = pairs.sparkSession.sparkContext.broadcast(small)
         # spread the CPU-heavy scoring over tasks by pair key (text moves, vectors do not)
-        m = pairs.repartition(*keys, "idx").select(*keys, "idx", greedy_f1_lookup_udf(bc)(tok(pred), tok(ref)).alias("m"))
+        src = pairs if partitioned else pairs.repartition(*keys, "idx")
+        m = src.select(*keys, "idx", greedy_f1_lookup_udf(bc)(tok(pred), tok(ref)).alias("m"))
         return m.select(*keys, "idx", F.col("m.p").alias("p"), F.col("m.r").alias("r"), F.col("m.f").alias("f1"))
     tagged = F.concat(
         F.transform(tok(pred), lambda t: F.struct(F.lit(0).alias("s"), t.alias("t"))),
@@ -224,7 +230,8 @@ def score_grid(pairs: DataFrame, vectors: DataFrame, key: str = "run") -> DataFr
     keys = [key]
     n = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     pairs = materialize(pairs.repartition(n, key, "idx"))
-    emb = embedding_f1_corpus(embedding_f1(pairs, keys, vectors), keys).select(key, F.col("f1").alias("bert_score"))
+    emb = embedding_f1_corpus(embedding_f1(pairs, keys, vectors, partitioned=True), keys).select(
+        key, F.col("f1").alias("bert_score"))
     rc = rouge_corpus(rouge_scores(pairs, keys, partitioned=True), keys).select(
         key, F.col("rouge1").alias("rouge_1"), F.col("rouge2").alias("rouge_2"), F.col("rougeL").alias("rouge_l"))
     bl = corpus_bleu(pairs, keys, partitioned=True).select(key, "bleu")

@@ -204,9 +204,9 @@ def epoch_validation(spark, d):
     """M7: per (target, fold, round) validation scores of the generation table plus the mean
     batch loss (loss = 1 - f1, batches of 16 consecutive rows by idx)."""
     keys = ["target", "fold", "round"]
-    g = X.generation(spark, d)
-    bl = MT.corpus_bleu(g, keys).select(*keys, "bleu")
-    rc = MT.rouge_corpus(MT.rouge_scores(g, keys), keys).drop("n_pairs")
+    g = X.generation(spark, d)  # stored hash-partitioned by idx: the metric groupings reuse it
+    bl = MT.corpus_bleu(g, keys, partitioned=True).select(*keys, "bleu")
+    rc = MT.rouge_corpus(MT.rouge_scores(g, keys, partitioned=True), keys).drop("n_pairs")
     pos = with_group_position(g.select(*keys, "idx", "f1"), keys, ["idx"])
     loss = pos.withColumn("batch", F.floor(F.col("pos") / 16)).withColumn("loss", F.lit(1.0) - F.col("f1"))
     vl = S.batch_mean_loss(loss, keys, "batch", "loss", 16).select(*keys, F.col("mean_batch_loss").alias("val_loss"))
