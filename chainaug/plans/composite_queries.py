@@ -75,7 +75,7 @@ def html_table_rows(spark, d):
     g = X.generation(spark, d).withColumn("doc", F.floor(F.col("idx") / HTML_ROWS_PER_DOC))
     docs = HT.render_tables(g, ["round", "target", "doc"], "idx", ["idx", "generation", "label"])
     rows = HT.extract_first_table(docs, "html", ["round", "target"])
-    return rows.select("round", "target", HT.cell("idx").cast("long").alias("idx"),
+    return rows.select("round", "target", HT.cell("idx").try_cast("long").alias("idx"),
                        HT.cell("generation").alias("generation"), HT.cell("label").alias("label"))
 
 

@@ -58,7 +58,7 @@ SELECT event_type AS run, (user_id % 5)::INTEGER AS fold,
        {R6("sum(round(value * 100)::BIGINT) / (count(*) * 10000)::DOUBLE")} AS val_bleu,
        {R6("max(value) / 100.0")} AS val_rouge1,
        {R6("min(value) / 100.0")} AS val_rouge2,
-       {R6("sum(regexp_extract(props, '[0-9]+', 0)::BIGINT) / (count(*) * 100)::DOUBLE")} AS val_rougeL,
+       {R6("sum(TRY_CAST(regexp_extract(props, '[0-9]+', 0) AS BIGINT)) / (count(*) * 100)::DOUBLE")} AS val_rougeL,
        {R6("sum(round(value * 100)::BIGINT) / (count(*) * 100)::DOUBLE")} AS val_loss,
        count(*) AS data_length
 FROM events GROUP BY ALL""")

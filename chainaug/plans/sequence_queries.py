@@ -97,9 +97,7 @@ SELECT v.idx, coalesce(e.p1, []) AS p1, coalesce(e.p2, []) AS p2, coalesce(e.c,
 def encoded(spark, d):
     v = X.valid(spark, d)
     vocab = SQ.build_vocab(v, ["premise_1", "premise_2", "conclusion"])
-    e = SQ.encode(v, "idx", "premise_1", vocab, "p1")
-    e = SQ.encode(e, "idx", "premise_2", vocab, "p2")
-    return SQ.encode(e, "idx", "conclusion", vocab, "c"), vocab
+    return SQ.encode_columns(v, "idx", {"premise_1": "p1", "premise_2": "p2", "conclusion": "c"}, vocab), vocab
 
 
 def _pad_sql(x: str, pad: int) -> str:

@@ -132,7 +132,7 @@ def epoch_log(spark: SparkSession, d: str) -> DataFrame:
     ev = table(spark, d, "events")
     day = F.datediff(F.to_date("ts"), F.lit(EPOCH0).cast("date"))
     cents = F.round(F.col("value") * 100).cast("bigint")
-    k = F.regexp_extract("props", "[0-9]+", 0).cast("bigint")
+    k = F.regexp_extract("props", "[0-9]+", 0).try_cast("bigint")  # no digits -> NULL, not an error
     n = F.count(F.lit(1))
     return (
         ev.groupBy(
