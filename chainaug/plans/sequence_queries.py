@@ -177,12 +177,13 @@ _GEN = f"[{SQ.BOS}] || p1 || [{SQ.AND}] || p2 || [{SQ.SO}]"
 
 @query("left_pad", with_ctes(["valid"], [_VOCAB, _ENC], f"""
 SELECT idx, len({_GEN}) AS n_ids,
-       array_to_string(list_transform(range(greatest({MAX_LEN} - len({_GEN}), 0)), lambda z: {SQ.PAD}) || {_GEN}, ',') AS ids
+       array_to_string(list_transform(range(greatest({MAX_LEN} - len({_GEN}), 0)), lambda z: {SQ.EOS}) || {_GEN}, ',') AS ids
 FROM enc"""))
 def left_pad(spark, d):
+    """T9, causal style: the pad id of a causal model is its end id."""
     e, _ = encoded(spark, d)
     gen = F.concat(F.array(F.lit(SQ.BOS)), "p1", F.array(F.lit(SQ.AND)), "p2", F.array(F.lit(SQ.SO)))
-    return e.select("idx", F.size(gen).alias("n_ids"), SQ.ids_text(SQ.pad_left(gen, MAX_LEN)).alias("ids"))
+    return e.select("idx", F.size(gen).alias("n_ids"), SQ.ids_text(SQ.pad_left(gen, MAX_LEN, SQ.EOS)).alias("ids"))
 
 
 @query("decode_ids", with_ctes(["valid"], [_VOCAB, _ENC, _LABELS], f"""
