@@ -35,7 +35,7 @@ def avg_set_size(sizes: DataFrame) -> DataFrame:
 
 def max_token_len(df: DataFrame, cols: list) -> DataFrame:
     """Longest whitespace-token count per text column (one pass, columns unpivoted after)."""
-    agg = df.agg(*[F.max(F.size(ws_tokens(F.col(c)))).alias(c) for c in cols])
+    agg = df.agg(*[F.max(F.size(ws_tokens(F.col(c)))).cast("long").alias(c) for c in cols])
     pairs = ", ".join(f"'{c}', `{c}`" for c in cols)
     return agg.select(F.expr(f"stack({len(cols)}, {pairs}) as (text_col, max_tokens)"))
 

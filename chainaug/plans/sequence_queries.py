@@ -66,14 +66,14 @@ def prompt_gpt2(spark, d):
 SELECT idx, len({WS('conclusion')}) AS n_tokens, array_to_string({WS('conclusion')}, ' ') AS tokens FROM valid"""))
 def tokenize_ws(spark, d):
     t = TX.ws_tokens(F.col("conclusion"))
-    return X.valid(spark, d).select("idx", F.size(t).alias("n_tokens"), F.array_join(t, " ").alias("tokens"))
+    return X.valid(spark, d).select("idx", F.size(t).cast("long").alias("n_tokens"), F.array_join(t, " ").alias("tokens"))
 
 
 @query("tokenize_rouge", with_ctes(["valid"], [], f"""
 SELECT idx, len({ROUGE_TOK('conclusion')}) AS n_tokens, array_to_string({ROUGE_TOK('conclusion')}, ' ') AS tokens FROM valid"""))
 def tokenize_rouge(spark, d):
     t = TX.rouge_tokens(F.col("conclusion"))
-    return X.valid(spark, d).select("idx", F.size(t).alias("n_tokens"), F.array_join(t, " ").alias("tokens"))
+    return X.valid(spark, d).select("idx", F.size(t).cast("long").alias("n_tokens"), F.array_join(t, " ").alias("tokens"))
 
 
 _VOCAB = ("vocab", f"""
@@ -118,7 +118,7 @@ def build_vocab(spark, d):
 @query("encode_ids", with_ctes(["valid"], [_VOCAB, _ENC], "SELECT idx, len(c) AS n_ids, array_to_string(c, ',') AS ids FROM enc"))
 def encode_ids(spark, d):
     e, _ = encoded(spark, d)
-    return e.select("idx", F.size("c").alias("n_ids"), SQ.ids_text(F.col("c")).alias("ids"))
+    return e.select("idx", F.size("c").cast("long").alias("n_ids"), SQ.ids_text(F.col("c")).alias("ids"))
 
 
 _ENC_IDS = f"[{SQ.BOS}] || p1 || [{SQ.EOS}] || p2 || [{SQ.EOS}, {SQ.MASK}]"
@@ -132,7 +132,7 @@ def pad_and_mask(spark, d):
     e, _ = encoded(spark, d)
     enc = F.concat(F.array(F.lit(SQ.BOS)), "p1", F.array(F.lit(SQ.EOS)), "p2", F.array(F.lit(SQ.EOS), F.lit(SQ.MASK)))
     return e.select(
-        "idx", F.size(enc).alias("n_ids"), (F.size(enc) > MAX_LEN).alias("truncated"),
+        "idx", F.size(enc).cast("long").alias("n_ids"), (F.size(enc) > MAX_LEN).alias("truncated"),
         SQ.ids_text(SQ.pad_right(enc, MAX_LEN, SQ.PAD)).alias("ids"),
         SQ.ids_text(SQ.attention_mask(enc, MAX_LEN)).alias("mask"),
     )
@@ -183,7 +183,7 @@ def left_pad(spark, d):
     """T9, causal style: the pad id of a causal model is its end id."""
     e, _ = encoded(spark, d)
     gen = F.concat(F.array(F.lit(SQ.BOS)), "p1", F.array(F.lit(SQ.AND)), "p2", F.array(F.lit(SQ.SO)))
-    return e.select("idx", F.size(gen).alias("n_ids"), SQ.ids_text(SQ.pad_left(gen, MAX_LEN, SQ.EOS)).alias("ids"))
+    return e.select("idx", F.size(gen).cast("long").alias("n_ids"), SQ.ids_text(SQ.pad_left(gen, MAX_LEN, SQ.EOS)).alias("ids"))
 
 
 @query("decode_ids", with_ctes(["valid"], [_VOCAB, _ENC, _LABELS], f"""
