@@ -28,6 +28,7 @@ LOG_SCHEMA = T.StructType([
     T.StructField("data_length", T.LongType()),
 ])
 KEYS = ["run", "fold", "seq"]
+MAX_LISTED_RUNS = 1000
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -45,15 +46,23 @@ def _upsert(table_dir: str, best_dir: str, n: int, k: int):
         spark = batch.sparkSession
         batch = batch.persist()
         try:
-            runs = [r["run"] for r in batch.select("run").distinct().collect()]  # run names of one batch
+            # run names of one batch (bounded); a batch touching very many runs uses a semi join
+            runs = [r["run"] for r in batch.select("run").distinct().limit(MAX_LISTED_RUNS + 1).collect()]
             if not runs:
                 return
+            touched = batch.select("run").distinct()
+
+            def only_touched(df: DataFrame) -> DataFrame:
+                if len(runs) <= MAX_LISTED_RUNS:
+                    return df.where(F.col("run").isin(runs))  # partition pruning on the run folders
+                return df.join(touched, "run", "left_semi")
+
             fresh = batch.dropDuplicates(KEYS)
             if _exists(spark, table_dir):
-                stored = spark.read.schema(LOG_SCHEMA).parquet(table_dir).where(F.col("run").isin(runs))
+                stored = only_touched(spark.read.schema(LOG_SCHEMA).parquet(table_dir))
                 fresh = fresh.join(stored.select(*KEYS), KEYS, "left_anti")
             fresh.write.mode("append").partitionBy("run").parquet(table_dir)
-            log = spark.read.schema(LOG_SCHEMA).parquet(table_dir).where(F.col("run").isin(runs))
+            log = only_touched(spark.read.schema(LOG_SCHEMA).parquet(table_dir))
             best = S.model_selection(log, n, k).withColumn("batch_id", F.lit(batch_id).cast("long"))
             best.write.mode("append").parquet(best_dir)
         finally:

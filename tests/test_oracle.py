@@ -46,11 +46,19 @@ def test_entry_runs(spark):
     assert df.columns == ["idx", "round", "source", "premise_1", "premise_2", "conclusion", "relation"]
 
 
+# Spark simple type -> DuckDB type name
+TYPES = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN"}
+
+
 @pytest.mark.parametrize("name", NAMES)
 def test_query_matches_oracle(spark, con, name):
     sdf = E.queries()[name](spark, SF_SMALL)
     cols = sorted(sdf.columns)
     got = _rows(sdf.toPandas(), cols)
-    want_df = con.sql(E.oracle_sql()[name]).df()
+    rel = con.sql(E.oracle_sql()[name])
+    duck_types = dict(zip(rel.columns, [str(t) for t in rel.types]))
+    for f in sdf.schema.fields:
+        assert TYPES.get(f.dataType.simpleString(), f.dataType.simpleString()) == duck_types.get(f.name), f.name
+    want_df = rel.df()
     assert sorted(want_df.columns) == cols
     assert got == _rows(want_df, cols)
