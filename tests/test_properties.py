@@ -78,3 +78,18 @@ def test_results_do_not_depend_on_partitioning(spark, parts):
         spark.conf.set("spark.sql.shuffle.partitions", old)
     for n in PARTITION_CHECKED:
         assert got[n] == base[n], n
+
+
+def test_group_positions_match_row_number(spark):
+    from pyspark.sql import Window
+
+    from chainaug.operators.numbering import with_group_position, with_position
+
+    # one hot group holding most rows, plus small groups
+    df = spark.range(5000).select(F.when(F.col("id") % 7 == 0, F.col("id") % 5).otherwise(F.lit(9)).alias("g"),
+                                  (F.col("id") * 7919 % 5003).alias("k"))
+    got = with_group_position(df, ["g"], ["k"]).select("g", "k", "pos")
+    want = df.withColumn("pos", F.row_number().over(Window.partitionBy("g").orderBy("k")) - 1)
+    assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+    glob = with_position(df, ["g", "k"], "p")
+    assert sorted(r.p for r in glob.collect()) == list(range(5000))
