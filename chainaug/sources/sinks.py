@@ -4,7 +4,6 @@ generations (S7)."""
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # The narrow header a fresh epoch log is created with (later rows add columns).
