@@ -204,6 +204,16 @@ def leakage_free_split(spark, d):
                        "idx", "round", "source")
 
 
+@query("train_volume", with_ctes(["generation", "valid", "folds"], _P12 + [("tset", _method_sql("ori_mix", True))], """
+SELECT f.f, CASE WHEN fo.fold = f.f THEN 'valid' ELSE 'train' END AS part, count(*) AS n_rows
+FROM tset t JOIN folds fo ON t.idx = fo.idx CROSS JOIN (SELECT unnest(range(0, 5))::INTEGER AS f) f
+WHERE fo.fold <> f.f OR t.round = 0 GROUP BY ALL"""))
+def train_volume(spark, d):
+    """A12 (second half): training and validation volume of every fold run -- the data length a
+    run logs -- over the leakage-free split of the augmented set."""
+    return leakage_free_split(spark, d).groupBy("f", "part").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
 @query("final_split", with_ctes(["valid"], [], f"""
 SELECT CASE WHEN {H("'split:' || idx")} % 10 = 0 THEN 'test' ELSE 'train' END AS part, idx FROM valid"""))
 def final_split(spark, d):
