@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -53,6 +54,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
     raise RuntimeError("spark.checkpoint.dir is not set; point it at a shared folder")
 
 
+_MATERIALIZE_LOCK = threading.RLock()
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Cut lineage with a reliable checkpoint in the shared checkpoint folder.
 
@@ -63,9 +67,10 @@ def materialize(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     checkpoint_dir(spark)
     key = "spark.sql.adaptive.enabled"
-    before = spark.conf.get(key)
-    spark.conf.set(key, "false")
-    try:
-        return df.checkpoint(eager=True)
-    finally:
-        spark.conf.set(key, before)
+    with _MATERIALIZE_LOCK:  # the pause is a session setting: one checkpoint at a time
+        before = spark.conf.get(key)
+        spark.conf.set(key, "false")
+        try:
+            return df.checkpoint(eager=True)
+        finally:
+            spark.conf.set(key, before)

@@ -12,6 +12,7 @@ scored_run    (run, idx, generation, label) three runs of differing quality
 from __future__ import annotations
 
 import functools
+import threading
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,30 +25,31 @@ from ..session import materialize
 
 EPOCH0 = "2024-01-01"
 
-# Within one query call every fixture is derived once and shared by all branches of the plan.
-_SCOPE: dict | None = None
+# Within one query call every fixture is derived once and shared by all branches of the plan
+# (per thread, so queries built concurrently do not share scopes).
+_LOCAL = threading.local()
 
 
 @contextmanager
 def query_scope():
-    global _SCOPE
-    outer = _SCOPE
-    _SCOPE = {} if outer is None else outer
+    outer = getattr(_LOCAL, "scope", None)
+    _LOCAL.scope = {} if outer is None else outer
     try:
         yield
     finally:
-        _SCOPE = outer
+        _LOCAL.scope = outer
 
 
 def _shared(fn):
     @functools.wraps(fn)
     def wrapped(spark, d, *args, **kw):
-        if _SCOPE is None:
+        scope = getattr(_LOCAL, "scope", None)
+        if scope is None:
             return fn(spark, d, *args, **kw)
         key = (fn.__name__, id(spark), d, args, tuple(sorted(kw.items())))
-        if key not in _SCOPE:
-            _SCOPE[key] = fn(spark, d, *args, **kw)
-        return _SCOPE[key]
+        if key not in scope:
+            scope[key] = fn(spark, d, *args, **kw)
+        return scope[key]
 
     return wrapped
 
