@@ -307,3 +307,17 @@ def test_embedding_f1_broadcast_and_join_paths_agree(spark):
     a = sorted(tuple(r) for r in MT.embedding_f1(pairs, ["run"], vec).collect())
     b = sorted(tuple(r) for r in MT.embedding_f1(pairs, ["run"], vec, broadcast_limit=0).collect())
     assert a == b and len(a) == pairs.count()
+
+
+def test_stream_semi_join_path_when_many_runs(spark, tmpdir_path, monkeypatch):
+    from chainaug.streaming import epoch_log as STR
+
+    monkeypatch.setattr(STR, "MAX_LISTED_RUNS", 0)  # force the semi-join path
+    log = _logs(spark).withColumn("fold", F.col("fold").cast("int")).withColumn("seq", F.col("seq").cast("long")) \
+        .withColumn("epoch", F.col("epoch").cast("int")).withColumn("data_length", F.col("data_length").cast("long"))
+    src = os.path.join(tmpdir_path, "in")
+    log.write.parquet(src)
+    table = os.path.join(tmpdir_path, "t")
+    STR.ingest(spark, src, table, os.path.join(tmpdir_path, "c")).awaitTermination()
+    STR.ingest(spark, src, table, os.path.join(tmpdir_path, "c2")).awaitTermination()
+    assert spark.read.parquet(table).count() == log.count()
