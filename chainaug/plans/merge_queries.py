@@ -89,7 +89,8 @@ def band_filter(spark, d):
        "SELECT p1.idx, p1.round, p1.premise_1_f1, p2.premise_2_f1 FROM p1 JOIN p2 ON p1.idx = p2.idx AND p1.round = p2.round "
        f"WHERE {_band('p1.premise_1_f1')} AND {_band('p2.premise_2_f1')}"))
 def pair_band_filter(spark, d):
-    j = A.generated_pairs(*reversed(X.valid_and_generation(spark, d)))
+    v, g = X.valid_and_generation(spark, d)
+    j = A.generated_pairs(g, v)
     return j.where(A.pair_band(F.col("premise_1_f1"), F.col("premise_2_f1"), FLOOR, CEIL)).select(
         "idx", "round", "premise_1_f1", "premise_2_f1")
 
