@@ -321,3 +321,12 @@ def test_stream_semi_join_path_when_many_runs(spark, tmpdir_path, monkeypatch):
     STR.ingest(spark, src, table, os.path.join(tmpdir_path, "c")).awaitTermination()
     STR.ingest(spark, src, table, os.path.join(tmpdir_path, "c2")).awaitTermination()
     assert spark.read.parquet(table).count() == log.count()
+
+
+def test_corpus_index_runs_across_files(spark, tmpdir_path):
+    for name, rows in (("a.csv", ["x1", "x2", "x3"]), ("b.csv", ["y1", "y2"])):
+        with open(os.path.join(tmpdir_path, name), "wb") as fh:
+            body = "Premise 1,Premise 2,Syllogistic relation,Conclusion\r\n" + "".join(f"{r},p,yes,c\r\n" for r in rows)
+            fh.write(body.encode("latin-1"))
+    got = sorted((r.idx, r.premise_1) for r in FS.read_corpus(spark, os.path.join(tmpdir_path, "*.csv")).collect())
+    assert got == [(0, "x1"), (1, "x2"), (2, "x3"), (3, "y1"), (4, "y2")]
