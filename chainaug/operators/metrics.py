@@ -171,8 +171,10 @@ def rouge_bootstrap(per_pair: DataFrame, keys: list, metric: str = "rougeL", rep
         *[round6(F.percentile(F.col("m"), q)).alias(f"q{int(q * 1000):03d}") for q in quantiles])
 
 
-# Largest token-vector table (rows x dim x 8 bytes) shipped to executors as a broadcast.
-EMBED_BROADCAST_LIMIT = 256 << 20
+# Largest token-vector table (rows x dim x 8 bytes) shipped to executors as a broadcast.  The
+# table passes once through the driver (one Python array per row while it is collected), so the
+# limit stays well under driver memory.
+EMBED_BROADCAST_LIMIT = 128 << 20
 
 
 def embedding_f1(pairs: DataFrame, keys: list, vectors: DataFrame, pred: str = "generation", ref: str = "label",
