@@ -18,8 +18,10 @@ def query(name: str, sql: str | None = None):
 
         @functools.wraps(fn)
         def scoped(spark: SparkSession, sf_dir: str) -> DataFrame:
+            from ..session import ship_package
             from ..sources.fixtures import query_scope
 
+            ship_package(spark)
             with query_scope():
                 return fn(spark, sf_dir)
 
