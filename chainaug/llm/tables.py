@@ -7,7 +7,19 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import checkpoint_dir
+from ..session import checkpoint_dir, ship_package
+
+#: rows of text in one Arrow batch: Python workers hold a batch and what they make of it
+BATCH_ROWS = "1000"
+
+
+def prepare(spark: SparkSession) -> None:
+    """What every operator needs of a session: the package on the executors, and Arrow batches that
+    fit whole texts (a smaller setting of the user stays)."""
+    ship_package(spark)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= int(BATCH_ROWS):
+        spark.conf.set(key, BATCH_ROWS)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -7,13 +7,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from chainaug.llm import ngram_join
-from chainaug.llm.tables import Stage, table
-from chainaug.session import ship_package
+from chainaug.llm.tables import Stage, prepare, table
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays: the one with the smallest doc_id."""
-    ship_package(spark)
+    prepare(spark)
     groups = ngram_join.jaccard_components(docs, words_per_shingle=5, threshold=0.8)
     kept = groups.where("doc_id = component_id").select("doc_id").distinct()
     return docs.join(kept, "doc_id", "left_semi")
