@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, ngram_join, packing
+from . import decontaminate, embedding_dedup, ngram_join, packing, token_files
 from .tables import prepare, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -39,16 +39,16 @@ shingles AS (
   SELECT DISTINCT doc_id, array_to_string(w[i:i + 2], ' ') AS s
   FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 2, 1) + 1)) AS i FROM words WHERE len(w) > 0)),
 sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
-overlaps AS (
+common_counts AS (
   SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS common
   FROM shingles x JOIN shingles y ON x.s = y.s AND x.doc_id < y.doc_id GROUP BY ALL),
 links AS (
-  SELECT a, b FROM overlaps JOIN sizes p ON p.doc_id = a JOIN sizes q ON q.doc_id = b
+  SELECT a, b FROM common_counts JOIN sizes p ON p.doc_id = a JOIN sizes q ON q.doc_id = b
   WHERE 100 * common >= 90 * (p.n + q.n - common)),
+ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
 reach AS (
   SELECT doc_id AS node, doc_id AS seen FROM documents
-  UNION SELECT r.node, l.b FROM reach r JOIN links l ON r.seen = l.a
-  UNION SELECT r.node, l.a FROM reach r JOIN links l ON r.seen = l.b)
+  UNION SELECT r.node, w.b FROM reach r JOIN ways w ON r.seen = w.a)
 SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, min(seen) AS component_id
 FROM documents d JOIN reach r ON r.node = d.doc_id LEFT JOIN sizes z ON z.doc_id = d.doc_id
 GROUP BY d.doc_id, n""")
@@ -90,3 +90,29 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_pack")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), window=2048, end_id=1)
+
+
+@query("op6_token_files")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+
+
+@query("op9_embedding_dedup", """
+WITH RECURSIVE units AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+    AND list_count(embedding) = len(embedding) AND len(list_filter(embedding, lambda x: NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (
+  SELECT x.vec_id AS a, y.vec_id AS b FROM units x JOIN units y
+    ON x.label = y.label AND x.vec_id < y.vec_id AND len(x.v) = len(y.v)
+  WHERE list_cosine_similarity(x.v, y.v) >= 0.93),
+ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (
+  SELECT vec_id AS node, vec_id AS seen FROM embeddings
+  UNION SELECT r.node, w.b FROM reach r JOIN ways w ON r.seen = w.a),
+degree AS (SELECT a, count(*) AS n FROM ways GROUP BY a)
+SELECT r.node AS vec_id, coalesce(max(n), 0)::BIGINT AS n_links, min(seen) AS component_id, r.node = min(seen) AS kept
+FROM reach r LEFT JOIN degree g ON g.a = r.node GROUP BY r.node""")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.93)
