@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, embedding_dedup, ngram_join, packing, token_files
+from . import decontaminate, embedding_dedup, html_extract, ngram_join, packing, secret_scan, token_files
 from .tables import prepare, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -116,3 +116,13 @@ SELECT r.node AS vec_id, coalesce(max(n), 0)::BIGINT AS n_links, min(seen) AS co
 FROM reach r LEFT JOIN degree g ON g.a = r.node GROUP BY r.node""")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.93)
+
+
+@query("op3_html_main_text")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract_main_text(table(spark, sf_dir, "pages"))
+
+
+@query("op10_secret_scan")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan_secrets(table(spark, sf_dir, "documents"))
