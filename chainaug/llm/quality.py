@@ -6,7 +6,7 @@ With class prior p and loss l the risk of a scorer g over positives P and unlabe
     p E_P[l(g)] + max(0, E_U[l(-g)] - p E_P[l(-g)]),
 
 whose second part, the risk on negatives, is estimated without any negative and kept from going below
-zero (where it does, the step goes the other way).  The prior is estimated from the labelled rows outside
+zero, where it would reward over-fitting.  The prior is estimated from the labelled rows outside
 the held-out fold.  Features are proportions of a whole text: character classes, repeats and shapes of words
 and lines."""
 
@@ -141,8 +141,8 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, hidden: int
             up_p, up_u = prior * sigmoid(gp) / len(xp), sigmoid(gu) / len(xu)  # slopes of l(-g)
             if negative >= 0:
                 top_p, top_u = -prior * sigmoid(-gp) / len(xp) - up_p, up_u
-            else:  # below zero the negatives are over-fitted: go back
-                top_p, top_u = up_p, -up_u
+            else:  # the estimate has passed zero: only the risk on positives counts
+                top_p, top_u = -prior * sigmoid(-gp) / len(xp), 0 * up_u
             grads = [a + b for x, y in zip(_gradient(layers, ap, top_p), _gradient(layers, au, top_u)) for a, b in zip(x, y)]
             t += 1
             new = []
