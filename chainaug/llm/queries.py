@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, embedding_dedup, html_extract, learning, ngram_join, packing, quality, secret_scan, token_files, toxicity
+from . import decontaminate, embedding_dedup, html_extract, learning, ngram_join, packing, quality, secret_scan, token_files, toxicity, warc
 from .tables import prepare, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -144,3 +144,14 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return _predicted(toxicity.score_toxicity(docs, toxicity.train(docs, table(spark, sf_dir, "labels"))), 0.5)
+
+
+@query("op5_warc_derivatives")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = warc.derivatives(warc.responses(table(spark, sf_dir, "pages")))
+    get = F.col("headers").getItem
+    return records.select(
+        get("WARC-Record-ID").alias("record_id"), get("WARC-Type").alias("record_type"), get("WARC-Refers-To").alias("refers_to"),
+        get("WARC-Refers-To-Target-URI").alias("refers_to_target_uri"), get("WARC-Refers-To-Date").alias("refers_to_date"),
+        get("Content-Type").alias("content_type"), get("WARC-Block-Digest").alias("block_digest"),
+        get("Content-Length").cast("long").alias("content_length"), F.sha2("block", 256).alias("block_sha256"))

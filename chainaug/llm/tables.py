@@ -58,10 +58,11 @@ def delete(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def semi_join_texts(docs: DataFrame, ids: DataFrame, key: str, n_ids: int, broadcast_ids: int = 2_000_000) -> DataFrame:
-    """Rows of ``docs`` whose ``key`` is in ``ids`` (``n_ids`` rows, counted by the caller).
+def semi_join_texts(docs: DataFrame, ids: DataFrame, key: str, n_ids: int, how: str = "left_semi", broadcast_ids: int = 2_000_000) -> DataFrame:
+    """Rows of ``docs`` whose ``key`` is in ``ids`` (``n_ids`` rows, counted by the caller), or with
+    ``how='left_anti'`` is not.
 
     Up to ``broadcast_ids`` ids (8 bytes each) the ids go to the rows; beyond it both sides are
     shuffled.  Both ways give the same rows."""
     side = F.broadcast(ids) if n_ids <= broadcast_ids else ids.hint("shuffle_hash")
-    return docs.join(side, key, "left_semi")
+    return docs.join(side, key, how)
