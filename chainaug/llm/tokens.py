@@ -10,6 +10,7 @@ import os
 import re
 from array import array
 from operator import attrgetter
+from string import punctuation
 
 import numpy as np
 from pyspark import Broadcast
@@ -17,8 +18,8 @@ from pyspark.sql import SparkSession
 
 from .kernels import Words, chunks
 
-_INNER = re.compile(r"\s |^ | $")
-_REMEMBERED = 1_000_000  # words whose ids a worker remembers (about 30 MB)
+_AFTER_SPACE = re.compile(r" (?<=\s )")
+_REMEMBERED = 2_000_000  # words whose ids a worker remembers (about 80 MB)
 _BLANK_WORDS = np.ones(256, dtype=bool)
 _BLANK_WORDS[0x20] = False
 
@@ -28,12 +29,46 @@ def broadcast_tokenizer(spark: SparkSession, path: str) -> Broadcast:
         return spark.sparkContext.broadcast(f.read())
 
 
-def _byte_letters() -> list[str]:
+def _byte_letters() -> dict[int, str]:
     """The character that byte-level BPE writes for each byte: itself where it is printable in
     Latin-1, else the next one from U+0100 on."""
     printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
     others = iter(range(0x100, 0x200))
-    return [chr(b if b in printable else next(others)) for b in range(256)]
+    return {b: chr(b if b in printable else next(others)) for b in range(256)}
+
+
+class WordTable:
+    """Word hash -> (place, number) of its ids, as sorted arrays: a large layer, and a small one for
+    new words that joins it from time to time, so adding words doesn't copy the whole table."""
+
+    SMALL = 100_000
+
+    def __init__(self) -> None:
+        self.large = self.small = (np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64))
+
+    def __len__(self) -> int:
+        return len(self.large[0]) + len(self.small[0])
+
+    def find(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place, number) of each hash; the place is -1 where it is not in the table."""
+        at, count = np.full(len(wanted), -1, dtype=np.int64), np.zeros(len(wanted), dtype=np.int64)
+        for known, places, counts in (self.large, self.small):
+            if len(known):
+                slot = np.minimum(np.searchsorted(known, wanted), len(known) - 1)
+                same = known[slot] == wanted
+                at[same], count[same] = places[slot[same]], counts[slot[same]]
+        return at, count
+
+    def add(self, rows: tuple[np.ndarray, np.ndarray, np.ndarray]) -> None:
+        """New hashes, sorted, with their places and numbers."""
+        def merge(old: tuple, new: tuple) -> tuple:
+            slot = np.searchsorted(old[0], new[0])
+            return tuple(np.insert(o, slot, n) for o, n in zip(old, new))
+
+        self.small = merge(self.small, rows)
+        if len(self.small[0]) > self.SMALL:
+            self.large = merge(self.large, self.small)
+            self.small = tuple(x[:0] for x in self.small)
 
 
 class Encoder:
@@ -58,9 +93,11 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.letters = _byte_letters()
         self.marks: dict[str, bytes] = {}
-        # words met: sorted hashes, and where their ids lie in ``ids``
-        self.hash, self.at, self.count = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
-        self.ids = np.empty(0, np.uint32)
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known = WordTable()
+        self.ids, self.used = np.empty(1 << 16, np.uint32), 0  # ids of the words met; grows by doubling
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
@@ -69,52 +106,52 @@ class Encoder:
     def _words(self, words: list[str]) -> list[bytes]:
         """Ids of each " " + word.  A word of letters and a closing run of marks is two pieces of the pattern."""
         tokenize, number, letters = self.tokenizer.model.tokenize, attrgetter("id"), self.letters
-        split = [_split_marks(w) for w in words]
-        marks = list({m for _, m in split}.difference(self.marks.keys()))
+        split = []
+        for word in words:
+            head = word.rstrip(punctuation)
+            split.append((head, word[len(head) :]) if head[-1:].isalnum() else (word, ""))
         if len(self.marks) > _REMEMBERED // 10:
-            self.marks, marks = {}, list({m for _, m in split})
+            self.marks = {}
+        marks = list({m for _, m in split}.difference(self.marks.keys()))
         self.marks.update(zip(marks, self._whole(marks)))
         plain: dict[str, bytes] = {}
-        out = []
-        for word, mark in split:
-            ids = plain.get(word)
-            if ids is None:
-                if word.isalpha():
-                    spelt = letters[0x20] + (word if word.isascii() else "".join([letters[b] for b in word.encode()]))
-                    ids = array("I", map(number, tokenize(spelt))).tobytes()
-                else:
-                    ids = self._whole([" " + word])[0]
-                plain[word] = ids
-            out.append(ids + self.marks[mark])
-        return out
+        other = []
+        for head in {h for h, _ in split}:
+            if head.isalpha():
+                spelt = head if head.isascii() else head.encode().decode("latin-1").translate(letters)
+                plain[head] = array("I", map(number, tokenize(letters[0x20] + spelt))).tobytes()
+            else:
+                other.append(head)
+        plain.update(zip(other, self._whole([" " + w for w in other])))
+        known = self.marks
+        return [plain[h] + known[m] if m else plain[h] for h, m in split]
 
     def _lookup(self, words: Words, rest: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Where in ``ids`` the ids of the words numbered ``rest`` lie, and how many they are."""
         distinct, first, back = np.unique(words.hash[rest], return_index=True, return_inverse=True)
-        slot = np.searchsorted(self.hash, distinct)
-        known = np.zeros(len(distinct), dtype=bool)
-        inside = slot < len(self.hash)
-        known[inside] = self.hash[slot[inside]] == distinct[inside]
-        fresh = rest[first[~known]]
-        if len(fresh):
-            if len(self.hash) + len(fresh) > _REMEMBERED:
-                self.hash, self.at, self.count, self.ids = self.hash[:0], self.at[:0], self.count[:0], self.ids[:0]
+        at, count = self.known.find(distinct)
+        new = np.flatnonzero(at < 0)
+        if len(new):
+            if len(self.known) + len(new) > _REMEMBERED and len(self.known):
+                self._forget()
                 return self._lookup(words, rest)
+            fresh = rest[first[new]]
             spelt = [words.buf[s:e].tobytes().decode() for s, e in zip(words.start[fresh].tolist(), words.end[fresh].tolist())]
-            ids = self._words(spelt)
-            count = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) // 4
-            at = np.cumsum(count) - count + len(self.ids)
-            self.ids = np.concatenate((self.ids, np.frombuffer(b"".join(ids), dtype=np.uint32)))
-            merged = np.concatenate((self.hash, distinct[~known]))
-            order = np.argsort(merged, kind="stable")
-            self.hash, self.at, self.count = merged[order], np.concatenate((self.at, at))[order], np.concatenate((self.count, count))[order]
-            slot = np.searchsorted(self.hash, distinct)
-        return self.at[slot][back], self.count[slot][back]
+            found = self._words(spelt)
+            ids = np.frombuffer(b"".join(found), dtype=np.uint32)
+            while self.used + len(ids) > len(self.ids):
+                self.ids = np.concatenate((self.ids, np.empty_like(self.ids)))
+            self.ids[self.used : self.used + len(ids)] = ids
+            count[new] = np.fromiter(map(len, found), dtype=np.int64, count=len(found)) // 4
+            at[new] = self.used + np.cumsum(count[new]) - count[new]
+            self.used += len(ids)
+            self.known.add((distinct[new], at[new], count[new]))
+        return at[back], count[back]
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """Ids (uint32) of each text; null is empty."""
         texts = [t or "" for t in texts]
-        whole = [not self.by_word or bool(_INNER.search(t)) for t in texts]
+        whole = [not self.by_word or t[:1] == " " or t[-1:] == " " or bool(_AFTER_SPACE.search(t)) for t in texts]
         out: list[np.ndarray | None] = [None] * len(texts)
         rest = [i for i, w in enumerate(whole) if w]
         for i, ids in zip(rest, self._whole([texts[i] for i in rest])):
@@ -138,16 +175,6 @@ class Encoder:
         return out
 
 
-def _split_marks(word: str) -> tuple[str, str]:
-    """A word without, and its closing run of characters that are neither letters, digits nor white space."""
-    if word[-1:].isalnum():
-        return word, ""
-    end = len(word)
-    while end and not (word[end - 1].isalnum() or word[end - 1].isspace()):
-        end -= 1
-    return (word[:end], word[end:]) if end and word[end - 1].isalnum() else (word, "")
-
-
 @functools.cache
 def _encoder(content: str) -> Encoder:
     return Encoder(content)
