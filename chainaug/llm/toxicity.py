@@ -25,7 +25,7 @@ from .tables import Stage
 TOXIC = 2500  # labelled rows of class 1 that the fit reads at most
 CLEAN = 5000  # and of class 0
 FEATURES = 20_000  # buckets with a weight at most
-SHORTEST, LONGEST = 3, 5
+SHORTEST, LONGEST = 4, 6
 BUCKET_BITS = 21
 _CHUNK = 1 << 18  # characters hashed at once
 _MUL, _SPREAD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
@@ -85,26 +85,27 @@ def logistic(index: np.ndarray, begin: np.ndarray, scale: np.ndarray, y: np.ndar
 
 
 def choose(bucket: np.ndarray, toxic: np.ndarray, clean: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """(sorted buckets, their ratios): the ``most`` whose ratio is surest, of those in five texts or more."""
+    """(sorted buckets, their ratios): the ``most`` whose ratio is surest, of those in three texts or more."""
     r = log_count_ratios(toxic, clean)
     z = np.abs(r) / np.sqrt(1 / (toxic + 1) + 1 / (clean + 1))
-    z[toxic + clean < 5] = 0
+    z[toxic + clean < 3] = 0
     order = np.lexsort((bucket, -z))[:most]
-    order = np.sort(order[z[order] > 2])
+    order = np.sort(order[z[order] > 3])
     order = order[np.argsort(bucket[order])]
     return bucket[order], r[order]
 
 
 def fit_rows(buckets: np.ndarray, ratios: np.ndarray, rows: list[tuple[int, np.ndarray]], prior: float) -> Model:
-    """Rows of each class weigh as much as the class does among all labelled rows; with one class or
-    none, or no telling n-gram, the score is the prior."""
+    """A class weighs as the root of its share of all labelled rows, between equal classes and their
+    true shares; with one class or none, or no telling n-gram, the score is the prior."""
     y = np.array([label for label, _ in rows], dtype=float)
     if not len(buckets) or not 0 < y.sum() < len(y):
         prior = min(max(prior, 1e-6), 1 - 1e-6)
         return Model(np.empty(0, np.int32), np.empty(0), float(np.log(prior / (1 - prior))))
     begin = np.concatenate(([0], np.cumsum([len(b) for _, b in rows])))
     index = np.searchsorted(buckets, np.concatenate([b for _, b in rows]))
-    share = np.where(y == 1, prior / y.sum(), (1 - prior) / (len(y) - y.sum()))
+    weight = np.sqrt(prior) / (np.sqrt(prior) + np.sqrt(1 - prior))
+    share = np.where(y == 1, weight / y.sum(), (1 - weight) / (len(y) - y.sum()))
     coef, bias = logistic(index, begin, ratios, y, share)
     return Model(buckets, coef * ratios, bias)
 
@@ -130,7 +131,7 @@ def train(docs: DataFrame, labels: DataFrame, toxic: int = TOXIC, clean: int = C
     stage = Stage(docs.sparkSession)
     sample = stage.write(texts.join(F.broadcast(ids), "doc_id").select("toxic", "text"), "sample")
     counts = sample.mapInArrow(_count, "bucket long, n_toxic long, n_clean long").groupBy("bucket").agg(
-        F.sum("n_toxic").alias("n_toxic"), F.sum("n_clean").alias("n_clean")).where("n_toxic + n_clean >= 5")
+        F.sum("n_toxic").alias("n_toxic"), F.sum("n_clean").alias("n_clean")).where("n_toxic + n_clean >= 3")
     counts = counts.toArrow()  # a row per bucket at most
     buckets, ratios = choose(*(counts[c].to_numpy() for c in ("bucket", "n_toxic", "n_clean")), FEATURES)
     chosen = docs.sparkSession.sparkContext.broadcast(buckets.astype(np.int32))
