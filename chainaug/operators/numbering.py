@@ -15,7 +15,7 @@ from __future__ import annotations
 
 from itertools import accumulate
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize
@@ -56,6 +56,23 @@ def positions(df: DataFrame, order: list, pos_col: str = "pos", num_partitions:
     return out, sum(sizes)
 
 
+def with_running_start(df: DataFrame, order: list, weight: str, start_col: str = "start") -> DataFrame:
+    """Add ``start_col`` = sum of ``weight`` over the rows before each row in the total order ``order``.
+
+    The same two passes with sums in place of counts: running sums inside range partitions, plus the
+    sum of the partitions before.  Meant for narrow rows (keys and weights)."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    part = F.shiftright(F.monotonically_increasing_id(), _LOCAL_BITS)
+    ranged = materialize(df.repartitionByRange(n, *order).withColumn("_part", part))
+    sums = ranged.groupBy("_part").agg(F.sum(weight).alias("_sum"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
+    sums = sums.select("_part", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_before"))
+    inside = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    running = ranged.withColumn("_inside", F.coalesce(F.sum(weight).over(inside), F.lit(0)))
+    return running.join(F.broadcast(sums), "_part").withColumn(start_col, F.col("_before") + F.col("_inside")).drop(
+        "_part", "_inside", "_before")
+
+
 def fold_of_position(pos: Column, n: Column | int, k: int) -> Column:
     """ntile(k) - 1 of a 0-based position among n rows: the first n mod k folds get one more row."""
     n = F.lit(n) if not isinstance(n, Column) else n

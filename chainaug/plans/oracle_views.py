@@ -23,12 +23,19 @@ def _cte(name: str, deps: list[str], body: str) -> None:
     CTES[name] = (deps, body)
 
 
-_cte("corpus", [], r"""
-SELECT idx, p[1] AS premise_1, p[2] AS premise_2, relation, p[3] AS conclusion
-FROM (SELECT d.doc_id AS idx, regexp_split_to_array(d.text, '[.]\s+') AS p,
-             CASE WHEN l.quality = 1 THEN 'yes' ELSE 'no' END AS relation
-      FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id)
-WHERE len(p) >= 3""")
+_cte("docs_p", [], r"""
+SELECT d.doc_id, regexp_split_to_array(d.text, '[.][ \t\n\r\f]+') AS p, l.quality
+FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id""")
+
+_cte("corpus", ["docs_p"], r"""
+SELECT row_number() OVER (ORDER BY doc_id, k) - 1 AS idx, premise_1, premise_2,
+       CASE WHEN quality = 1 AND conclusion IS NOT NULL THEN 'yes' ELSE 'no' END AS relation, conclusion
+FROM (
+  SELECT doc_id, quality, k, p[3 * k + 1] AS premise_1, p[3 * k + 2] AS premise_2,
+         array_to_string(p[3 * k + 3 : CASE WHEN k = len(p) // 3 - 1 THEN len(p) ELSE 3 * k + 3 END], '. ') AS conclusion
+  FROM (SELECT *, unnest(range(0, len(p) // 3)) AS k FROM docs_p WHERE len(p) >= 3)
+  UNION ALL
+  SELECT doc_id, quality, 0 AS k, NULL, NULL, NULL FROM docs_p WHERE p IS NULL OR len(p) < 3)""")
 
 _cte("valid", ["corpus"], "SELECT * FROM corpus WHERE relation = 'yes'")
 

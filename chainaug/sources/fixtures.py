@@ -15,12 +15,13 @@ import functools
 import threading
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import phash, round6
 from ..operators.folds import assign_folds
 from ..operators.generate import drop_token_generator, generation_rows, overlap_f1
+from ..operators.numbering import with_running_start
 from ..session import materialize
 
 EPOCH0 = "2024-01-01"
@@ -58,31 +59,51 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+#: sentence pieces end at a full stop and white space
+PIECE_END = r"[.][ \t\n\r\f]+"
+#: documents up to which their first triple numbers are sent to the texts; beyond it both sides are shuffled
+BROADCAST_DOCS = 1_000_000
+
+
+def triples(docs: DataFrame) -> DataFrame:
+    """(doc_id, k, premise_1, premise_2, conclusion): every run of three consecutive sentence pieces of
+    every document, whole texts.
+
+    One or two pieces left over join the last conclusion; a document of fewer than three pieces (or
+    without text) is one row with NULL parts."""
+    p = F.split(F.col("text"), PIECE_END, -1)
+    count = F.floor(F.size("p") / 3).cast("int")
+
+    def triple(k: Column) -> Column:
+        rest = F.slice(F.col("p"), k * 3 + 3, F.when(k == count - 1, F.size("p") - k * 3 - 2).otherwise(F.lit(1)))
+        return F.struct(
+            k.cast("long").alias("k"), F.get(F.col("p"), k * 3).alias("premise_1"), F.get(F.col("p"), k * 3 + 1).alias("premise_2"),
+            F.array_join(rest, ". ").alias("conclusion"))
+
+    none = F.struct(F.lit(0).cast("long").alias("k"), *[F.lit(None).cast("string").alias(c) for c in ("premise_1", "premise_2", "conclusion")])
+    rows = F.when(F.size("p") >= 3, F.transform(F.sequence(F.lit(0), count - 1), triple)).otherwise(F.array(none))
+    return docs.select("doc_id", p.alias("p")).select("doc_id", F.explode(rows).alias("t")).select("doc_id", "t.*")
+
+
 @_shared
 def corpus(spark: SparkSession, d: str) -> DataFrame:
-    """Triples = the first three sentence pieces of each document with >= 3 pieces.
-
-    ``split`` with limit 4 is exact here: pieces 0-2 and the ">= 3 pieces" test are the same
-    as with an unlimited split, and the remainder of a long text is not materialised as an array."""
-    p = F.split(F.col("text"), r"[.]\s+", 4)
-    docs = (
-        table(spark, d, "documents")
-        .select(F.col("doc_id").alias("idx"), p.alias("p"))
-        .where(F.size("p") >= 3)
-        .select(
-            "idx",
-            # get() is NULL-safe: filters may be evaluated in any order under ANSI mode
-            F.get(F.col("p"), 0).alias("premise_1"),
-            F.get(F.col("p"), 1).alias("premise_2"),
-            F.get(F.col("p"), 2).alias("conclusion"),
-        )
-    )
-    labels = table(spark, d, "labels").select(F.col("doc_id").alias("idx"), "quality")
-    return docs.join(labels, "idx", "left").select(
-        "idx",
+    """All triples of all documents; ``idx`` numbers them by (doc_id, place in the document).
+
+    The number of a document's first triple comes from a two-pass running sum over (doc_id, number of
+    triples), so the texts are not sorted."""
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    n = F.greatest(F.floor(F.size(F.split(F.col("text"), PIECE_END, -1)) / 3), F.lit(1)).cast("long")
+    starts = with_running_start(docs.select("doc_id", n.alias("n")), ["doc_id"], "n").select("doc_id", "start")
+    labels = table(spark, d, "labels").select("doc_id", "quality")
+    keyed = starts.join(labels, "doc_id", "left")
+    if starts.count() <= BROADCAST_DOCS:
+        keyed = F.broadcast(keyed)
+    yes = (F.col("quality") == 1) & F.col("conclusion").isNotNull()
+    return triples(docs).join(keyed, "doc_id").select(
+        (F.col("start") + F.col("k")).alias("idx"),
         "premise_1",
         "premise_2",
-        F.when(F.col("quality") == 1, F.lit("yes")).otherwise(F.lit("no")).alias("relation"),
+        F.when(yes, F.lit("yes")).otherwise(F.lit("no")).alias("relation"),
         "conclusion",
     )
 
