@@ -7,6 +7,8 @@
    at most k shingles can differ between linked sets, so of k+1+e ranges of the hash space at least
    1+e hold the same shingles in both (pigeonhole).  Each set emits one key per range that is not empty;
    a set with more than e empty ranges also emits the tile's key for sparse sets.  So no link is lost.
+   This holds for any part of the shingles, so those that a sample of documents finds popular (passages and
+   phrases that many share) are left out of the keys, and only of the keys.
 3. Sets of a tile that share a key are one family (connected components over one edge per set
    and key).  Families are split into blocks ordered by size; only block pairs whose sizes can link meet.
 4. Inside a block pair *hashed bitmap signatures* bound the overlap from above: a bit set in one
@@ -28,11 +30,15 @@ from pyspark.sql import functions as F
 
 from .components import connected_components
 from .kernels import SPACE_WORDS, Words, chunks, mix64, utf8
+from .learning import sample_ids
 from .tables import Stage, semi_join_texts
 
 BAND = 1.5  # size ratio of a tile's band
 BLOCK_SHINGLES = 1 << 20  # shingles in one block of a family ...
 LEAST_WEIGHT = 512  # ... where a set counts as this many at least, so a block holds 2,048 sets at most
+POPULAR_SAMPLE = 4000  # documents in which popular shingles are looked for ...
+POPULAR_MOST = 1 << 20  # ... of which this many are broadcast at most (8 MB)
+_SEEN = 1 << 20  # sets that a task remembers so that copies emit their keys once
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -93,6 +99,8 @@ def tile_ranges(tile: int, threshold: Fraction) -> tuple[int, int]:
 def tile_keys(hashes: np.ndarray, tile: int, threshold: Fraction) -> np.ndarray:
     """Keys of a set in a tile: one per non-empty range of the hash space, or one more for a sparse set."""
     ranges, spare = tile_ranges(tile, threshold)
+    if not len(hashes):
+        return np.array([tile], dtype=np.int64)
     at = ((hashes >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)
     begin = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
     total = np.add.reduceat(mix64(hashes), begin)
@@ -100,26 +108,58 @@ def tile_keys(hashes: np.ndarray, tile: int, threshold: Fraction) -> np.ndarray:
     return keys if ranges - len(begin) <= spare else np.append(keys, np.int64(tile))
 
 
-def keys_of(hashes: np.ndarray, threshold: Fraction) -> list[tuple[int, np.ndarray]]:
+def keys_of(hashes: np.ndarray, threshold: Fraction, popular: np.ndarray) -> list[tuple[int, np.ndarray]]:
+    """(tile, keys) of a set for the tiles it belongs to; ``popular`` are sorted shingles to leave out."""
     n = len(hashes)
     if not n:
         return []
     own = band_of(n)
     tiles = [own] + [own + 1] * (n >= threshold * band_start(own + 1))
+    if len(popular):
+        at = np.minimum(np.searchsorted(popular, hashes), len(popular) - 1)
+        hashes = hashes[popular[at] != hashes]
     return [(j, tile_keys(hashes, j, threshold)) for j in tiles]
 
 
+def _popular(texts: DataFrame, words_per_shingle: int) -> np.ndarray:
+    """Sorted shingles that two or more different sets of a sample hold.
+
+    The sample is ``POPULAR_SAMPLE`` ids, chosen by hash: a bound that decides how much work is spared, never
+    what is found."""
+    ids = sample_ids(texts.select("doc_id").where("doc_id is not null"), POPULAR_SAMPLE, "popular").distinct()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for hashes in shingle_sets(utf8(batch["text"]), words_per_shingle):
+                if len(hashes):
+                    node = np.full(len(hashes), set_hash(hashes))
+                    yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(node)], ["shingle", "node"])
+
+    found = texts.join(F.broadcast(ids), "doc_id").mapInArrow(run, "shingle long, node long")
+    # one set in the sample more than once (copies) is no sign of popularity
+    many = found.groupBy("shingle").agg(F.min("node").alias("a"), F.max("node").alias("b"), F.count(F.lit(1)).alias("n")).where("a <> b")
+    rows = many.orderBy(F.desc("n"), "shingle").limit(POPULAR_MOST).select("shingle").toArrow()
+    return np.sort(rows["shingle"].to_numpy().view(np.uint64))
+
+
 SETS = "doc_id long, n_shingles long, node long, tiles array<int>, counts array<int>, keys binary"
 
 
-def _sets(words_per_shingle: int, threshold: Fraction):
+def _sets(words_per_shingle: int, threshold: Fraction, popular):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
             out = []
             for doc_id, hashes in zip(batch["doc_id"].to_pylist(), shingle_sets(utf8(batch["text"]), words_per_shingle)):
-                keyed = keys_of(hashes, threshold)
-                out.append((doc_id, len(hashes), set_hash(hashes) if len(hashes) else None, [j for j, _ in keyed],
-                            [len(k) for _, k in keyed], b"".join(k.tobytes() for _, k in keyed)))
+                node = set_hash(hashes) if len(hashes) else None
+                keyed = []
+                if node is not None and doc_id is not None and node not in seen:
+                    keyed = keys_of(hashes, threshold, popular.value)
+                    if len(seen) >= _SEEN:
+                        seen.clear()
+                    seen.add(node)
+                out.append((doc_id, len(hashes), node, [j for j, _ in keyed], [len(k) for _, k in keyed],
+                            b"".join(k.tobytes() for _, k in keyed)))
             columns = [pa.array(c, t) for c, t in zip(zip(*out), _SET_TYPES)] if out else [pa.array([], t) for t in _SET_TYPES]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "node", "tiles", "counts", "keys"])
 
@@ -260,17 +300,20 @@ def jaccard_components(docs: DataFrame, words_per_shingle: int = 3, threshold: f
     exact = Fraction(threshold).limit_denominator(1000)
     stage = Stage(spark)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sets = stage.write(texts.mapInArrow(_sets(words_per_shingle, exact), SETS), "sets")
+    popular = spark.sparkContext.broadcast(_popular(texts, words_per_shingle))
+    full = stage.write(texts.mapInArrow(_sets(words_per_shingle, exact, popular), SETS), "sets")
 
+    sets = stage.write(full.select("doc_id", "n_shingles", "node"), "nodes")
     classes = sets.where("node is not null and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("rep"))
-    unique = sets.where("node is not null and doc_id is not null").dropDuplicates(["node"]).select("node", "tiles", "counts", "keys")
-    keys = unique.mapInArrow(_key_rows, "key long, node long, tile int")
+    # copies of a set emit keys once in a task; those of other tasks meet as equal rows, which give no edge
+    keys = full.where("size(tiles) > 0").select("node", "tiles", "counts", "keys").mapInArrow(_key_rows, "key long, node long, tile int")
     shared = (
         keys.repartition("key").sortWithinPartitions("key", "node")
         .mapInArrow(_first_of_key, "tile int, a long, b long").distinct()
     )
     vertex = lambda c: F.xxhash64("tile", c)  # noqa: E731 - a set is another vertex in each of its tiles
     shared = stage.write(shared, "shared")
+    stage.drop(full)
     families = connected_components(spark, shared.select(vertex("a").alias("a"), vertex("b").alias("b")))
     members = (
         shared.select("tile", F.col("a").alias("node")).union(shared.select("tile", "b")).distinct()
@@ -280,9 +323,11 @@ def jaccard_components(docs: DataFrame, words_per_shingle: int = 3, threshold: f
     members = stage.write(members.join(classes, "node"), "members")
 
     wanted = members.select(F.col("rep").alias("doc_id")).distinct()
-    found = semi_join_texts(texts, wanted, "doc_id", wanted.count())
-    arrays = found.mapInArrow(_arrays(words_per_shingle), "node long, n long, hashes binary").dropDuplicates(["node"])
-    arrays = stage.write(arrays, "arrays")
+    n_wanted = wanted.count()
+    found = semi_join_texts(texts, wanted, "doc_id", n_wanted)
+    arrays = stage.write(found.mapInArrow(_arrays(words_per_shingle), "node long, n long, hashes binary"), "arrays")
+    if arrays.count() > n_wanted:  # rows that share a doc_id
+        arrays = stage.write(arrays.dropDuplicates(["node"]), "arrays")
 
     # blocks of a family: running weight by size; one number per set is sorted, never its shingles
     sized = members.join(arrays.select("node", "n"), "node").withColumn("weight", F.greatest("n", F.lit(LEAST_WEIGHT)))
