@@ -180,22 +180,25 @@ EMBED_BROADCAST_LIMIT = 128 << 20
 def embedding_f1(pairs: DataFrame, keys: list, vectors: DataFrame, pred: str = "generation", ref: str = "label",
                  broadcast_limit: int = EMBED_BROADCAST_LIMIT, partitioned: bool = False) -> DataFrame:
     """M5: per pair (P, R, F) by greedy max-cosine over token vectors (tokens = single-space split,
-    empties dropped; tokens without a vector are ignored).
+    empties dropped; tokens without a vector are ignored).  A token with several vectors takes the least
+    of them; vectors that are NULL or hold NULLs count as none.
 
     Size-checked broadcast: a one-row aggregate measures the vector table; when it fits
     ``broadcast_limit`` it is broadcast and the pairs are scored in one narrow pass (no shuffle).
     Beyond the limit the vectors travel by a join on token and are regrouped per pair."""
     tok = lambda c: F.filter(F.split(F.col(c), " "), lambda x: x != "")
-    v = vectors.select("token", "embedding")
+    # one vector per token, none with NULLs: both paths below then see the same table
+    usable = F.col("token").isNotNull() & F.col("embedding").isNotNull() & ~F.exists("embedding", lambda x: x.isNull())
+    v = vectors.where(usable).groupBy("token").agg(F.min(F.col("embedding").cast("array<double>")).alias("embedding"))
     small = None
     if broadcast_limit > 0:
         v = v.persist()
         stats = v.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("embedding")).alias("dim")).first()
         if stats["n"] * max(stats["dim"] or 0, 1) * 8 <= broadcast_limit:
-            # bounded by the check above: one token list and one float32 matrix, via Arrow
+            # bounded by the check above: one token list and one matrix, via Arrow
             pdf = v.toPandas()
             dim = stats["dim"] or 0
-            mat = np.stack(pdf["embedding"].to_numpy()).astype(np.float32) if len(pdf) else np.zeros((0, dim), np.float32)
+            mat = np.stack(pdf["embedding"].to_numpy()).astype(np.float64) if len(pdf) else np.zeros((0, dim))
             small = (pdf["token"].tolist(), mat)
         v.unpersist()
     if small is not None:

@@ -3,8 +3,6 @@ threshold report (P9) and the model-selection plan (C6)."""
 
 from __future__ import annotations
 
-from math import gcd
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -82,23 +80,16 @@ def late_best_epochs(log: DataFrame, n: int = 30, k: int = 5, min_pos: int = 20)
     return grid.where(F.col("best_pos") >= min_pos)
 
 
-def batch_mean_loss(rows: DataFrame, keys: list, batch_col: str, loss_col: str, batch_size: int) -> DataFrame:
+def batch_mean_loss(rows: DataFrame, keys: list, batch_col: str, loss_col: str) -> DataFrame:
     """Validation loss = sum of batch means / number of batches, per key (a mean of batch
     means, not of rows; the last batch may be short).
 
-    Exact and order-independent: losses are summed in integer millionths per batch and every
-    batch mean is put over the common denominator L = lcm(1..batch_size)."""
-    L = 1
-    for i in range(2, batch_size + 1):
-        L = L * i // gcd(L, i)
-    per_batch = rows.groupBy(*keys, batch_col).agg(
-        F.sum(F.floor(F.col(loss_col) * F.lit(1e6) + F.lit(0.5))).cast("long").alias("_s"),
-        F.count(F.lit(1)).alias("_n"),
-    )
-    return per_batch.groupBy(*keys).agg(
+    Order-independent in integers: losses are summed in millionths per batch, a batch's mean is
+    rounded to a millionth, and the means are summed, so no batch size or row count overflows."""
+    total = F.sum(F.floor(F.col(loss_col) * F.lit(1e6) + F.lit(0.5))).cast("long")
+    per_batch = rows.groupBy(*keys, batch_col).agg(total.alias("_s"), F.count(F.lit(1)).alias("_n"))
+    mean = per_batch.withColumn("_m", F.expr("(2 * _s + _n) div (2 * _n)"))
+    return mean.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n_batches"),
-        round6(
-            F.sum(F.col("_s") * (F.lit(L) / F.col("_n")).cast("long")).cast("double")
-            / (F.count(F.lit(1)) * F.lit(L * 1e6))
-        ).alias("mean_batch_loss"),
+        round6(F.sum("_m").cast("double") / (F.count(F.lit(1)) * F.lit(1e6))).alias("mean_batch_loss"),
     )

@@ -6,13 +6,16 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from ..operators import augment as A
 from ..operators import chain as CH
 from ..operators import metrics as MT
 from ..session import checkpoint_dir
+from ..sources import files
 from ..sources import fixtures as X
 from ..sources import html as HT
 from ..sources import sinks
 from ..streaming import epoch_log as STR
+from .merge_queries import CEIL, FLOOR, method_cte
 from .metric_queries import emb_sql
 from .oracle_views import H, R6, with_ctes
 from .registry import query
@@ -87,9 +90,36 @@ def _leaderboard_sql() -> str:
 
 @query("leaderboard_append", _leaderboard_sql())
 def leaderboard_append(spark, d):
-    old = MT.score_grid(X.scored_run(spark, d), X.token_vectors(spark, d), "run")
-    new = MT.score_grid(X.scored_run(spark, d).unionByName(X.conversation_pairs(spark, d)), X.token_vectors(spark, d), "run")
-    return sinks.merge_leaderboard(old, new)
+    """A table under the checkpoint folder.  The second batch holds one new model, and the stored models
+    again with other scores, which must not replace the stored ones."""
+    path = f"{checkpoint_dir(spark).rstrip('/')}/leaderboard-{uuid.uuid4().hex}"
+    sinks.append_leaderboard(MT.score_grid(X.scored_run(spark, d), X.token_vectors(spark, d), "run"), path)
+    stored = spark.read.schema(sinks.LEADERBOARD).parquet(path)
+    other = stored.withColumns({c: F.lit(2.0) for c in stored.columns if c != "model_name"})
+    new = MT.score_grid(X.conversation_pairs(spark, d), X.token_vectors(spark, d), "run")
+    sinks.append_leaderboard(new.unionByName(other), path)
+    return spark.read.schema(sinks.LEADERBOARD).parquet(path)
+
+
+@query("family_round_trip", with_ctes(["generation"], [], """
+SELECT round, target, idx, nullif(generation, '') AS generation, nullif(label, '') AS label FROM generation"""))
+def family_round_trip(spark, d):
+    """Generations written as CSV under their keys, read back as one family with the keys of the paths."""
+    path = f"{checkpoint_dir(spark).rstrip('/')}/generations-{uuid.uuid4().hex}"
+    cols = ["idx", "generation", "label"]
+    gen = X.generation(spark, d).select(*cols, "round", "target")
+    sinks.write_generations(gen, path, "csv")
+    schema = gen.select(*cols).schema
+    back = files.read_family(spark, f"{path}/*/*/*.csv", schema, {"round": r"round=(\d+)", "target": r"target=(\w+)"})
+    return back.select(F.col("round").cast("int").alias("round"), "target", *cols)
+
+
+@query("training_set_files", with_ctes(["generation", "valid"], method_cte("ori_mix"), "SELECT 'ori_mix' AS method, * FROM tset WHERE round <= 2"))
+def training_set_files(spark, d):
+    """The sets of all methods written by (method, round); one cumulative set read back."""
+    path = f"{checkpoint_dir(spark).rstrip('/')}/sets-{uuid.uuid4().hex}"
+    sinks.write_training_sets(A.all_methods(*X.valid_and_generation(spark, d), True, FLOOR, CEIL), path)
+    return sinks.read_training_set(spark, path, "ori_mix", 2).select("method", *A.SET_COLS)
 
 
 @query("epoch_log_stream", with_ctes(["epoch_log"], [], "SELECT * FROM epoch_log"))

@@ -196,7 +196,7 @@ _EV_KEYS = "target, fold, round"
                                      + rouge_corpus_sql(_EV_KEYS) + [
     ("pb", f"""SELECT {_EV_KEYS}, pos // 16 AS b, sum(floor((1.0::DOUBLE - f1) * 1e6 + 0.5))::BIGINT AS s, count(*) AS n FROM (
         SELECT *, row_number() OVER (PARTITION BY {_EV_KEYS} ORDER BY idx) - 1 AS pos FROM gp) GROUP BY ALL"""),
-    ("vl", f"""SELECT {_EV_KEYS}, {R6("sum(s * (720720 // n))::DOUBLE / (count(*) * 720720000000.0)")} AS val_loss
+    ("vl", f"""SELECT {_EV_KEYS}, {R6("sum((2 * s + n) // (2 * n))::DOUBLE / (count(*) * 1e6)")} AS val_loss
         FROM pb GROUP BY ALL""")], f"""
 SELECT target, fold, round, bl.bleu, rc.rouge1, rc.rouge2, rc.rougeL, vl.val_loss
 FROM bl JOIN rc USING ({_EV_KEYS}) JOIN vl USING ({_EV_KEYS})""", recursive=True))
@@ -209,5 +209,5 @@ def epoch_validation(spark, d):
     rc = MT.rouge_corpus(MT.rouge_scores(g, keys, partitioned=True), keys).drop("n_pairs")
     pos = with_group_position(g.select(*keys, "idx", "f1"), keys, ["idx"])
     loss = pos.withColumn("batch", F.floor(F.col("pos") / 16)).withColumn("loss", F.lit(1.0) - F.col("f1"))
-    vl = S.batch_mean_loss(loss, keys, "batch", "loss", 16).select(*keys, F.col("mean_batch_loss").alias("val_loss"))
+    vl = S.batch_mean_loss(loss, keys, "batch", "loss").select(*keys, F.col("mean_batch_loss").alias("val_loss"))
     return bl.join(rc, keys).join(vl, keys).select(*keys, "bleu", "rouge1", "rouge2", "rougeL", "val_loss")

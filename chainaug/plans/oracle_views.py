@@ -73,7 +73,8 @@ FROM events GROUP BY ALL""")
 _cte("token_vectors", ["valid"], f"""
 SELECT t.token, e.embedding
 FROM (SELECT DISTINCT unnest(string_split(concat_ws(' ', premise_1, premise_2, conclusion), ' ')) AS token FROM valid) t
-JOIN (SELECT vec_id, embedding, count(*) OVER () AS n FROM embeddings) e ON {H("t.token")} % e.n = e.vec_id""")
+JOIN (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS place, embedding, count(*) OVER () AS n FROM embeddings) e
+  ON {H("t.token")} % e.n = e.place""")
 
 _cte("scored_run", ["valid"], f"""
 SELECT run, idx,
@@ -85,7 +86,7 @@ FROM (SELECT idx, m, 'run' || m AS run, conclusion AS label, string_split(conclu
       FROM valid CROSS JOIN (SELECT unnest([5, 10, 20]) AS m))""")
 
 _cte("conversation_pairs", [], """
-SELECT 'conversations' AS run, u.conv_id * 1000 + u.turn AS idx, a.text AS generation, u.text AS label
+SELECT 'conversations' AS run, row_number() OVER (ORDER BY u.conv_id, u.turn, u.text, a.text) - 1 AS idx, a.text AS generation, u.text AS label
 FROM conversations u JOIN conversations a
   ON u.conv_id = a.conv_id AND a.turn = u.turn + 1 AND u.role = 'user' AND a.role = 'assistant'""")
 

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..operators import selection as S
+from ..session import checkpoint_dir
 from ..sources import fixtures as X
 from ..sources import sinks
 from .oracle_views import R6, with_ctes
@@ -94,18 +97,22 @@ def late_best_epochs(spark, d):
 SELECT run, fold, seq // 4 AS b, sum(floor(val_loss * 1e6 + 0.5))::BIGINT AS s, count(*) AS n
 FROM epoch_log GROUP BY run, fold, seq // 4""")], f"""
 SELECT run, fold, count(*) AS n_batches,
-       {R6("sum(s * (12 // n))::DOUBLE / (count(*) * 12000000.0)")} AS mean_batch_loss
+       {R6("sum((2 * s + n) // (2 * n))::DOUBLE / (count(*) * 1e6)")} AS mean_batch_loss
 FROM pb GROUP BY run, fold"""))
 def mean_batch_loss(spark, d):
     log = X.epoch_log(spark, d).withColumn("batch", F.expr("seq div 4"))
-    return S.batch_mean_loss(log, ["run", "fold"], "batch", "val_loss", batch_size=4)
+    return S.batch_mean_loss(log, ["run", "fold"], "batch", "val_loss")
 
 
 @query("epoch_log_append", with_ctes(["epoch_log"], [], """
-SELECT epoch, val_bleu, NULL::DOUBLE AS val_rouge, val_loss, val_rouge1, val_rouge2, val_rougeL,
-       data_length, fold AS kfold FROM epoch_log"""))
+SELECT epoch, val_bleu, NULL::DOUBLE AS val_rouge, val_loss, CASE WHEN seq > 0 THEN val_rouge1 END AS val_rouge1,
+       CASE WHEN seq > 0 THEN val_rouge2 END AS val_rouge2, CASE WHEN seq > 0 THEN val_rougeL END AS val_rougeL,
+       data_length, fold AS kfold, run FROM epoch_log"""))
 def epoch_log_append(spark, d):
+    """A table under the checkpoint folder; the first append has narrower rows than the second."""
     log = X.epoch_log(spark, d)
-    rows = log.select("epoch", "val_bleu", "val_loss", "val_rouge1", "val_rouge2", "val_rougeL",
-                      "data_length", F.col("fold").alias("kfold"))
-    return sinks.union_epoch_log(sinks.empty_epoch_log(spark), rows)
+    path = f"{checkpoint_dir(spark).rstrip('/')}/epoch-log-{uuid.uuid4().hex}"
+    narrow = ["epoch", "val_bleu", "val_loss", "data_length", F.col("fold").alias("kfold"), "run"]
+    sinks.append_epoch_log(log.where("seq <= 0").select(*narrow), path)
+    sinks.append_epoch_log(log.where("seq > 0").select(*narrow, "val_rouge1", "val_rouge2", "val_rougeL"), path)
+    return sinks.read_epoch_log(spark, path)

@@ -144,14 +144,14 @@ _DEC = f"[{SQ.EOS}, {SQ.BOS}] || c || [{SQ.EOS}]"
 @query("decoder_shift", with_ctes(["valid"], [_VOCAB, _ENC], f"""
 SELECT idx, array_to_string({_pad_sql(f"({_DEC})[1:len({_DEC}) - 1]", SQ.PAD)}, ',') AS dec_in,
        array_to_string({_pad_sql(f"({_DEC})[2:len({_DEC})]", SQ.IGNORE)}, ',') AS dec_target,
-       array_to_string({_mask_sql(f"({_DEC})[1:len({_DEC}) - 1]")}, ',') AS dec_mask
+       array_to_string({_mask_sql(f"({_DEC})[1:len({_DEC}) - 1]")}, ',') AS dec_mask, len({_DEC}) - 1 > {MAX_LEN} AS truncated
 FROM enc"""))
 def decoder_shift(spark, d):
     e, _ = encoded(spark, d)
     dec = F.concat(F.array(F.lit(SQ.EOS), F.lit(SQ.BOS)), "c", F.array(F.lit(SQ.EOS)))
-    inp, tgt, mask = SQ.decoder_shift(dec, MAX_LEN)
+    inp, tgt, mask, cut = SQ.decoder_shift(dec, MAX_LEN)
     return e.select("idx", SQ.ids_text(inp).alias("dec_in"), SQ.ids_text(tgt).alias("dec_target"),
-                    SQ.ids_text(mask).alias("dec_mask"))
+                    SQ.ids_text(mask).alias("dec_mask"), cut.alias("truncated"))
 
 
 _LAB = f"c || [{SQ.EOS}]"
@@ -186,11 +186,27 @@ def left_pad(spark, d):
     return e.select("idx", F.size(gen).cast("long").alias("n_ids"), SQ.ids_text(SQ.pad_left(gen, MAX_LEN, SQ.EOS)).alias("ids"))
 
 
-@query("decode_ids", with_ctes(["valid"], [_VOCAB, _ENC, _LABELS], f"""
-SELECT l.idx, coalesce(t.text, '') AS text FROM lab l LEFT JOIN (
+def _decode_sql(ids: str) -> str:
+    return f"""
+SELECT e.idx, coalesce(t.text, '') AS text FROM enc e LEFT JOIN (
   SELECT x.idx, string_agg(coalesce(vo.token, '{SQ.SPECIALS[SQ.UNK]}'), ' ' ORDER BY x.p) AS text FROM (
-    SELECT idx, unnest(labels) AS id, unnest(range(1, len(labels) + 1)) AS p FROM lab) x
-  LEFT JOIN vocab vo ON x.id = vo.id WHERE x.id >= {len(SQ.SPECIALS)} GROUP BY x.idx) t ON l.idx = t.idx"""))
+    SELECT idx, unnest({ids}) AS id, unnest(range(1, len({ids}) + 1)) AS p FROM enc) x
+  LEFT JOIN vocab vo ON x.id = vo.id WHERE x.id >= {len(SQ.SPECIALS)} GROUP BY x.idx) t ON e.idx = t.idx"""
+
+
+@query("decode_ids", with_ctes(["valid"], [_VOCAB, _ENC], _decode_sql(_LAB)))
 def decode_ids(spark, d):
-    lab, vocab = labels_df(spark, d)
-    return SQ.decode(lab, "idx", "labels", vocab, "text")
+    """Labels of any length, padded with -100 and not cut, back to text."""
+    e, vocab = encoded(spark, d)
+    labels = F.concat("c", F.array(F.lit(SQ.EOS)))
+    padded = F.concat(labels, F.array_repeat(F.lit(SQ.IGNORE), F.greatest(F.lit(MAX_LEN) - F.size(labels), F.lit(0))))
+    return SQ.decode(e.select("idx", padded.alias("labels")), "idx", "labels", vocab, "text")
+
+
+@query("decode_causal", with_ctes(["valid"], [_VOCAB, _ENC], _decode_sql("c")))
+def decode_causal(spark, d):
+    """T10, causal style: the left-padded prompt comes back in front of the text and is skipped."""
+    e, vocab = encoded(spark, d)
+    prompt = SQ.pad_left(F.concat(F.array(F.lit(SQ.BOS)), "p1", F.array(F.lit(SQ.AND)), "p2", F.array(F.lit(SQ.SO))), MAX_LEN, SQ.EOS)
+    out = e.select("idx", F.concat(prompt, "c", F.array(F.lit(SQ.EOS))).alias("ids"), F.size(prompt).alias("n"))
+    return SQ.decode(out, "idx", "ids", vocab, "text", skip_prefix=F.col("n"))

@@ -28,6 +28,9 @@ CORPUS_CSV = T.StructType([
     T.StructField("Syllogistic relation", T.StringType()),
     T.StructField("Conclusion", T.StringType()),
 ])
+# Fields that a CSV reader of data frames takes for missing.
+MISSING = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN",
+           "None", "n/a", "nan", "null")
 CORPUS_NAMES = {"Premise 1": "premise_1", "Premise 2": "premise_2", "Syllogistic relation": "relation",
                 "Conclusion": "conclusion"}
 
@@ -38,15 +41,16 @@ def cp1252_fix(c):
 
 def read_corpus(spark: SparkSession, path: str, schema: T.StructType = CORPUS_CSV) -> DataFrame:
     """S1 + P1: (idx, premise_1, premise_2, relation, conclusion); idx = 0-based position of the
-    record in the file(s), assigned before any filter.  Empty fields and 'NA' are NULL."""
+    record in the file(s), assigned before any filter.  Fields of ``MISSING`` are NULL."""
     raw = (spark.read.option("header", "true").option("multiLine", "true").option("escape", '"')
-           .option("encoding", "ISO-8859-1").option("nullValue", "NA").schema(schema).csv(path))
-    cols = [cp1252_fix(F.col(f"`{c}`")).alias(CORPUS_NAMES.get(c, c)) for c in raw.columns]
+           .option("encoding", "ISO-8859-1").schema(schema).csv(path))
+    present = lambda c: F.when(~F.col(f"`{c}`").isin(*MISSING), F.col(f"`{c}`"))
+    cols = [cp1252_fix(present(c)).alias(CORPUS_NAMES.get(c, c)) for c in raw.columns]
     keyed = raw.select(*cols, F.input_file_name().alias("_file"), F.monotonically_increasing_id().alias("_mid"))
     return with_position(keyed, ["_file", "_mid"], "idx").select("idx", *[CORPUS_NAMES.get(c, c) for c in raw.columns])
 
 
-def read_interchange(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+def read_interchange(spark: SparkSession, path: str | list, schema: T.StructType) -> DataFrame:
     """UTF-8 CSV written by a DataFrame writer that may have added an unnamed leading index
     column; that column (empty header) is dropped."""
     df = spark.read.option("header", "true").option("multiLine", "true").option("escape", '"').csv(path)
@@ -64,14 +68,33 @@ def with_path_keys(df: DataFrame, patterns: dict) -> DataFrame:
 
 
 def read_family(spark: SparkSession, glob: str, schema: T.StructType, patterns: dict, fmt: str = "csv") -> DataFrame:
-    """One read over a glob of files (instead of a loop over names), keys as columns."""
-    reader = spark.read.schema(schema)
-    df = reader.option("header", "true").csv(glob) if fmt == "csv" else reader.parquet(glob)
-    return with_path_keys(df, patterns)
+    """The files of a glob in one frame, keys from their paths as columns.
+
+    CSV columns go by each file's own header, so files with and without a stray index column mix: the
+    first line of every file is read, and files with one header are one read."""
+    if fmt != "csv":
+        return with_path_keys(spark.read.schema(schema).parquet(glob), patterns)
+    lines = spark.read.text(glob).select("value", F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("at"))
+    heads = lines.groupBy("file").agg(F.min_by("value", "at").alias("head")).groupBy("head").agg(F.collect_list("file").alias("files"))
+    parts = [with_path_keys(read_interchange(spark, r["files"], schema), patterns) for r in heads.orderBy("head").collect()]
+    if not parts:
+        return with_path_keys(spark.createDataFrame([], schema), patterns)
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
 
 
 def single_file_per_run(df: DataFrame, run_col: str = "run") -> DataFrame:
-    """Runs whose folder holds more than one file (the reference reads an arbitrary first one);
-    callers fail on a non-empty result."""
+    """Runs whose folder holds more than one file."""
     return (df.withColumn("_f", F.input_file_name()).groupBy(run_col)
             .agg(F.countDistinct("_f").alias("n_files")).where(F.col("n_files") > 1))
+
+
+def read_single_files(spark: SparkSession, glob: str, schema: T.StructType, run_pattern: str, fmt: str = "csv") -> DataFrame:
+    """The one generation file of every run folder; several files in a folder are an error."""
+    df = read_family(spark, glob, schema, {"run": run_pattern}, fmt)
+    several = [r["run"] for r in single_file_per_run(df).limit(10).collect()]
+    if several:
+        raise ValueError(f"more than one file in the folders of {', '.join(several)}")
+    return df

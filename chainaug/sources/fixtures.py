@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import phash, round6
 from ..operators.folds import assign_folds
 from ..operators.generate import drop_token_generator, generation_rows, overlap_f1
-from ..operators.numbering import with_running_start
+from ..operators.numbering import positions, with_position, with_running_start
 from ..session import materialize
 
 EPOCH0 = "2024-01-01"
@@ -178,15 +178,15 @@ def epoch_log(spark: SparkSession, d: str) -> DataFrame:
 
 @_shared
 def token_vectors(spark: SparkSession, d: str) -> DataFrame:
-    """One vector per distinct corpus token: H(token) mod |embeddings| picks the row."""
-    emb = table(spark, d, "embeddings").select("vec_id", "embedding")
-    n = emb.select(F.count(F.lit(1))).scalar()
+    """One vector per distinct corpus token: H(token) mod |embeddings| picks the row by its place in
+    the order of vec_id (ids may have gaps)."""
+    emb, n = positions(table(spark, d, "embeddings").select("vec_id", "embedding"), ["vec_id"], "_row")
     toks = (
         valid(spark, d)
         .select(F.explode(F.split(F.concat_ws(" ", "premise_1", "premise_2", "conclusion"), " ")).alias("token"))
         .distinct()
     )
-    return toks.join(emb, (phash(F.col("token")) % n) == emb["vec_id"]).select("token", "embedding")
+    return toks.join(emb, (phash(F.col("token")) % max(n, 1)) == emb["_row"]).select("token", "embedding")
 
 
 @_shared
@@ -203,15 +203,11 @@ def scored_run(spark: SparkSession, d: str) -> DataFrame:
 @_shared
 def conversation_pairs(spark: SparkSession, d: str) -> DataFrame:
     """(run='conversations', idx, generation=assistant reply, label=user turn) for each user turn
-    followed by an assistant turn."""
+    followed by an assistant turn; ``idx`` numbers the pairs by (conv_id, turn)."""
     c = table(spark, d, "conversations").select("conv_id", "turn", "role", "text")
     u = c.where(F.col("role") == "user").select("conv_id", "turn", F.col("text").alias("label"))
     a = c.where(F.col("role") == "assistant").select(
         "conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("generation")
     )
-    return u.join(a, ["conv_id", "turn"]).select(
-        F.lit("conversations").alias("run"),
-        (F.col("conv_id") * 1000 + F.col("turn")).alias("idx"),
-        "generation",
-        "label",
-    )
+    pairs = with_position(u.join(a, ["conv_id", "turn"]), ["conv_id", "turn", "label", "generation"], "idx")
+    return pairs.select(F.lit("conversations").alias("run"), "idx", "generation", "label")

@@ -40,23 +40,30 @@ def render_tables(df: DataFrame, doc_keys: list, order_col: str, cols: list) ->
 
 def extract_first_table(docs: DataFrame, html_col: str, keep: list) -> DataFrame:
     """Rows of the first table of each document: ``keep`` columns + row_no + header + raw cells
-    (use ``cell`` to pick and clean a column; cleaning outside a lambda keeps it in codegen)."""
+    (use ``cell`` to pick and clean a column; cleaning outside a lambda keeps it in codegen).
+
+    The first row is the header, with or without thead / tbody; ``th`` and ``td`` cells of a row count
+    alike, so a table written with its row index (an unnamed first column) keeps its columns in place."""
     table = F.regexp_extract(F.col(html_col), "(?s)<table[^>]*>(.*?)</table>", 1)
-    t = docs.select(*keep, table.alias("_t"))
-    head = F.regexp_extract(F.col("_t"), "(?s)<thead[^>]*>(.*?)</thead>", 1)
-    body = F.regexp_extract(F.col("_t"), "(?s)<tbody[^>]*>(.*?)</tbody>", 1)
-    t = t.select(*keep,
-                 F.regexp_extract_all(head, F.lit("(?s)<th[^>]*>(.*?)</th>"), 1).alias("header"),
-                 F.posexplode(F.regexp_extract_all(body, F.lit("(?s)<tr[^>]*>(.*?)</tr>"), 1)).alias("row_no", "_tr"))
-    cells = F.regexp_extract_all(F.col("_tr"), F.lit("(?s)<td[^>]*>(.*?)</td>"), 1)
-    return t.select(*keep, "row_no", "header", cells.alias("cells"))
+    rows = F.regexp_extract_all(table, F.lit("(?s)<tr(?:\\s[^>]*)?>(.*?)</tr>"), 1)
+    cells = lambda c: F.regexp_extract_all(c, F.lit("(?s)<t[hd](?:\\s[^>]*)?>(.*?)</t[hd]>"), 1)
+    t = docs.select(*keep, rows.alias("_rows")).where(F.size("_rows") > 0)
+    t = t.select(*keep, cells(F.element_at("_rows", 1)).alias("header"),
+                 F.posexplode(F.slice("_rows", 2, F.size("_rows"))).alias("row_no", "_tr"))
+    return t.select(*keep, "row_no", "header", cells(F.col("_tr")).alias("cells"))
 
 
 def cell(name: str) -> Column:
     """The cleaned cell under header ``name`` of an extracted row (NULL when absent or empty)."""
-    return clean_cell(F.try_element_at("cells", F.array_position("header", name).cast("int")))
-
-
-def read_html_files(spark, path: str) -> DataFrame:
-    """One row per file (wholetext), with the file path for run-key extraction."""
-    return spark.read.text(path, wholetext=True).select(F.col("value").alias("html"), F.input_file_name().alias("path"))
+    names = F.transform("header", lambda h: F.coalesce(clean_cell(h), F.lit("")))
+    place = F.nullif(F.array_position(names, name), F.lit(0)).cast("int")
+    return clean_cell(F.try_element_at("cells", place))
+
+
+def read_html_files(spark, path: str, cols: list, patterns: dict | None = None) -> DataFrame:
+    """S3 over files: the columns ``cols`` of the first table of every file, with the file's ``path`` and
+    the run keys that ``patterns`` (name -> regular expression with one group) find in it."""
+    docs = spark.read.text(path, wholetext=True).select(F.col("value").alias("html"), F.input_file_name().alias("path"))
+    keys = {k: F.regexp_extract("path", rx, 1) for k, rx in (patterns or {}).items()}
+    rows = extract_first_table(docs.withColumns(keys) if keys else docs, "html", ["path", *keys])
+    return rows.select("path", *keys, "row_no", *[cell(c).alias(c) for c in cols])

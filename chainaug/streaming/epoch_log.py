@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators import selection as S
+from ..sources.sinks import exists
 
 LOG_SCHEMA = T.StructType([
     T.StructField("run", T.StringType()),
@@ -28,43 +29,28 @@ LOG_SCHEMA = T.StructType([
     T.StructField("data_length", T.LongType()),
 ])
 KEYS = ["run", "fold", "seq"]
-MAX_LISTED_RUNS = 1000
-
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    hpath = jvm.org.apache.hadoop.fs.Path(path)
-    fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return fs.exists(hpath)
 
 
 def _upsert(table_dir: str, best_dir: str, n: int, k: int):
-    """The table is partitioned by run: each batch reads back only the runs it touches
-    (partition pruning), so the per-batch cost follows the batch, not the table."""
+    """Both tables are partitioned by run.  A batch reads back only the runs it touches (the join
+    prunes the run folders), and replaces the best epochs of those runs, so a replayed batch
+    leaves both tables as they are."""
 
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         batch = batch.persist()
         try:
-            # run names of one batch (bounded); a batch touching very many runs uses a semi join
-            runs = [r["run"] for r in batch.select("run").distinct().limit(MAX_LISTED_RUNS + 1).collect()]
-            if not runs:
+            if batch.isEmpty():
                 return
             touched = batch.select("run").distinct()
-
-            def only_touched(df: DataFrame) -> DataFrame:
-                if len(runs) <= MAX_LISTED_RUNS:
-                    return df.where(F.col("run").isin(runs))  # partition pruning on the run folders
-                return df.join(touched, "run", "left_semi")
-
             fresh = batch.dropDuplicates(KEYS)
-            if _exists(spark, table_dir):
-                stored = only_touched(spark.read.schema(LOG_SCHEMA).parquet(table_dir))
+            if exists(spark, table_dir):
+                stored = spark.read.schema(LOG_SCHEMA).parquet(table_dir).join(touched, "run", "left_semi")
                 fresh = fresh.join(stored.select(*KEYS), KEYS, "left_anti")
             fresh.write.mode("append").partitionBy("run").parquet(table_dir)
-            log = only_touched(spark.read.schema(LOG_SCHEMA).parquet(table_dir))
-            best = S.model_selection(log, n, k).withColumn("batch_id", F.lit(batch_id).cast("long"))
-            best.write.mode("append").parquet(best_dir)
+            log = spark.read.schema(LOG_SCHEMA).parquet(table_dir).join(touched, "run", "left_semi")
+            best = S.model_selection(log, n, k)
+            best.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run").parquet(best_dir)
         finally:
             batch.unpersist()
 
@@ -82,11 +68,11 @@ def ingest(spark: SparkSession, source_dir: str, table_dir: str, checkpoint: str
 
 
 def stream_epoch_log(log: DataFrame, work_dir: str) -> DataFrame:
-    """Write ``log`` as one file per run (files arriving over time), stream them into the log
+    """Write ``log`` as files of runs and folds (arriving over time), stream them into the log
     table, and return the table.  Equal to ``log`` when each (run, fold, seq) appears once."""
     spark = log.sparkSession
     src, table, ckpt = (os.path.join(work_dir, x) for x in ("incoming", "table", "checkpoint"))
-    log.select(*[f.name for f in LOG_SCHEMA.fields]).repartition("run").write.mode("overwrite").parquet(src)
+    log.select(*[f.name for f in LOG_SCHEMA.fields]).repartition("run", "fold").write.mode("overwrite").parquet(src)
     q = ingest(spark, src, table, ckpt)
     q.awaitTermination()
     return spark.read.schema(LOG_SCHEMA).parquet(table)

@@ -220,9 +220,15 @@ def test_leaderboard_append_is_idempotent(spark, tmpdir_path):
     rows = spark.createDataFrame([("m1", 0.9, 0.5, 0.3, 0.4, 0.2)], sinks.LEADERBOARD)
     sinks.append_leaderboard(rows, path)
     sinks.append_leaderboard(rows, path)
-    more = spark.createDataFrame([("m1", 0.9, 0.5, 0.3, 0.4, 0.2), ("m2", 0.8, 0.4, 0.2, 0.3, 0.1)], sinks.LEADERBOARD)
+    # a stored row stays, and two rows of one new model are one
+    more = spark.createDataFrame([("m1", 0.99, 0.5, 0.3, 0.4, 0.2), ("m2", 0.8, 0.4, 0.2, 0.3, 0.1), ("m2", 0.7, 0.9, 0.2, 0.3, 0.1)], sinks.LEADERBOARD)
     sinks.append_leaderboard(more, path)
-    assert sorted(r.model_name for r in spark.read.parquet(path).collect()) == ["m1", "m2"]
+    assert sorted((r.model_name, r.bert_score) for r in spark.read.parquet(path).collect()) == [("m1", 0.9), ("m2", 0.8)]
+    assert sinks.merge_leaderboard(rows, more).count() == 2
+    with open(os.path.join(path, "broken.parquet"), "w") as fh:
+        fh.write("not parquet")
+    with pytest.raises(Exception):  # a table that cannot be read is no absent table
+        sinks.append_leaderboard(rows, path)
 
 
 def test_epoch_log_union_by_name(spark):
@@ -242,10 +248,12 @@ def test_stream_is_idempotent_on_replay(spark, tmpdir_path):
     log.write.parquet(src)
     table, ckpt = os.path.join(tmpdir_path, "t"), os.path.join(tmpdir_path, "c")
     STR.ingest(spark, src, table, ckpt).awaitTermination()
+    first = [sorted(map(str, spark.read.parquet(t).collect())) for t in (table, table + "_best")]
     # a second query with a fresh checkpoint replays every file: nothing is added twice
     STR.ingest(spark, src, table, os.path.join(tmpdir_path, "c2")).awaitTermination()
     assert spark.read.parquet(table).count() == log.count()
-    assert spark.read.parquet(table + "_best").select("run").distinct().count() == 1
+    assert spark.read.parquet(table + "_best").count() == 1
+    assert first == [sorted(map(str, spark.read.parquet(t).collect())) for t in (table, table + "_best")]
 
 
 def test_pandas_generator_hook_sees_one_fold_at_a_time(spark):
@@ -266,14 +274,13 @@ def test_writers_partition_layout_and_pruning(spark, tmpdir_path):
     from chainaug.plans import all_queries as Q
     from conftest import SF_SMALL
 
-    sets = Q.QUERIES["round_prefixes"](spark, SF_SMALL).withColumn("method", F.lit("ori_mix"))
+    sets = Q.QUERIES["ori_mix"](spark, SF_SMALL).withColumn("method", F.lit("ori_mix"))
     path = os.path.join(tmpdir_path, "sets")
     sinks.write_training_sets(sets, path)
-    assert sorted(os.listdir(os.path.join(path, "method=ori_mix"))) == [f"until_round={i}" for i in (1, 2, 3)]
-    back = spark.read.parquet(path).where("method = 'ori_mix' AND until_round = 2")
-    assert "PartitionFilters: [isnotnull(method" in back._jdf.queryExecution().executedPlan().toString() or \
-        "until_round" in back._jdf.queryExecution().executedPlan().toString()
-    assert back.count() == sets.where("until_round = 2").count()
+    assert sorted(x for x in os.listdir(os.path.join(path, "method=ori_mix"))) == [f"round={i}" for i in range(4)]
+    back = sinks.read_training_set(spark, path, "ori_mix", 2)
+    assert "PartitionFilters: [isnotnull(method" in back._jdf.queryExecution().executedPlan().toString()
+    assert back.count() == sets.where("round <= 2").count()
     sinks.write_training_sets(sets, path)  # overwrite is idempotent
     assert spark.read.parquet(path).count() == sets.count()
     gen_path = os.path.join(tmpdir_path, "gen")
@@ -309,20 +316,6 @@ def test_embedding_f1_broadcast_and_join_paths_agree(spark):
     assert a == b and len(a) == pairs.count()
 
 
-def test_stream_semi_join_path_when_many_runs(spark, tmpdir_path, monkeypatch):
-    from chainaug.streaming import epoch_log as STR
-
-    monkeypatch.setattr(STR, "MAX_LISTED_RUNS", 0)  # force the semi-join path
-    log = _logs(spark).withColumn("fold", F.col("fold").cast("int")).withColumn("seq", F.col("seq").cast("long")) \
-        .withColumn("epoch", F.col("epoch").cast("int")).withColumn("data_length", F.col("data_length").cast("long"))
-    src = os.path.join(tmpdir_path, "in")
-    log.write.parquet(src)
-    table = os.path.join(tmpdir_path, "t")
-    STR.ingest(spark, src, table, os.path.join(tmpdir_path, "c")).awaitTermination()
-    STR.ingest(spark, src, table, os.path.join(tmpdir_path, "c2")).awaitTermination()
-    assert spark.read.parquet(table).count() == log.count()
-
-
 def test_corpus_index_runs_across_files(spark, tmpdir_path):
     for name, rows in (("a.csv", ["x1", "x2", "x3"]), ("b.csv", ["y1", "y2"])):
         with open(os.path.join(tmpdir_path, name), "wb") as fh:
@@ -330,3 +323,94 @@ def test_corpus_index_runs_across_files(spark, tmpdir_path):
             fh.write(body.encode("latin-1"))
     got = sorted((r.idx, r.premise_1) for r in FS.read_corpus(spark, os.path.join(tmpdir_path, "*.csv")).collect())
     assert got == [(0, "x1"), (1, "x2"), (2, "x3"), (3, "y1"), (4, "y2")]
+
+
+def test_family_goes_by_each_files_header(spark, tmpdir_path):
+    from pyspark.sql import types as T
+
+    texts = {"a_aug_num_1.csv": ",index,generation\n0,17,hello\n1,18,\"x, \"\"y\"\"\"\n", "b_aug_num_2.csv": "index,generation\n19,plain\n",
+             "c_aug_num_3.csv": "generation,index\nswapped,20\n"}
+    for name, text in texts.items():
+        with open(os.path.join(tmpdir_path, name), "w") as fh:
+            fh.write(text)
+    schema = T.StructType([T.StructField("index", T.LongType()), T.StructField("generation", T.StringType())])
+    df = FS.read_family(spark, os.path.join(tmpdir_path, "*.csv"), schema, {"round": r"aug_num_(\d+)"})
+    assert sorted((r["index"], r["generation"], r["round"]) for r in df.collect()) == [
+        (17, "hello", "1"), (18, 'x, "y"', "1"), (19, "plain", "2"), (20, "swapped", "3")]
+    assert FS.read_single_files(spark, os.path.join(tmpdir_path, "*.csv"), schema, r"aug_num_(\d+)").count() == 4
+    with pytest.raises(ValueError, match="more than one file"):
+        FS.read_single_files(spark, os.path.join(tmpdir_path, "*.csv"), schema, r"(aug_num)")
+
+
+def test_corpus_missing_words_are_null(spark, tmpdir_path):
+    body = "Premise 1,Premise 2,Syllogistic relation,Conclusion\r\n" + "".join(f"{w},p,yes,c\r\n" for w in ("NaN", "null", "n/a", "none", ""))
+    with open(os.path.join(tmpdir_path, "c.csv"), "wb") as fh:
+        fh.write(body.encode("latin-1"))
+    rows = FS.read_corpus(spark, os.path.join(tmpdir_path, "c.csv")).orderBy("idx").collect()
+    assert [r.premise_1 for r in rows] == [None, None, None, "none", None]
+
+
+def test_html_index_column_missing_sections_and_headers(spark, tmpdir_path):
+    head = '<tr style="x"><th></th><th>index</th><th>generation</th></tr>'
+    one = f"<table><thead>{head}</thead><tbody><tr><th>0</th><td>17</td><td>hello</td></tr></tbody></table>"
+    two = "<table><tr><td>index</td><td>generation</td></tr><tr><td>18</td><td>bye</td></tr></table>"
+    for run, html in (("r1", one), ("r2", two), ("r3", "<p>no table</p>")):
+        os.makedirs(os.path.join(tmpdir_path, run))
+        with open(os.path.join(tmpdir_path, run, "gen.html"), "w") as fh:
+            fh.write(html)
+    rows = HT.read_html_files(spark, os.path.join(tmpdir_path, "*", "*.html"), ["index", "generation", "label"], {"run": r"/(r\d)/"})
+    assert sorted((r["run"], r["index"], r["generation"], r["label"]) for r in rows.collect()) == [("r1", "17", "hello", None), ("r2", "18", "bye", None)]
+
+
+def test_every_piece_is_in_one_triple(spark):
+    import re
+
+    from chainaug.sources import fixtures as X
+    from conftest import SF_SMALL
+
+    rows = spark.read.parquet(f"{SF_SMALL}/documents.parquet").select("doc_id", "text").collect()
+    rows = [tuple(r) for r in rows] + [(10**6, None), (10**6 + 1, ""), (10**6 + 2, "One. Two"), (10**6 + 3, "A. b.  c. d. e. f. g. h"), (10**6 + 4, "A. b. c. ")]
+    got = {}
+    for r in X.triples(spark.createDataFrame(rows, "doc_id long, text string")).orderBy("doc_id", "k").collect():
+        got.setdefault(r.doc_id, []).append(r)
+    assert set(got) == {i for i, _ in rows}
+    for i, text in rows:
+        pieces = re.split("[.][ \t\n\r\f]+", text or "")
+        if len(pieces) < 3:
+            assert [(r.k, r.premise_1, r.premise_2, r.conclusion) for r in got[i]] == [(0, None, None, None)]
+        else:
+            assert ". ".join(x for r in got[i] for x in (r.premise_1, r.premise_2, r.conclusion)) == ". ".join(pieces)
+            assert [r.k for r in got[i]] == list(range(len(pieces) // 3))
+
+
+def test_pair_numbers_past_a_thousand_turns(spark, tmpdir_path):
+    from chainaug.sources import fixtures as X
+
+    turns = [(1, t, "user" if t % 2 else "assistant", f"t{t}") for t in range(1, 2104)] + [(2, 1, "user", "u"), (2, 2, "assistant", "a")]
+    spark.createDataFrame(turns, "conv_id long, turn int, role string, text string").write.parquet(os.path.join(tmpdir_path, "conversations.parquet"))
+    pairs = X.conversation_pairs(spark, tmpdir_path)
+    assert pairs.count() == pairs.select("idx").distinct().count() == 1052
+
+
+def test_vectors_are_cleaned_before_either_path(spark):
+    pairs = spark.createDataFrame([("r", 1, "a b c d", "a c e")], "run string, idx long, generation string, label string")
+    big = 1e200
+    vectors = spark.createDataFrame([("a", [1.0, 0.0]), ("a", [0.0, 1.0]), ("b", None), ("c", [big, big]), ("d", [1.0, None]), (None, [1.0, 1.0]), ("e", [1.0, 1.0])],
+                                    "token string, embedding array<double>")
+    one, two = (MT.embedding_f1(pairs, ["run"], vectors, broadcast_limit=n).collect() for n in (0, 1 << 20))
+    assert one == two and one[0]["f1"] is not None
+
+
+def test_batch_means_of_any_batch_size(spark):
+    from chainaug.operators import selection as S
+
+    rows = spark.range(100_000).select(F.lit("k").alias("k"), F.col("id"), (F.lit(3.0) + (F.col("id") % 7) / 10).alias("loss"))
+    for size in (1, 16, 24, 32, 64, 4096):
+        got = S.batch_mean_loss(rows.withColumn("batch", F.floor(F.col("id") / size)), ["k"], "batch", "loss").collect()[0]
+        means = [sum(3 + (i % 7) / 10 for i in range(a, min(a + size, 100_000))) / (min(a + size, 100_000) - a) for a in range(0, 100_000, size)]
+        assert got["n_batches"] == len(means) and abs(got["mean_batch_loss"] - sum(means) / len(means)) < 2e-6
+
+
+def test_decoder_shift_flags_a_cut(spark):
+    df = spark.createDataFrame([([1, 2, 3],), ([1, 2, 3, 4, 5, 6],)], "ids array<int>")
+    assert [r[0] for r in df.select(SQ.decoder_shift(F.col("ids"), 4)[3]).collect()] == [False, True]
