@@ -114,21 +114,24 @@ def added_rows(method: str, originals: DataFrame, generation: DataFrame, filteri
     if method not in METHODS:
         raise ValueError(f"unknown augmentation method {method!r}")
     filtering = parse_filtering(filtering)
-    p1, p2 = premise_tables(generation)
-    p2c = attach_conclusion(p2, originals)
+    # one join with the originals: every part takes its columns from it
+    o = originals.select("idx", F.col("premise_1").alias("_o1"), F.col("premise_2").alias("_o2"), "conclusion")
+    j = generation.where(F.col("target").isin("prem1", "prem2")).select("idx", "round", "target", "generation", "f1").join(o, "idx")
+    first = F.col("target") == "prem1"
     parts = []
     if method in ("ori_mix", "aug_mix"):
-        j1 = join_prem1_original(p1, originals)
-        j2 = join_prem2_original(p2c, originals)
-        if filtering:
-            j1 = j1.where(band(F.col("premise_1_f1"), floor, ceil))
-            j2 = j2.where(band(F.col("premise_2_f1"), floor, ceil))
-        parts += [_as_set(j1, "prem1"), _as_set(j2, "prem2")]
+        one = j.where(band(F.col("f1"), floor, ceil)) if filtering else j
+        parts.append(one.select(
+            "idx", "round", F.col("target").alias("source"), F.when(first, F.col("generation")).otherwise(F.col("_o1")).alias("premise_1"),
+            F.when(first, F.col("_o2")).otherwise(F.col("generation")).alias("premise_2"), "conclusion", F.lit("yes").alias("relation")))
     if method in ("aug_pair", "aug_mix"):
-        j3 = generated_pairs(generation, originals)
+        side = lambda t: F.max(F.when(F.col("target") == t, F.struct(F.col("generation").alias("g"), F.col("f1").alias("f"))))
+        both = j.groupBy("idx", "round").agg(side("prem1").alias("_a"), side("prem2").alias("_b"), F.first("conclusion").alias("conclusion"))
+        both = both.where(F.col("_a").isNotNull() & F.col("_b").isNotNull())
         if filtering:
-            j3 = j3.where(pair_band(F.col("premise_1_f1"), F.col("premise_2_f1"), floor, ceil))
-        parts.append(_as_set(j3, "pair"))
+            both = both.where(pair_band(F.col("_a.f"), F.col("_b.f"), floor, ceil))
+        pair = both.withColumns({"premise_1": F.col("_a.g"), "premise_2": F.col("_b.g"), "relation": F.lit("yes")})
+        parts.append(_as_set(pair, "pair"))
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -185,13 +188,20 @@ def recover_index_candidates(aug_without_idx: DataFrame, originals: DataFrame) -
     return aug_without_idx.join(keys, aug_without_idx["conclusion"].eqNullSafe(keys["_c"]), "inner").drop("_c")
 
 
-def compare_generations(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Rows matched on idx and how many generations are equal (plain '=': NULL never equal)."""
-    j = a.select("idx", F.col("generation").alias("ga")).join(b.select("idx", F.col("generation").alias("gb")), "idx")
-    return j.agg(
-        F.count(F.lit(1)).alias("n_rows"),
-        F.coalesce(F.sum(F.when(F.col("ga") == F.col("gb"), 1).otherwise(0)), F.lit(0)).cast("long").alias("n_equal"),
-    )
+def compare_generations(runs: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
+    """J10 over ``runs(run, idx, generation)``: for each pair of runs the rows matched on idx and how many
+    generations are equal (plain '=': NULL never equal).  One pass: a pivot by idx, then sums."""
+    names = sorted({r for p in pairs for r in p})
+    wide = runs.where(F.col("run").isin(names)).groupBy("idx").agg(
+        *[F.max(F.when(F.col("run") == r, F.struct("generation"))).alias(f"_{i}") for i, r in enumerate(names)])
+    sums = []
+    for k, (a, b) in enumerate(pairs):
+        x, y = f"_{names.index(a)}", f"_{names.index(b)}"
+        both = F.col(x).isNotNull() & F.col(y).isNotNull()
+        sums += [F.count(F.when(both, 1)).alias(f"n{k}"), F.count(F.when(both & (F.col(f"{x}.generation") == F.col(f"{y}.generation")), 1)).alias(f"e{k}")]
+    rows = F.array(*[F.struct(F.lit(a).alias("run_a"), F.lit(b).alias("run_b"), F.col(f"n{k}").alias("n_rows"), F.col(f"e{k}").alias("n_equal"))
+                     for k, (a, b) in enumerate(pairs)])
+    return wide.agg(*sums).select(F.explode(rows).alias("r")).select("r.*")
 
 
 # Which method sets each source belongs to (one scan builds all three methods).

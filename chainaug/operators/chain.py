@@ -15,9 +15,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import phash
+from ..functions.text import prompt_prefix
 from ..session import materialize
 from . import metrics as MT
-from .generate import drop_token_generator, overlap_f1
+from .generate import drop_token_generator, generate_with_pandas, overlap_f1
 
 
 def chain_key(round_: Column, target: Column, idx: Column, input_premise: Column) -> Column:
@@ -27,7 +28,8 @@ def chain_key(round_: Column, target: Column, idx: Column, input_premise: Column
 
 
 def _round_rows(originals: DataFrame, prev: DataFrame | None, r: int) -> DataFrame:
-    o = originals.select("idx", "premise_1", "premise_2", "conclusion")
+    fold = [c for c in ("fold",) if c in originals.columns]
+    o = originals.select("idx", *fold, "premise_1", "premise_2", "conclusion")
     if prev is None:
         p1_in, p2_in = F.col("premise_2"), F.col("premise_1")
         base = o
@@ -38,24 +40,32 @@ def _round_rows(originals: DataFrame, prev: DataFrame | None, r: int) -> DataFra
         base = o.join(gen, "idx")
         p1_in, p2_in = F.col("g2"), F.col("g1")
     rows = base.select(
-        "idx", "conclusion",
+        "idx", *fold, "conclusion",
         F.explode(F.array(
             F.struct(F.lit("prem1").alias("target"), p1_in.alias("input_premise"), F.col("premise_1").alias("label")),
             F.struct(F.lit("prem2").alias("target"), p2_in.alias("input_premise"), F.col("premise_2").alias("label")),
         )).alias("x"))
-    return rows.select("idx", F.lit(r).alias("round"), "x.target", "x.input_premise", "conclusion", "x.label")
+    return rows.select("idx", *fold, F.lit(r).alias("round"), "x.target", "x.input_premise", "conclusion", "x.label")
 
 
 def chain(originals: DataFrame, rounds: int,
-          generator: Callable[[Column, Column], Column] = drop_token_generator) -> DataFrame:
-    """All rounds 1..rounds of chained generation, one materialised table per round."""
+          generator: Callable[[Column, Column], Column] = drop_token_generator,
+          pandas_generator: Callable | None = None) -> DataFrame:
+    """All rounds 1..rounds of chained generation, one materialised table per round.
+
+    A generator gets the input premises as a prompt (``input``), never the label: ``generator`` as
+    columns, or ``pandas_generator(fold, rows)`` a fold at a time (``originals`` then carry ``fold``)."""
     prev, out = None, []
     for r in range(1, rounds + 1):
         rows = _round_rows(originals, prev, r)
-        key = chain_key(F.col("round"), F.col("target"), F.col("idx"), F.col("input_premise"))
-        g = rows.withColumn("generation", generator(F.col("label"), key))
+        rows = rows.withColumn("input", prompt_prefix(F.col("input_premise"), F.col("conclusion"), F.lit(""))[0])
+        if pandas_generator is not None:
+            g = generate_with_pandas(rows, pandas_generator)
+        else:
+            key = chain_key(F.col("round"), F.col("target"), F.col("idx"), F.col("input_premise"))
+            g = rows.withColumn("generation", generator(F.col("input"), key))
         g = g.withColumn("f1", overlap_f1(F.col("generation"), F.col("label")))
-        g = materialize(g.select("idx", "round", "target", "input_premise", "generation", "label", "f1"))
+        g = materialize(g.select("idx", "round", "target", "input", "generation", "label", "f1"))
         out.append(g)
         prev = g
     result = out[0]
@@ -65,16 +75,15 @@ def chain(originals: DataFrame, rounds: int,
 
 
 def premise_merge(generation: DataFrame, originals: DataFrame, vectors: DataFrame) -> DataFrame:
-    """C1 (``generation`` hash-partitioned by idx, as stored by the generation step): score every generated premise against its label by embedding F1, keep the raw premise
+    """C1 (``generation`` hash-partitioned by idx, as stored by the generation step): score every generated
+    premise against its label by embedding F1 (the text travels with its score), keep the raw premise
     tables, attach the conclusion by key, and build the next-round input rows: generated premise
     + its score + the other original premise + relation + conclusion."""
-    scored = MT.embedding_f1(
+    g = MT.embedding_f1(
         generation.select("round", "target", "idx", "generation", "label"), ["round", "target"], vectors,
-        partitioned=True)
-    g = generation.select("idx", "round", "target", "generation").join(
-        scored.select("idx", "round", "target", F.col("f1").alias("aug_f1")), ["idx", "round", "target"])
+        partitioned=True, carry=["generation"])
     # J5 (conclusion by key) and J1/J2 (other original premise) in one join on idx
     j = g.join(originals.select("idx", "premise_1", "premise_2", "relation", "conclusion"), "idx")
     other = F.when(F.col("target") == "prem1", F.col("premise_2")).otherwise(F.col("premise_1"))
-    return j.select("idx", "round", "target", F.col("generation").alias("aug_premise"), "aug_f1",
+    return j.select("idx", "round", "target", F.col("generation").alias("aug_premise"), F.col("f1").alias("aug_f1"),
                     other.alias("other_premise"), "relation", "conclusion")

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.columns import phash, round6
+from ..functions.text import prompt_prefix
 
 
 def drop_token_generator(label: Column, key: Column, modulus: int = 10) -> Column:
@@ -29,34 +30,33 @@ def drop_token_generator(label: Column, key: Column, modulus: int = 10) -> Colum
     return F.array_join(F.when(F.size(kept) == 0, toks).otherwise(kept), " ")
 
 
-def overlap_f1(generation: Column, label: Column) -> Column:
-    """Token-count F for a drop-only generator: 2|gen| / (|gen| + |label|) on single-space tokens."""
-    g = F.size(F.split(generation, " "))
-    t = F.size(F.split(label, " "))
-    return round6((g * 2).cast("double") / (g + t).cast("double"))
+def _numbered(tokens: Column) -> Column:
+    """Tokens sorted, each with its number among its equals, so that sets of them compare as multisets."""
+    ordered = F.array_sort(tokens)
+    return F.transform(ordered, lambda t, i: F.concat_ws("\u0001", t, i + 1 - F.array_position(ordered, t)))
 
 
-def generate_with_columns(
-    rows: DataFrame,
-    target_col: str = "label",
-    key: Column | None = None,
-    generator: Callable[[Column, Column], Column] = drop_token_generator,
-) -> DataFrame:
-    """Add ``generation`` and its token-overlap ``f1`` using a column generator."""
-    key = key if key is not None else F.concat_ws(":", F.col("round"), F.col("target"), F.col("idx"))
-    out = rows.withColumn("generation", generator(F.col(target_col), key))
-    return out.withColumn("f1", overlap_f1(F.col("generation"), F.col(target_col)))
+def overlap_f1(generation: Column, label: Column) -> Column:
+    """Token F1: 2 |overlap| / (|generation| + |label|) on single-space tokens, where a token counts as
+    often as both texts hold it."""
+    g, t = F.split(generation, " "), F.split(label, " ")
+    common = F.size(F.array_intersect(_numbered(g), _numbered(t)))
+    return round6((common * 2).cast("double") / (F.size(g) + F.size(t)).cast("double"))
 
 
 def generate_with_pandas(
     rows: DataFrame,
     fn: Callable[[int, pd.DataFrame], pd.Series],
     input_col: str = "input",
+    label_col: str = "label",
 ) -> DataFrame:
     """Apply a pandas generator per Arrow batch; output = input rows + ``generation`` string.
 
     Partitions stay as they are: each batch is split by fold so the generator receives rows
-    of one fold at a time (and can hold one model per fold)."""
+    of one fold at a time (and can hold one model per fold).  It generates from ``input_col`` and
+    never sees ``label_col``."""
+    if input_col not in rows.columns:
+        raise ValueError(f"no column {input_col!r} to generate from")
     schema = T.StructType(list(rows.schema.fields) + [T.StructField("generation", T.StringType())])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -66,7 +66,7 @@ def generate_with_pandas(
             parts = []
             for fold, part in pdf.groupby("fold", sort=False):
                 part = part.copy()
-                part["generation"] = list(fn(int(fold), part))
+                part["generation"] = list(fn(int(fold), part.drop(columns=[label_col], errors="ignore")))
                 parts.append(part)
             yield pd.concat(parts)
 
@@ -81,4 +81,10 @@ def generation_rows(valid_with_folds: DataFrame, rounds: int = 3, targets=("prem
     )
     t = r.select("*", F.explode(F.array(*[F.lit(x) for x in targets])).alias("target"))
     label = F.when(F.col("target") == "prem1", F.col("premise_1")).otherwise(F.col("premise_2"))
-    return t.withColumn("label", label)
+    return t.withColumn("label", label).withColumn("input", input_prompt(F.col("target"), F.col("premise_1"), F.col("premise_2"), F.col("conclusion")))
+
+
+def input_prompt(target: Column, premise_1: Column, premise_2: Column, conclusion: Column) -> Column:
+    """What a model is given to write the target premise: the other premise and the conclusion (T2 form)."""
+    other = F.when(target == "prem1", premise_2).otherwise(premise_1)
+    return prompt_prefix(other, conclusion, F.lit(""))[0]

@@ -38,7 +38,7 @@ def _tagged_grams(text: Column, side: int, n: int) -> Column:
 
 
 def ngram_overlap(pairs: DataFrame, keys: list, pred_norm: Column, ref_norm: Column, orders=(1, 2, 3, 4),
-                  partitioned: bool = False) -> DataFrame:
+                  partitioned: bool = False, carry: tuple = ()) -> DataFrame:
     """Per (keys, idx, n): clipped n-gram overlap, prediction and reference token counts.
 
     ``pred_norm`` / ``ref_norm`` are token strings joined by single spaces.  All n-grams of both
@@ -46,19 +46,19 @@ def ngram_overlap(pairs: DataFrame, keys: list, pred_norm: Column, ref_norm: Col
     and exploded once; one NULL sentinel per order keeps pairs without n-grams.  ``partitioned``
     says the input is already hash-partitioned by (keys, idx) (no repartition needed)."""
     n_of = lambda c: F.when(c == "", F.lit(0)).otherwise(F.size(F.split(c, " ")))
-    base = pairs.select(*keys, "idx", pred_norm.alias("_pt"), ref_norm.alias("_rt"))
+    base = pairs.select(*keys, "idx", *carry, pred_norm.alias("_pt"), ref_norm.alias("_rt"))
     base = base.withColumn("lp", n_of(F.col("_pt"))).withColumn("lr", n_of(F.col("_rt")))
     if not partitioned:
         base = base.repartition(*keys, "idx")
     sentinel = F.array(*[F.struct(F.lit(None).cast("string").alias("g"), F.lit(20 + n).alias("t")) for n in orders])
     tagged = F.concat(*[_tagged_grams(F.col("_pt"), 0, n) for n in orders],
                       *[_tagged_grams(F.col("_rt"), 1, n) for n in orders], sentinel)
-    g = base.select(*keys, "idx", "lp", "lr", F.explode(tagged).alias("x"))
-    g = g.select(*keys, "idx", "lp", "lr", (F.col("x.t") % 10).alias("n"), (F.col("x.t") / 10).cast("int").alias("s"),
+    g = base.select(*keys, "idx", *carry, "lp", "lr", F.explode(tagged).alias("x"))
+    g = g.select(*keys, "idx", *carry, "lp", "lr", (F.col("x.t") % 10).alias("n"), (F.col("x.t") / 10).cast("int").alias("s"),
                  F.col("x.g").alias("gram"))
-    counts = g.groupBy(*keys, "idx", "lp", "lr", "n", "gram").agg(
+    counts = g.groupBy(*keys, "idx", *carry, "lp", "lr", "n", "gram").agg(
         F.sum((F.col("s") == 0).cast("long")).alias("cp"), F.sum((F.col("s") == 1).cast("long")).alias("cr"))
-    return counts.groupBy(*keys, "idx", "lp", "lr", "n").agg(F.sum(F.least("cp", "cr")).alias("overlap"))
+    return counts.groupBy(*keys, "idx", *carry, "lp", "lr", "n").agg(F.sum(F.least("cp", "cr")).alias("overlap"))
 
 
 def corpus_bleu(pairs: DataFrame, keys: list, pred: str = "generation", ref: str = "label",
@@ -89,14 +89,27 @@ def rouge_n(pairs: DataFrame, keys: list, pred: str = "generation", ref: str = "
     """M2: per pair ROUGE-1 and ROUGE-2 F (P = overlap / max(pred n-grams, 1), R likewise)."""
     ov = ngram_overlap(pairs, keys, rouge_normalized(F.col(pred)), rouge_normalized(F.col(ref)), orders=(1, 2),
                        partitioned=partitioned)
-    per = ov.groupBy(*keys, "idx", "lp", "lr").agg(
-        *[F.max(F.when(F.col("n") == n, F.col("overlap"))).alias(f"o{n}") for n in (1, 2)])
+    per = _overlap_columns(ov, [*keys, "idx"])
+    return per.select(*keys, "idx", *_rouge_n_columns())
+
+
+def _overlap_columns(ov: DataFrame, by: list) -> DataFrame:
+    return ov.groupBy(*by, "lp", "lr").agg(*[F.max(F.when(F.col("n") == n, F.col("overlap"))).alias(f"o{n}") for n in (1, 2)])
+
+
+def _rouge_n_columns() -> list[Column]:
     cols = []
     for n in (1, 2):
         p = F.col(f"o{n}") / F.greatest(F.col("lp") - n + 1, F.lit(1))
         r = F.col(f"o{n}") / F.greatest(F.col("lr") - n + 1, F.lit(1))
         cols.append(round6(f_measure(p, r)).alias(f"rouge{n}"))
-    return per.select(*keys, "idx", *cols)
+    return cols
+
+
+def _rouge_l_column() -> Column:
+    p = F.when(F.col("lp") > 0, F.col("lcs") / F.col("lp")).otherwise(F.lit(0.0))
+    r = F.when(F.col("lr") > 0, F.col("lcs") / F.col("lr")).otherwise(F.lit(0.0))
+    return round6(f_measure(p, r)).alias("rougeL")
 
 
 def rouge_l(pairs: DataFrame, keys: list, pred: str = "generation", ref: str = "label", dedupe: bool = False,
@@ -115,17 +128,21 @@ def rouge_l(pairs: DataFrame, keys: list, pred: str = "generation", ref: str = "
     if dedupe:
         scored = src.join(scored, [src["_g"].eqNullSafe(scored["_g"]), src["_l"].eqNullSafe(scored["_l"])]).select(
             *[src[k] for k in keys], src["idx"], "lcs", "lp", "lr")
-    p = F.when(F.col("lp") > 0, F.col("lcs") / F.col("lp")).otherwise(F.lit(0.0))
-    r = F.when(F.col("lr") > 0, F.col("lcs") / F.col("lr")).otherwise(F.lit(0.0))
-    return scored.select(*keys, "idx", F.col("lcs").cast("long").alias("lcs"), round6(f_measure(p, r)).alias("rougeL"))
+    return scored.select(*keys, "idx", F.col("lcs").cast("long").alias("lcs"), _rouge_l_column())
 
 
 def rouge_scores(pairs: DataFrame, keys: list, pred: str = "generation", ref: str = "label",
                  partitioned: bool = False) -> DataFrame:
-    """Per pair ROUGE-1, -2, -L F (one row per pair)."""
-    n = rouge_n(pairs, keys, pred, ref, partitioned)
-    l_ = rouge_l(pairs, keys, pred, ref, partitioned=partitioned).drop("lcs")
-    return n.join(l_, [*keys, "idx"])
+    """Per pair ROUGE-1, -2, -L F (one row per pair), in one pass: the LCS is taken on the pair's row
+    where the n-grams are made, and goes through their aggregation with the pair's key."""
+    src = pairs.select(*keys, "idx", F.col(pred).alias("_g"), F.col(ref).alias("_l"))
+    if not partitioned:
+        src = src.repartition(*keys, "idx")
+    base = src.select("*", lcs_udf(rouge_tokens(F.col("_g")), rouge_tokens(F.col("_l"))).alias("lcs"))
+    ov = ngram_overlap(base, keys, rouge_normalized(F.col("_g")), rouge_normalized(F.col("_l")), orders=(1, 2),
+                       partitioned=True, carry=("lcs",))
+    per = _overlap_columns(ov, [*keys, "idx", "lcs"])
+    return per.select(*keys, "idx", *_rouge_n_columns(), _rouge_l_column())
 
 
 def rouge_corpus(per_pair: DataFrame, keys: list) -> DataFrame:
@@ -178,14 +195,15 @@ EMBED_BROADCAST_LIMIT = 128 << 20
 
 
 def embedding_f1(pairs: DataFrame, keys: list, vectors: DataFrame, pred: str = "generation", ref: str = "label",
-                 broadcast_limit: int = EMBED_BROADCAST_LIMIT, partitioned: bool = False) -> DataFrame:
+                 broadcast_limit: int = EMBED_BROADCAST_LIMIT, partitioned: bool = False, carry: list | None = None) -> DataFrame:
     """M5: per pair (P, R, F) by greedy max-cosine over token vectors (tokens = single-space split,
     empties dropped; tokens without a vector are ignored).  A token with several vectors takes the least
-    of them; vectors that are NULL or hold NULLs count as none.
+    of them; vectors that are NULL or hold NULLs count as none.  ``carry`` columns go along with their pair.
 
     Size-checked broadcast: a one-row aggregate measures the vector table; when it fits
     ``broadcast_limit`` it is broadcast and the pairs are scored in one narrow pass (no shuffle).
     Beyond the limit the vectors travel by a join on token and are regrouped per pair."""
+    carry = list(carry or [])
     tok = lambda c: F.filter(F.split(F.col(c), " "), lambda x: x != "")
     # one vector per token, none with NULLs: both paths below then see the same table
     usable = F.col("token").isNotNull() & F.col("embedding").isNotNull() & ~F.exists("embedding", lambda x: x.isNull())
@@ -205,20 +223,20 @@ def embedding_f1(pairs: DataFrame, keys: list, vectors: DataFrame, pred: str = "
         bc = pairs.sparkSession.sparkContext.broadcast(small)
         # spread the CPU-heavy scoring over tasks by pair key (text moves, vectors do not)
         src = pairs if partitioned else pairs.repartition(*keys, "idx")
-        m = src.select(*keys, "idx", greedy_f1_lookup_udf(bc)(tok(pred), tok(ref)).alias("m"))
-        return m.select(*keys, "idx", F.col("m.p").alias("p"), F.col("m.r").alias("r"), F.col("m.f").alias("f1"))
+        m = src.select(*keys, "idx", *carry, greedy_f1_lookup_udf(bc)(tok(pred), tok(ref)).alias("m"))
+        return m.select(*keys, "idx", *carry, F.col("m.p").alias("p"), F.col("m.r").alias("r"), F.col("m.f").alias("f1"))
     tagged = F.concat(
         F.transform(tok(pred), lambda t: F.struct(F.lit(0).alias("s"), t.alias("t"))),
         F.transform(tok(ref), lambda t: F.struct(F.lit(1).alias("s"), t.alias("t"))),
     )
-    e = pairs.select(*keys, "idx", F.explode_outer(tagged).alias("x")).select(
-        *keys, "idx", F.col("x.s").alias("s"), F.col("x.t").alias("token"))
+    e = pairs.select(*keys, "idx", *carry, F.explode_outer(tagged).alias("x")).select(
+        *keys, "idx", *carry, F.col("x.s").alias("s"), F.col("x.t").alias("token"))
     j = e.join(v, "token", "left")
-    g = j.groupBy(*keys, "idx").agg(
+    g = j.groupBy(*keys, "idx", *carry).agg(
         F.collect_list(F.when(F.col("s") == 0, F.col("embedding"))).alias("pv"),
         F.collect_list(F.when(F.col("s") == 1, F.col("embedding"))).alias("rv"))
-    m = g.select(*keys, "idx", greedy_f1_udf("pv", "rv").alias("m"))
-    return m.select(*keys, "idx", F.col("m.p").alias("p"), F.col("m.r").alias("r"), F.col("m.f").alias("f1"))
+    m = g.select(*keys, "idx", *carry, greedy_f1_udf("pv", "rv").alias("m"))
+    return m.select(*keys, "idx", *carry, F.col("m.p").alias("p"), F.col("m.r").alias("r"), F.col("m.f").alias("f1"))
 
 
 def embedding_f1_corpus(per_pair: DataFrame, keys: list) -> DataFrame:

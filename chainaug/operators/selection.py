@@ -15,10 +15,10 @@ CRITERIA = {"rouge12L": "score_rouge12l", "rougeL": "score_rougel"}
 def latest_run(log: DataFrame, n: int = 21, keys=("run", "fold")) -> DataFrame:
     """Last n rows of each (run, fold) by seq, renumbered pos = 0..(rows kept - 1)."""
     w = Window.partitionBy(*keys).orderBy(F.col("seq").desc())
-    cnt = Window.partitionBy(*keys)
-    t = log.withColumn("_rd", F.row_number().over(w)).withColumn("_c", F.count(F.lit(1)).over(cnt))
-    t = t.where(F.col("_rd") <= n)
-    return t.withColumn("pos", (F.least(F.col("_c"), F.lit(n)) - F.col("_rd")).cast("int")).drop("_rd", "_c")
+    # the limit right after the numbering lets Spark drop older rows before the shuffle; then the kept are counted
+    t = log.withColumn("_rd", F.row_number().over(w)).where(F.col("_rd") <= n)
+    t = t.withColumn("_c", F.count(F.lit(1)).over(Window.partitionBy(*keys)))
+    return t.withColumn("pos", (F.col("_c") - F.col("_rd")).cast("int")).drop("_rd", "_c")
 
 
 def skip_head(log: DataFrame, fold: int, n: int, keys=("run", "fold")) -> DataFrame:
@@ -29,13 +29,13 @@ def skip_head(log: DataFrame, fold: int, n: int, keys=("run", "fold")) -> DataFr
     return t.withColumn("pos", (F.row_number().over(w) - 1).cast("int")).drop("_r")
 
 
-def kfold_mean(tail: DataFrame, k: int = 5) -> DataFrame:
-    """A1: per (run, pos) mean of every metric over the folds; NULL unless all k folds are present
+def kfold_mean(tail: DataFrame, k: int = 5, keys=("run",)) -> DataFrame:
+    """A1: per (keys, pos) mean of every metric over the folds; NULL unless all k folds are present
     (pandas adds by label and yields NaN when a fold lacks the position)."""
     full = F.countDistinct("fold") == k
     aggs = [F.when(full, mean6(F.col(m))).alias(m) for m in METRICS]
     aggs.append(F.when(full, mean6(F.col("epoch").cast("double"))).alias("epoch"))
-    return tail.groupBy("run", "pos").agg(*aggs)
+    return tail.groupBy(*keys, "pos").agg(*aggs)
 
 
 def composite(mean: DataFrame) -> DataFrame:
@@ -69,14 +69,16 @@ def best_epoch_grid(scored: DataFrame, keys=("run",)) -> DataFrame:
     )
 
 
-def model_selection(log: DataFrame, n: int = 21, k: int = 5, criterion: str = "rouge12L") -> DataFrame:
-    """Logs -> tail -> fold mean -> composites -> best position per run."""
-    return best_epoch(composite(kfold_mean(latest_run(log, n), k)), criterion)
+def model_selection(log: DataFrame, n: int = 21, k: int = 5, criterion: str = "rouge12L", keys=("run",)) -> DataFrame:
+    """Logs -> tail -> fold mean -> composites -> best position per grid entry (``keys``)."""
+    return best_epoch(composite(kfold_mean(latest_run(log, n, (*keys, "fold")), k, keys)), criterion, keys)
 
 
-def late_best_epochs(log: DataFrame, n: int = 30, k: int = 5, min_pos: int = 20) -> DataFrame:
-    """Grid entries whose best position is >= min_pos."""
-    grid = best_epoch_grid(composite(kfold_mean(latest_run(log, n), k)))
+def late_best_epochs(log: DataFrame, n: int = 30, k: int = 5, min_pos: int = 20, keys=("run",)) -> DataFrame:
+    """Grid entries whose best position is >= min_pos; of a grid with a ``filtering`` key, the filtered ones."""
+    if "filtering" in keys:
+        log = log.where(F.col("filtering") == "true")
+    grid = best_epoch_grid(composite(kfold_mean(latest_run(log, n, (*keys, "fold")), k, keys)), keys)
     return grid.where(F.col("best_pos") >= min_pos)
 
 

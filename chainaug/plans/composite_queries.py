@@ -40,10 +40,13 @@ def _gen_sql(label: str, key: str) -> str:
 
 def _chain_round(src: str) -> str:
     key = f"round || ':' || target || ':' || idx || ':' || {H('input_premise')}"
-    gen = _gen_sql("label", key)
-    return f"""SELECT idx, round, target, input_premise, generation, label,
-        {R6("(2 * len(string_split(generation, ' ')))::DOUBLE / (len(string_split(generation, ' ')) + len(string_split(label, ' ')))")} AS f1
-        FROM (SELECT *, {gen} AS generation FROM ({src}))"""
+    times = lambda x: f"len(list_filter({x}, lambda y: y = t))"
+    overlap = f"coalesce(list_sum(list_transform(list_distinct(g), lambda t: least({times('g')}, {times('l')}))), 0)"
+    return f"""SELECT idx, round, target, input, generation, label,
+        {R6(f"(2 * {overlap})::DOUBLE / (len(g) + len(l))")} AS f1
+        FROM (SELECT *, string_split(generation, ' ') AS g, string_split(label, ' ') AS l FROM (
+          SELECT *, {_gen_sql("input", key)} AS generation
+          FROM (SELECT *, 'Syllogistic: ' || input_premise || ' <sep> ' || conclusion AS input FROM ({src}))))"""
 
 
 _R1 = """SELECT v.idx, 1 AS round, t.target, CASE t.target WHEN 'prem1' THEN v.premise_2 ELSE v.premise_1 END AS input_premise,

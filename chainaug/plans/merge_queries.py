@@ -6,10 +6,11 @@ from pyspark.sql import functions as F
 
 from ..operators import augment as A
 from ..sources import fixtures as X
+from .metric_queries import emb_sql
 from .oracle_views import with_ctes
 from .registry import query
 
-# Band used with the built-in generator's token-overlap score (FIXTURES.md: useful band).
+# Band of scores that keeps some generations and drops some (embedding F1 and token overlap alike).
 FLOOR, CEIL = 0.90, 0.99
 
 _P12 = [
@@ -19,6 +20,12 @@ _P12 = [
 ]
 
 
+# the same premise tables with the embedding F1 of each generation for its score
+SCORED = [("gp", "SELECT round, target, idx, generation, label FROM generation")] + emb_sql("gp", "round, target") + [
+    ("scored", "SELECT g.* EXCLUDE (f1), e.f1 FROM generation g JOIN emb e USING (round, target, idx)")]
+_P12S = SCORED + [(name, body.replace("FROM generation", "FROM scored")) for name, body in _P12]
+
+
 def _band(c: str) -> str:
     return f"({c} > {FLOOR} AND {c} < {CEIL} AND NOT isnan({c}))"
 
@@ -42,12 +49,13 @@ def _method_sql(method: str, filtering: bool) -> str:
     return "\nUNION ALL\n".join(parts)
 
 
-def method_cte(method: str, filtering: bool = True) -> list[tuple[str, str]]:
-    return _P12 + [("tset", _method_sql(method, filtering))]
+def method_cte(method: str, filtering: bool = True, scored: bool = False) -> list[tuple[str, str]]:
+    return (_P12S if scored else _P12) + [("tset", _method_sql(method, filtering))]
 
 
-def training(spark, d, method, filtering=True):
-    return A.training_set(method, *X.valid_and_generation(spark, d), filtering, FLOOR, CEIL)
+def training(spark, d, method, filtering=True, scored=False):
+    g = X.scored_generation(spark, d) if scored else X.generation(spark, d)
+    return A.training_set(method, X.valid(spark, d), g, filtering, FLOOR, CEIL)
 
 
 @query("valid_syllogisms", with_ctes(["valid"], [], "SELECT idx, premise_1, premise_2, relation, conclusion FROM valid"))
@@ -60,17 +68,19 @@ def kfold_assign(spark, d):
     return X.folds(spark, d)
 
 
-@query("generate_oof", with_ctes(["generation"], [], "SELECT idx, round, target, fold, generation, label, f1 FROM generation"))
+@query("generate_oof", with_ctes(["generation", "valid"], [], """
+SELECT g.idx, round, target, fold, 'Syllogistic: ' || CASE target WHEN 'prem1' THEN premise_2 ELSE premise_1 END || ' <sep> ' || conclusion AS input,
+       generation, label, f1 FROM generation g JOIN valid v ON g.idx = v.idx"""))
 def generate_oof(spark, d):
-    return X.generation(spark, d)
+    return X.generation_with_input(spark, d)
 
 
 for _m in A.METHODS:
     def _make(m):
         def run(spark, d):
-            return training(spark, d, m, True)
+            return training(spark, d, m, True, scored=True)
         return run
-    query(_m, with_ctes(["generation", "valid"], method_cte(_m, True), "SELECT * FROM tset"))(_make(_m))
+    query(_m, with_ctes(["generation", "valid", "token_vectors"], method_cte(_m, True, scored=True), "SELECT * FROM tset"))(_make(_m))
 
 
 @query("aug_pair_unfiltered", with_ctes(["generation", "valid"], method_cte("aug_pair", False), "SELECT * FROM tset"))
@@ -78,18 +88,18 @@ def aug_pair_unfiltered(spark, d):
     return training(spark, d, "aug_pair", False)
 
 
-@query("band_filter", with_ctes(["generation"], [],
-       f"SELECT idx, round, target, f1 FROM generation WHERE {_band('f1')}"))
+@query("band_filter", with_ctes(["generation", "token_vectors"], SCORED,
+       f"SELECT idx, round, target, f1 FROM scored WHERE {_band('f1')}"))
 def band_filter(spark, d):
-    g = X.generation(spark, d)
+    g = X.scored_generation(spark, d)
     return g.where(A.band(F.col("f1"), FLOOR, CEIL)).select("idx", "round", "target", "f1")
 
 
-@query("pair_band_filter", with_ctes(["generation", "valid"], _P12,
+@query("pair_band_filter", with_ctes(["generation", "valid", "token_vectors"], _P12S,
        "SELECT p1.idx, p1.round, p1.premise_1_f1, p2.premise_2_f1 FROM p1 JOIN p2 ON p1.idx = p2.idx AND p1.round = p2.round "
        f"WHERE {_band('p1.premise_1_f1')} AND {_band('p2.premise_2_f1')}"))
 def pair_band_filter(spark, d):
-    v, g = X.valid_and_generation(spark, d)
+    v, g = X.valid(spark, d), X.scored_generation(spark, d)
     j = A.generated_pairs(g, v)
     return j.where(A.pair_band(F.col("premise_1_f1"), F.col("premise_2_f1"), FLOOR, CEIL)).select(
         "idx", "round", "premise_1_f1", "premise_2_f1")

@@ -3,7 +3,7 @@ A5-A12, K2-K4, P1, P10, J4, J7-J10, U1, U5, W2, W3."""
 
 from __future__ import annotations
 
-from functools import reduce
+import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -14,7 +14,7 @@ from ..operators import folds as K
 from ..operators import profile as PR
 from ..operators.generate import drop_token_generator
 from ..operators.numbering import with_position
-from ..session import materialize
+from ..session import checkpoint_dir, materialize
 from ..sources import fixtures as X
 from .merge_queries import CEIL, FLOOR, _P12, _band, _method_sql
 from .oracle_views import H, with_ctes
@@ -222,18 +222,16 @@ def final_split(spark, d):
 
 @query("fold_union", with_ctes(["generation"], [], "SELECT idx, round, target, fold, generation FROM generation"))
 def fold_union(spark, d):
-    """Each fold's held-out rows are generated separately (by the model trained without that
-    fold), then the five outputs are unioned by name."""
+    """Every fold's held-out rows go to a folder of the fold, in one pass; their union is one read of
+    all folders."""
     from ..operators.generate import generation_rows
 
     rows = generation_rows(X.valid_folds(spark, d), 3)
     key = F.concat_ws(":", F.col("round"), F.col("target"), F.col("idx"))
-    parts = [
-        rows.where(F.col("fold") == f).select(
-            "idx", "round", "target", "fold", drop_token_generator(F.col("label"), key).alias("generation"))
-        for f in range(5)
-    ]
-    return reduce(lambda a, b: a.unionByName(b), parts)
+    out = rows.select("idx", "round", "target", "fold", drop_token_generator(F.col("label"), key).alias("generation"))
+    path = f"{checkpoint_dir(spark).rstrip('/')}/folds-{uuid.uuid4().hex}"
+    out.write.partitionBy("fold").parquet(path)
+    return spark.read.schema(out.schema).parquet(path).select(*out.columns)
 
 
 @query("generation_agreement", with_ctes(["scored_run"], [], """
@@ -243,12 +241,7 @@ FROM scored_run a JOIN scored_run b ON a.idx = b.idx
 WHERE (a.run, b.run) IN (('run5', 'run10'), ('run5', 'run20'), ('run10', 'run20'))
 GROUP BY a.run, b.run"""))
 def generation_agreement(spark, d):
-    s = X.scored_run(spark, d)
-    out = []
-    for ra, rb in (("run5", "run10"), ("run5", "run20"), ("run10", "run20")):
-        c = A.compare_generations(s.where(F.col("run") == ra), s.where(F.col("run") == rb))
-        out.append(c.select(F.lit(ra).alias("run_a"), F.lit(rb).alias("run_b"), "n_rows", "n_equal"))
-    return reduce(DataFrame.unionByName, out)
+    return A.compare_generations(X.scored_run(spark, d), [("run5", "run10"), ("run5", "run20"), ("run10", "run20")])
 
 
 @query("column_concat", with_ctes(["generation", "valid"], [], f"""

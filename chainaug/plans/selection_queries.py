@@ -20,18 +20,18 @@ def M6(x: str) -> str:
     return R6(f"sum(floor(({x}) * 1e6 + 0.5))::DOUBLE / (count({x}) * 1e6)")
 
 
-def tail_cte(n: int, name: str = "tail") -> tuple[str, str]:
-    return (name, f"""SELECT {LOG_COLS}, (least(c, {n}) - rd)::INTEGER AS pos FROM (
-        SELECT *, row_number() OVER (PARTITION BY run, fold ORDER BY seq DESC) AS rd,
-                  count(*) OVER (PARTITION BY run, fold) AS c FROM epoch_log) WHERE rd <= {n}""")
+def tail_cte(n: int, name: str = "tail", src: str = "epoch_log", keys: str = "run", cols: str = LOG_COLS) -> tuple[str, str]:
+    return (name, f"""SELECT {cols}, (least(c, {n}) - rd)::INTEGER AS pos FROM (
+        SELECT *, row_number() OVER (PARTITION BY {keys}, fold ORDER BY seq DESC) AS rd,
+                  count(*) OVER (PARTITION BY {keys}, fold) AS c FROM {src}) WHERE rd <= {n}""")
 
 
-def mean_cte(src: str = "tail", k: int = 5) -> tuple[str, str]:
+def mean_cte(src: str = "tail", k: int = 5, keys: str = "run") -> tuple[str, str]:
     cols = ", ".join(
         f"CASE WHEN count(DISTINCT fold) = {k} THEN {M6(m)} END AS {m}" for m in S.METRICS
     )
-    return ("km", f"SELECT run, pos, {cols}, CASE WHEN count(DISTINCT fold) = {k} THEN {M6('epoch::DOUBLE')} END AS epoch "
-                  f"FROM {src} GROUP BY run, pos")
+    return ("km", f"SELECT {keys}, pos, {cols}, CASE WHEN count(DISTINCT fold) = {k} THEN {M6('epoch::DOUBLE')} END AS epoch "
+                  f"FROM {src} GROUP BY {keys}, pos")
 
 
 COMPOSITE = ("kc", f"SELECT *, {R6('val_bleu + val_rouge1 + val_rouge2 + val_rougeL')} AS score_rouge12l, "
@@ -44,9 +44,24 @@ def best_sql(src: str, col: str, keys: str = "run") -> str:
             f"WHERE {col} IS NOT NULL AND NOT isnan({col}) GROUP BY {keys}")
 
 
+#: a grid of method (the run) x round (event days by halves of the month) x filtering (even and odd days)
+GRID_KEYS = ["run", "round", "filtering"]
+GRID_LOG = ("grid_log", """SELECT *, CASE WHEN seq % 30 < 15 THEN 1 ELSE 2 END AS round,
+       CASE WHEN seq % 2 = 0 THEN 'true' ELSE 'false' END AS filtering FROM epoch_log""")
+_K = ", ".join(GRID_KEYS)
 GRID = ("grid", best_sql(
-    "(SELECT run, pos, 'rouge12L' AS criterion, score_rouge12l AS score FROM kc "
-    "UNION ALL SELECT run, pos, 'rougeL', score_rougel FROM kc)", "score", "run, criterion"))
+    f"(SELECT {_K}, pos, 'rouge12L' AS criterion, score_rouge12l AS score FROM kc "
+    f"UNION ALL SELECT {_K}, pos, 'rougeL', score_rougel FROM kc)", "score", f"{_K}, criterion"))
+
+
+def grid_ctes(n: int, where: str = "true") -> list[tuple[str, str]]:
+    src = f"(SELECT * FROM grid_log WHERE {where})"
+    return [GRID_LOG, tail_cte(n, "tail", src, _K, f"{LOG_COLS}, round, filtering"), mean_cte("tail", 5, _K), COMPOSITE, GRID]
+
+
+def grid_log(spark, d):
+    return X.epoch_log(spark, d).withColumns({
+        "round": F.when(F.col("seq") % 30 < 15, 1).otherwise(2), "filtering": F.when(F.col("seq") % 2 == 0, "true").otherwise("false")})
 
 
 @query("latest_run_tail", with_ctes(["epoch_log"], [tail_cte(21)], "SELECT * FROM tail"))
@@ -77,9 +92,10 @@ def best_epoch(spark, d):
     return S.best_epoch(S.composite(S.kfold_mean(S.latest_run(X.epoch_log(spark, d), 21), 5)), "rougeL")
 
 
-@query("best_epoch_grid", with_ctes(["epoch_log"], [tail_cte(21), mean_cte(), COMPOSITE, GRID], "SELECT * FROM grid"))
+@query("best_epoch_grid", with_ctes(["epoch_log"], grid_ctes(21), "SELECT * FROM grid"))
 def best_epoch_grid(spark, d):
-    return S.best_epoch_grid(S.composite(S.kfold_mean(S.latest_run(X.epoch_log(spark, d), 21), 5)))
+    tail = S.latest_run(grid_log(spark, d), 21, (*GRID_KEYS, "fold"))
+    return S.best_epoch_grid(S.composite(S.kfold_mean(tail, 5, GRID_KEYS)), GRID_KEYS)
 
 
 @query("model_selection", with_ctes(["epoch_log"], [tail_cte(21), mean_cte(), COMPOSITE], best_sql("kc", "score_rouge12l")))
@@ -87,10 +103,10 @@ def model_selection(spark, d):
     return S.model_selection(X.epoch_log(spark, d), 21, 5, "rouge12L")
 
 
-@query("late_best_epochs", with_ctes(["epoch_log"], [tail_cte(30), mean_cte(), COMPOSITE, GRID],
-                                     "SELECT * FROM grid WHERE best_pos >= 20"))
+@query("late_best_epochs", with_ctes(["epoch_log"], grid_ctes(30, "filtering = 'true'"),
+                                     "SELECT * FROM grid WHERE best_pos >= 5"))
 def late_best_epochs(spark, d):
-    return S.late_best_epochs(X.epoch_log(spark, d), n=30, k=5, min_pos=20)
+    return S.late_best_epochs(grid_log(spark, d), n=30, k=5, min_pos=5, keys=GRID_KEYS)
 
 
 @query("mean_batch_loss", with_ctes(["epoch_log"], [("pb", """

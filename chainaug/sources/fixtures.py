@@ -149,6 +149,23 @@ def generation(spark: SparkSession, d: str, rounds: int = 3) -> DataFrame:
     return materialize(out)
 
 
+def generation_with_input(spark: SparkSession, d: str, rounds: int = 3) -> DataFrame:
+    """The generations with the prompt that a model would get (``input``), as a lazy plan."""
+    rows = generation_rows(valid_folds(spark, d), rounds)
+    key = F.concat_ws(":", F.col("round"), F.col("target"), F.col("idx"))
+    gen = rows.withColumn("generation", drop_token_generator(F.col("label"), key))
+    return gen.select("idx", "round", "target", "fold", "input", "generation", "label", overlap_f1(F.col("generation"), F.col("label")).alias("f1"))
+
+
+@_shared
+def scored_generation(spark: SparkSession, d: str) -> DataFrame:
+    """The generations with ``f1`` = embedding F1 against their labels (M5); the texts travel with the score."""
+    from ..operators import metrics as MT
+
+    g = MT.embedding_f1(generation(spark, d), ["round", "target"], token_vectors(spark, d), partitioned=True, carry=["fold", "generation", "label"])
+    return g.select("idx", "round", "target", "fold", "generation", "label", "f1")
+
+
 @_shared
 def epoch_log(spark: SparkSession, d: str) -> DataFrame:
     """Per (event type, user_id mod 5, day): one log row; day 0 is the pre-training entry."""

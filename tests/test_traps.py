@@ -259,11 +259,11 @@ def test_stream_is_idempotent_on_replay(spark, tmpdir_path):
 def test_pandas_generator_hook_sees_one_fold_at_a_time(spark):
     from chainaug.operators.generate import generate_with_pandas
 
-    rows = spark.createDataFrame([(i, i % 5, f"text {i}") for i in range(50)], "idx long, fold int, input string")
+    rows = spark.createDataFrame([(i, i % 5, f"text {i}", "gold") for i in range(50)], "idx long, fold int, input string, label string")
     seen = []
 
     def gen(fold, pdf):
-        assert (pdf["fold"] == fold).all()
+        assert (pdf["fold"] == fold).all() and "label" not in pdf.columns
         return pdf["input"].str.upper() + f" /{fold}"
 
     out = generate_with_pandas(rows, gen).collect()
@@ -414,3 +414,37 @@ def test_batch_means_of_any_batch_size(spark):
 def test_decoder_shift_flags_a_cut(spark):
     df = spark.createDataFrame([([1, 2, 3],), ([1, 2, 3, 4, 5, 6],)], "ids array<int>")
     assert [r[0] for r in df.select(SQ.decoder_shift(F.col("ids"), 4)[3]).collect()] == [False, True]
+
+
+def test_unrelated_text_of_equal_length_scores_nothing(spark):
+    from chainaug.operators.generate import overlap_f1
+
+    rows = [("x y z", "a b c", 0.0), ("a b c", "c b a", 1.0), ("a a b", "a b b", round(4 / 6, 6)), ("a", "a b c", 0.5), ("a a a", "a", 0.5)]
+    df = spark.createDataFrame(rows, "g string, l string, want double")
+    assert all(abs(r.f1 - r.want) < 1e-6 for r in df.select("want", overlap_f1(F.col("g"), F.col("l")).alias("f1")).collect())
+
+
+def test_chain_generates_from_the_input_with_a_model_hook(spark):
+    from chainaug.operators.chain import chain
+
+    o = spark.createDataFrame([(i, i % 5, f"p{i}", f"q{i}", f"c{i}") for i in range(10)], "idx long, fold int, premise_1 string, premise_2 string, conclusion string")
+
+    def model(fold, rows):
+        assert not {"label", "premise_1", "premise_2"} & set(rows.columns) and (rows["fold"] == fold).all()
+        return rows["input"].str.replace("Syllogistic: ", f"[{fold}] ")
+
+    got = {(r["idx"], r["round"], r["target"]): r for r in chain(o, 2, pandas_generator=model).collect()}
+    assert len(got) == 40
+    assert got[3, 1, "prem1"]["generation"] == "[3] q3 <sep> c3"
+    assert got[3, 2, "prem2"]["input"] == "Syllogistic: [3] q3 <sep> c3 <sep> c3" and got[3, 2, "prem2"]["label"] == "q3"
+
+
+def test_bands_keep_some_generations_and_drop_some(spark):
+    from chainaug.operators import augment as AU
+    from chainaug.plans.merge_queries import CEIL, FLOOR
+    from chainaug.sources import fixtures as X
+    from conftest import SF_SMALL
+
+    g = X.scored_generation(spark, SF_SMALL)
+    kept = g.where(AU.band(F.col("f1"), FLOOR, CEIL)).count()
+    assert 0.05 * g.count() < kept < 0.95 * g.count()
