@@ -37,10 +37,11 @@ NO_TEXT_ROLES = frozenset("navigation banner contentinfo complementary search fo
 NO_TEXT_NAMES = frozenset(
     "ad ads adbox adslot advert adverts advertisement advertisements advertising sponsor sponsored promo promos promotion nav navbar "
     "navigation menu menus submenu breadcrumb breadcrumbs sidebar sidebars aside footer masthead banner cookie cookies consent "
-    "gdpr notice notices alert alerts popup modal overlay newsletter subscribe subscription signup signin login form forms comment comments "
+    "gdpr adsense adsbygoogle adunit commercial notice notices alert alerts popup modal overlay newsletter subscribe subscription signup signin login form forms comment comments "
     "commentlist disqus respond reply replies discussion share sharing social related recommended recommendations widget widgets "
     "toolbar pagination pager paywall".split())
-HEADS = frozenset("header".split())
+TEXT_NAMES = frozenset("article post entry story content main".split())  # parts whose own header belongs to the text
+FRAME_NAMES = frozenset("wrapper wrap container page layout site outer body".split())
 WRAPPER_NAMES = frozenset("has with no without layout open closed".split())
 TEXT_ROOTS = frozenset("article main".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -161,17 +162,18 @@ def _without_text(tree: Tree) -> list[bool]:
     for k in range(n - 1, 0, -1):
         if holds_root[k] or tree.tag[k] in TEXT_ROOTS and not named[k][0] & NO_TEXT_NAMES:
             holds_root[tree.parent[k]] = True
-    out, in_root = [False] * n, [False] * n
+    out, in_root, in_text = [False] * n, [False] * n, [False] * n
     for k in range(1, n):
         tag, (names, hidden) = tree.tag[k], named[k]
         up = tree.parent[k]
         in_root[k] = in_root[up] or tag in TEXT_ROOTS
+        in_text[k] = in_text[up] or in_root[k] or tag != "body" and bool(names & TEXT_NAMES) and not names & FRAME_NAMES
         if out[up] or tag in NO_TEXT or hidden:
             out[k] = True
         elif tag in ("html", "body") or holds_root[k]:
             continue
-        elif tag in HEADS or "header" in names and tag not in TEXT_ROOTS:
-            out[k] = not in_root[k]
+        elif tag == "header" or "header" in names and tag not in TEXT_ROOTS:
+            out[k] = not in_text[k]
         elif names & NO_TEXT_NAMES and not names & WRAPPER_NAMES:
             # the element of an article may say that it has comments; one that is a comment lies in another
             out[k] = tag not in TEXT_ROOTS or in_root[up] or bool(names & {"comment", "reply"})

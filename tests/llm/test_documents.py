@@ -215,6 +215,14 @@ def test_main_text_of_pages(spark):
     assert html_extract.extract_main_text(df.limit(0)).count() == 0
 
 
+def test_headers_of_the_page_go_and_of_the_text_stay():
+    text = "<p>" + "some words of the text " * 20 + "</p>"
+    for begin, end in (("<div class='post'><header class='x'>", "</header>"), ("<div id=content><div class='entry-header'>", "</div>"),
+                       ("<main><header>", "</header>"), ("<div class=story><div class='post-header'>", "</div>")):
+        page = f"<body><div class='page-wrapper main'><div class='site-header'><p>Site name and claim</p></div>{begin}<h1>Title</h1>{end}{text}{text}</body>"
+        assert html_extract.main_text(page).startswith("Title\nsome words") and "Site name" not in html_extract.main_text(page)
+
+
 def test_density_prefers_text_to_links():
     links = "".join(f"<li><a href=/{i}>link number {i}</a></li>" for i in range(60))
     page = f"<body><div><ul>{links}</ul></div><div><p>{'plain words ' * 30}</p><p>{'more words ' * 30}</p></div></body>"
