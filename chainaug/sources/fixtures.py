@@ -134,36 +134,40 @@ def valid_and_generation(spark: SparkSession, d: str):
     return valid(spark, d), generation(spark, d)
 
 
+def _generation_plan(spark: SparkSession, d: str, rounds: int = 3) -> DataFrame:
+    rows = generation_rows(valid_folds(spark, d), rounds)
+    key = F.concat_ws(":", F.col("round"), F.col("target"), F.col("idx"))
+    gen = rows.withColumn("generation", drop_token_generator(F.col("label"), key))
+    return gen.withColumn("f1", overlap_f1(F.col("generation"), F.col("label")))
+
+
 @_shared
 def generation(spark: SparkSession, d: str, rounds: int = 3) -> DataFrame:
     """Out-of-fold generations of both premises for rounds 1..rounds (built-in generator).
 
     Materialised like the output of a batch-inference job: downstream filters on ``f1`` then
     read stored values instead of Catalyst inlining the generator into every pushed-down filter."""
-    rows = generation_rows(valid_folds(spark, d), rounds)
-    key = F.concat_ws(":", F.col("round"), F.col("target"), F.col("idx"))
-    gen = drop_token_generator(F.col("label"), key)
-    out = rows.select(
-        "idx", "round", "target", "fold", gen.alias("generation"), "label"
-    ).withColumn("f1", overlap_f1(F.col("generation"), F.col("label")))
-    return materialize(out)
+    return materialize(_generation_plan(spark, d, rounds).select("idx", "round", "target", "fold", "generation", "label", "f1"))
 
 
 def generation_with_input(spark: SparkSession, d: str, rounds: int = 3) -> DataFrame:
     """The generations with the prompt that a model would get (``input``), as a lazy plan."""
-    rows = generation_rows(valid_folds(spark, d), rounds)
-    key = F.concat_ws(":", F.col("round"), F.col("target"), F.col("idx"))
-    gen = rows.withColumn("generation", drop_token_generator(F.col("label"), key))
-    return gen.select("idx", "round", "target", "fold", "input", "generation", "label", overlap_f1(F.col("generation"), F.col("label")).alias("f1"))
+    return _generation_plan(spark, d, rounds).select("idx", "round", "target", "fold", "input", "generation", "label", "f1")
 
 
 @_shared
 def scored_generation(spark: SparkSession, d: str) -> DataFrame:
-    """The generations with ``f1`` = embedding F1 against their labels (M5); the texts travel with the score."""
+    """The generations with ``f1`` = embedding F1 against their labels (M5); the texts travel with the score.
+
+    Stored hash-partitioned by idx (a Python stage forgets the partitioning of its input), so the merges
+    join without an exchange and no score is computed twice."""
     from ..operators import metrics as MT
 
-    g = MT.embedding_f1(generation(spark, d), ["round", "target"], token_vectors(spark, d), partitioned=True, carry=["fold", "generation", "label"])
-    return g.select("idx", "round", "target", "fold", "generation", "label", "f1")
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    carry = ["fold", "generation", "label"]
+    plan = _generation_plan(spark, d).select("idx", "round", "target", *carry)
+    g = MT.embedding_f1(plan, ["round", "target"], token_vectors(spark, d), partitioned=True, carry=carry)
+    return materialize(g.select("idx", "round", "target", *carry, "f1").repartition(n, "idx"))
 
 
 @_shared
