@@ -30,14 +30,14 @@ from pyspark.sql import functions as F
 
 from .components import connected_components
 from .kernels import SPACE_WORDS, Words, chunks, mix64, utf8
-from .learning import sample_ids
 from .tables import Stage, semi_join_texts
 
 BAND = 1.5  # size ratio of a tile's band
 BLOCK_SHINGLES = 1 << 20  # shingles in one block of a family ...
 LEAST_WEIGHT = 512  # ... where a set counts as this many at least, so a block holds 2,048 sets at most
-POPULAR_SAMPLE = 4000  # documents in which popular shingles are looked for ...
-POPULAR_MOST = 1 << 20  # ... of which this many are broadcast at most (8 MB)
+SAMPLE_ONE_IN = 12  # of the documents, those in which popular shingles are looked for
+POPULAR_BITS = 26  # popular shingles are broadcast as a bitmap of 2 ** 26 bits (8 MB), whatever the data
+POPULAR_MOST = 1 << 22  # of which at most this many are set, the most frequent ones
 _SEEN = 1 << 20  # sets that a task remembers so that copies emit their keys once
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -109,37 +109,47 @@ def tile_keys(hashes: np.ndarray, tile: int, threshold: Fraction) -> np.ndarray:
 
 
 def keys_of(hashes: np.ndarray, threshold: Fraction, popular: np.ndarray) -> list[tuple[int, np.ndarray]]:
-    """(tile, keys) of a set for the tiles it belongs to; ``popular`` are sorted shingles to leave out."""
+    """(tile, keys) of a set for the tiles it belongs to; shingles whose bit is set in ``popular`` are left out."""
     n = len(hashes)
     if not n:
         return []
     own = band_of(n)
     tiles = [own] + [own + 1] * (n >= threshold * band_start(own + 1))
-    if len(popular):
-        at = np.minimum(np.searchsorted(popular, hashes), len(popular) - 1)
-        hashes = hashes[popular[at] != hashes]
+    at = hashes & np.uint64((1 << POPULAR_BITS) - 1)
+    hashes = hashes[(popular[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) == 0]
     return [(j, tile_keys(hashes, j, threshold)) for j in tiles]
 
 
-def _popular(texts: DataFrame, words_per_shingle: int) -> np.ndarray:
-    """Sorted shingles that two or more different sets of a sample hold.
+def _popular(stage: Stage, texts: DataFrame, words_per_shingle: int) -> np.ndarray:
+    """Bitmap of the shingles that two or more different sets of a sample hold: one document in
+    ``SAMPLE_ONE_IN``, by hash of the id.
 
-    The sample is ``POPULAR_SAMPLE`` ids, chosen by hash: a bound that decides how much work is spared, never
-    what is found."""
-    ids = sample_ids(texts.select("doc_id").where("doc_id is not null"), POPULAR_SAMPLE, "popular").distinct()
+    It decides how much work is spared, never what is found, so a bit that stands for other shingles too does
+    no harm, and its size needs no relation to the data's."""
+    sample = texts.where(F.pmod(F.xxhash64(F.lit("popular"), "doc_id"), F.lit(SAMPLE_ONE_IN)) == 0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for hashes in shingle_sets(utf8(batch["text"]), words_per_shingle):
-                if len(hashes):
-                    node = np.full(len(hashes), set_hash(hashes))
-                    yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(node)], ["shingle", "node"])
-
-    found = texts.join(F.broadcast(ids), "doc_id").mapInArrow(run, "shingle long, node long")
-    # one set in the sample more than once (copies) is no sign of popularity
-    many = found.groupBy("shingle").agg(F.min("node").alias("a"), F.max("node").alias("b"), F.count(F.lit(1)).alias("n")).where("a <> b")
-    rows = many.orderBy(F.desc("n"), "shingle").limit(POPULAR_MOST).select("shingle").toArrow()
-    return np.sort(rows["shingle"].to_numpy().view(np.uint64))
+            sets = [h for h in shingle_sets(utf8(batch["text"]), words_per_shingle) if len(h)]
+            for part in range(0, len(sets), 100):
+                some = sets[part : part + 100]
+                node = np.repeat(np.array([set_hash(h) for h in some], dtype=np.int64), [len(h) for h in some])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(some).view(np.int64)), pa.array(node)], ["shingle", "node"])
+
+    # a set that is in the sample more than once (copies) is no sign of popularity
+    many = sample.select("text").mapInArrow(run, "shingle long, node long").groupBy("shingle").agg(
+        F.min("node").alias("a"), F.max("node").alias("b"), F.count(F.lit(1)).alias("n")).where("a <> b").select("shingle", "n")
+    many = stage.write(many, "popular")
+    total = many.count()
+    if total > POPULAR_MOST:
+        least = many.agg(F.percentile_approx("n", 1 - POPULAR_MOST / total)).first()[0]
+        many = many.where(F.col("n") > least)
+    at = F.col("shingle").bitwiseAND(F.lit((1 << POPULAR_BITS) - 1))
+    bit = F.expr("shiftleft(1L, cast(shingle & 63 as int))")
+    rows = many.groupBy(F.shiftright(at, 6).alias("word")).agg(F.bit_or(bit).alias("bits")).toArrow()
+    words = np.zeros(1 << (POPULAR_BITS - 6), dtype=np.int64)
+    words[rows["word"].to_numpy()] = rows["bits"].to_numpy()
+    return words.view(np.uint64)
 
 
 SETS = "doc_id long, n_shingles long, node long, tiles array<int>, counts array<int>, keys binary"
@@ -300,7 +310,7 @@ def jaccard_components(docs: DataFrame, words_per_shingle: int = 3, threshold: f
     exact = Fraction(threshold).limit_denominator(1000)
     stage = Stage(spark)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    popular = spark.sparkContext.broadcast(_popular(texts, words_per_shingle))
+    popular = spark.sparkContext.broadcast(_popular(stage, texts, words_per_shingle))
     full = stage.write(texts.mapInArrow(_sets(words_per_shingle, exact, popular), SETS), "sets")
 
     sets = stage.write(full.select("doc_id", "n_shingles", "node"), "nodes")
