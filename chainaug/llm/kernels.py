@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-CHUNK_BYTES = 1 << 20  # bytes of text worked on at once: bounds the temporary arrays
+CHUNK_BYTES = 1 << 19  # bytes of text worked on at once: bounds the temporary arrays
 
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 _BASE = 0x100000001B3  # odd, so it has an inverse modulo 2**64

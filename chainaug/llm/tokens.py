@@ -19,7 +19,7 @@ from pyspark.sql import SparkSession
 from .kernels import Words, chunks
 
 _AFTER_SPACE = re.compile(r" (?<=\s )")
-_REMEMBERED = 2_000_000  # words whose ids a worker remembers (about 80 MB)
+_REMEMBERED = 1_200_000  # words whose ids a worker remembers (about 45 MB)
 _BLANK_WORDS = np.ones(256, dtype=bool)
 _BLANK_WORDS[0x20] = False
 
