@@ -30,10 +30,6 @@ def round6(c: Column) -> Column:
     return F.floor(c * F.lit(1e6) + F.lit(0.5)) / F.lit(1e6)
 
 
-def safe_div(num: Column, den: Column) -> Column:
-    """num / den as double, NULL when den = 0 (ANSI-safe)."""
-    return F.when(den != 0, num.cast("double") / den.cast("double"))
-
 
 def f_measure(p: Column, r: Column) -> Column:
     """2PR/(P+R), 0 when P+R = 0."""

@@ -25,10 +25,6 @@ def ws_tokens(text: Column) -> Column:
     return _tokens_of(ws_normalized(text))
 
 
-def space_tokens(text: Column) -> Column:
-    """Split on single spaces, keeping empties (the generator's token grid)."""
-    return F.split(text, " ")
-
 
 def rouge_normalized(text: Column) -> Column:
     """ROUGE tokens joined by single spaces: lower case, every run of characters outside

@@ -75,10 +75,6 @@ def join_prem2_original(prem2_with_conclusion: DataFrame, originals: DataFrame)
     )
 
 
-def join_generated_pair(prem1: DataFrame, prem2_with_conclusion: DataFrame) -> DataFrame:
-    """Generated premise 1 + generated premise 2 of the same round."""
-    return prem1.join(prem2_with_conclusion, ["idx", "round"], "inner").withColumn("relation", F.lit("yes"))
-
 
 def generated_pairs(generation: DataFrame, originals: DataFrame) -> DataFrame:
     """J3 over one generation table: premise 1 and premise 2 generated for the same (idx, round),

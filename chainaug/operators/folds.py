@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import phash
@@ -33,19 +33,22 @@ def assign_folds(df: DataFrame, k: int = 5, seed: int = 42, idx_col: str = "idx"
     return positioned.select(*out_cols, fold_of_position(F.col("_pos"), n, k).alias("fold"))
 
 
-def kfold_split(rows: DataFrame, folds: DataFrame, f: int, idx_col: str = "idx"):
-    """K2: (train, valid) for fold f, keyed (no position mapping)."""
-    tagged = rows.join(folds.withColumnRenamed("idx", idx_col), idx_col, "inner")
-    return tagged.filter(F.col("fold") != f), tagged.filter(F.col("fold") == f)
+def split_of_fold(fold: Column, f: Column) -> Column:
+    return F.when(fold == f, "valid").otherwise("train")
 
 
-def leakage_free_split(training_rows: DataFrame, folds: DataFrame, f: int, idx_col: str = "idx"):
-    """K3: augmented rows inherit the fold of their source idx; validation holds originals only
-    (round 0).  Returns (train, valid)."""
-    tagged = training_rows.join(folds.withColumnRenamed("idx", idx_col), idx_col, "inner")
-    train = tagged.filter(F.col("fold") != f)
-    valid = tagged.filter((F.col("fold") == f) & (F.col("round") == 0))
-    return train, valid
+def kfold_splits(folds: DataFrame, k: int = 5) -> DataFrame:
+    """K2 for every fold run at once: (f, idx, part), keyed (no position mapping)."""
+    x = folds.select("idx", "fold", F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("f"))
+    return x.select("f", "idx", split_of_fold(F.col("fold"), F.col("f")).alias("part"))
+
+
+def leakage_free_splits(training_rows: DataFrame, folds: DataFrame, k: int = 5) -> DataFrame:
+    """K3 for every fold run at once: ``training_rows`` with f and part.  Augmented rows inherit the fold of
+    their source idx; validation holds originals only (round 0)."""
+    tagged = training_rows.join(folds.select("idx", "fold"), "idx").withColumn("f", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
+    kept = tagged.where((F.col("fold") != F.col("f")) | (F.col("round") == 0))
+    return kept.withColumn("part", split_of_fold(F.col("fold"), F.col("f"))).drop("fold")
 
 
 def fold_rows(df: DataFrame, members: DataFrame, idx_col: str = "idx", complement: bool = False) -> DataFrame:

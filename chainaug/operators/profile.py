@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import phash
 from ..functions.text import ws_tokens
-from .augment import TRAIN_COLS
 
 
 def set_sizes(sets: DataFrame, keys=("method", "until_round")) -> DataFrame:
@@ -19,12 +18,6 @@ def set_sizes(sets: DataFrame, keys=("method", "until_round")) -> DataFrame:
     ).withColumn("gain", F.col("n_rows") - F.col("n_original"))
 
 
-def dedup_set_sizes(sets: DataFrame, keys=("method", "until_round")) -> DataFrame:
-    """A5 after whole-row de-dup inside each set."""
-    d = sets.dropDuplicates([*keys, *TRAIN_COLS])
-    return set_sizes(d, keys).withColumnRenamed("n_rows", "n_dedup").withColumnRenamed("gain", "gain_dedup")
-
-
 def avg_set_size(sizes: DataFrame) -> DataFrame:
     """Average set size over the grid (integer sum, one division)."""
     return sizes.agg(

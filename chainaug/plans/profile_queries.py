@@ -185,9 +185,7 @@ def fold_semi_join(spark, d):
 SELECT f.f, idx, CASE WHEN fold = f.f THEN 'valid' ELSE 'train' END AS part
 FROM folds CROSS JOIN (SELECT unnest(range(0, 5))::INTEGER AS f) f"""))
 def kfold_split(spark, d):
-    fo = X.folds(spark, d)
-    x = fo.select("idx", "fold", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("f"))
-    return x.select("f", "idx", F.when(F.col("fold") == F.col("f"), "valid").otherwise("train").alias("part"))
+    return K.kfold_splits(X.folds(spark, d))
 
 
 @query("leakage_free_split", with_ctes(["generation", "valid", "folds"], _P12 + [("tset", _method_sql("ori_mix", True))], """
@@ -196,12 +194,7 @@ FROM tset t JOIN folds fo ON t.idx = fo.idx CROSS JOIN (SELECT unnest(range(0, 5
 WHERE fo.fold <> f.f OR t.round = 0"""))
 def leakage_free_split(spark, d):
     t = A.training_set("ori_mix", *X.valid_and_generation(spark, d), True, FLOOR, CEIL)
-    tagged = t.join(X.folds(spark, d), "idx").select(
-        "idx", "round", "source", "fold", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("f"))
-    # K3 per fold f: train = fold <> f; valid = fold = f and original rows only
-    kept = tagged.where((F.col("fold") != F.col("f")) | (F.col("round") == 0))
-    return kept.select("f", F.when(F.col("fold") == F.col("f"), "valid").otherwise("train").alias("part"),
-                       "idx", "round", "source")
+    return K.leakage_free_splits(t, X.folds(spark, d)).select("f", "part", "idx", "round", "source")
 
 
 @query("train_volume", with_ctes(["generation", "valid", "folds"], _P12 + [("tset", _method_sql("ori_mix", True))], """

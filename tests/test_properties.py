@@ -22,9 +22,10 @@ def test_folds_partition_valid_rows(spark):
 
 def test_leakage_free_split_has_no_shared_idx(spark):
     t = A.training_set("ori_mix", X.valid(spark, SF_MID), X.generation(spark, SF_MID), True, 0.9, 0.99)
-    folds = X.folds(spark, SF_MID)
+    splits = K.leakage_free_splits(t, X.folds(spark, SF_MID))
     for f in range(5):
-        train, valid = K.leakage_free_split(t, folds, f)
+        train, valid = (splits.where((F.col("f") == f) & (F.col("part") == p)) for p in ("train", "valid"))
+        assert valid.count() > 0
         assert train.join(valid, "idx", "left_semi").count() == 0
         assert valid.where("round <> 0").count() == 0
 
@@ -45,7 +46,7 @@ def test_prefix_sizes_grow(spark):
 def test_decode_encode_roundtrip(spark):
     v = X.valid(spark, SF_SMALL)
     vocab = SQ.build_vocab(v, ["premise_1", "premise_2", "conclusion"])
-    e = SQ.encode(v, "idx", "conclusion", vocab, "ids")
+    e = SQ.encode_columns(v, "idx", {"conclusion": "ids"}, vocab)
     d = SQ.decode(e, "idx", "ids", vocab, "text")
     want = v.select("idx", F.array_join(SQ.ws_tokens(F.col("conclusion")), " ").alias("want"))
     assert d.join(want, "idx").where("text <> want").count() == 0
