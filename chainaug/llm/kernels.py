@@ -88,11 +88,11 @@ class Words:
         return np.arange(len(self.hash)) + n <= last
 
 
-def chunks(texts: list[bytes]) -> Iterator[tuple[int, int]]:
-    """Ranges of texts of about CHUNK_BYTES each (a longer text is a chunk of its own)."""
+def chunks(texts: list[bytes], most: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of at most ``most`` bytes each (a longer text is a chunk of its own)."""
     begin = size = 0
     for i, t in enumerate(texts):
-        if size and size + len(t) > CHUNK_BYTES:
+        if size and size + len(t) > most:
             yield begin, i
             begin, size = i, 0
         size += len(t) + 1

@@ -19,7 +19,8 @@ from pyspark.sql import SparkSession
 from .kernels import Words, chunks
 
 _AFTER_SPACE = re.compile(r" (?<=\s )")
-_REMEMBERED = 1_200_000  # words whose ids a worker remembers (about 45 MB)
+_REMEMBERED = 800_000  # words met lately whose ids a worker remembers, and as many met before (about 35 bytes each)
+_CHUNK = 1 << 20  # more words a chunk, fewer of them distinct
 _BLANK_WORDS = np.ones(256, dtype=bool)
 _BLANK_WORDS[0x20] = False
 
@@ -93,11 +94,18 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.letters = _byte_letters()
         self.marks: dict[str, bytes] = {}
-        self._forget()
-
-    def _forget(self) -> None:
-        self.known = WordTable()
-        self.ids, self.used = np.empty(1 << 16, np.uint32), 0  # ids of the words met; grows by doubling
+        self.known, self.ids, self.used = WordTable(), np.empty(1 << 16, np.uint32), 0  # words met lately, their ids
+        self.older, self.older_ids = WordTable(), np.empty(0, np.uint32)  # words met before those
+
+    def _add(self, hashes: np.ndarray, ids: np.ndarray, count: np.ndarray) -> np.ndarray:
+        """Remember words (hashes sorted) and their ids, end to end; returns where the ids lie."""
+        while self.used + len(ids) > len(self.ids):
+            self.ids = np.concatenate((self.ids, np.empty_like(self.ids)))
+        self.ids[self.used : self.used + len(ids)] = ids
+        at = self.used + np.cumsum(count) - count
+        self.used += len(ids)
+        self.known.add((hashes, at, count))
+        return at
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
@@ -129,23 +137,23 @@ class Encoder:
     def _lookup(self, words: Words, rest: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Where in ``ids`` the ids of the words numbered ``rest`` lie, and how many they are."""
         distinct, first, back = np.unique(words.hash[rest], return_index=True, return_inverse=True)
+        if len(self.known) and len(self.known) + len(distinct) > _REMEMBERED:
+            self.older, self.older_ids = self.known, self.ids[: self.used].copy()
+            self.known, self.ids, self.used = WordTable(), np.empty(1 << 16, np.uint32), 0
         at, count = self.known.find(distinct)
         new = np.flatnonzero(at < 0)
-        if len(new):
-            if len(self.known) + len(new) > _REMEMBERED and len(self.known):
-                self._forget()
-                return self._lookup(words, rest)
-            fresh = rest[first[new]]
-            spelt = [words.buf[s:e].tobytes().decode() for s, e in zip(words.start[fresh].tolist(), words.end[fresh].tolist())]
-            found = self._words(spelt)
-            ids = np.frombuffer(b"".join(found), dtype=np.uint32)
-            while self.used + len(ids) > len(self.ids):
-                self.ids = np.concatenate((self.ids, np.empty_like(self.ids)))
-            self.ids[self.used : self.used + len(ids)] = ids
-            count[new] = np.fromiter(map(len, found), dtype=np.int64, count=len(found)) // 4
-            at[new] = self.used + np.cumsum(count[new]) - count[new]
-            self.used += len(ids)
-            self.known.add((distinct[new], at[new], count[new]))
+        before, again = self.older.find(distinct[new])
+        met = before >= 0
+        if met.any():
+            old = new[met]
+            count[old] = again[met]
+            at[old] = self._add(distinct[old], _gather(self.older_ids, before[met], again[met]), again[met])
+        fresh = new[~met]
+        if len(fresh):
+            where = rest[first[fresh]]
+            found = self._words([words.buf[s:e].tobytes().decode() for s, e in zip(words.start[where].tolist(), words.end[where].tolist())])
+            count[fresh] = np.fromiter(map(len, found), dtype=np.int64, count=len(found)) // 4
+            at[fresh] = self._add(distinct[fresh], np.frombuffer(b"".join(found), dtype=np.uint32), count[fresh])
         return at[back], count[back]
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
@@ -158,7 +166,7 @@ class Encoder:
             out[i] = np.frombuffer(ids, dtype=np.uint32)
         rest = [i for i, w in enumerate(whole) if not w]
         raw = [texts[i].encode() for i in rest]
-        for lo, hi in chunks(raw):
+        for lo, hi in chunks(raw, _CHUNK):
             here = rest[lo:hi]
             words = Words(raw[lo:hi], _BLANK_WORDS)
             begins = words.first[:-1][np.diff(words.first) > 0]
@@ -168,13 +176,19 @@ class Encoder:
             at, count = self._lookup(words, inner)
             heads = self._whole([texts[i].split(" ", 1)[0] for i in here])
             upto = np.concatenate(([0], np.cumsum(count)))
-            flat = self.ids[np.repeat(at - upto[:-1], count) + np.arange(upto[-1])]
+            flat = _gather(self.ids, at, count)
             cut = np.searchsorted(inner, words.first)
             for k, i in enumerate(here):
                 out[i] = np.concatenate((np.frombuffer(heads[k], dtype=np.uint32), flat[upto[cut[k]] : upto[cut[k + 1]]]))
         return out
 
 
+def _gather(ids: np.ndarray, at: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """ids[at[k] : at[k] + count[k]] for every k, end to end."""
+    end = np.cumsum(count)
+    return ids[np.repeat(at - (end - count), count) + np.arange(end[-1] if len(end) else 0)]
+
+
 @functools.cache
 def _encoder(content: str) -> Encoder:
     return Encoder(content)
