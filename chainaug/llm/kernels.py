@@ -79,7 +79,8 @@ class Words:
         out = np.full(count, np.uint64(n), dtype=np.uint64)
         for j in range(n):
             # the first product scrambles position j, so order matters
-            out[: count - j] = out[: count - j] * _MUL + self.hash[j:]
+            most = max(count - j, 0)  # a chunk may hold fewer words than a window
+            out[:most] = out[:most] * _MUL + self.hash[j:]
         return mix64(out)
 
     def inside(self, n: int) -> np.ndarray:
