@@ -78,7 +78,8 @@ class Encoder:
     Byte-level BPE with its usual pattern never joins a character that is not white space to a blank
     that follows, so such a text can be cut before its blanks and each distinct word of a batch encoded
     once; a worker also remembers the words of earlier batches.  Texts with other white space before a
-    blank, and texts for any other tokenizer, are encoded whole."""
+    blank, texts that hold the content of an added token (which the library matches first), and texts for
+    any other tokenizer, are encoded whole."""
 
     def __init__(self, content: str):
         from tokenizers import Tokenizer
@@ -91,7 +92,7 @@ class Encoder:
             and pre.get("use_regex", True) and not pre.get("add_prefix_space", True)
         )
         self.tokenizer = Tokenizer.from_str(content)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.added = [a["content"] for a in spec.get("added_tokens") or [] if a["content"]]
         self.letters = _byte_letters()
         self.marks: dict[str, bytes] = {}
         self.known, self.ids, self.used = WordTable(), np.empty(1 << 16, np.uint32), 0  # words met lately, their ids
@@ -159,7 +160,8 @@ class Encoder:
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """Ids (uint32) of each text; null is empty."""
         texts = [t or "" for t in texts]
-        whole = [not self.by_word or t[:1] == " " or t[-1:] == " " or bool(_AFTER_SPACE.search(t)) for t in texts]
+        whole = [not self.by_word or t[:1] == " " or t[-1:] == " " or bool(_AFTER_SPACE.search(t))
+                 or any(a in t for a in self.added) for t in texts]
         out: list[np.ndarray | None] = [None] * len(texts)
         rest = [i for i, w in enumerate(whole) if w]
         for i, ids in zip(rest, self._whole([texts[i] for i in rest])):

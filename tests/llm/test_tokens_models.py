@@ -38,6 +38,16 @@ def test_words_encoded_apart_equal_whole_texts():
         tokens._REMEMBERED = before
 
 
+def test_added_tokens_in_a_text_are_matched_as_the_library_does():
+    from tokenizers import Tokenizer
+
+    library, encoder = Tokenizer.from_file(TOKENIZER), tokens.Encoder(open(TOKENIZER, encoding="utf-8").read())
+    texts = ["hello <|endoftext|> there", "<|endoftext|>", "a<|endoftext|>b c", "one two <|endoftext|><|endoftext|>", "<|endof text|> x", "hello there"]
+    got = [i.tolist() for i in encoder.encode(texts)]
+    assert got == [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert got[0] == [31373, 220, 50256, 612]
+
+
 def check_pieces(pieces, rows, encode, window=2048):
     """Each document's pieces tile it, each sequence's pieces tile its beginning; returns the share of padding."""
     docs = {}
