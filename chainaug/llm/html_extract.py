@@ -12,6 +12,7 @@ import math
 import re
 from collections.abc import Iterator
 from html import unescape
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -40,6 +41,11 @@ NO_TEXT_NAMES = frozenset(
     "gdpr adsense adsbygoogle adunit commercial notice notices alert alerts popup modal overlay newsletter subscribe subscription signup signin login form forms comment comments "
     "commentlist disqus respond reply replies discussion share sharing social related recommended recommendations widget widgets "
     "toolbar pagination pager paywall".split())
+# of these, the ones that class names whole need no links to confirm them inside an article or main element
+SURE_NAMES = frozenset(
+    "ad ads adbox adslot advert adverts advertisement advertisements advertising sponsored adsense adsbygoogle adunit cookie cookies "
+    "consent gdpr newsletter comment comments commentlist disqus paywall".split())
+LAYOUT_NAMES = frozenset("area bar block body box button buttons container inner items left links list outer right section wrap wrapper".split())
 TEXT_NAMES = frozenset("article post entry story content main".split())  # parts whose own header belongs to the text
 FRAME_NAMES = frozenset("wrapper wrap container page layout site outer body".split())
 WRAPPER_NAMES = frozenset("has with no without layout open closed".split())
@@ -137,46 +143,96 @@ _P, _HEAD = frozenset(["p"]), frozenset(["head"])
 _P_STOP = frozenset("table td th button caption object".split())
 
 
-def _names(tree: Tree, node: int) -> tuple[set[str], bool]:
-    """(lower-case words of class, id and role, whether the element is hidden)."""
-    names, hidden = set(), False
+class Named(NamedTuple):
+    words: frozenset = frozenset()  # lower-case words of class, id and role
+    strong: bool = False  # a class or id means no text by all its words or its last one (of headings and p: a class)
+    whole: frozenset = frozenset()  # no-text words of the classes and ids that have no other words
+    sure: bool = False  # one of SURE_NAMES is a whole class
+    role: bool = False  # the role is one of no text
+    header: bool = False
+    hidden: bool = False
+
+
+def _names(tree: Tree, node: int) -> Named:
+    words, whole, tag = set(), set(), tree.tag[node]
+    strong = sure = role = header = hidden = False
     for m in _ATTRIBUTE.finditer(tree.attributes[node]):
         key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if key == "role":
-            if value.strip().lower() in NO_TEXT_ROLES:
-                names.add("menu")
+            role = value.strip().lower() in NO_TEXT_ROLES
         elif key in ("class", "id"):
-            names.update(w.lower() for w in _NAME.findall(value))
+            by_name = key == "class" or tag not in HEADINGS and tag != "p"
+            for token in value.split():
+                parts = [w.lower() for w in _NAME.findall(token)]
+                words.update(parts)
+                core = [token.lower()] if token.lower() in NO_TEXT_NAMES else list(parts)
+                while len(core) > 1 and core[-1] in LAYOUT_NAMES:
+                    core.pop()
+                if not core or not by_name:
+                    continue
+                header |= core[-1] == "header"
+                strong |= core[-1] in NO_TEXT_NAMES
+                if NO_TEXT_NAMES.issuperset(core):
+                    whole.update(core)
+                    sure |= key == "class" and not SURE_NAMES.isdisjoint(core)
         elif key == "hidden" or key == "aria-hidden" and value.lower() == "true":
             hidden = True
         elif key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
             hidden = True
-    return names, hidden
+    return Named(frozenset(words), strong, frozenset(whole), sure, role, header, hidden)
+
+
+_NO_NAMES = Named()
+
+
+def _mostly_links(tree: Tree, named: list[Named]) -> list[bool]:
+    """True for the elements with more than half of their characters in links."""
+    n = len(tree.tag)
+    chars, links = [0] * n, [0] * n
+    for k in range(n - 1, 0, -1):
+        if tree.tag[k] in NO_TEXT or named[k].hidden:
+            continue
+        chars[k] += sum(len("".join(p.split())) for p in tree.pieces[k] if isinstance(p, str))
+        if tree.tag[k] == "a":
+            links[k] = chars[k]
+        chars[tree.parent[k]] += chars[k]
+        links[tree.parent[k]] += links[k]
+    return [2 * a > b for a, b in zip(links, chars)]
 
 
 def _without_text(tree: Tree) -> list[bool]:
-    """True for the elements that are no part of the text, and all below them."""
+    """True for the elements that are no part of the text, and all below them.
+
+    A name counts by all words of a class or id or by its last one, so 'related-work' says nothing; inside an
+    article or main element links must make up most of what it names, or a class must be a sure name."""
     n = len(tree.tag)
-    named = [_names(tree, k) if tree.attributes[k] else (set(), False) for k in range(n)]
+    named = [_names(tree, k) if tree.attributes[k] else _NO_NAMES for k in range(n)]
+    linked: list[bool] = []
     holds_root = [False] * n  # an article or main element lies below
     for k in range(n - 1, 0, -1):
-        if holds_root[k] or tree.tag[k] in TEXT_ROOTS and not named[k][0] & NO_TEXT_NAMES:
+        if holds_root[k] or tree.tag[k] in TEXT_ROOTS and not (named[k].strong or named[k].role):
             holds_root[tree.parent[k]] = True
     out, in_root, in_text = [False] * n, [False] * n, [False] * n
     for k in range(1, n):
-        tag, (names, hidden) = tree.tag[k], named[k]
+        tag, name = tree.tag[k], named[k]
         up = tree.parent[k]
         in_root[k] = in_root[up] or tag in TEXT_ROOTS
-        in_text[k] = in_text[up] or in_root[k] or tag != "body" and bool(names & TEXT_NAMES) and not names & FRAME_NAMES
-        if out[up] or tag in NO_TEXT or hidden:
+        in_text[k] = in_text[up] or in_root[k] or tag != "body" and bool(name.words & TEXT_NAMES) and not name.words & FRAME_NAMES
+        if out[up] or tag in NO_TEXT or name.hidden:
             out[k] = True
         elif tag in ("html", "body") or holds_root[k]:
             continue
-        elif tag == "header" or "header" in names and tag not in TEXT_ROOTS:
+        elif tag == "header" or name.header and tag not in TEXT_ROOTS:
             out[k] = not in_text[k]
-        elif names & NO_TEXT_NAMES and not names & WRAPPER_NAMES:
-            # the element of an article may say that it has comments; one that is a comment lies in another
-            out[k] = tag not in TEXT_ROOTS or in_root[up] or bool(names & {"comment", "reply"})
+        elif (name.strong or name.role) and not name.words & WRAPPER_NAMES:
+            if tag in TEXT_ROOTS and not in_root[up]:
+                # the element of an article may say that it has comments; one that is a comment lies in another
+                out[k] = bool(name.whole & {"comment", "reply"})
+            elif not in_root[up] or name.role or name.sure and tag not in INLINE:
+                out[k] = True
+            else:
+                linked = linked or _mostly_links(tree, named)
+                out[k] = linked[k]
     return out
 
 

@@ -223,6 +223,20 @@ def test_headers_of_the_page_go_and_of_the_text_stay():
         assert html_extract.main_text(page).startswith("Title\nsome words") and "Site name" not in html_extract.main_text(page)
 
 
+@pytest.mark.parametrize("root", ["article", "main"])
+def test_names_inside_an_article_need_links_to_drop_text(root):
+    text = "<p>" + "some words of the text " * 20 + "</p>"
+    for part in ("<h2 id='social-impact'>Kept words here</h2>", "<section id='related-work'><h2>Kept words here</h2></section>", "<p id='notice-3'>Kept words here</p>",
+                 "<div class='forms-of-government'><p>Kept words here</p></div>", "<section id='discussion'><p>Kept words here</p></section>",
+                 "<div class='notice'><p>Kept words here</p></div>", "<pre><span class='token comment'>Kept words here</span></pre>"):
+        got = html_extract.main_text(f"<body><div class='ad'>Buy now</div><{root}><h1>Title</h1>{text}{part}{text}</{root}></body>")
+        assert "Kept words here" in got and "Buy now" not in got, part
+    for part in ("<div class='related'><a href=1>Gone words</a> <a href=2>here</a></div>", "<div id='social-share'><a href=1>Gone words here</a></div>",
+                 "<div class='ad'>Gone words here</div>", "<section class='comments'><p>Gone words here</p></section>", "<article class='comment'>Gone words here</article>",
+                 "<div role='navigation'>Gone words here</div>"):
+        assert "Gone words" not in html_extract.main_text(f"<body><{root}><h1>Title</h1>{text}{part}{text}</{root}></body>"), part
+
+
 def test_density_prefers_text_to_links():
     links = "".join(f"<li><a href=/{i}>link number {i}</a></li>" for i in range(60))
     page = f"<body><div><ul>{links}</ul></div><div><p>{'plain words ' * 30}</p><p>{'more words ' * 30}</p></div></body>"
