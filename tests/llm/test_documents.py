@@ -256,5 +256,17 @@ def test_pages_of_the_given_table(spark):
         assert html_extract.main_text(r["html"]) == "\n".join(filter(None, blocks))
 
 
+def test_density_path_on_the_same_pages_without_articles(spark):
+    """With a div in place of the article, densities decide alone: nothing from outside comes in, few pages lose blocks."""
+    pages = [r["html"] for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()]
+    same = 0
+    for html in pages:
+        whole = html_extract.main_text(html).split("\n")
+        alone = html_extract.main_text(html.replace("<article>", "<div>").replace("</article>", "</div>")).split("\n")
+        assert set(alone) <= set(whole)
+        same += alone == whole
+    assert same >= 0.9 * len(pages)
+
+
 def test_schemas_of_the_documents_table(no_docs):
     assert no_docs.schema.simpleString() == f"struct<{DOCS.replace(' long', ':bigint').replace(' string', ':string').replace(', ', ',')}>"
