@@ -330,6 +330,14 @@ def test_ten_queries_and_the_pipeline_are_registered():
     assert len(corpus_pipeline.STAGES) == 5
 
 
+def test_rows_without_an_id_stay_when_an_id_repeats(spark):
+    rows = [(None, "the same text", "en", "a", 1)] * 3 + [(None, None, "en", "a", 0)] * 2 + [(1, "one", "en", "a", 3)] * 2 + [(2, "two", "en", "a", 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.near_duplicates(spark, docs, SF)
+    assert kept.columns == docs.columns
+    assert sorted(str(r["doc_id"]) for r in kept.collect()) == ["1", "2", *["None"] * 5]
+
+
 def test_each_stage_does_its_whole_work(spark, encode):
     """Every stage against a brute-force form on the rows that it was given."""
     from test_documents import brute_base, brute_hits
