@@ -101,8 +101,8 @@ def scan(texts: list[bytes], index: Index) -> Iterator[Hits]:
 
 
 def _parts(benchmark: DataFrame, n: int) -> list:
-    """Broadcast indexes over the benchmark: one, or as many as its text needs."""
-    rows = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text"))
+    """Broadcast indexes over the benchmark's distinct items: one, or as many as their text needs."""
+    rows = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).distinct()
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     count = size // INDEX_BYTES + 1
     part = F.pmod(F.xxhash64("item_id", "text"), F.lit(count))

@@ -53,6 +53,14 @@ def test_decontamination_of_empty_tables(spark, edge_docs, no_docs):
     assert decontaminate.remove_contaminated(edge_docs, none).count() == len(edge_rows())
 
 
+def test_a_repeated_item_takes_no_more_of_a_part(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "INDEX_BYTES", 1000)
+    items = [(k, f"item {k} has some words") for k in range(5)]
+    bench = spark.createDataFrame(items + items[:1] * 500, "item_id long, text string")
+    parts = decontaminate._parts(bench, 10)
+    assert len(parts) == 1 and len(parts[0].value.text) < 1000
+
+
 def test_contaminated_documents_and_spans_go(spark, edge_docs):
     bench = spark.createDataFrame([(*r, "x") for r in ITEMS], BENCH)
     clean = sorted(str(i) for i, t, *_ in edge_rows() if not brute_hits(t, ITEMS)[1])
