@@ -10,6 +10,7 @@ from llm_helpers import DOCS, TOKENIZER, edge_rows  # noqa: E402
 
 from chainaug.llm.tables import prepare  # noqa: E402
 
+
 @pytest.fixture(scope="session", autouse=True)
 def ready(spark):
     prepare(spark)
@@ -34,7 +35,4 @@ def encode():
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(TOKENIZER)
-    tokenizer.encode_special_tokens = True
     return lambda text: tokenizer.encode(text or "", add_special_tokens=False).ids
-
-
