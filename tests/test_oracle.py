@@ -9,7 +9,7 @@ import pytest
 
 import __spark_entry__ as E
 from chainaug.plans import all_queries
-from conftest import SF_SMALL
+from sf_paths import SF_SMALL
 
 TABLES = ["events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
 NAMES = sorted(all_queries.QUERIES)  # those of the subpackage llm have tests of their own

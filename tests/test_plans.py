@@ -4,7 +4,7 @@ exchange for the n-gram metrics, column pruning at the scan."""
 from chainaug.operators import metrics as MT
 from chainaug.plans import all_queries as Q
 from chainaug.sources import fixtures as X
-from conftest import SF_SMALL
+from sf_paths import SF_SMALL
 
 
 def _plan(df):

@@ -9,7 +9,7 @@ from chainaug.operators import metrics as MT
 from chainaug.operators import sequences as SQ
 from chainaug.plans import all_queries as Q
 from chainaug.sources import fixtures as X
-from conftest import SF_MID, SF_SMALL
+from sf_paths import SF_MID, SF_SMALL
 
 
 def test_folds_partition_valid_rows(spark):

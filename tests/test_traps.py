@@ -272,7 +272,7 @@ def test_pandas_generator_hook_sees_one_fold_at_a_time(spark):
 
 def test_writers_partition_layout_and_pruning(spark, tmpdir_path):
     from chainaug.plans import all_queries as Q
-    from conftest import SF_SMALL
+    from sf_paths import SF_SMALL
 
     sets = Q.QUERIES["ori_mix"](spark, SF_SMALL).withColumn("method", F.lit("ori_mix"))
     path = os.path.join(tmpdir_path, "sets")
@@ -305,7 +305,7 @@ def test_embedding_f1_blocks_equal_whole_matrix(monkeypatch):
 
 
 def test_embedding_f1_broadcast_and_join_paths_agree(spark):
-    from conftest import SF_SMALL
+    from sf_paths import SF_SMALL
 
     from chainaug.sources import fixtures as X
 
@@ -366,7 +366,7 @@ def test_every_piece_is_in_one_triple(spark):
     import re
 
     from chainaug.sources import fixtures as X
-    from conftest import SF_SMALL
+    from sf_paths import SF_SMALL
 
     rows = spark.read.parquet(f"{SF_SMALL}/documents.parquet").select("doc_id", "text").collect()
     rows = [tuple(r) for r in rows] + [(10**6, None), (10**6 + 1, ""), (10**6 + 2, "One. Two"), (10**6 + 3, "A. b.  c. d. e. f. g. h"), (10**6 + 4, "A. b. c. ")]
@@ -443,7 +443,7 @@ def test_bands_keep_some_generations_and_drop_some(spark):
     from chainaug.operators import augment as AU
     from chainaug.plans.merge_queries import CEIL, FLOOR
     from chainaug.sources import fixtures as X
-    from conftest import SF_SMALL
+    from sf_paths import SF_SMALL
 
     g = X.scored_generation(spark, SF_SMALL)
     kept = g.where(AU.band(F.col("f1"), FLOOR, CEIL)).count()
