@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, embedding_dedup, html_extract, learning, ngram_join, packing, quality, secret_scan, token_files, toxicity, warc
+from . import decontaminate, embedding_dedup, html_extract, learning, ngram_join, packing, quality, secret_scan, token_cache, token_files, toxicity, warc
 from .tables import prepare, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -155,3 +155,9 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
         get("WARC-Refers-To-Target-URI").alias("refers_to_target_uri"), get("WARC-Refers-To-Date").alias("refers_to_date"),
         get("Content-Type").alias("content_type"), get("WARC-Block-Digest").alias("block_digest"),
         get("Content-Length").cast("long").alias("content_length"), F.sha2("block", 256).alias("block_sha256"))
+
+
+@query("op13_token_counts")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_cache.token_counts(
+        table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), token_cache.fresh_cache(spark), limit=2048)
