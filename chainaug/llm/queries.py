@@ -9,13 +9,19 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, embedding_dedup, html_extract, learning, ngram_join, packing, quality, secret_scan, token_cache, token_files, toxicity, warc
+from . import decontaminate, embedding_dedup, html_extract, learning, merkle, ngram_join, packing, quality, secret_scan, token_cache, token_files, toxicity, warc
 from .tables import prepare, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
 
+#: CRC-32 of the text x in SQL: the polynomial's eight steps after each byte
+CRC32 = """(4294967295 - list_reduce(list_concat([4294967295], flatten(list_transform(string_split(x, ''),
+  lambda c: list_concat([ascii(c)], [-1, -1, -1, -1, -1, -1, -1, -1])))),
+  lambda a, b: CASE WHEN b >= 0 THEN xor(a, b) WHEN a % 2 = 1 THEN xor(a // 2, 3988292384) ELSE a // 2 END))"""
+
+
 def query(name: str, sql: str | None = None):
     def deco(fn):
         @functools.wraps(fn)
@@ -161,3 +167,49 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_cache.token_counts(
         table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), token_cache.fresh_cache(spark), limit=2048)
+
+
+@query("op12_merkle_manifest", r"""
+WITH RECURSIVE docs AS (
+  SELECT doc_id, coalesce('=' || lang, '') AS tree,
+    coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-')
+      || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars::VARCHAR, '-') AS inner_fields,
+    coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id::VARCHAR, '-') AS id_field, text,
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low
+  FROM documents),
+marks AS (SELECT doc_id, coalesce(_CRC_ % 3 = 0, false) AS tampered FROM (SELECT DISTINCT doc_id, doc_id::VARCHAR AS x FROM documents)),
+leaves AS (
+  SELECT d.doc_id, tree, sha256(id_field || inner_fields || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+    sha256(id_field || inner_fields || CASE WHEN tampered THEN coalesce(strlen(low) || ':' || low, '-')
+      ELSE coalesce(strlen(text) || ':' || text, '-') END) AS claimed
+  FROM docs d JOIN marks m ON d.doc_id IS NOT DISTINCT FROM m.doc_id),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY tree) AS n FROM leaves),
+nodes AS (
+  SELECT tree, 0 AS level, i, n, leaf AS h FROM placed
+  UNION ALL
+  SELECT tree, level + 1, i // 8, (n + 7) // 8, sha256(string_agg(h, '' ORDER BY i)) FROM nodes WHERE n > 1 GROUP BY tree, level, i // 8, n),
+subroots AS (SELECT tree, level AS height, h, row_number() OVER (ORDER BY tree) - 1 AS place, count(*) OVER () AS m FROM nodes WHERE n = 1),
+tops AS (
+  SELECT 0 AS level, place AS i, m AS n, h FROM subroots
+  UNION ALL
+  SELECT level + 1, i // 8, (n + 7) // 8, sha256(string_agg(h, '' ORDER BY i)) FROM tops WHERE n > 1 GROUP BY level, i // 8, n),
+root AS (SELECT h AS root, level AS height FROM tops WHERE n = 1),
+walk AS (
+  SELECT row_number() OVER () AS r, p.doc_id, p.leaf, p.tree, s.h AS subroot, s.height, s.place, root, root.height + s.height AS total,
+    0 AS level, p.i, claimed AS h, '' AS proof
+  FROM placed p JOIN subroots s ON p.tree = s.tree CROSS JOIN root
+  UNION ALL
+  SELECT w.r, w.doc_id, w.leaf, w.tree, w.subroot, w.height, w.place, w.root, w.total, w.level + 1,
+    CASE WHEN w.level + 1 = w.height THEN w.place ELSE w.j // 8 END,
+    sha256(string_agg(CASE WHEN x.i = w.j THEN w.h ELSE x.h END, '' ORDER BY x.i)),
+    w.proof || coalesce(string_agg(x.h, '' ORDER BY x.i) FILTER (WHERE x.i <> w.j), '')
+  FROM (SELECT *, CASE WHEN level = 0 AND height = 0 THEN place ELSE i END AS j FROM walk WHERE level < total) w
+  JOIN (SELECT tree, level, i, h FROM nodes UNION ALL SELECT NULL, level, i, h FROM tops) x
+    ON CASE WHEN w.level < w.height THEN x.tree = w.tree AND x.level = w.level ELSE x.tree IS NULL AND x.level = w.level - w.height END
+    AND x.i // 8 = w.j // 8
+  GROUP BY w.r, w.doc_id, w.leaf, w.tree, w.subroot, w.height, w.place, w.root, w.total, w.level, w.j, w.proof)
+SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, h AS folded_root, h = root AS verified
+FROM walk WHERE level = total""".replace("_CRC_", CRC32))
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.document_manifest(table(spark, sf_dir, "documents"))
