@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, embedding_dedup, html_extract, learning, merkle, ngram_join, packing, quality, secret_scan, token_cache, token_files, toxicity, warc
+from . import conversation_trie, decontaminate, embedding_dedup, html_extract, learning, merkle, ngram_join, packing, quality, secret_scan, token_cache, token_files, toxicity, warc
 from .tables import prepare, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -169,6 +169,38 @@ def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
         table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), token_cache.fresh_cache(spark), limit=2048)
 
 
+@query("op11_conversation_trie", r"""
+WITH turns AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST,
+      md5(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS place
+  FROM conversations WHERE conv_id IS NOT NULL),
+marks AS (SELECT conv_id, conv_id - conv_id % 5 AS trunk, _CRC_ % 9 AS head FROM (SELECT DISTINCT conv_id, conv_id::VARCHAR AS x FROM turns)),
+lists AS (
+  SELECT conv_id, list({'role': role, 'text': text} ORDER BY origin, place) AS path
+  FROM (SELECT m.conv_id, 0 AS origin, place, role, text FROM marks m JOIN turns t ON t.conv_id = m.trunk AND place <= head
+        UNION ALL SELECT m.conv_id, 1, place, role, text FROM marks m JOIN turns t ON t.conv_id = m.conv_id AND place > head)
+  GROUP BY conv_id),
+paths AS (SELECT m.conv_id, coalesce(path, []) AS path FROM marks m LEFT JOIN lists l ON l.conv_id = m.conv_id),
+members AS (SELECT conv_id, path[1:d] AS node, d, len(path) AS total FROM (SELECT *, unnest(range(0, len(path) + 1)) AS d FROM paths)),
+nodes AS (
+  SELECT node, d, min(conv_id) AS conv_id, count(*) AS n,
+    sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE total = d), '')) AS ends
+  FROM members GROUP BY node, d),
+families AS (SELECT node[1:d - 1] AS node, count(*) AS n_children FROM nodes WHERE d > 0 GROUP BY ALL),
+full_nodes AS (
+  SELECT x.*, coalesce(n_children, 0) AS n_children, CASE WHEN x.d > 0 THEN (x.n - 1) * strlen(x.node[x.d].text) ELSE 0 END AS saved
+  FROM nodes x LEFT JOIN families f ON f.node = x.node),
+sums AS (
+  SELECT over_node, sum(CASE WHEN n_children = 0 THEN 1 ELSE 0 END) AS n_leaves, sum(saved) AS saved_tokens
+  FROM (SELECT node[1:e] AS over_node, n_children, saved FROM (SELECT *, unnest(range(0, d + 1)) AS e FROM full_nodes)) GROUP BY over_node)
+SELECT x.conv_id, x.d::BIGINT AS depth, p.conv_id AS parent_conv_id, x.n::BIGINT AS n_convs, x.n_children::BIGINT AS n_children,
+  n_leaves::BIGINT AS n_leaves, saved_tokens::BIGINT AS saved_tokens, x.ends AS ends_sha256
+FROM full_nodes x JOIN sums s ON s.over_node = x.node LEFT JOIN nodes p ON x.d > 0 AND p.node = x.node[1:x.d - 1]""".replace("_CRC_", CRC32))
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 @query("op12_merkle_manifest", r"""
 WITH RECURSIVE docs AS (
   SELECT doc_id, coalesce('=' || lang, '') AS tree,
