@@ -5,13 +5,13 @@ only where a bit is set, built per task and merged by OR.  A popcount directory
 words, and before each word in its bucket) turns a doc_id into its rank with one join and one popcount.
 
 Levels are reduced by keyed slot arrays: node i goes to slot i mod 4096 of array i div 4096, and one task
-hashes four levels of that array, so a shuffle carries a 4096th of the one before.  Proofs come back
+hashes four levels of that array, so each shuffle carries a 4096th of the nodes of the one before.  Proofs come back
 the same way: the siblings above an array are one row that meets the array's slots in their task."""
 
 from __future__ import annotations
 
 import string
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from hashlib import sha256
 
 import pyarrow as pa
@@ -22,8 +22,7 @@ from ..operators.numbering import with_group_position, with_position, with_runni
 from .tables import Stage
 
 ARITY = 8
-_LEVELS = 4  # levels hashed in one task
-_SLOTS = ARITY**_LEVELS
+LEVELS = 4  # levels hashed in one task: an array has ARITY**LEVELS slots
 _NO_ID = -(1 << 62)  # the bucket of rows without a doc_id: below all others
 NODES = "tree string, n long, pos long, hash binary"
 PATHS = "tree string, pos long, upper string, ends string"
@@ -114,15 +113,18 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
         yield held
 
 
-def _reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    out = []
-    for rows in _runs(batches):
-        n = rows[0]["n"]
-        top = _floors([r["hash"].hex() for r in rows], min(_LEVELS, levels_of(n)))[-1]
-        out.append((rows[0]["tree"], -(-n // _SLOTS), rows[0]["block"], bytes.fromhex(top[0])))
-    yield pa.RecordBatch.from_arrays(
-        [pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 4, (pa.string(), pa.int64(), pa.int64(), pa.binary()))],
-        ["tree", "n", "pos", "hash"])
+def _reduce(levels: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = []
+        for rows in _runs(batches):
+            n = rows[0]["n"]
+            top = _floors([r["hash"].hex() for r in rows], min(levels, levels_of(n)))[-1]
+            out.append((rows[0]["tree"], -(-n // ARITY**levels), rows[0]["block"], bytes.fromhex(top[0])))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 4, (pa.string(), pa.int64(), pa.int64(), pa.binary()))],
+            ["tree", "n", "pos", "hash"])
+
+    return run
 
 
 def _arrays(rows: DataFrame) -> DataFrame:
@@ -130,48 +132,51 @@ def _arrays(rows: DataFrame) -> DataFrame:
     return rows.repartition("tree", "block").sortWithinPartitions("tree", "block", "pos")
 
 
-def _block() -> Column:
-    return F.shiftright("pos", _SLOTS.bit_length() - 1).alias("block")
+def _block(levels: int) -> Column:
+    return F.floor(F.col("pos") / ARITY**levels).cast("long").alias("block")
 
 
-def climb(stage: Stage, nodes: DataFrame, most: int) -> tuple[list[DataFrame], DataFrame]:
-    """The floors of the trees of ``nodes(tree, n, pos, hash)`` (``n`` nodes in a tree, at most ``most``; a floor for every
-    four levels), and ``(tree, hash)`` of their roots."""
+def climb(stage: Stage, nodes: DataFrame, most: int, levels: int) -> tuple[list[DataFrame], DataFrame]:
+    """The floors of the trees of ``nodes(tree, n, pos, hash)`` (``n`` nodes in a tree, at most ``most``; a floor for as many
+    levels each), and ``(tree, hash)`` of their roots."""
     floors, roots = [nodes], nodes.where("n = 1").select("tree", "hash")
     while most > 1:
-        arrays = _arrays(floors[-1].where("n > 1").select("tree", "n", "pos", "hash", _block()))
-        floors.append(stage.write(arrays.mapInArrow(_reduce, NODES), "floor"))
+        arrays = _arrays(floors[-1].where("n > 1").select("tree", "n", "pos", "hash", _block(levels)))
+        floors.append(stage.write(arrays.mapInArrow(_reduce(levels), NODES), "floor"))
         roots = roots.union(floors[-1].where("n = 1").select("tree", "hash"))
-        most = -(-most // _SLOTS)
+        most = -(-most // ARITY**levels)
     return floors, roots
 
 
-def _meet(floor: DataFrame, uppers: DataFrame | None, above: DataFrame) -> DataFrame:
+def _meet(floor: DataFrame, uppers: DataFrame | None, above: DataFrame, levels: int) -> DataFrame:
     """Each array of a floor with one row (pos -1) that holds the siblings above it: from the floor above, or
     from ``above`` where the tree has one node here."""
     tops = floor.where("n = 1").select("tree").join(above, "tree").select("tree", F.lit(0).cast("long").alias("block"), "upper", "ends")
     if uppers is not None:
         tops = tops.union(uppers.select("tree", F.col("pos").alias("block"), "upper", "ends"))
-    rows = floor.withColumn("block", _block()).unionByName(tops.withColumn("pos", F.lit(-1).cast("long")), allowMissingColumns=True)
+    rows = floor.withColumn("block", _block(levels)).unionByName(tops.withColumn("pos", F.lit(-1).cast("long")), allowMissingColumns=True)
     return _arrays(rows)
 
 
-def _paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for head, *rows in _runs(batches):
-        floors = _floors([r["hash"].hex() for r in rows], min(_LEVELS, levels_of(rows[0]["n"])))
-        upper = [head["upper"]] if head["upper"] else []
-        paths = ["|".join([*(_siblings(f, i // ARITY**k) for k, f in enumerate(floors[:-1])), *upper]) for i in range(len(rows))]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([r["tree"] for r in rows], pa.string()), pa.array([r["pos"] for r in rows], pa.int64()),
-             pa.array(paths, pa.string()), pa.array([head["ends"]] * len(rows), pa.string())], ["tree", "pos", "upper", "ends"])
+def _paths(levels: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for head, *rows in _runs(batches):
+            floors = _floors([r["hash"].hex() for r in rows], min(levels, levels_of(rows[0]["n"])))
+            upper = [head["upper"]] if head["upper"] else []
+            paths = ["|".join([*(_siblings(f, i // ARITY**k) for k, f in enumerate(floors[:-1])), *upper]) for i in range(len(rows))]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([r["tree"] for r in rows], pa.string()), pa.array([r["pos"] for r in rows], pa.int64()),
+                 pa.array(paths, pa.string()), pa.array([head["ends"]] * len(rows), pa.string())], ["tree", "pos", "upper", "ends"])
+
+    return run
 
 
-def descend(stage: Stage, floors: list[DataFrame], above: DataFrame) -> DataFrame:
+def descend(stage: Stage, floors: list[DataFrame], above: DataFrame, levels: int) -> DataFrame:
     """The lowest floor's arrays, each led by the siblings above it; ``above(tree, upper, ends)`` holds those above the trees."""
     uppers = None
     for floor in floors[:0:-1]:
-        uppers = stage.write(_meet(floor, uppers, above).mapInArrow(_paths, PATHS), "paths")
-    return _meet(floors[0], uppers, above)
+        uppers = stage.write(_meet(floor, uppers, above, levels).mapInArrow(_paths(levels), PATHS), "paths")
+    return _meet(floors[0], uppers, above, levels)
 
 
 def fold(leaf: str, path: list[str]) -> str:
@@ -181,26 +186,29 @@ def fold(leaf: str, path: list[str]) -> str:
     return leaf
 
 
-def _prove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for head, *rows in _runs(batches):
-        leaves = [r["hash"].hex() for r in rows]
-        floors = _floors(leaves, min(_LEVELS, levels_of(rows[0]["n"])))[:-1]
-        between = [[_siblings(f, i) for i in range(len(f))] for f in floors]
-        upper = head["upper"].split("|") if head["upper"] else []
-        subroot, root = head["ends"][:64], head["ends"][64:]
-        proofs, folded = [], []
-        for i, row in enumerate(rows):
-            path = [b[i // ARITY**k] for k, b in enumerate(between)] + upper
-            proofs.append(sha256("".join(path).replace("*", "").encode()).hexdigest())
-            folded.append(fold(row["claimed"].hex() if row["claimed"] is not None else leaves[i], path))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([r["doc_id"] for r in rows], pa.int64()), pa.array(leaves, pa.string()),
-             pa.array([subroot] * len(rows), pa.string()), pa.array([root] * len(rows), pa.string()),
-             pa.array(proofs, pa.string()), pa.array(folded, pa.string()), pa.array([f == root for f in folded], pa.bool_())],
-            [c.split()[0] for c in PROOFS.split(", ")])
-
-
-def manifest(docs: DataFrame, group: str, leaf: Column, claimed: Column | None = None) -> DataFrame:
+def _prove(levels: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for head, *rows in _runs(batches):
+            leaves = [r["hash"].hex() for r in rows]
+            floors = _floors(leaves, min(levels, levels_of(rows[0]["n"])))[:-1]
+            between = [[_siblings(f, i) for i in range(len(f))] for f in floors]
+            upper = head["upper"].split("|") if head["upper"] else []
+            subroot, root = head["ends"][:64], head["ends"][64:]
+            proofs, folded = [], []
+            for i, row in enumerate(rows):
+                path = [b[i // ARITY**k] for k, b in enumerate(between)] + upper
+                proofs.append(sha256("".join(path).replace("*", "").encode()).hexdigest())
+                folded.append(fold(row["claimed"].hex() if row["claimed"] is not None else leaves[i], path))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([r["doc_id"] for r in rows], pa.int64()), pa.array(leaves, pa.string()),
+                 pa.array([subroot] * len(rows), pa.string()), pa.array([root] * len(rows), pa.string()),
+                 pa.array(proofs, pa.string()), pa.array(folded, pa.string()), pa.array([f == root for f in folded], pa.bool_())],
+                [c.split()[0] for c in PROOFS.split(", ")])
+
+    return run
+
+
+def manifest(docs: DataFrame, group: str, leaf: Column, claimed: Column | None = None, levels: int = LEVELS) -> DataFrame:
     """Per row of ``docs(doc_id, ...)``: ``doc_id, leaf, subroot`` (of its ``group``), ``root, proof_sha256`` (SHA-256 over
     the siblings, from the leaf's to the root's), ``folded_root`` (from ``claimed``, a leaf hash held against the manifest,
     or from the leaf itself where that is null) and ``verified`` (whether that is the root).
@@ -219,21 +227,21 @@ def manifest(docs: DataFrame, group: str, leaf: Column, claimed: Column | None =
         return spark.createDataFrame([], PROOFS)
     placed = stage.write(ranked.withColumnRenamed("leaf", "hash"), "placed")
     stage.drop(leaves)
-    floors, subroots = climb(stage, placed.select("tree", "n", "pos", "hash"), most)
+    floors, subroots = climb(stage, placed.select("tree", "n", "pos", "hash"), most, levels)
     subroots = stage.write(with_position(subroots, ["tree"]).withColumnsRenamed({"tree": "name"}), "subroots")
     n = subroots.count()
     groups = subroots.select(F.lit("").alias("tree"), F.lit(n).cast("long").alias("n"), "pos", "hash")
-    higher, top = climb(stage, groups, n)
+    higher, top = climb(stage, groups, n, levels)
     top = top.select("tree", F.lit("").alias("upper"), F.lower(F.hex("hash")).alias("ends"))
-    over = descend(stage, higher, top).mapInArrow(_paths, PATHS).join(subroots, "pos")
+    over = descend(stage, higher, top, levels).mapInArrow(_paths(levels), PATHS).join(subroots, "pos")
     above = stage.write(over.select(
         F.col("name").alias("tree"), "upper", F.concat(F.lower(F.hex("hash")), F.col("ends")).alias("ends")), "above")
-    return descend(stage, [placed, *floors[1:]], above).mapInArrow(_prove, PROOFS)
+    return descend(stage, [placed, *floors[1:]], above, levels).mapInArrow(_prove(levels), PROOFS)
 
 
-def document_manifest(docs: DataFrame) -> DataFrame:
+def document_manifest(docs: DataFrame, levels: int = LEVELS) -> DataFrame:
     """The manifest of ``documents`` by lang, held against a copy in which the text of every third document (by
     the checksum of its id) is in ASCII lower case."""
     columns = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars", "text")]
     changed = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0
-    return manifest(docs, "lang", leaf_hash(columns), F.when(changed, leaf_hash([*columns[:-1], lower_ascii(columns[-1])])))
+    return manifest(docs, "lang", leaf_hash(columns), F.when(changed, leaf_hash([*columns[:-1], lower_ascii(columns[-1])])), levels)

@@ -209,7 +209,7 @@ WITH RECURSIVE docs AS (
     coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id::VARCHAR, '-') AS id_field, text,
     translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low
   FROM documents),
-marks AS (SELECT doc_id, coalesce(_CRC_ % 3 = 0, false) AS tampered FROM (SELECT DISTINCT doc_id, doc_id::VARCHAR AS x FROM documents)),
+marks AS (SELECT doc_id, x IS NOT NULL AND _CRC_ % 3 = 0 AS tampered FROM (SELECT DISTINCT doc_id, doc_id::VARCHAR AS x FROM documents)),
 leaves AS (
   SELECT d.doc_id, tree, sha256(id_field || inner_fields || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
     sha256(id_field || inner_fields || CASE WHEN tampered THEN coalesce(strlen(low) || ':' || low, '-')
