@@ -28,6 +28,9 @@ from .tables import Stage, scratch_path
 COUNTS = "content binary, n_tokens long"
 BROADCAST_MISSES = 20_000  # up to so many (a MB) the places to encode go to the rows, beyond it both sides shuffle
 _CHUNK = 1 << 20  # bytes of text encoded at once: the library keeps about 100 bytes per token meanwhile
+_REMEMBERED = 400_000  # words whose counts a worker remembers (about 100 bytes each)
+#: fixed value: the pattern of pieces of a lower-casing tokenizer with word ends; no piece holds white space
+PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _FORM = "1"  # changes whenever ``normalised`` does
 
 
@@ -50,28 +53,36 @@ class TokenizerVersion:
         self.library = library.__name__
         parts = (_FORM, self.library, library.__version__, hashlib.sha256(self.content).hexdigest())
         self.digest = hashlib.sha256("\n".join(parts).encode()).hexdigest()
+        self.by_word = self._by_word()
+
+    def _by_word(self) -> bool:
+        """Whether the count of a text is the sum over its words (between ASCII white space): white space becomes
+        one space that no piece holds, and added tokens neither hold nor take white space."""
+        steps = (self.spec.get("normalizer") or {}).get("normalizers") or []
+        pre = ((self.spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}])[0]
+        return (
+            any(s.get("type") == "Replace" and s.get("pattern") == {"Regex": r"\s+"} and s.get("content") == " " for s in steps)
+            and {s.get("type") for s in steps} <= {"NFC", "Replace", "Lowercase"}
+            and pre.get("type") == "Split" and pre.get("behavior") == "Removed" and pre.get("invert") is True
+            and pre.get("pattern") == {"Regex": PIECES}
+            and not any(set(" \t\n\r\v\f") & set(a["content"]) or a["lstrip"] or a["rstrip"] or a["single_word"]
+                        for a in self.spec.get("added_tokens") or []))
 
     def normalised(self, text: Column) -> Column:
         """A form of ``text`` with the same count, so that copies that differ in it share an entry.
 
-        Where the tokenizer makes one space of each run of white space and its pieces hold none, runs of ASCII
-        white space become one space and those at the ends go.  Where it also lower-cases, so does this, but
-        for ASCII texts only (elsewhere lower case may change how marks compose) and not where
-        that would spell an added token, which is matched in the text as it stands."""
-        steps = (self.spec.get("normalizer") or {}).get("normalizers") or []
-        pre = (self.spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
-        collapses = any(s.get("type") == "Replace" and s.get("pattern") == {"Regex": r"\s+"} and s.get("content") == " " for s in steps)
-        added = self.spec.get("added_tokens") or []
-        if not (collapses and pre[0].get("type") == "Split" and pre[0].get("behavior") == "Removed" and pre[0].get("invert")
-                and not any(set(" \t\n\r\v\f") & set(a["content"]) or a["lstrip"] or a["rstrip"] for a in added)):
+        Where words count apart, runs of ASCII white space become one space and those at the ends go.  Where the
+        tokenizer also lower-cases, so does this, but for ASCII texts only (elsewhere lower case may change how
+        marks compose) and not where that would spell an added token, which is matched in the text as it stands."""
+        if not self.by_word:
             return text
         white = r"[\t-\r][\t-\r ]*| [\t-\r ]+"
         form = F.trim(F.regexp_replace(text, white, " "))
-        if not any(s.get("type") == "Lowercase" for s in steps):
+        if not any(s.get("type") == "Lowercase" for s in self.spec["normalizer"]["normalizers"]):
             return form
         lower = F.lower(form)
         plain = F.octet_length(form) == F.char_length(form)
-        for a in added:
+        for a in self.spec.get("added_tokens") or []:
             plain = plain & (F.instr(lower, a["content"].lower()) == 0)
         return F.when(plain, lower).otherwise(form)
 
@@ -92,11 +103,31 @@ def _counter(library: str, content: bytes) -> Callable[[list[str]], list[int]]:
     return lambda texts: [len(e) for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
 
-def _count(library: str, content) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+class _WordCounts:
+    """Counts of texts as sums over their words; the words of earlier texts are remembered."""
+
+    def __init__(self, count: Callable[[list[str]], list[int]]):
+        self.count, self.known = count, {}
+
+    def __call__(self, texts: list[str]) -> list[int]:
+        words = [t.encode().split() for t in texts]  # bytes are split at ASCII white space only
+        if len(self.known) > _REMEMBERED:
+            self.known = {}
+        new = list(set().union(*words).difference(self.known))
+        self.known.update(zip(new, self.count([w.decode() for w in new])))
+        return [sum(map(self.known.__getitem__, w)) for w in words]
+
+
+@functools.cache
+def _word_counter(library: str, content: bytes) -> _WordCounts:
+    return _WordCounts(_counter(library, content))
+
+
+def _count(library: str, content, by_word: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count = (_word_counter if by_word else _counter)(library, content.value)
         for batch in batches:
             texts = batch["text"].to_pylist()
-            count = _counter(library, content.value)
             n = [k for lo, hi in chunks(texts, _CHUNK) for k in count(texts[lo:hi])]
             yield pa.RecordBatch.from_arrays([batch["content"], pa.array(n, pa.int64())], ["content", "n_tokens"])
 
@@ -155,9 +186,10 @@ def token_counts(docs: DataFrame, tokenizer_path: str, cache_folder: str, limit:
         side = F.broadcast(missing) if n <= BROADCAST_MISSES else missing.hint("shuffle_hash")
         texts = rows.select("file", "row", "text").join(side, ["file", "row"]).select("content", "text")
         content = spark.sparkContext.broadcast(version.content)
-        cache.append(texts.mapInArrow(_count(version.library, content), COUNTS))
+        cache.append(texts.mapInArrow(_count(version.library, content, version.by_word), COUNTS))
     n_tokens = F.coalesce("n_tokens", F.raise_error(F.lit("the token count cache lost an entry")).cast("long"))
-    return keys.join(cache.counts(), "content", "left").select("doc_id", "n_bytes", n_tokens.alias("n_tokens")).select(
+    known = stage.write(cache.counts(), "known")  # written, so that a content that many rows share is split by the join
+    return keys.join(known, "content", "left").select("doc_id", "n_bytes", n_tokens.alias("n_tokens")).select(
         "*", (F.col("n_tokens") > limit).alias("over_limit"))
 
 
