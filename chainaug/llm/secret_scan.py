@@ -33,9 +33,10 @@ KINDS = ("assign", "access", "hex", "identifier", "secret", "endpoint")
 _IDENTIFIER = re.compile(
     r"""(?<![A-Za-z0-9])(?:access_?key(?:_?id)?|client_?id|account|user(?:name)?|login)["']?\x20*[:=]\x20*["']?([A-Za-z0-9_.@+-]{3,})""",
     re.I | re.A)
-_ENDPOINT = re.compile(
-    r"""(?<![A-Za-z0-9])(?:(?:https?|ftp|ssh|jdbc:[a-z0-9]+|postgres(?:ql)?|mysql|mongodb|redis|amqp|s3)://[^\s"'<>]+|[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+:[0-9]{2,5}(?![0-9]))""",
-    re.A)
+_URL = re.compile(
+    r"""(?<![A-Za-z0-9])(?:https?|ftp|ssh|jdbc:[a-z0-9]+|postgres(?:ql)?|mysql|mongodb|redis|amqp|s3)://[^\s"'<>]+""", re.A)
+#: a whole run of the characters of host names before a port: begun nowhere else, so a ruled line is read once
+_HOST_RUN = re.compile(r"(?<![A-Za-z0-9.-])([A-Za-z0-9.-]++)(?=:([0-9]{2,5})(?![0-9]))", re.A)
 _WORD = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}", re.A)
 _SCOPE = re.compile(r"\n[^\S\n]*\n")
 
@@ -54,6 +55,25 @@ def base_spans(text: str) -> list[Span]:
     return sorted(found)
 
 
+def endpoint_spans(text: str) -> list[Span]:
+    """URLs, and hosts of two labels or more with a port; of a run with empty labels the labels after the last."""
+    if ":" not in text:
+        return []
+    urls = [Span(m.start(), 5, m.end()) for m in _URL.finditer(text)]
+    starts, ends = [u.start for u in urls], [u.end for u in urls]
+    hosts, done = [], 0
+    for m in _HOST_RUN.finditer(text):
+        run, begin = m[1], max(done - m.start(), 0)  # the port before may reach into the run
+        begin = max(begin, run.rfind("..") + 1)
+        while begin < len(run) and (run[begin] == "." or begin and run[begin - 1] not in ".-"):
+            begin += 1
+        span = Span(m.start() + begin, 5, m.end() + 1 + len(m[2]))
+        if "." in run[begin:] and run[-1] != "." and not _overlaps(span, ends, starts):
+            hosts.append(span)
+            done = span.end
+    return sorted(urls + hosts)
+
+
 def _looks_secret(word: str) -> bool:
     """Digits, lower and upper case together, and characters spread evenly."""
     if not (any(c.isdigit() for c in word) and any(c.islower() for c in word) and any(c.isupper() for c in word)):
@@ -74,7 +94,7 @@ def linked_spans(text: str, base: list[Span], reach: int = REACH) -> list[Span]:
     Identifiers and endpoints pair with secrets: weak ones, and the base ``assign`` and ``hex`` spans;
     a weak secret pairs with identifiers (``access`` spans too) and endpoints."""
     identifiers = [Span(m.start(), 3, m.end()) for m in _IDENTIFIER.finditer(text)]
-    endpoints = [Span(m.start(), 5, m.end()) for m in _ENDPOINT.finditer(text)] if ":" in text else []
+    endpoints = endpoint_spans(text)
     taken = sorted([*base, *identifiers, *endpoints])
     joined: list[list[int]] = []  # their union, for weak secrets to lie outside of
     for s in taken:
