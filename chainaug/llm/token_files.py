@@ -18,13 +18,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.numbering import with_running_start
 from .tables import Stage, scratch_path
 from .tokens import broadcast_tokenizer, encoder
 
 MAGIC = b"RANKVB01"
+READ_TASKS = 10_000  # tasks that read files back, at most (each then reads several)
 FILE_TOKENS = 2_000_000  # a file is closed beyond this many ids (a longer document stays whole)
 _HEADER = struct.Struct("<8sQQQ")  # magic, documents, ids, data bytes
 _BLOCK = 1 << 16  # values coded at once (a multiple of four)
@@ -120,26 +122,27 @@ def _write(folder: str, rank_of, width: str):
 
         store, base = FileSystem.from_uri(folder)
         part, attempt = TaskContext.get().partitionId(), uuid.uuid4().hex
-        number, names, lengths, parts = 0, [], [], []
+        number, names, lengths, parts, held = 0, [], [], [], 0  # held: ids of the documents at hand
 
         def close() -> pa.RecordBatch:
-            nonlocal number, names, lengths, parts
+            nonlocal number, names, lengths, parts, held
             ranks = rank_of.value[np.concatenate(parts)]
             file = f"{part:07d}-{number:05d}-{attempt}.tokens"
             store.create_dir(base, recursive=True)
             with store.open_output_stream(f"{base}/{file}") as out:
                 out.write(pack_file(names, lengths, ranks))
             row = [file, part, number, len(names), len(ranks)]
-            number, names, lengths, parts = number + 1, [], [], []
+            number, names, lengths, parts, held = number + 1, [], [], [], 0
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, _MANIFEST)], [c.split()[0] for c in MANIFEST.split(", ")])
 
         for batch in batches:
             for doc_id, raw in zip(batch["doc_id"].to_pylist(), batch["ids"].to_pylist()):
                 ids = np.frombuffer(raw, dtype=width)
-                if names and sum(lengths) + len(ids) > FILE_TOKENS:
+                if names and held + len(ids) > FILE_TOKENS:
                     yield close()
                 names.append(doc_id)
                 lengths.append(len(ids))
+                held += len(ids)
                 parts.append(ids)
         if names:
             yield close()
@@ -151,8 +154,8 @@ _MANIFEST = [pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
 
 
 def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int = 2) -> tuple[DataFrame, DataFrame]:
-    """Write ``docs(doc_id, text, ...)`` as token files into ``folder``, ascending by doc_id (null first,
-    equal ids by their tokens).  Returns the manifest (file, part, number, n_docs, n_ids; files in order of part and number) and
+    """Write ``docs(doc_id, text, ...)`` as token files into ``folder``, ascending by doc_id (null first; rows
+    of one doc_id lie in order of a hash of their tokens, and spread over as many tasks as they need).  Returns the manifest (file, part, number, n_docs, n_ids; files in order of part and number) and
     the code book (id, rank); both are kept beside the files as Parquet."""
     spark = docs.sparkSession
     stage = Stage(spark)
@@ -170,7 +173,9 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str, end_id:
     book = spark.createDataFrame([(i, rank) for rank, (_, i) in enumerate(ranked)], "id long, rank long")
     book.write.parquet(f"{folder}/book")
 
-    ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "ids")
+    order = ["doc_id", "hash", "spread"]  # the last tells equal rows apart, so that a repeated one spreads over tasks
+    keyed = rows.select("doc_id", "ids", F.xxhash64("ids").alias("hash"), F.xxhash64(F.monotonically_increasing_id()).alias("spread"))
+    ordered = keyed.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "ids")
     manifest = ordered.mapInArrow(_write(f"{folder}/files", spark.sparkContext.broadcast(rank_of), width), MANIFEST)
     manifest.write.parquet(f"{folder}/manifest")
     stage.drop(rows)
@@ -183,11 +188,15 @@ def _vocabulary(content: str, end_id: int) -> int:
     return max(Tokenizer.from_str(content).get_vocab_size(with_added_tokens=True), end_id + 1)
 
 
-def _read(id_of, with_ids: bool):
+def _read(folder: str, id_of, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow.fs import FileSystem
+
+        store, base = FileSystem.from_uri(folder)
         for batch in batches:
-            for content, begin in zip(batch["content"], batch["begin"].to_pylist()):
-                names, lengths, ranks = unpack_file(content.as_py())
+            for file, begin in zip(batch["file"].to_pylist(), batch["begin"].to_pylist()):
+                with store.open_input_stream(f"{base}/{file}") as content:
+                    names, lengths, ranks = unpack_file(content.read())
                 ids = id_of.value[ranks]
                 end = np.cumsum(lengths)
                 raw = [ids[e - n : e].tobytes() for e, n in zip(end.tolist(), lengths.tolist())]
@@ -201,21 +210,21 @@ def _read(id_of, with_ids: bool):
 
 def read_token_files(spark: SparkSession, folder: str, with_ids: bool = False) -> DataFrame:
     """Documents of the token files in ``folder``: ``doc_id, start, n_tokens, ids_crc32`` and, with
-    ``with_ids``, ``ids`` (little-endian uint32).  ``start`` counts the ids of all documents before it."""
+    ``with_ids``, ``ids`` (little-endian uint32).  ``start`` counts the ids of all documents before it.
+
+    Only names and places move: a task opens the files of the manifest that fall to it."""
     manifest = spark.read.schema(MANIFEST).parquet(f"{folder}/manifest")
-    before = Window.orderBy("part", "number").rowsBetween(Window.unboundedPreceding, -1)  # one row per file
-    begins = manifest.select("file", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("begin"))
+    n_files = manifest.count()
+    schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids
+    if not n_files:
+        return spark.createDataFrame([], schema)
+    begins = with_running_start(manifest.select("file", "part", "number", "n_ids"), ["part", "number"], "n_ids", "begin")
     book = spark.read.parquet(f"{folder}/book").collect()  # at most a row per id of the vocabulary
     id_of = np.zeros(len(book), dtype="<u4")
     for r in book:
         id_of[r["rank"]] = r["id"]
-    schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids
-    if not book:
-        return spark.createDataFrame([], schema)
-    content = spark.read.format("binaryFile").option("pathGlobFilter", "*.tokens").load(f"{folder}/files")
-    content = content.select(F.element_at(F.split("path", "/"), -1).alias("file"), "content")
-    return content.join(begins, "file").select("content", "begin").mapInArrow(
-        _read(spark.sparkContext.broadcast(id_of), with_ids), schema)
+    files = begins.select("file", "begin").repartition(min(n_files, READ_TASKS))
+    return files.mapInArrow(_read(f"{folder}/files", spark.sparkContext.broadcast(id_of), with_ids), schema)
 
 
 def round_trip(docs: DataFrame, tokenizer_path: str, end_id: int = 2) -> DataFrame:
