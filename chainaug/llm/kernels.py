@@ -60,8 +60,9 @@ class Words:
     """Words of a chunk of texts: byte ranges ``start``/``end`` in ``buf``, 64-bit ``hash``, and
     ``first`` (text i has the words first[i] .. first[i+1]-1); text i begins at ``offset[i]``."""
 
-    def __init__(self, texts: list[bytes], classes: np.ndarray):
-        buf = np.frombuffer(b" ".join([*texts, b""]), dtype=np.uint8)
+    def __init__(self, texts: list[bytes], classes: np.ndarray, between: bytes = b" "):
+        """``between`` is one byte that no word holds; it parts the texts."""
+        buf = np.frombuffer(between.join([*texts, b""]), dtype=np.uint8)
         lengths = np.fromiter((len(t) + 1 for t in texts), dtype=np.int64, count=len(texts))
         self.offset = np.concatenate(([0], np.cumsum(lengths)))
         inside = classes[buf]

@@ -51,7 +51,7 @@ def features(texts: list[bytes]) -> np.ndarray:
     rows = []
     for lo, hi in chunks(texts):
         part = texts[lo:hi]
-        words, lines = Words(part, SPACE_WORDS), Words(part, _LINES)
+        words, lines = Words(part, SPACE_WORDS), Words(part, _LINES, b"\n")
         size = words.end - words.start
         last = words.buf[np.maximum(words.end - 1, 0)] if len(size) else np.empty(0, np.uint8)
         begin = words.buf[words.start] if len(size) else np.empty(0, np.uint8)
@@ -163,15 +163,18 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabe
     prior = known.agg(F.avg("quality")).first()[0]
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     trusted = sample_ids(known.where("quality = 1").select("doc_id").distinct(), positives, "trusted").withColumn("side", F.lit("P"))
-    general = sample_ids(texts.select("doc_id").where(~held_out()), unlabelled, "general").distinct().withColumn("side", F.lit("U"))
-    chosen = texts.join(F.broadcast(trusted.union(general)), "doc_id").select("side", "text")
+    general = sample_ids(texts.select("doc_id").where(~held_out()).distinct(), unlabelled, "general").withColumn("side", F.lit("U"))
+    chosen = texts.join(F.broadcast(trusted.union(general)), "doc_id").select("side", "doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = features(utf8(batch["text"]))
-            yield pa.RecordBatch.from_arrays([batch["side"], pa.array([row.tobytes() for row in x], pa.binary())], ["side", "x"])
+            x = pa.array([row.tobytes() for row in x], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch["side"], batch["doc_id"], x], ["side", "doc_id", "x"])
 
-    rows = sorted((r["side"], bytes(r["x"])) for r in chosen.mapInArrow(run, "side string, x binary").collect())
+    # one row of a chosen id, however many share it: the collect is as small as the sample
+    found = chosen.mapInArrow(run, "side string, doc_id long, x binary").groupBy("side", "doc_id").agg(F.min("x").alias("x"))
+    rows = sorted((r["side"], bytes(r["x"])) for r in found.collect())
 
     def side(name: str) -> np.ndarray:
         return np.frombuffer(b"".join(x for s, x in rows if s == name)).reshape(-1, _N)

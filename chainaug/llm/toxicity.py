@@ -129,7 +129,9 @@ def train(docs: DataFrame, labels: DataFrame, toxic: int = TOXIC, clean: int = C
     ids = sample_ids(known.where("toxic = 1").distinct(), toxic, "toxic").union(sample_ids(known.where("toxic = 0").distinct(), clean, "clean"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     stage = Stage(docs.sparkSession)
-    sample = stage.write(texts.join(F.broadcast(ids), "doc_id").select("toxic", "text"), "sample")
+    # one row of a chosen id, however many share it
+    rows = texts.join(F.broadcast(ids), "doc_id").groupBy("toxic", "doc_id").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
+    sample = stage.write(rows.select("toxic", "text"), "sample")
     counts = sample.mapInArrow(_count, "bucket long, n_toxic long, n_clean long").groupBy("bucket").agg(
         F.sum("n_toxic").alias("n_toxic"), F.sum("n_clean").alias("n_clean")).where("n_toxic + n_clean >= 3")
     counts = counts.toArrow()  # a row per bucket at most

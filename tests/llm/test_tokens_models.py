@@ -1,10 +1,13 @@
 """Packing, token files, WARC, embeddings, classifiers and the pipeline."""
 
 import math
+import tempfile
+import time
 import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from llm_helpers import TOKENIZER, edge_rows, groups_of, jaccard_links
 
@@ -150,6 +153,44 @@ def test_token_files_of_edge_rows(spark, edge_docs, no_docs, encode, monkeypatch
     assert token_files.round_trip(no_docs, TOKENIZER).count() == 0
 
 
+def test_many_empty_documents_fill_a_file_in_seconds():
+    n = 200_000
+    batch = pa.RecordBatch.from_arrays([pa.array(range(n), pa.int64()), pa.array([b"\2\0"] * n, pa.binary())], ["doc_id", "ids"])
+
+    class Ranks:
+        value = np.zeros(10, dtype=np.uint32)
+
+    began, folder = time.perf_counter(), tempfile.mkdtemp(dir="/tmp")
+    token_files.TaskContext, before = type("Task", (), {"get": staticmethod(lambda: None), "partitionId": lambda self: 0}), token_files.TaskContext
+    try:
+        token_files.TaskContext.get = staticmethod(token_files.TaskContext)
+        files = [r.to_pylist()[0] for r in token_files._write(f"file://{folder}", Ranks, "<u2")(iter([batch]))]
+    finally:
+        token_files.TaskContext = before
+    assert [f["n_docs"] for f in files] == [n] and time.perf_counter() - began < 5
+
+
+def test_one_doc_id_in_most_rows_spreads_over_files(spark, encode):
+    """A repeated id and rows without one are split by a hash of their tokens, and equal rows by their place."""
+    rows = [(7, "same words")] * 3000 + [(None, f"text {i % 50}") for i in range(2000)] + [(i, "") for i in range(8, 300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    folder = scratch_path(spark, "tokens")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # else these few rows are one partition
+    try:
+        manifest, _ = token_files.write_token_files(docs, TOKENIZER, folder)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert max(r["n_docs"] for r in manifest.collect()) < len(rows) / 3
+    got = sorted(token_files.read_token_files(spark, folder, with_ids=True).collect(), key=lambda r: r["start"])
+    assert [r["doc_id"] for r in got] == sorted((r[0] for r in rows), key=lambda i: -1 if i is None else i)
+    want = sorted((str(i), ids_of(encode, t, 2).tobytes()) for i, t in rows)
+    assert sorted((str(r["doc_id"]), bytes(r["ids"])) for r in got) == want
+    at = 0
+    for r in got:
+        assert r["start"] == at
+        at += r["n_tokens"]
+
+
 def test_token_files_of_the_table(spark, encode):
     rows = spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id").select("doc_id", "text").collect()
     at, want = 0, {}
@@ -291,6 +332,22 @@ def test_classifiers_on_edge_rows(spark, edge_docs, no_docs, train, score, label
     assert score(no_docs, train(no_docs, both)).count() == 0
 
 
+@pytest.mark.parametrize("train,score,label", [(quality.train, quality.score_quality, "quality"), (toxicity.train, toxicity.score_toxicity, "toxic")])
+def test_an_id_in_many_rows_counts_once_in_the_fit(spark, train, score, label):
+    rows = [(i, f"{'good words here' if i % 2 else 'bad stuff !!'} number {i} and more {'text' * (i % 5)}") for i in range(60)]
+    once = spark.createDataFrame(rows, "doc_id long, text string")
+    often = once.union(spark.createDataFrame([rows[7]] * 500 + [rows[8]] * 500, once.schema))
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], f"doc_id long, {label} int")
+    a, b = ({r["doc_id"]: r["score"] for r in score(once, train(docs, labels)).collect()} for docs in (once, often))
+    assert a == b
+
+
+def test_features_of_a_text_do_not_depend_on_its_neighbours():
+    texts = [b"one line", b"two\nlines", b"", b"one line", b"\n", b"a\n\na", "é ü".encode(), b"last"]
+    together, alone = quality.features(texts), np.concatenate([quality.features([t]) for t in texts])
+    assert np.array_equal(together, alone) and np.array_equal(together[0], together[3])
+
+
 def test_labels_of_the_held_out_fold_are_not_learnt(spark):
     docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
     other = labels.selectExpr("doc_id", "if(crc32(cast(string(doc_id) as binary)) % 5 = 0, 1 - quality, quality) AS quality",
@@ -323,9 +380,9 @@ def test_query_matches_its_sql(spark, con, name):
     assert got.equals(want)
 
 
-def test_ten_queries_and_the_pipeline_are_registered():
+def test_thirteen_queries_and_the_pipeline_are_registered():
     names = set(entry.queries())
-    assert {n.split("_")[0] for n in QUERIES} == {f"op{k}" for k in range(1, 11)}
+    assert {n.split("_")[0] for n in QUERIES} == {f"op{k}" for k in range(1, 14)}
     assert set(QUERIES) | {"pipeline"} <= names and set(ORACLE) <= set(entry.oracle_sql())
     assert len(corpus_pipeline.STAGES) == 5
 
@@ -336,6 +393,9 @@ def test_rows_without_an_id_stay_when_an_id_repeats(spark):
     kept = corpus_pipeline.near_duplicates(spark, docs, SF)
     assert kept.columns == docs.columns
     assert sorted(str(r["doc_id"]) for r in kept.collect()) == ["1", "2", *["None"] * 5]
+    other = docs.union(spark.createDataFrame([(1, "one", "de", "a", 3), (1, "one", "en", "b", 3)], docs.schema))
+    kept = corpus_pipeline.near_duplicates(spark, other, SF)  # rows that differ in any column are rows of their own
+    assert sorted(str(r["doc_id"]) for r in kept.collect()) == ["1", "1", "1", "2", *["None"] * 5]
 
 
 def test_each_stage_does_its_whole_work(spark, encode):
