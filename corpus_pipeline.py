@@ -23,8 +23,8 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates (five-word shingles, similarity 0.8) stays: the
-    one with the smallest doc_id.  Rows that share a doc_id stay or go together, equal ones as one row;
-    rows without a doc_id stay."""
+    one with the smallest doc_id.  Rows that share a doc_id stay or go together, those equal in every column
+    as one row; rows without a doc_id stay."""
     prepare(spark)
     stage = Stage(spark)
     groups = stage.write(ngram_join.jaccard_components(docs, words_per_shingle=5, threshold=0.8), "groups")
@@ -33,7 +33,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     repeated = groups.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     if repeated.isEmpty():
         return kept
-    return kept.where("doc_id is not null").dropDuplicates(["doc_id", "text"]).union(kept.where("doc_id is null"))
+    return kept.where("doc_id is not null").dropDuplicates().union(kept.where("doc_id is null"))
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
