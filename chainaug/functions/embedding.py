@@ -1,105 +1,102 @@
-"""Greedy max-cosine matching of token vectors (embedding F1, BERTScore-style) as an Arrow UDF.
+"""Greedy max-cosine matching of token vectors (embedding F1, BERTScore-style), an Arrow batch at a time.
 
 Per pair: S = cosine matrix of prediction x reference token vectors; P = mean over prediction
 tokens of the row max, R = mean over reference tokens of the column max, F = 2PR/(P+R).
-Dot products accumulate dimension by dimension (the order a plain loop uses), and means are
-taken over values rounded to 1e-6, so the result is reproducible in the SQL oracle."""
+
+A pair is two lists of distinct token ids with their multiplicities.  A token that both sides hold matches
+itself with cosine 1 in six digits, which no other vector exceeds, so only tokens of one side are multiplied, against the
+distinct tokens of the other.  Dot products accumulate dimension by dimension (the order a plain loop uses), and
+means are taken over values rounded to 1e-6, so the result is reproducible in the SQL oracle."""
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 import numpy as np
-import pandas as pd
-from pyspark.sql import functions as F
-from pyspark.sql import types as T
+import pyarrow as pa
+import pyarrow.compute as pc
 
-RESULT = T.StructType([
-    T.StructField("p", T.DoubleType()),
-    T.StructField("r", T.DoubleType()),
-    T.StructField("f", T.DoubleType()),
-])
+#: cells of a cosine matrix held at once per pair: long texts are matched in row blocks
+BLOCK_CELLS = 1 << 22
+_FEW_CELLS = 1024  # up to so many cells a running sum over the products is quicker than one pass per dimension
 
 
 def _round6(x):
     return np.floor(x * 1e6 + 0.5) / 1e6
 
 
-def _mean6(v: np.ndarray) -> float:
-    return float(_round6(np.floor(v * 1e6 + 0.5).sum() / (len(v) * 1e6)))
+def _dots(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Dot products accumulated dimension by dimension, left to right, bit-identical to the SQL oracle."""
+    if len(a) * len(b) <= _FEW_CELLS:
+        return np.cumsum(a[:, None, :] * b[None, :, :], axis=2)[:, :, -1]
+    out = np.multiply.outer(a[:, 0], b[:, 0])
+    product = np.empty_like(out)
+    for k in range(1, a.shape[1]):
+        out += np.multiply.outer(a[:, k], b[:, k], out=product)
+    return out
+
 
+class Vectors(NamedTuple):
+    """Tokens (an Arrow array without repeats) with the rows of their vectors and the vectors' norms."""
 
-def _dots(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Dot products accumulated dimension by dimension, left to right (``cumsum`` is a sequential
-    scan), i.e. the order of a plain loop -- bit-identical to the SQL oracle."""
-    return np.cumsum(a[:, None, :] * b[None, :, :], axis=2)[:, :, -1]
+    tokens: pa.Array
+    rows: np.ndarray
+    norms: np.ndarray
 
 
-def _norms(a: np.ndarray) -> np.ndarray:
-    return np.sqrt(np.cumsum(a * a, axis=1)[:, -1])
+def vectors(tokens: pa.Array, rows: np.ndarray) -> Vectors:
+    rows = rows.astype(np.float64, copy=False)
+    norms = np.sqrt(np.cumsum(rows * rows, axis=1)[:, -1]) if rows.size else np.zeros(len(rows))
+    return Vectors(tokens, rows, norms)
 
 
-# Product cells (rows x columns x dim, 8 bytes each) held at once per pair: long documents
-# are matched in row blocks, so a 20,000 x 20,000 token pair never materialises its matrix.
-BLOCK_CELLS = 1 << 22
+def _best(ids: np.ndarray, others: np.ndarray, table: Vectors) -> np.ndarray:
+    """Largest cosine of each id with any of ``others``, in integer millionths."""
+    own, b, norms = table.rows, table.rows[others], table.norms[others]
+    best = np.empty(len(ids))
+    step = max(1, BLOCK_CELLS // len(others))
+    for begin in range(0, len(ids), step):
+        part = ids[begin : begin + step]
+        best[begin : begin + step] = (_dots(own[part], b) / np.multiply.outer(table.norms[part], norms)).max(axis=1)
+    return np.floor(best * 1e6 + 0.5)
 
 
-def _matrix(vecs) -> np.ndarray:
-    """Rows of vectors as a float64 matrix (a 2-D array already, or a sequence of vectors)."""
-    if isinstance(vecs, np.ndarray) and vecs.ndim == 2:
-        return vecs.astype(np.float64, copy=False)
-    return np.vstack([np.asarray(v, dtype=np.float64) for v in vecs])
+def _side(ids: np.ndarray, times: np.ndarray, others: np.ndarray, table: Vectors, plain: bool) -> float:
+    """Mean of the largest cosines over the tokens of one side."""
+    best = np.full(len(ids), 1e6)
+    lone = ~np.isin(ids, others, assume_unique=True) if plain else np.ones(len(ids), dtype=bool)
+    if lone.any():
+        best[lone] = _best(ids[lone], others, table)
+    return float(_round6((best * times).sum() / (times.sum() * 1e6)))
 
 
-def greedy_f1(pred_vecs, ref_vecs) -> tuple[float, float, float]:
-    if pred_vecs is None or ref_vecs is None or len(pred_vecs) == 0 or len(ref_vecs) == 0:
+def greedy_f1(a: np.ndarray, times_a: np.ndarray, b: np.ndarray, times_b: np.ndarray, table: Vectors) -> tuple[float, float, float]:
+    """(P, R, F) of distinct ids ``a`` of the prediction and ``b`` of the reference, with how often each occurs."""
+    if not len(a) or not len(b):
         return 0.0, 0.0, 0.0
-    a = _matrix(pred_vecs)
-    b = _matrix(ref_vecs)
-    na, nb = _norms(a), _norms(b)
-    rows = max(1, BLOCK_CELLS // (b.shape[0] * b.shape[1]))
-    row_max = np.empty(a.shape[0])
-    col_max = np.full(b.shape[0], -np.inf)
-    for start in range(0, a.shape[0], rows):
-        blk = slice(start, start + rows)
-        sim = _dots(a[blk], b) / np.multiply.outer(na[blk], nb)
-        row_max[blk] = sim.max(axis=1)
-        np.maximum(col_max, sim.max(axis=0), out=col_max)
-    p = _mean6(row_max)
-    r = _mean6(col_max)
+    norms = np.concatenate((table.norms[a], table.norms[b]))
+    plain = bool((np.isfinite(norms) & (norms > 0)).all())  # else a cosine may be NaN, which is the largest
+    p, r = _side(a, times_a, b, table, plain), _side(b, times_b, a, table, plain)
     f = float(_round6(2.0 * p * r / (p + r))) if p + r > 0 else 0.0
     return p, r, f
 
 
-@F.pandas_udf(RESULT)
-def greedy_f1_udf(pred: pd.Series, ref: pd.Series) -> pd.DataFrame:
-    out = [greedy_f1(a, b) for a, b in zip(pred, ref)]
-    return pd.DataFrame(out, columns=["p", "r", "f"])
-
-
-_INDEX: dict = {}
-
-
-def _index(tokens: list, mat: np.ndarray):
-    """Per Python worker: token -> row of the broadcast matrix, built once per broadcast value."""
-    key = id(mat)
-    got = _INDEX.get(key)
-    if got is None:
-        _INDEX.clear()
-        got = _INDEX[key] = ({t: i for i, t in enumerate(tokens)}, mat.astype(np.float64))
-    return got
-
-
-def greedy_f1_lookup_udf(bc):
-    """Embedding F1 from token arrays, vectors looked up in a broadcast (tokens, matrix) table
-    (tokens without a vector are ignored, as in the join path)."""
-
-    @F.pandas_udf(RESULT)
-    def run(pred: pd.Series, ref: pd.Series) -> pd.DataFrame:
-        index, mat = _index(*bc.value)
-        out = []
-        for a, b in zip(pred, ref):
-            ia = [index[t] for t in (a if a is not None else []) if t in index]
-            ib = [index[t] for t in (b if b is not None else []) if t in index]
-            out.append(greedy_f1(mat[ia], mat[ib]))
-        return pd.DataFrame(out, columns=["p", "r", "f"])
-
-    return run
+def _runs(texts: pa.Array, table: Vectors) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct ids of each text's known tokens (single-space split), how often each occurs, and where the texts begin."""
+    split = pc.split_pattern(texts.cast(pa.large_string()), " ")
+    row = np.repeat(np.arange(len(texts), dtype=np.int64), np.diff(split.offsets.to_numpy()))
+    ids = pc.fill_null(pc.index_in(split.flatten(), value_set=table.tokens), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+    known = ids >= 0
+    size = max(len(table.tokens), 1)
+    keys, times = np.unique(row[known] * size + ids[known], return_counts=True)
+    return keys % size, times, np.searchsorted(keys // size, np.arange(len(texts) + 1))
+
+
+def score(predictions: pa.Array, references: pa.Array, table: Vectors) -> np.ndarray:
+    """(P, R, F) for each row of two text columns (n x 3).  Tokens without a vector, and empty ones, are ignored."""
+    (a, times_a, from_a), (b, times_b, from_b) = _runs(predictions, table), _runs(references, table)
+    out = np.zeros((len(predictions), 3))
+    for i in range(len(out)):
+        left, right = slice(from_a[i], from_a[i + 1]), slice(from_b[i], from_b[i + 1])
+        out[i] = greedy_f1(a[left], times_a[left], b[right], times_b[right], table)
+    return out

@@ -81,7 +81,7 @@ def premise_merge(generation: DataFrame, originals: DataFrame, vectors: DataFram
     + its score + the other original premise + relation + conclusion."""
     g = MT.embedding_f1(
         generation.select("round", "target", "idx", "generation", "label"), ["round", "target"], vectors,
-        partitioned=True, carry=["generation"])
+        stored=True, carry=["generation"])
     # J5 (conclusion by key) and J1/J2 (other original premise) in one join on idx
     j = g.join(originals.select("idx", "premise_1", "premise_2", "relation", "conclusion"), "idx")
     other = F.when(F.col("target") == "prem1", F.col("premise_2")).otherwise(F.col("premise_1"))

@@ -17,7 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.columns import phash, round6
+from ..functions.columns import phash
+from ..functions.overlap import token_f1
 from ..functions.text import prompt_prefix
 
 
@@ -30,18 +31,10 @@ def drop_token_generator(label: Column, key: Column, modulus: int = 10) -> Colum
     return F.array_join(F.when(F.size(kept) == 0, toks).otherwise(kept), " ")
 
 
-def _numbered(tokens: Column) -> Column:
-    """Tokens sorted, each with its number among its equals, so that sets of them compare as multisets."""
-    ordered = F.array_sort(tokens)
-    return F.transform(ordered, lambda t, i: F.concat_ws("\u0001", t, i + 1 - F.array_position(ordered, t)))
-
-
 def overlap_f1(generation: Column, label: Column) -> Column:
     """Token F1: 2 |overlap| / (|generation| + |label|) on single-space tokens, where a token counts as
     often as both texts hold it."""
-    g, t = F.split(generation, " "), F.split(label, " ")
-    common = F.size(F.array_intersect(_numbered(g), _numbered(t)))
-    return round6((common * 2).cast("double") / (F.size(g) + F.size(t)).cast("double"))
+    return token_f1(generation, label)
 
 
 def generate_with_pandas(

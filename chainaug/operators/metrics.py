@@ -12,16 +12,21 @@ sentinel gram per order so pairs without n-grams still produce a row.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 from math import exp
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.columns import f_measure, mean6, phash, round6
-from ..functions.embedding import greedy_f1_lookup_udf, greedy_f1_udf
+from ..functions.embedding import score, vectors
 from ..functions.lcs import lcs_udf
+from ..functions.overlap import chunks
 from ..session import materialize
 from ..functions.text import rouge_normalized, rouge_tokens, ws_normalized
 
@@ -188,55 +193,58 @@ def rouge_bootstrap(per_pair: DataFrame, keys: list, metric: str = "rougeL", rep
         *[round6(F.percentile(F.col("m"), q)).alias(f"q{int(q * 1000):03d}") for q in quantiles])
 
 
-# Largest token-vector table (rows x dim x 8 bytes) shipped to executors as a broadcast.  The
-# table passes once through the driver (one Python array per row while it is collected), so the
-# limit stays well under driver memory.
-EMBED_BROADCAST_LIMIT = 128 << 20
-
-
-def embedding_f1(pairs: DataFrame, keys: list, vectors: DataFrame, pred: str = "generation", ref: str = "label",
-                 broadcast_limit: int = EMBED_BROADCAST_LIMIT, partitioned: bool = False, carry: list | None = None) -> DataFrame:
+def _score_buckets(columns: list):
+    """Rows of a bucket, its dictionary (kind 0) before its pairs (kind 1) -> scored pairs."""
+    names = [*columns, "p", "r", "f1"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens, rows, table = [], [], None
+        for batch in batches:
+            first = int(pc.sum(pc.equal(batch["_kind"], 0)).as_py() or 0)  # the dictionary's rows come first
+            if first:
+                part = batch.slice(0, first)
+                tokens.append(part["_token"].cast(pa.large_string()))
+                rows.append(part["_vector"].flatten().to_numpy(zero_copy_only=False).reshape(first, -1))
+            if first == len(batch):
+                continue
+            if table is None:
+                held = pa.concat_arrays(tokens) if tokens else pa.array([], pa.large_string())
+                table = vectors(held, np.concatenate(rows) if rows else np.zeros((0, 1)))
+            pairs = batch.slice(first)
+            for lo, hi in chunks(pairs["_pt"], pairs["_rt"]):
+                some = pairs.slice(lo, hi - lo)
+                found = score(some["_pt"], some["_rt"], table)
+                yield pa.RecordBatch.from_arrays([*(some[c] for c in columns), *(pa.array(found[:, k]) for k in range(3))], names)
+
+    return run
+
+
+def embedding_f1(pairs: DataFrame, keys: list, vector_table: DataFrame, pred: str = "generation", ref: str = "label",
+                 stored: bool = False, carry: list | None = None, buckets: int | None = None) -> DataFrame:
     """M5: per pair (P, R, F) by greedy max-cosine over token vectors (tokens = single-space split,
     empties dropped; tokens without a vector are ignored).  A token with several vectors takes the least
     of them; vectors that are NULL or hold NULLs count as none.  ``carry`` columns go along with their pair.
 
-    Size-checked broadcast: a one-row aggregate measures the vector table; when it fits
-    ``broadcast_limit`` it is broadcast and the pairs are scored in one narrow pass (no shuffle).
-    Beyond the limit the vectors travel by a join on token and are regrouped per pair."""
-    carry = list(carry or [])
-    tok = lambda c: F.filter(F.split(F.col(c), " "), lambda x: x != "")
-    # one vector per token, none with NULLs: both paths below then see the same table
+    Pairs are dealt into ``buckets`` (one per shuffle partition unless given) by a hash of their key.  A bucket's
+    dictionary, the vectors of the distinct tokens in it, comes from one join on token and is sent once
+    to the task of the bucket, ahead of its pairs; the pairs carry texts only.  So the vector table may have any size, a
+    frequent token moves one vector per bucket, and a task holds the dictionary of one bucket and a batch of pairs: more
+    buckets make smaller dictionaries.  Pairs are read twice; unless they are ``stored`` they are written first."""
+    columns = [*keys, "idx", *(carry or [])]
+    n = buckets or int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    texts = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(a) for c, a in ((pred, "_pt"), (ref, "_rt"))]
+    src = pairs.select(*columns, *texts)
+    src = (src if stored else materialize(src)).withColumn("_bucket", F.pmod(F.xxhash64(*keys, "idx"), F.lit(n)).cast("int"))
+    # one vector per token, none with NULLs
     usable = F.col("token").isNotNull() & F.col("embedding").isNotNull() & ~F.exists("embedding", lambda x: x.isNull())
-    v = vectors.where(usable).groupBy("token").agg(F.min(F.col("embedding").cast("array<double>")).alias("embedding"))
-    small = None
-    if broadcast_limit > 0:
-        v = v.persist()
-        stats = v.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("embedding")).alias("dim")).first()
-        if stats["n"] * max(stats["dim"] or 0, 1) * 8 <= broadcast_limit:
-            # bounded by the check above: one token list and one matrix, via Arrow
-            pdf = v.toPandas()
-            dim = stats["dim"] or 0
-            mat = np.stack(pdf["embedding"].to_numpy()).astype(np.float64) if len(pdf) else np.zeros((0, dim))
-            small = (pdf["token"].tolist(), mat)
-        v.unpersist()
-    if small is not None:
-        bc = pairs.sparkSession.sparkContext.broadcast(small)
-        # spread the CPU-heavy scoring over tasks by pair key (text moves, vectors do not)
-        src = pairs if partitioned else pairs.repartition(*keys, "idx")
-        m = src.select(*keys, "idx", *carry, greedy_f1_lookup_udf(bc)(tok(pred), tok(ref)).alias("m"))
-        return m.select(*keys, "idx", *carry, F.col("m.p").alias("p"), F.col("m.r").alias("r"), F.col("m.f").alias("f1"))
-    tagged = F.concat(
-        F.transform(tok(pred), lambda t: F.struct(F.lit(0).alias("s"), t.alias("t"))),
-        F.transform(tok(ref), lambda t: F.struct(F.lit(1).alias("s"), t.alias("t"))),
-    )
-    e = pairs.select(*keys, "idx", *carry, F.explode_outer(tagged).alias("x")).select(
-        *keys, "idx", *carry, F.col("x.s").alias("s"), F.col("x.t").alias("token"))
-    j = e.join(v, "token", "left")
-    g = j.groupBy(*keys, "idx", *carry).agg(
-        F.collect_list(F.when(F.col("s") == 0, F.col("embedding"))).alias("pv"),
-        F.collect_list(F.when(F.col("s") == 1, F.col("embedding"))).alias("rv"))
-    m = g.select(*keys, "idx", *carry, greedy_f1_udf("pv", "rv").alias("m"))
-    return m.select(*keys, "idx", *carry, F.col("m.p").alias("p"), F.col("m.r").alias("r"), F.col("m.f").alias("f1"))
+    v = vector_table.where(usable).groupBy(F.col("token").alias("_token")).agg(F.min(F.col("embedding").cast("array<double>")).alias("_vector"))
+    tokens = F.array_distinct(F.concat(F.split("_pt", " "), F.split("_rt", " ")))
+    needed = src.select("_bucket", F.explode(tokens).alias("_token")).where("_token <> ''").distinct()
+    dictionary = needed.join(v, "_token").select("_bucket", F.lit(0).alias("_kind"), "_token", "_vector")
+    rows = dictionary.unionByName(src.withColumn("_kind", F.lit(1)), allowMissingColumns=True)
+    dealt = rows.repartitionById(n, F.col("_bucket")).sortWithinPartitions("_kind")
+    schema = T.StructType([*(T.StructField(c, src.schema[c].dataType) for c in columns), *(T.StructField(c, T.DoubleType()) for c in ("p", "r", "f1"))])
+    return dealt.mapInArrow(_score_buckets(columns), schema)
 
 
 def embedding_f1_corpus(per_pair: DataFrame, keys: list) -> DataFrame:
@@ -246,14 +254,14 @@ def embedding_f1_corpus(per_pair: DataFrame, keys: list) -> DataFrame:
         mean6(F.col("f1")).alias("f1"))
 
 
-def score_grid(pairs: DataFrame, vectors: DataFrame, key: str = "run") -> DataFrame:
+def score_grid(pairs: DataFrame, vector_table: DataFrame, key: str = "run") -> DataFrame:
     """M6: one leaderboard row per run: embedding F1, ROUGE-1/2/L and BLEU, all runs in one job.
     The pair table feeds four metric plans, so it is materialised once (shared checkpoint
     folder), hash-partitioned by the pair key the n-gram metrics group on."""
     keys = [key]
     n = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     pairs = materialize(pairs.repartition(n, key, "idx"))
-    emb = embedding_f1_corpus(embedding_f1(pairs, keys, vectors, partitioned=True), keys).select(
+    emb = embedding_f1_corpus(embedding_f1(pairs, keys, vector_table, stored=True), keys).select(
         key, F.col("f1").alias("bert_score"))
     rc = rouge_corpus(rouge_scores(pairs, keys, partitioned=True), keys).select(
         key, F.col("rouge1").alias("rouge_1"), F.col("rouge2").alias("rouge_2"), F.col("rougeL").alias("rouge_l"))

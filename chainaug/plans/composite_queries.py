@@ -28,7 +28,7 @@ SELECT g.idx, g.round, g.target, g.generation AS aug_premise, e.f1 AS aug_f1,
        CASE WHEN g.target = 'prem1' THEN v.premise_2 ELSE v.premise_1 END AS other_premise, v.relation, v.conclusion
 FROM generation g JOIN emb e ON g.idx = e.idx AND g.round = e.round AND g.target = e.target JOIN valid v ON g.idx = v.idx"""))
 def premise_merge(spark, d):
-    return CH.premise_merge(X.generation(spark, d), X.valid(spark, d), X.token_vectors(spark, d))
+    return CH.premise_merge(X.generated(spark, d), X.valid(spark, d), X.token_vectors(spark, d))
 
 
 def _gen_sql(label: str, key: str) -> str:
@@ -78,7 +78,7 @@ FROM generation"""))
 def html_table_rows(spark, d):
     """S3 round trip: generations rendered as HTML tables (one document per round, target and
     block of 1000 ids), then read back table -> rows -> cells."""
-    g = X.generation(spark, d).withColumn("doc", F.floor(F.col("idx") / HTML_ROWS_PER_DOC))
+    g = X.generated(spark, d).withColumn("doc", F.floor(F.col("idx") / HTML_ROWS_PER_DOC))
     docs = HT.render_tables(g, ["round", "target", "doc"], "idx", ["idx", "generation", "label"])
     rows = HT.extract_first_table(docs, "html", ["round", "target"])
     return rows.select("round", "target", HT.cell("idx").try_cast("long").alias("idx"),
@@ -110,7 +110,7 @@ def family_round_trip(spark, d):
     """Generations written as CSV under their keys, read back as one family with the keys of the paths."""
     path = f"{checkpoint_dir(spark).rstrip('/')}/generations-{uuid.uuid4().hex}"
     cols = ["idx", "generation", "label"]
-    gen = X.generation(spark, d).select(*cols, "round", "target")
+    gen = X.generated(spark, d).select(*cols, "round", "target")
     sinks.write_generations(gen, path, "csv")
     schema = gen.select(*cols).schema
     back = files.read_family(spark, f"{path}/*/*/*.csv", schema, {"round": r"round=(\d+)", "target": r"target=(\w+)"})

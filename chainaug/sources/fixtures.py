@@ -137,8 +137,17 @@ def valid_and_generation(spark: SparkSession, d: str):
 def _generation_plan(spark: SparkSession, d: str, rounds: int = 3) -> DataFrame:
     rows = generation_rows(valid_folds(spark, d), rounds)
     key = F.concat_ws(":", F.col("round"), F.col("target"), F.col("idx"))
-    gen = rows.withColumn("generation", drop_token_generator(F.col("label"), key))
-    return gen.withColumn("f1", overlap_f1(F.col("generation"), F.col("label")))
+    return rows.withColumn("generation", drop_token_generator(F.col("label"), key))
+
+
+def _with_overlap(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("f1", overlap_f1(F.col("generation"), F.col("label")))
+
+
+@_shared
+def generated(spark: SparkSession, d: str) -> DataFrame:
+    """The texts of ``generation`` without a score, stored hash-partitioned by idx."""
+    return materialize(_generation_plan(spark, d).select("idx", "round", "target", "fold", "generation", "label"))
 
 
 @_shared
@@ -147,12 +156,13 @@ def generation(spark: SparkSession, d: str, rounds: int = 3) -> DataFrame:
 
     Materialised like the output of a batch-inference job: downstream filters on ``f1`` then
     read stored values instead of Catalyst inlining the generator into every pushed-down filter."""
-    return materialize(_generation_plan(spark, d, rounds).select("idx", "round", "target", "fold", "generation", "label", "f1"))
+    rows = _with_overlap(_generation_plan(spark, d, rounds))
+    return materialize(rows.select("idx", "round", "target", "fold", "generation", "label", "f1"))
 
 
 def generation_with_input(spark: SparkSession, d: str, rounds: int = 3) -> DataFrame:
     """The generations with the prompt that a model would get (``input``), as a lazy plan."""
-    return _generation_plan(spark, d, rounds).select("idx", "round", "target", "fold", "input", "generation", "label", "f1")
+    return _with_overlap(_generation_plan(spark, d, rounds)).select("idx", "round", "target", "fold", "input", "generation", "label", "f1")
 
 
 @_shared
@@ -165,8 +175,7 @@ def scored_generation(spark: SparkSession, d: str) -> DataFrame:
 
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     carry = ["fold", "generation", "label"]
-    plan = _generation_plan(spark, d).select("idx", "round", "target", *carry)
-    g = MT.embedding_f1(plan, ["round", "target"], token_vectors(spark, d), partitioned=True, carry=carry)
+    g = MT.embedding_f1(generated(spark, d), ["round", "target"], token_vectors(spark, d), stored=True, carry=carry)
     return materialize(g.select("idx", "round", "target", *carry, "f1").repartition(n, "idx"))
 
 

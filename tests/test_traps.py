@@ -290,32 +290,6 @@ def test_writers_partition_layout_and_pruning(spark, tmpdir_path):
         g.where("round = 1 AND target = 'prem1'").count()
 
 
-def test_embedding_f1_blocks_equal_whole_matrix(monkeypatch):
-    import numpy as np
-
-    from chainaug.functions import embedding as EM
-
-    rng = np.random.default_rng(7)
-    a = [rng.normal(size=16).astype(np.float32) for _ in range(37)]
-    b = [rng.normal(size=16).astype(np.float32) for _ in range(23)]
-    whole = EM.greedy_f1(a, b)
-    monkeypatch.setattr(EM, "BLOCK_CELLS", 23 * 16 * 2)  # two rows per block
-    assert EM.greedy_f1(a, b) == whole
-    assert EM.greedy_f1([], b) == (0.0, 0.0, 0.0)
-
-
-def test_embedding_f1_broadcast_and_join_paths_agree(spark):
-    from sf_paths import SF_SMALL
-
-    from chainaug.sources import fixtures as X
-
-    pairs = X.scored_run(spark, SF_SMALL)
-    vec = X.token_vectors(spark, SF_SMALL)
-    a = sorted(tuple(r) for r in MT.embedding_f1(pairs, ["run"], vec).collect())
-    b = sorted(tuple(r) for r in MT.embedding_f1(pairs, ["run"], vec, broadcast_limit=0).collect())
-    assert a == b and len(a) == pairs.count()
-
-
 def test_corpus_index_runs_across_files(spark, tmpdir_path):
     for name, rows in (("a.csv", ["x1", "x2", "x3"]), ("b.csv", ["y1", "y2"])):
         with open(os.path.join(tmpdir_path, name), "wb") as fh:
