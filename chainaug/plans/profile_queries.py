@@ -258,14 +258,3 @@ def seeded_shuffle(spark, d):
     t = A.training_set("ori_mix", *X.valid_and_generation(spark, d), True, FLOOR, CEIL)
     k = t.select("idx", "round", "source").withColumn("_h", phash("42:", F.col("idx"), ":", F.col("round"), ":", F.col("source")))
     return with_position(k, ["_h", "idx", "round", "source"], "pos").select("pos", "idx", "round", "source")
-
-
-@query("training_batches", with_ctes(["generation", "valid"], _P12 + [("tset", _method_sql("ori_mix", True))], f"""
-SELECT pos // 8 AS batch_id, count(*) AS n_rows, string_agg(idx::VARCHAR, ',' ORDER BY pos) AS idx_list
-FROM (SELECT row_number() OVER (ORDER BY {H("'42:' || idx || ':' || round || ':' || source")}, idx, round, source) - 1 AS pos,
-             idx FROM tset) GROUP BY pos // 8"""))
-def training_batches(spark, d):
-    from ..operators.sequences import batches
-
-    shuffled = seeded_shuffle(spark, d)
-    return batches(shuffled, "pos", "idx", 8)
