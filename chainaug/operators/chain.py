@@ -19,6 +19,7 @@ from ..functions.text import prompt_prefix
 from ..session import materialize
 from . import metrics as MT
 from .generate import drop_token_generator, generate_with_pandas, overlap_f1
+from .ledger import Ledger
 
 
 def chain_key(round_: Column, target: Column, idx: Column, input_premise: Column) -> Column:
@@ -48,22 +49,30 @@ def _round_rows(originals: DataFrame, prev: DataFrame | None, r: int) -> DataFra
     return rows.select("idx", *fold, F.lit(r).alias("round"), "x.target", "x.input_premise", "conclusion", "x.label")
 
 
+def generate_with_columns(rows: DataFrame, generator: Callable[[Column, Column], Column] = drop_token_generator) -> DataFrame:
+    """Rows of a round with the ``generation`` of a column generator."""
+    key = chain_key(F.col("round"), F.col("target"), F.col("idx"), F.col("input_premise"))
+    return rows.withColumn("generation", generator(F.col("input"), key))
+
+
 def chain(originals: DataFrame, rounds: int,
           generator: Callable[[Column, Column], Column] = drop_token_generator,
-          pandas_generator: Callable | None = None) -> DataFrame:
+          pandas_generator: Callable | None = None, ledger: Ledger | None = None) -> DataFrame:
     """All rounds 1..rounds of chained generation, one materialised table per round.
 
     A generator gets the input premises as a prompt (``input``), never the label: ``generator`` as
-    columns, or ``pandas_generator(fold, rows)`` a fold at a time (``originals`` then carry ``fold``)."""
+    columns, or ``pandas_generator(fold, rows)`` a fold at a time (``originals`` then carry ``fold``).  With a
+    ``ledger`` (and its generator) a round makes only what no earlier run has committed."""
     prev, out = None, []
     for r in range(1, rounds + 1):
         rows = _round_rows(originals, prev, r)
         rows = rows.withColumn("input", prompt_prefix(F.col("input_premise"), F.col("conclusion"), F.lit(""))[0])
-        if pandas_generator is not None:
+        if ledger is not None:
+            g = ledger.generated(rows)
+        elif pandas_generator is not None:
             g = generate_with_pandas(rows, pandas_generator)
         else:
-            key = chain_key(F.col("round"), F.col("target"), F.col("idx"), F.col("input_premise"))
-            g = rows.withColumn("generation", generator(F.col("input"), key))
+            g = generate_with_columns(rows, generator)
         g = g.withColumn("f1", overlap_f1(F.col("generation"), F.col("label")))
         g = materialize(g.select("idx", "round", "target", "input", "generation", "label", "f1"))
         out.append(g)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..operators import augment as A
 from ..operators import chain as CH
+from ..operators import ledger as LG
 from ..operators import metrics as MT
 from ..session import checkpoint_dir
 from ..sources import files
@@ -64,6 +65,20 @@ def chain_two_rounds(spark, d):
     return CH.chain(X.valid(spark, d), 2)
 
 
+@query("chain_resumed", with_ctes(["valid"], [("c1", _chain_round(_R1)), ("c2", _chain_round(_R2))],
+                                  "SELECT * FROM c1 UNION ALL SELECT * FROM c2"))
+def chain_resumed(spark, d):
+    """C5 with a ledger: a run that stops after its first chunk, and a second that goes on from there."""
+    folder = f"{checkpoint_dir(spark).rstrip('/')}/ledger-{uuid.uuid4().hex}"
+    ledger = LG.Ledger(spark, folder, CH.generate_with_columns, "drop-token-10", chunk_rows=100_000)
+    v, ledger.chunks_left = X.valid(spark, d), 1
+    try:
+        return CH.chain(v, 2, ledger=ledger)
+    except LG.Stopped:
+        ledger.chunks_left = None
+        return CH.chain(v, 2, ledger=ledger)
+
+
 # Generation files hold at most this many source rows each (bounded documents).
 HTML_ROWS_PER_DOC = 1000
 
