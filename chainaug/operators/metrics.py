@@ -14,7 +14,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import reduce
-from math import exp
 
 import numpy as np
 import pyarrow as pa
@@ -23,12 +22,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.columns import f_measure, mean6, phash, round6
+from ..functions.columns import f_measure, mean6, micro, round6
 from ..functions.embedding import score, vectors
 from ..functions.lcs import lcs_udf
 from ..functions.overlap import chunks
-from ..session import materialize
 from ..functions.text import rouge_normalized, rouge_tokens, ws_normalized
+from ..session import materialize
+from . import bootstrap as BS
 
 
 def gram_pattern(n: int) -> str:
@@ -79,14 +79,18 @@ def corpus_bleu(pairs: DataFrame, keys: list, pred: str = "generation", ref: str
     aggs += [F.sum(F.when(F.col("n") == 1, F.col("lp"))).alias("pred_len"),
              F.sum(F.when(F.col("n") == 1, F.col("lr"))).alias("ref_len")]
     s = ov.groupBy(*keys).agg(*aggs)
+    return s.select(*keys, round6(bleu_of_sums()).alias("bleu"), F.col("pred_len").cast("long"), F.col("ref_len").cast("long"))
+
+
+def bleu_of_sums() -> Column:
+    """BLEU-4 from sums over a corpus: matches m1-m4, candidates c1-c4, and the lengths pred_len and ref_len."""
     prec = [F.when(F.col(f"c{n}") > 0, F.col(f"m{n}") / F.col(f"c{n}")).otherwise(F.lit(0.0)) for n in (1, 2, 3, 4)]
     positive = reduce(lambda a, b: a & b, [p > 0 for p in prec])
     log_sum = reduce(lambda a, b: a + b, [F.log(F.when(p > 0, p)) for p in prec])
     geo = F.when(positive, F.exp(log_sum / 4)).otherwise(F.lit(0.0))
     ratio = F.when(F.col("ref_len") > 0, F.col("pred_len") / F.col("ref_len"))
     bp = F.when(ratio.isNull() | (ratio > 1), F.lit(1.0)).when(ratio > 0, F.exp(F.lit(1.0) - F.lit(1.0) / ratio)).otherwise(F.lit(0.0))
-    bleu = F.when(F.col("pred_len") > 0, geo * bp).otherwise(F.lit(0.0))
-    return s.select(*keys, round6(bleu).alias("bleu"), F.col("pred_len").cast("long"), F.col("ref_len").cast("long"))
+    return F.when(F.col("pred_len") > 0, geo * bp).otherwise(F.lit(0.0))
 
 
 def rouge_n(pairs: DataFrame, keys: list, pred: str = "generation", ref: str = "label",
@@ -157,40 +161,28 @@ def rouge_corpus(per_pair: DataFrame, keys: list) -> DataFrame:
         mean6(F.col("rouge1")).alias("rouge1"), mean6(F.col("rouge2")).alias("rouge2"), mean6(F.col("rougeL")).alias("rougeL"))
 
 
-def poisson_bounds(kmax: int = 12) -> list[int]:
-    """Inverse-CDF bounds of Poisson(1) on a 32-bit uniform: draw k when hash < bounds[k]."""
-    bounds, cdf, term = [], 0.0, exp(-1.0)
-    for k in range(kmax):
-        cdf += term
-        bounds.append(int(cdf * 4294967296))
-        term /= k + 1
-    return bounds
-
-
-def poisson1(u_hash: Column) -> Column:
-    """Poisson(1) draw from a uniform 32-bit hash by inverse CDF (integer thresholds)."""
-    bounds = poisson_bounds()
-    expr = None
-    for k, bound in enumerate(bounds):
-        cond = u_hash < F.lit(bound)
-        expr = F.when(cond, F.lit(k)) if expr is None else expr.when(cond, F.lit(k))
-    return expr.otherwise(F.lit(len(bounds)))
-
-
-def rouge_bootstrap(per_pair: DataFrame, keys: list, metric: str = "rougeL", replicates: int = 100,
-                    seed: int = 42, quantiles=(0.025, 0.5, 0.975)) -> DataFrame:
-    """M4 interval: Poisson(1) bootstrap of the corpus mean.  Weights come from the portable hash
-    of (seed, b, keys, idx), so each replicate is reproducible and the data is never collected:
-    explode b, weighted sums grouped by (keys, b), then exact percentiles over the B means."""
-    key_txt = F.concat_ws(":", *[F.col(k).cast("string") for k in keys], F.col("idx").cast("string"))
-    x = per_pair.select(*keys, "idx", F.col(metric).alias("_v"), F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("b"))
-    w = poisson1(phash(f"{seed}:", F.col("b"), ":", key_txt))
-    x = x.withColumn("w", w)
-    rep = x.groupBy(*keys, "b").agg(
-        F.when(F.sum("w") > 0, F.sum(F.col("w") * F.floor(F.col("_v") * F.lit(1e6) + F.lit(0.5))).cast("double")
-               / (F.sum("w") * F.lit(1e6))).alias("m"))
-    return rep.groupBy(*keys).agg(
-        *[round6(F.percentile(F.col("m"), q)).alias(f"q{int(q * 1000):03d}") for q in quantiles])
+def bootstrap(pairs: DataFrame, keys: list, pred: str = "generation", ref: str = "label", replicates: int = 100,
+              seed: int = 42, partitioned: bool = False) -> DataFrame:
+    """M4 intervals: per group and metric (rouge1, rouge2, rougeL, bleu) the percentiles of its corpus value over
+    Poisson bootstrap replicates (``operators/bootstrap.py``)."""
+    rouge = ["rouge1", "rouge2", "rougeL"]
+    if not partitioned:  # both halves read the pairs
+        pairs = materialize(pairs.select(*keys, "idx", pred, ref).repartition(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys, "idx"))
+    scores = rouge_scores(pairs, keys, pred, ref, partitioned=True)
+    millionths = scores.select(*keys, "idx", *[micro(F.col(m)).cast("long").alias(m) for m in rouge])
+    mean = lambda m: F.when(F.col("weight") > 0, F.col(m).cast("double") / (F.col("weight") * F.lit(1e6)))
+    out = BS.intervals(BS.replicate_sums(millionths, keys, rouge, replicates, seed), keys, {m: mean(m) for m in rouge})
+    counts = _bleu_counts(pairs, keys, pred, ref, partitioned=True)
+    stats = [c for c in counts.columns if c not in (*keys, "idx")]
+    return out.unionByName(BS.intervals(BS.replicate_sums(counts, keys, stats, replicates, seed), keys, {"bleu": bleu_of_sums()}))
+
+
+def _bleu_counts(pairs: DataFrame, keys: list, pred: str, ref: str, partitioned: bool) -> DataFrame:
+    """Per pair: matching n-grams m1-m4, candidates c1-c4, and the lengths pred_len and ref_len."""
+    ov = ngram_overlap(pairs, keys, ws_normalized(F.col(pred)), ws_normalized(F.col(ref)), partitioned=partitioned)
+    per = ov.groupBy(*keys, "idx", "lp", "lr").agg(*[F.max(F.when(F.col("n") == n, F.col("overlap"))).alias(f"m{n}") for n in (1, 2, 3, 4)])
+    return per.select(*keys, "idx", *[f"m{n}" for n in (1, 2, 3, 4)], *[F.greatest(F.col("lp") - (n - 1), F.lit(0)).alias(f"c{n}") for n in (1, 2, 3, 4)],
+                      F.col("lp").alias("pred_len"), F.col("lr").alias("ref_len"))
 
 
 def _score_buckets(columns: list):

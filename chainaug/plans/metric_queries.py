@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import bootstrap as BS
 from ..operators import metrics as MT
 from ..operators import selection as S
 from ..operators.numbering import with_group_position
@@ -44,10 +45,8 @@ _WS_T = WS("{c}")
 _RG_T = ROUGE_TOK("{c}")
 
 
-def bleu_sql(src: str, keys: str, name: str = "bl") -> list[tuple[str, str]]:
-    cte = _grams_sql(src, keys, _WS_T, [1, 2, 3, 4], name)
-    tot = ", ".join(f"sum(greatest(len(pt) - {n - 1}, 0)) AS c{n}" for n in (1, 2, 3, 4))
-    ms = ", ".join(f"coalesce(sum(o) FILTER (WHERE n = {n}), 0) AS m{n}" for n in (1, 2, 3, 4))
+def bleu_expr() -> str:
+    """BLEU-4 from the sums c1-c4, m1-m4, pred_len and ref_len."""
     prec = [f"(CASE WHEN c{n} > 0 THEN m{n}::DOUBLE / c{n} ELSE 0.0 END)" for n in (1, 2, 3, 4)]
     allpos = " AND ".join(f"{p} > 0" for p in prec)
     logs = " + ".join(f"ln(CASE WHEN {p} > 0 THEN {p} END)" for p in prec)
@@ -55,11 +54,18 @@ def bleu_sql(src: str, keys: str, name: str = "bl") -> list[tuple[str, str]]:
     bp = (f"(CASE WHEN {ratio} IS NULL OR {ratio} > 1 THEN 1.0 WHEN {ratio} > 0 "
           f"THEN exp(1.0::DOUBLE - 1.0::DOUBLE / {ratio}) ELSE 0.0 END)")
     geo = f"(CASE WHEN {allpos} THEN exp(({logs}) / 4) ELSE 0.0 END)"
+    return f"CASE WHEN pred_len > 0 THEN {geo} * {bp} ELSE 0.0 END"
+
+
+def bleu_sql(src: str, keys: str, name: str = "bl") -> list[tuple[str, str]]:
+    cte = _grams_sql(src, keys, _WS_T, [1, 2, 3, 4], name)
+    tot = ", ".join(f"sum(greatest(len(pt) - {n - 1}, 0)) AS c{n}" for n in (1, 2, 3, 4))
+    ms = ", ".join(f"coalesce(sum(o) FILTER (WHERE n = {n}), 0) AS m{n}" for n in (1, 2, 3, 4))
     cte += [
         (f"{name}_tot", f"SELECT {keys}, sum(len(pt))::BIGINT AS pred_len, sum(len(rt))::BIGINT AS ref_len, {tot} FROM {name}_t GROUP BY ALL"),
         (f"{name}_m", f"SELECT {keys}, {ms} FROM {name}_o GROUP BY ALL"),
         (name, f"""SELECT {', '.join('t.' + k.strip() for k in keys.split(','))},
-            {R6(f"CASE WHEN pred_len > 0 THEN {geo} * {bp} ELSE 0.0 END")} AS bleu, pred_len, ref_len
+            {R6(bleu_expr())} AS bleu, pred_len, ref_len
             FROM {name}_tot t LEFT JOIN {name}_m m USING ({keys})"""),
     ]
     return cte
@@ -155,18 +161,31 @@ _B = 100
 
 
 def _poisson_sql(h: str) -> str:
-    bounds = MT.poisson_bounds()
+    bounds = BS.poisson_bounds()
     return "(CASE " + " ".join(f"WHEN {h} < {b} THEN {k}" for k, b in enumerate(bounds)) + f" ELSE {len(bounds)} END)"
 
 
-@query("rouge_bootstrap", with_ctes(FIX, [PAIRS] + rouge_l_sql("pairs", "run") + [
-    ("bw", f"""SELECT run, b, CASE WHEN sum(w) > 0 THEN sum(w * floor(rougeL * 1e6 + 0.5))::DOUBLE / (sum(w) * 1e6) END AS m
-       FROM (SELECT run, idx, rougeL, b, {_poisson_sql(H("'42:' || b || ':' || run || ':' || idx"))} AS w
-             FROM rl CROSS JOIN (SELECT unnest(range(1, {_B + 1})) AS b)) GROUP BY run, b""")],
-    f"SELECT run, {R6('quantile_cont(m, 0.025)')} AS q025, {R6('quantile_cont(m, 0.5)')} AS q500, "
-    f"{R6('quantile_cont(m, 0.975)')} AS q975 FROM bw GROUP BY run", recursive=True))
+_DRAW = f"(('0x' || substr(md5('42:' || ((b - 1) // {BS.WORDS}) || ':' || run || ':' || idx), 1 + 8 * ((b - 1) % {BS.WORDS}), 8))::BIGINT)"
+_INTERVAL = ", ".join(f"{R6(f'quantile_cont(m, {q})')} AS q{int(q * 1000):03d}" for q in (0.025, 0.5, 0.975))
+_COUNTS = [f"{x}{n}" for x in "mc" for n in (1, 2, 3, 4)] + ["pred_len", "ref_len"]
+
+
+@query("rouge_bootstrap", with_ctes(FIX, [PAIRS] + rouge_n_sql("pairs", "run") + rouge_l_sql("pairs", "run") + bleu_sql("pairs", "run") + [
+    ("bw", f"""SELECT run, idx, b, {_poisson_sql(_DRAW)} AS w
+        FROM pairs CROSS JOIN (SELECT unnest(range(1, {_B + 1})) AS b)"""),
+    ("rouge", """SELECT n.run, n.idx, unnest(['rouge1', 'rouge2', 'rougeL']) AS metric, unnest([n.rouge1, n.rouge2, l.rougeL]) AS v
+        FROM rn n JOIN rl l USING (run, idx)"""),
+    ("rouge_m", """SELECT run, metric, b, CASE WHEN sum(w) > 0 THEN sum(w * floor(v * 1e6 + 0.5))::DOUBLE / (sum(w) * 1e6) END AS m
+        FROM rouge JOIN bw USING (run, idx) GROUP BY ALL"""),
+    ("counts", f"""SELECT t.run, t.idx, {", ".join(f"coalesce(m{n}, 0) AS m{n}, greatest(len(pt) - {n - 1}, 0) AS c{n}" for n in (1, 2, 3, 4))},
+        len(pt) AS pred_len, len(rt) AS ref_len FROM bl_t t LEFT JOIN (
+          SELECT run, idx, {", ".join(f"max(o) FILTER (WHERE n = {n}) AS m{n}" for n in (1, 2, 3, 4))} FROM bl_o GROUP BY ALL) USING (run, idx)"""),
+    ("bleu_b", f"""SELECT run, b, {", ".join(f"sum(w * {c}) AS {c}" for c in _COUNTS)} FROM counts JOIN bw USING (run, idx) GROUP BY ALL"""),
+    ("every", f"SELECT run, metric, m FROM rouge_m UNION ALL SELECT run, 'bleu', {bleu_expr()} FROM bleu_b")],
+    f"SELECT run, metric, {_INTERVAL} FROM every GROUP BY run, metric", recursive=True))
 def rouge_bootstrap(spark, d):
-    return MT.rouge_bootstrap(MT.rouge_l(pairs_df(spark, d), ["run"]), ["run"], "rougeL", _B, 42)
+    """M4: intervals of ROUGE-1, -2, -L and BLEU."""
+    return MT.bootstrap(pairs_df(spark, d), ["run"], replicates=_B, seed=42)
 
 
 @query("embedding_f1", with_ctes(FIX + ["token_vectors"], [PAIRS] + emb_sql("pairs", "run"), "SELECT * FROM emb"))
