@@ -139,6 +139,24 @@ def training_set(method: str, originals: DataFrame, generation: DataFrame, filte
     )
 
 
+def lookup(originals: DataFrame, generation: DataFrame, ids: list | DataFrame | None = None) -> DataFrame:
+    """P10: original and generated premises of a row beside each other, for the rounds that have both: of the ``ids`` asked for
+    (a list, or a frame with ``idx``), or of all rows.
+
+    The ids restrict every table below the join, and the two premises of a round meet in one aggregation by
+    (idx, round), so tables that are stored by idx are not shuffled."""
+    if isinstance(ids, DataFrame):
+        ids = ids.select("idx").distinct()
+        originals, generation = (t.join(ids, "idx", "left_semi") for t in (originals, generation))
+    elif ids is not None:
+        originals, generation = (t.where(F.col("idx").isin(list(ids))) for t in (originals, generation))
+    text = lambda t: F.max(F.when(F.col("target") == t, F.col("generation")))
+    pairs = generation.groupBy("idx", "round").agg(text("prem1").alias("aug_premise_1"), text("prem2").alias("aug_premise_2"))
+    pairs = pairs.where("aug_premise_1 is not null and aug_premise_2 is not null")
+    rows = originals.select("idx", F.col("premise_1").alias("original_premise_1"), F.col("premise_2").alias("original_premise_2")).join(pairs, "idx")
+    return rows.select("idx", "round", "original_premise_1", "aug_premise_1", "original_premise_2", "aug_premise_2")
+
+
 def round_prefixes(training: DataFrame, max_round: int) -> DataFrame:
     """Every cumulative set "until i" (i = 1..max_round) in one job: a row of round r belongs
     to prefixes max(r,1)..max_round."""
@@ -213,9 +231,19 @@ def all_methods(originals: DataFrame, generation: DataFrame, filtering=True,
                 floor: float = 0.95, ceil: float = 0.99) -> DataFrame:
     """The three methods' training sets in one plan: each row is computed once and tagged with
     every method it belongs to (aug_mix = ori_mix added rows + aug_pair added rows + originals)."""
-    rows = originals_set(originals).unionByName(added_rows("aug_mix", originals, generation, filtering, floor, ceil))
+    rows = every_row(originals, generation, filtering, floor, ceil)
+    return with_methods(rows).select("method", *SET_COLS)
+
+
+def every_row(originals: DataFrame, generation: DataFrame, filtering=True, floor: float = 0.95, ceil: float = 0.99) -> DataFrame:
+    """The rows of all three methods' sets, each once."""
+    return originals_set(originals).unionByName(added_rows("aug_mix", originals, generation, filtering, floor, ceil))
+
+
+def with_methods(rows: DataFrame) -> DataFrame:
+    """``rows(source, ...)``, or counts of them, once for every method whose sets hold that source (``method`` comes first)."""
     member = F.col("source")
     m = F.when(member == "original", F.array(*[F.lit(x) for x in _MEMBERSHIP["original"]]))
     m = m.when(member == "pair", F.array(*[F.lit(x) for x in _MEMBERSHIP["pair"]]))
     m = m.otherwise(F.array(*[F.lit(x) for x in _MEMBERSHIP["prem1"]]))
-    return rows.select(F.explode(m).alias("method"), *SET_COLS)
+    return rows.select(F.explode(m).alias("method"), *rows.columns)

@@ -16,9 +16,11 @@ from ..operators.generate import drop_token_generator
 from ..operators.numbering import with_position
 from ..session import checkpoint_dir, materialize
 from ..sources import fixtures as X
+from ..sources import shards as SH
 from .merge_queries import CEIL, FLOOR, _P12, _band, _method_sql
 from .oracle_views import H, with_ctes
 from .registry import query
+from .sequence_queries import WS
 
 SETS = _P12 + [
     ("sets", " UNION ALL ".join(
@@ -54,21 +56,23 @@ SELECT method, until_round, count(*) AS n_dedup, sum(CASE WHEN round = 0 THEN 1
 FROM (SELECT method, until_round, premise_1, premise_2, conclusion, relation, idx, min(round) AS round
       FROM prefixed GROUP BY ALL) GROUP BY method, until_round"""))
 def dedup_gain(spark, d):
-    p = prefixed_sets(spark, d)
-    # the kept copy of a duplicate group is its lowest round, so originals stay originals
-    keep = p.groupBy("method", "until_round", *A.TRAIN_COLS).agg(F.min("round").alias("round"))
-    return PR.set_sizes(keep).withColumnRenamed("n_rows", "n_dedup").withColumnRenamed("gain", "gain_dedup")
-
-
-@query("max_token_len", with_ctes(["generation", "valid"], SETS, """
-SELECT text_col, max_tokens FROM (
-  SELECT max(len(list_filter(regexp_split_to_array(premise_1, '[ \\t\\n\\r\\f\\x0B]+'), lambda x: x <> ''))) AS premise_1,
-         max(len(list_filter(regexp_split_to_array(premise_2, '[ \\t\\n\\r\\f\\x0B]+'), lambda x: x <> ''))) AS premise_2,
-         max(len(list_filter(regexp_split_to_array(conclusion, '[ \\t\\n\\r\\f\\x0B]+'), lambda x: x <> ''))) AS conclusion
-  FROM sets WHERE method = 'aug_mix') UNPIVOT (max_tokens FOR text_col IN (premise_1, premise_2, conclusion))"""))
+    rows = A.every_row(*X.valid_and_generation(spark, d), True, FLOOR, CEIL)
+    return PR.dedup_sizes(A.with_methods(PR.row_digests(rows, ["source", "round"], A.TRAIN_COLS)), ["method"], 3)
+
+
+_TEXTS = ["premise_1", "premise_2", "conclusion"]
+
+
+@query("max_token_len", with_ctes(["generation", "valid"], SETS + [("lengths", f"""
+SELECT method, until_round, unnest({_TEXTS}) AS text_col, unnest([{", ".join(f"len({WS(c)})" for c in _TEXTS)}]) AS n_tokens FROM prefixed""")], f"""
+SELECT method, until_round, text_col, count(*) AS n_rows,
+       {", ".join(f"list_sort(list(n_tokens))[(count(*) * {q} + 99) // 100] AS p{q}" for q in (50, 95, 99))}, max(n_tokens) AS max_tokens
+FROM lengths GROUP BY ALL"""))
 def max_token_len(spark, d):
-    t = A.training_set("aug_mix", *X.valid_and_generation(spark, d), True, FLOOR, CEIL)
-    return PR.max_token_len(t, ["premise_1", "premise_2", "conclusion"])
+    """Longest and 50th, 95th and 99th percentile token count of every text column of every training set."""
+    rows = A.every_row(*X.valid_and_generation(spark, d), True, FLOOR, CEIL)
+    parts = A.with_methods(PR.length_histograms(rows, ["source", "round"], _TEXTS))
+    return PR.length_quantiles(A.round_prefixes(parts, 3), ["method", "until_round", "text_col"])
 
 
 _OUTER = ("om", f"""SELECT coalesce(a.idx, b.idx) AS idx, coalesce(a.round, b.round) AS round, a.premise_1, b.premise_2
@@ -161,13 +165,19 @@ SELECT v.idx, p1.round, v.premise_1 AS original_premise_1, p1.premise_1 AS aug_p
        v.premise_2 AS original_premise_2, p2.premise_2 AS aug_premise_2
 FROM valid v JOIN p1 ON v.idx = p1.idx JOIN p2 ON p1.idx = p2.idx AND p1.round = p2.round"""))
 def premise_lookup(spark, d):
-    g, v = X.generation(spark, d), X.valid(spark, d)
-    p1, p2 = A.premise_tables(g)
-    return (
-        v.select("idx", F.col("premise_1").alias("original_premise_1"), F.col("premise_2").alias("original_premise_2"))
-        .join(p1.select("idx", "round", F.col("premise_1").alias("aug_premise_1")), "idx")
-        .join(p2.select("idx", "round", F.col("premise_2").alias("aug_premise_2")), ["idx", "round"])
-    )
+    return A.lookup(X.valid(spark, d), X.generation(spark, d))
+
+
+@query("lookup_top_rows", with_ctes(["generation", "valid"], _P12 + [("top", """
+SELECT DISTINCT idx FROM (SELECT idx, row_number() OVER (PARTITION BY round, target ORDER BY f1 DESC, idx) AS n
+                          FROM generation WHERE f1 IS NOT NULL AND NOT isnan(f1)) WHERE n = 1""")], """
+SELECT v.idx, p1.round, v.premise_1 AS original_premise_1, p1.premise_1 AS aug_premise_1,
+       v.premise_2 AS original_premise_2, p2.premise_2 AS aug_premise_2
+FROM valid v JOIN top USING (idx) JOIN p1 ON v.idx = p1.idx JOIN p2 ON p1.idx = p2.idx AND p1.round = p2.round"""))
+def lookup_top_rows(spark, d):
+    """P10 as the reference uses it: the rows of the highest similarities (A10), looked up in all tables."""
+    g = X.generation(spark, d)
+    return A.lookup(X.valid(spark, d), g, PR.top_row(g, ["round", "target"], "f1", "idx", ["generation"]))
 
 
 @query("fold_semi_join", with_ctes(["valid", "folds"], [], """
@@ -251,6 +261,20 @@ def column_concat(spark, d):
     return j.select("pos", "left_idx", "premise_1", "right_idx", "generation")
 
 
+_SHUFFLED = f"""SELECT row_number() OVER (ORDER BY {H("'42:' || idx || ':' || round || ':' || source")}, idx, round, source) - 1 AS pos, * FROM tset"""
+
+
+@query("shuffled_export", with_ctes(["generation", "valid"], _P12 + [("tset", _method_sql("ori_mix", True)), ("shuffled", _SHUFFLED)], """
+SELECT pos, idx, round, source, premise_1, premise_2, conclusion FROM shuffled WHERE pos >= (SELECT count(*) // 2 FROM tset)"""))
+def shuffled_export(spark, d):
+    """The shuffled training rows as files, read back from the middle on."""
+    t = A.training_set("ori_mix", *X.valid_and_generation(spark, d), True, FLOOR, CEIL)
+    rows = t.join(seeded_shuffle(spark, d), ["idx", "round", "source"])
+    folder = f"{checkpoint_dir(spark).rstrip('/')}/shuffled-{uuid.uuid4().hex}"
+    n = SH.export_ordered(rows.select("pos", "idx", "round", "source", *_TEXTS), "pos", folder).agg(F.sum("n_rows")).first()[0] or 0
+    return SH.read_between(spark, folder, "pos", n // 2)
+
+
 @query("seeded_shuffle", with_ctes(["generation", "valid"], _P12 + [("tset", _method_sql("ori_mix", True))], f"""
 SELECT row_number() OVER (ORDER BY {H("'42:' || idx || ':' || round || ':' || source")}, idx, round, source) - 1 AS pos,
        idx, round, source FROM tset"""))
