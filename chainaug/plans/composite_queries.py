@@ -15,11 +15,13 @@ from ..sources import files
 from ..sources import fixtures as X
 from ..sources import html as HT
 from ..sources import sinks
+from ..streaming import best_epoch as BEST
 from ..streaming import epoch_log as STR
+from . import selection_queries  # noqa: F401 - its SQL is used below
 from .merge_queries import CEIL, FLOOR, method_cte
 from .metric_queries import emb_sql
 from .oracle_views import H, R6, with_ctes
-from .registry import query
+from .registry import ORACLE, query
 
 
 @query("premise_merge", with_ctes(["generation", "valid", "token_vectors"],
@@ -102,7 +104,6 @@ def html_table_rows(spark, d):
 
 def _leaderboard_sql() -> str:
     # every score is per run, so old rows + (new rows anti-joined on model_name) is the score grid of all runs
-    from .registry import ORACLE
     return ORACLE["score_grid"]
 
 
@@ -144,3 +145,14 @@ def training_set_files(spark, d):
 def epoch_log_stream(spark, d):
     work = f"{checkpoint_dir(spark).rstrip('/')}/epoch_log_stream-{uuid.uuid4().hex}"
     return STR.stream_epoch_log(X.epoch_log(spark, d), work)
+
+
+@query("best_epoch_stream", ORACLE["model_selection"])
+def best_epoch_stream(spark, d):
+    """Every run's best epoch from a stream that keeps the last rows of its folds as state.  The log arrives out of
+    order (files by a hash of its rows), and all of it twice."""
+    work = f"{checkpoint_dir(spark).rstrip('/')}/best_epoch_stream-{uuid.uuid4().hex}"
+    log = X.epoch_log(spark, d).select(*[f.name for f in STR.LOG_SCHEMA.fields])
+    log.union(log).repartition(6, F.xxhash64("run", "fold", "seq")).write.parquet(f"{work}/incoming")
+    BEST.follow(spark, f"{work}/incoming", f"{work}/best", f"{work}/checkpoint", n=21, k=5, files_per_trigger=2).awaitTermination()
+    return BEST.read_best(spark, f"{work}/best")
