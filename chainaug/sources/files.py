@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.numbering import with_position
+from .family import read_files
 
 # Windows-1252 characters for bytes 0x80-0x9F (undefined bytes 0x81, 0x8D, 0x8F,
 # 0x90, 0x9D map to themselves).
@@ -68,33 +69,28 @@ def with_path_keys(df: DataFrame, patterns: dict) -> DataFrame:
 
 
 def read_family(spark: SparkSession, glob: str, schema: T.StructType, patterns: dict, fmt: str = "csv") -> DataFrame:
-    """The files of a glob in one frame, keys from their paths as columns.
+    """The files of a glob in one frame, keys from their paths as text columns.
 
-    CSV columns go by each file's own header, so files with and without a stray index column mix: the
-    first line of every file is read, and files with one header are one read."""
+    CSV columns go by each file's own header (``family.read_files``), so files with and without a stray index column mix;
+    each file is read once, by the task that it falls to."""
     if fmt != "csv":
         return with_path_keys(spark.read.schema(schema).parquet(glob), patterns)
-    lines = spark.read.text(glob).select("value", F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("at"))
-    heads = lines.groupBy("file").agg(F.min_by("value", "at").alias("head")).groupBy("head").agg(F.collect_list("file").alias("files"))
-    parts = [with_path_keys(read_interchange(spark, r["files"], schema), patterns) for r in heads.orderBy("head").collect()]
-    if not parts:
-        return with_path_keys(spark.createDataFrame([], schema), patterns)
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
-
-
-def single_file_per_run(df: DataFrame, run_col: str = "run") -> DataFrame:
+    return read_files(spark, glob, schema, {name: (pattern, T.StringType()) for name, pattern in patterns.items()})
+
+
+#: pattern of a key column that holds a file's whole path
+WHOLE_PATH = "^(.+)$"
+
+
+def single_file_per_run(df: DataFrame, run_col: str = "run", file_col: str = "_file") -> DataFrame:
     """Runs whose folder holds more than one file."""
-    return (df.withColumn("_f", F.input_file_name()).groupBy(run_col)
-            .agg(F.countDistinct("_f").alias("n_files")).where(F.col("n_files") > 1))
+    return df.groupBy(run_col).agg(F.countDistinct(file_col).alias("n_files")).where(F.col("n_files") > 1)
 
 
 def read_single_files(spark: SparkSession, glob: str, schema: T.StructType, run_pattern: str, fmt: str = "csv") -> DataFrame:
     """The one generation file of every run folder; several files in a folder are an error."""
-    df = read_family(spark, glob, schema, {"run": run_pattern}, fmt)
+    df = read_family(spark, glob, schema, {"run": run_pattern, "_file": WHOLE_PATH}, fmt)
     several = [r["run"] for r in single_file_per_run(df).limit(10).collect()]
     if several:
         raise ValueError(f"more than one file in the folders of {', '.join(several)}")
-    return df
+    return df.drop("_file")

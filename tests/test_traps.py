@@ -199,7 +199,8 @@ def test_family_keys_from_path(spark, tmpdir_path):
             with open(d, "w") as fh:
                 fh.write("index,generation\n1,x\n")
     schema = T.StructType([T.StructField("index", T.LongType()), T.StructField("generation", T.StringType())])
-    df = FS.read_family(spark, os.path.join(tmpdir_path, "*.csv"), schema, {"round": r"aug_num_(\d+)", "fold": r"kfold_(\d+)"})
+    df = FS.read_family(spark, os.path.join(tmpdir_path, "*.csv"), schema,
+                        {"round": r"aug_num_(\d+)", "fold": r"kfold_(\d+)", "_file": FS.WHOLE_PATH})
     assert sorted((r["round"], r["fold"]) for r in df.collect()) == [("1", "0"), ("1", "1"), ("2", "0"), ("2", "1")]
     assert FS.single_file_per_run(df.withColumn("run", F.lit("r")), "run").count() == 1
 
