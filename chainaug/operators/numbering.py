@@ -45,15 +45,12 @@ def positions(df: DataFrame, order: list, pos_col: str = "pos", num_partitions:
         (r["_pid"], r["_n"])
         for r in ranged.groupBy(pid.alias("_pid")).agg(F.count(F.lit(1)).alias("_n")).collect()
     )
-    if not counts:
-        return ranged.drop("_mid").withColumn(pos_col, F.lit(None).cast("long")), 0
-    top = max(counts)
-    sizes = [counts.get(i, 0) for i in range(top + 1)]
-    offsets = [0] + list(accumulate(sizes))[:-1]
-    offset_arr = F.array(*[F.lit(o).cast("long") for o in offsets])
+    numbers = sorted(counts)
+    begins = accumulate((counts[i] for i in numbers), initial=0)
+    offsets = spark.createDataFrame(list(zip(numbers, begins)), "_pid long, _offset long")
     local = F.col("_mid").bitwiseAND(F.lit((1 << _LOCAL_BITS) - 1))
-    out = ranged.withColumn(pos_col, F.element_at(offset_arr, (pid + 1).cast("int")) + local).drop("_mid")
-    return out, sum(sizes)
+    placed = ranged.withColumn("_pid", pid).join(F.broadcast(offsets), "_pid")  # one row per partition
+    return placed.select(*df.columns, (F.col("_offset") + local).alias(pos_col)), sum(counts.values())
 
 
 def with_running_start(df: DataFrame, order: list, weight: str, start_col: str = "start") -> DataFrame:

@@ -81,10 +81,6 @@ def chain_resumed(spark, d):
         return CH.chain(v, 2, ledger=ledger)
 
 
-# Generation files hold at most this many source rows each (bounded documents).
-HTML_ROWS_PER_DOC = 1000
-
-
 @query("html_table_rows", with_ctes(["generation"], [], """
 SELECT round, target, idx,
   nullif(replace(replace(replace(regexp_replace(regexp_replace(generation, '^[ \\t\\n\\r\\f\\x0B]+|[ \\t\\n\\r\\f\\x0B]+$', '', 'g'),
@@ -93,9 +89,9 @@ SELECT round, target, idx,
          '[ \\t\\n\\r\\f\\x0B]+', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '') AS label
 FROM generation"""))
 def html_table_rows(spark, d):
-    """S3 round trip: generations rendered as HTML tables (one document per round, target and
-    block of 1000 ids), then read back table -> rows -> cells."""
-    g = X.generated(spark, d).withColumn("doc", F.floor(F.col("idx") / HTML_ROWS_PER_DOC))
+    """S3 round trip: generations rendered as HTML tables (documents of bounded size per round and
+    target), then read back table -> rows -> cells."""
+    g = HT.bounded_documents(X.generated(spark, d), ["round", "target"], "idx", ["generation", "label"])
     docs = HT.render_tables(g, ["round", "target", "doc"], "idx", ["idx", "generation", "label"])
     rows = HT.extract_first_table(docs, "html", ["round", "target"])
     return rows.select("round", "target", HT.cell("idx").try_cast("long").alias("idx"),

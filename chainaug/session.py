@@ -74,22 +74,22 @@ def ship_package(spark: SparkSession) -> None:
 
 
 _MATERIALIZE_LOCK = threading.RLock()
+_ADAPTIVE = "spark.sql.adaptive.enabled"
 
 
 def materialize(df: DataFrame) -> DataFrame:
     """Cut lineage with a reliable checkpoint in the shared checkpoint folder.
 
-    The checkpoint job runs with adaptive execution paused: an adaptive plan reports no output
-    partitioning before it runs, so the checkpointed scan would forget that the data is already
-    hash-partitioned (and co-partitioned joins on it would shuffle again).  Later queries run
-    with AQE as configured."""
-    spark = df.sparkSession
-    checkpoint_dir(spark)
-    key = "spark.sql.adaptive.enabled"
-    with _MATERIALIZE_LOCK:  # the pause is a session setting: one checkpoint at a time
-        before = spark.conf.get(key)
-        spark.conf.set(key, "false")
+    The plan is made with adaptive execution off: an adaptive plan reports no output partitioning before
+    it runs, so the checkpointed scan would forget that the data is already hash-partitioned (and
+    co-partitioned joins on it would shuffle again).  Only the planning sees that setting, for some
+    milliseconds; the job, and what other threads plan meanwhile, run as configured."""
+    checkpoint_dir(df.sparkSession)
+    with _MATERIALIZE_LOCK:  # a session setting: one planning at a time
+        before = df.sparkSession.conf.get(_ADAPTIVE)
+        df.sparkSession.conf.set(_ADAPTIVE, "false")
         try:
-            return df.checkpoint(eager=True)
+            df._jdf.queryExecution().executedPlan()
         finally:
-            spark.conf.set(key, before)
+            df.sparkSession.conf.set(_ADAPTIVE, before)
+    return df.checkpoint(eager=True)

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.numbering import with_running_start
+
 _WS = "[ \\t\\n\\r\\f\\x0B]+"
 
 
@@ -38,6 +40,14 @@ def render_tables(df: DataFrame, doc_keys: list, order_col: str, cols: list) ->
                  body, F.lit("</tbody>\n</table>\n")).alias("html"))
 
 
+def bounded_documents(df: DataFrame, keys: list, order_col: str, cols: list, most_bytes: int = 1 << 20) -> DataFrame:
+    """``df`` with ``doc``, the document that a row belongs to: rows of one ``keys`` group that follow each other, begun within
+    the same ``most_bytes`` of text (so a document is at most that and one row long).  The running sum moves keys and sizes only."""
+    size = sum((F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) + 9 for c in cols), F.lit(10)).cast("long")
+    starts = with_running_start(df.select(*keys, order_col, size.alias("_bytes")), [*keys, order_col], "_bytes", "_start")
+    return df.join(starts.select(*keys, order_col, F.floor(F.col("_start") / most_bytes).cast("long").alias("doc")), [*keys, order_col])
+
+
 def extract_first_table(docs: DataFrame, html_col: str, keep: list) -> DataFrame:
     """Rows of the first table of each document: ``keep`` columns + row_no + header + raw cells
     (use ``cell`` to pick and clean a column; cleaning outside a lambda keeps it in codegen).

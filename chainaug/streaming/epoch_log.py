@@ -43,7 +43,9 @@ def _upsert(table_dir: str, best_dir: str, n: int, k: int):
             if batch.isEmpty():
                 return
             touched = batch.select("run").distinct()
-            fresh = batch.dropDuplicates(KEYS)
+            # of several rows with one key the smallest, so a replay stores the same one
+            rest = [f.name for f in LOG_SCHEMA.fields if f.name not in KEYS]
+            fresh = batch.groupBy(*KEYS).agg(F.min(F.struct(*rest)).alias("_r")).select(*KEYS, "_r.*")
             if exists(spark, table_dir):
                 stored = spark.read.schema(LOG_SCHEMA).parquet(table_dir).join(touched, "run", "left_semi")
                 fresh = fresh.join(stored.select(*KEYS), KEYS, "left_anti")

@@ -78,3 +78,36 @@ def test_batches_without_a_window_or_a_single_partition(encoded):
     assert "Window" not in plan and "Generate" in plan
     text = B.fixed_batches(rows, "pos", "idx", 50).select(B.rows_text(F.col("attention_mask")).alias("m")).first()["m"]
     assert len(text.split(";")) == 50
+
+
+def test_positions_take_no_literal_per_partition(spark):
+    from chainaug.operators.numbering import positions, with_position
+
+    df = spark.range(0, 5000).select((F.col("id") * 7919 % 5000).alias("key"))
+    numbered, n = positions(df, ["key"], "pos", num_partitions=300)
+    assert n == 5000 and numbered.where("pos <> key").isEmpty() and numbered.count() == 5000
+    assert len(numbered._jdf.queryExecution().optimizedPlan().toString()) < 5000
+    none, n = positions(df.where("false"), ["key"])
+    assert n == 0 and none.columns == ["key", "pos"] and none.count() == 0
+    assert with_position(df.withColumn("pos", F.lit("x")).drop("pos"), ["key"]).columns == ["key", "pos"]
+
+
+def test_documents_are_bounded_by_bytes(spark):
+    from chainaug.sources import html as HT
+
+    rows = spark.range(0, 600).select((F.col("id") % 2).alias("k"), "id", F.expr("repeat('x', if(id = 7, 5000, 10))").alias("t"))
+    docs = HT.bounded_documents(rows, ["k"], "id", ["t"], most_bytes=1000)
+    sizes = [r[0] for r in docs.groupBy("k", "doc").agg(F.sum(F.length("t") + 19)).select("sum((length(t) + 19))").collect()]
+    assert docs.count() == 600 and sorted(sizes)[-2] <= 1030 and max(sizes) <= 1000 + 5019
+    order = [r["doc"] for r in docs.orderBy("k", "id").collect()]
+    assert order == sorted(order)
+
+
+def test_planning_a_checkpoint_leaves_the_session_as_it_was(spark):
+    from chainaug.session import materialize
+
+    seen = spark.conf.get("spark.sql.adaptive.enabled")
+    stored = materialize(spark.range(0, 100).repartition(5, "id"))
+    assert spark.conf.get("spark.sql.adaptive.enabled") == seen
+    joined = stored.groupBy("id").count()
+    assert "Exchange" not in joined._jdf.queryExecution().executedPlan().toString()
