@@ -154,7 +154,7 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op5_warc_derivatives")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    records = warc.derivatives(warc.responses(table(spark, sf_dir, "pages")))
+    records = warc.written_and_read(warc.derivatives(warc.responses(table(spark, sf_dir, "pages"))))
     get = F.col("headers").getItem
     return records.select(
         get("WARC-Record-ID").alias("record_id"), get("WARC-Type").alias("record_type"), get("WARC-Refers-To").alias("refers_to"),

@@ -14,8 +14,7 @@ import hashlib
 import re
 import uuid
 import zlib
-from collections.abc import Iterator
-from itertools import islice
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -23,9 +22,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .html_extract import INLINE, parse
+from .tables import scratch_path
 
 RECORD = "headers map<string,string>, block binary"
 FILE_BYTES = 64 << 20  # record bytes after which a file is closed
+READ_TASKS = 10_000  # tasks that read files, at most
+_PIECE = 1 << 20  # bytes read or unpacked at once
+_MOST_HEADER, _MOST_BLOCK = 1 << 20, 1 << 30  # a longer header or block makes a record unreadable
+_GZIP = b"\x1f\x8b\x08"
+_HEX = re.compile(rb"[0-9A-Fa-f]{1,15}")
+_END = object()
 
 _TYPE = pa.map_(pa.string(), pa.string())
 _CHARSET = re.compile(r"charset\s*=\s*[\"']?([A-Za-z0-9_.:-]+)", re.I)
@@ -50,19 +56,119 @@ def serialise(headers: dict[str, str], block: bytes) -> bytes:
     return f"WARC/1.1\r\n{lines}\r\n".encode() + block + b"\r\n\r\n"
 
 
-def parse_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Records of an uncompressed file; one that is cut off or has no length ends the reading."""
-    at = 0
-    while (at := data.find(b"WARC/", at)) >= 0:
-        end = data.find(b"\r\n\r\n", at)
+def inflated(blocks: Iterable[bytes]) -> Iterator[bytes | None]:
+    """The data of a file that comes in blocks, in pieces of bounded size: gzip members one after another, or the blocks as they
+    are where the first is not gzip.  None marks a damaged or cut-off member; reading goes on at the next one."""
+    blocks = iter(blocks)
+    held = next(blocks, b"")
+    while len(held) < 2 and (block := next(blocks, None)) is not None:
+        held += block
+    if held[:2] != _GZIP[:2]:
+        yield held
+        yield from blocks
+        return
+    member, full = None, False
+    while True:
+        if member is None:
+            at = held.find(_GZIP)
+            if at < 0:
+                block = next(blocks, None)
+                if block is None:
+                    return
+                held = held[-2:] + block
+                continue
+            held, member, full = held[at:], zlib.decompressobj(31), False
+        if not held and not full:
+            held = next(blocks, None)
+            if held is None:
+                yield None
+                return
+        try:
+            out = member.decompress(held, _PIECE)
+        except zlib.error:
+            yield None
+            held, member = held[1:], None
+            continue
+        full = len(out) == _PIECE  # there may be more without further input
+        if out:
+            yield out
+        if member.eof:
+            held, member = member.unused_data, None
+        else:
+            held = member.unconsumed_tail
+
+
+class _Stream:
+    """Bytes of a stream that has been read so far; a gap (None) or the end stops the reading."""
+
+    def __init__(self, pieces: Iterable[bytes | None]):
+        self.pieces, self.data, self.open, self.gap = iter(pieces), bytearray(), True, False
+
+    def more(self) -> bool:
+        if self.gap or not self.open:
+            return False
+        piece = next(self.pieces, _END)
+        if piece is _END:
+            self.open = False
+        elif piece is None:
+            self.gap = True
+        else:
+            self.data += piece
+            return True
+        return False
+
+    def skip(self, n: int) -> Iterator[tuple[dict[str, str], bytes]]:
+        """Drop n bytes that belong to no record; but for white space they come out as records."""
+        for begin in range(0, n, _PIECE):
+            lost = bytes(self.data[begin : min(begin + _PIECE, n)])
+            if lost.strip():
+                yield {"WARC-Type": "unreadable", "Content-Length": str(len(lost))}, lost
+        del self.data[:n]
+
+    def record(self) -> tuple[dict[str, str], bytes] | None:
+        """The record that begins here, None if there is none that can be read."""
+        while (end := self.data.find(b"\r\n\r\n")) < 0 and len(self.data) < _MOST_HEADER and self.more():
+            pass
         if end < 0:
-            return
-        headers = _fields(data[at:end].decode("utf-8", "replace").split("\r\n")[1:])
+            return None
+        headers = _fields(self.data[:end].decode("utf-8", "replace").split("\r\n")[1:])
         length = next((v for k, v in headers.items() if k.lower() == "content-length"), "")
-        if not length.isdigit() or end + 4 + int(length) > len(data):
-            return
-        at = end + 4 + int(length)
-        yield headers, data[end + 4 : at]
+        if not (length.isascii() and length.isdigit()) or int(length) > _MOST_BLOCK:
+            return None
+        stop = end + 4 + int(length)
+        while len(self.data) < stop + 9 and self.more():
+            pass
+        after = bytes(self.data[stop : stop + 9])
+        closed = after.startswith(b"\r\n\r\n") or b"WARC/".startswith(after.lstrip()[:5])
+        if len(self.data) < stop or not closed:
+            return None
+        block = bytes(self.data[end + 4 : stop])
+        del self.data[:stop]
+        return headers, block
+
+
+def parse_records(pieces: Iterable[bytes | None]) -> Iterator[tuple[dict[str, str], bytes]]:
+    """Records of an uncompressed stream in pieces (None: a gap).  What is no record (a bad or missing length, one that is cut off,
+    other bytes in between) comes out as records of type ``unreadable``, and reading goes on at the next ``WARC/``.
+    No more than a record and a piece are held."""
+    stream = _Stream(pieces)
+    while True:
+        at = stream.data.find(b"WARC/")
+        if at < 0:
+            yield from stream.skip(max(len(stream.data) - 4, 0))
+            if not stream.more():
+                yield from stream.skip(len(stream.data))
+                if not stream.open:
+                    return
+                stream.gap = False
+            continue
+        yield from stream.skip(at)
+        record = stream.record()
+        if record is not None:
+            yield record
+        else:
+            following = stream.data.find(b"WARC/", 5)
+            yield from stream.skip(following if following >= 0 else min(len(stream.data), max(5, len(stream.data) - 4)))
 
 
 def _fields(lines: list[str]) -> dict[str, str]:
@@ -89,6 +195,45 @@ def http_parts(block: bytes) -> tuple[str, dict[str, str], bytes]:
     return lines[0], _fields(lines[1:]), payload
 
 
+def dechunked(payload: bytes) -> bytes | None:
+    """The body of a chunked payload, as far as its chunks can be read; None where it doesn't begin with a chunk."""
+    out, at = [], 0
+    while True:
+        line = payload.find(b"\n", at, at + 1024)
+        size = payload[at:line].split(b";")[0].strip() if line >= 0 else b""
+        if not _HEX.fullmatch(size):
+            return b"".join(out) if out else None
+        n = int(size, 16)
+        out.append(payload[line + 1 : line + 1 + n])
+        at = line + 1 + n
+        if not n or at >= len(payload):
+            return b"".join(out)
+        at += 2 if payload[at : at + 2] == b"\r\n" else 1 if payload[at : at + 1] == b"\n" else 0
+
+
+def decoded(http: dict[str, str], payload: bytes) -> tuple[bytes, list[str]]:
+    """The body behind a payload's transfer and content codings, and the codings that could not be undone (the body is then empty).
+    Archives often keep the header of a coding that they have undone: a payload that does not look coded is taken as it is."""
+    if "chunked" in (_get(http, "Transfer-Encoding") or "").lower():
+        body = dechunked(payload)
+        payload = payload if body is None else body
+    codings = [c.strip().lower() for c in (_get(http, "Content-Encoding") or "").split(",")]
+    for k, coding in reversed(list(enumerate(codings))):
+        if coding in ("gzip", "x-gzip"):
+            if payload.startswith(_GZIP):
+                payload = b"".join(p for p in inflated([payload]) if p)
+        elif coding == "deflate":
+            for bits in (zlib.MAX_WBITS, -zlib.MAX_WBITS):
+                try:
+                    payload = zlib.decompressobj(bits).decompress(payload)
+                    break
+                except zlib.error:
+                    pass
+        elif coding not in ("", "identity", "none"):
+            return b"", [c for c in codings[: k + 1] if c]
+    return payload, []
+
+
 def plain_text(html: str) -> str:
     """All visible text of a page: a line per block, white space inside it as one blank."""
     tree = parse(html)
@@ -146,15 +291,12 @@ def derive(headers: dict[str, str], block: bytes) -> list[tuple[dict[str, str],
             fields.append((f"source-{name.lower()}-digest-holds", str(stated.lower() == own.lower()).lower()))
     fields += [(f"source-{k.lower()}", v) for k, v in headers.items()
                if k.lower() in ("content-type", "content-length", "warc-ip-address", "warc-warcinfo-id", "warc-truncated")]
+    raw, left = decoded(http, payload)
+    if left:
+        fields.append(("payload-not-decoded", ", ".join(left)))
     meta = "".join(f"{k}: {v}\r\n" for k, v in fields).encode()
     kind = _get(http, "Content-Type") or ""
     named = _CHARSET.search(kind)
-    raw = payload
-    try:
-        if (_get(http, "Content-Encoding") or "").lower() in ("gzip", "x-gzip", "deflate"):
-            raw = zlib.decompressobj(zlib.MAX_WBITS | 32).decompress(payload)
-    except zlib.error:
-        pass
     try:
         page = raw.decode(named[1] if named else "utf-8", "replace")
     except LookupError:
@@ -241,15 +383,47 @@ def write_warc(records: DataFrame, folder: str) -> DataFrame:
     return records.sparkSession.read.parquet(f"{folder}/manifest")
 
 
+def _blocks(stream) -> Iterator[bytes]:
+    while block := stream.read(_PIECE):
+        yield block
+
+
+def _rows(records: Iterator[tuple[dict[str, str], bytes]]) -> Iterator[pa.RecordBatch]:
+    """Records in batches of some hundred rows and some megabytes."""
+    held, size = [], 0
+    for record in records:
+        held.append(record)
+        size += len(record[1])
+        if len(held) == 500 or size > 8 << 20:
+            yield _batch(held)
+            held, size = [], 0
+    if held:
+        yield _batch(held)
+
+
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """Records of the .warc and .warc.gz files under ``path`` (a folder, file or pattern)."""
+    """Records of the .warc and .warc.gz files under ``path`` (a folder, file or pattern), damaged stretches as records of
+    type ``unreadable``.
+
+    A task streams its files, member by member; it holds one record and a block, not the file.  Only names come
+    from the listing.  (A gzip member's mark may also stand inside another's data, so a file is not split by guess.)"""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow.fs import FileSystem
+
         for batch in batches:
-            for content in batch["content"].to_pylist():
-                data = gzip.decompress(content) if content[:2] == b"\x1f\x8b" else content
-                records = parse_records(data)
-                while rows := list(islice(records, 500)):
-                    yield _batch(rows)
+            for file in batch["path"].to_pylist():
+                store, inner = FileSystem.from_uri(re.sub("^file:/+", "file:///", file))
+                with store.open_input_stream(inner, compression=None) as stream:
+                    yield from _rows(parse_records(inflated(_blocks(stream))))
+
+    files = spark.read.format("binaryFile").load(path).select("path")
+    return files.repartition(max(1, min(files.count(), READ_TASKS))).mapInArrow(run, RECORD)
+
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, RECORD)
+def written_and_read(records: DataFrame) -> DataFrame:
+    """``records`` after a way through .warc.gz files in a fresh shared folder."""
+    folder = scratch_path(records.sparkSession, "warc")
+    if not write_warc(records, folder).agg(F.sum("n_records")).first()[0]:
+        return records.sparkSession.createDataFrame([], RECORD)
+    return read_warc(records.sparkSession, f"{folder}/files")
