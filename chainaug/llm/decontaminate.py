@@ -23,10 +23,11 @@ _FILTER_BITS = 20
 
 
 class Index(NamedTuple):
-    """Windows of benchmark items, by hash; window k is the phrase text[begin[k]:end[k]] of items[item[k]]."""
+    """Distinct windows of benchmark items, by hash; window k is the phrase text[begin[k]:end[k]] of the items sets[which[k]]."""
 
     text: bytes  # the words of all items, one blank between
     items: list[str]
+    sets: list[tuple[int, ...]]  # places in ``items`` of the items that share a window
     by_length: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
 
 
@@ -46,6 +47,8 @@ def build_index(rows: list[tuple[str | None, str | None]], n: int) -> Index:
     item = np.repeat([place.get(i, -1) for i, _ in rows], count)
     begin, end = np.array(begin, dtype=np.int64), np.array(end, dtype=np.int64)
     length = np.repeat(np.minimum(count, n), count)
+    sets = [(i,) for i in range(len(ids))] + [()]  # place -1: an item without an id
+    known = {s: i for i, s in enumerate(sets)}
     by_length = {}
     for k in sorted(set(length.tolist())):
         at = np.flatnonzero((length == k) & words.inside(k))
@@ -54,8 +57,24 @@ def build_index(rows: list[tuple[str | None, str | None]], n: int) -> Index:
         at, hashes = at[order], hashes[order]
         quick = np.zeros(1 << _FILTER_BITS, dtype=bool)
         quick[hashes >> np.uint64(64 - _FILTER_BITS)] = True
-        by_length[k] = (quick, hashes, begin[at], end[at + k - 1], item[at])
-    return Index(bytes(normal), ids, by_length)
+        first, last, owner = begin[at], end[at + k - 1], item[at]
+        cut = np.flatnonzero(np.concatenate((np.ones(min(len(hashes), 1), dtype=bool), hashes[1:] != hashes[:-1])))
+        keep, which = np.ones(len(hashes), dtype=bool), np.where(owner < 0, len(ids), owner)
+        stop = np.append(cut[1:], len(hashes))
+        shared = stop - cut > 1
+        for a, b in zip(cut[shared].tolist(), stop[shared].tolist()):
+            phrases: dict[bytes, list[int]] = {}  # of a hash: one phrase, or hardly ever more
+            for w in range(a, b):
+                phrases.setdefault(bytes(normal[first[w] : last[w]]), []).append(w)
+            keep[a:b] = False
+            for same in phrases.values():
+                owners = tuple(sorted({int(owner[w]) for w in same} - {-1}))
+                if owners not in known:
+                    known[owners] = len(sets)
+                    sets.append(owners)
+                keep[same[0]], which[same[0]] = True, known[owners]
+        by_length[k] = (quick, hashes[keep], first[keep], last[keep], which[keep])
+    return Index(bytes(normal), ids, sets, by_length)
 
 
 class Hits(NamedTuple):
@@ -72,7 +91,7 @@ def scan(texts: list[bytes], index: Index) -> Iterator[Hits]:
         words = Words(lowered, ALNUM_WORDS)
         depth = np.zeros(len(words.hash) + 1, dtype=np.int64)
         found: dict[int, set[int]] = {}
-        for k, (quick, hashes, begin, end, item) in index.by_length.items():
+        for k, (quick, hashes, begin, end, which) in index.by_length.items():
             if len(words.hash) < k:
                 continue
             window = words.windows(k)
@@ -81,12 +100,12 @@ def scan(texts: list[bytes], index: Index) -> Iterator[Hits]:
             right = np.searchsorted(hashes, window[maybe], side="right")
             for at, a, b in zip(maybe[left < right].tolist(), left[left < right].tolist(), right[left < right].tolist()):
                 phrase = b" ".join(words.buf[s:e].tobytes() for s, e in zip(words.start[at : at + k], words.end[at : at + k]))
-                same = [int(item[w]) for w in range(a, b) if index.text[begin[w] : end[w]] == phrase]
-                if same:
+                same = next((w for w in range(a, b) if index.text[begin[w] : end[w]] == phrase), None)
+                if same is not None:
                     depth[at] += 1
                     depth[at + k] -= 1
                     text = int(np.searchsorted(words.first, at, side="right")) - 1
-                    found.setdefault(text, set()).update(same)
+                    found.setdefault(text, set()).add(int(which[same]))
         hit = np.cumsum(depth[:-1]) > 0
         for i in range(hi - lo):
             a, b = int(words.first[i]), int(words.first[i + 1])
@@ -97,7 +116,7 @@ def scan(texts: list[bytes], index: Index) -> Iterator[Hits]:
             runs = list(zip(edge[0::2].tolist(), edge[1::2].tolist()))
             base = int(words.offset[i])
             cuts = [(int(words.start[a + s]) - base, int(words.end[a + e - 1]) - base) for s, e in runs]
-            yield Hits(b - a, sorted(index.items[k] for k in found[i] if k >= 0), runs, cuts)
+            yield Hits(b - a, sorted(index.items[k] for k in set().union(*(index.sets[j] for j in found[i]))), runs, cuts)
 
 
 def _parts(benchmark: DataFrame, n: int) -> list:

@@ -62,6 +62,18 @@ def test_a_repeated_item_takes_no_more_of_a_part(spark, monkeypatch):
     assert len(parts) == 1 and len(parts[0].value.text) < 1000
 
 
+def test_a_window_that_many_items_share_is_verified_once():
+    shared = " ".join(WORDS[:10])
+    index = decontaminate.build_index([(str(i), f"{shared} tail{i}") for i in range(4000)] + [(None, shared), ("x", shared.upper())], 10)
+    began = time.perf_counter()
+    hits = next(decontaminate.scan([f"{shared} and ".encode() * 200], index))
+    assert time.perf_counter() - began < 0.5
+    assert hits.items == sorted([*map(str, range(4000)), "x"]) and len(hits.runs) == 200
+    lone = decontaminate.build_index([(None, shared), (None, shared)], 10)
+    hits = next(decontaminate.scan([shared.encode()], lone))
+    assert hits.items == [] and hits.runs == [(0, 10)]
+
+
 def test_contaminated_documents_and_spans_go(spark, edge_docs):
     bench = spark.createDataFrame([(*r, "x") for r in ITEMS], BENCH)
     clean = sorted(str(i) for i, t, *_ in edge_rows() if not brute_hits(t, ITEMS)[1])
