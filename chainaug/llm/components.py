@@ -26,13 +26,15 @@ def connected_components(spark: SparkSession, edges: DataFrame) -> DataFrame:
     for _ in range(MAX_ROUNDS):
         both = current.union(current.select("y", "x"))
         # large star: the larger neighbours of x move to the smallest member of its neighbourhood
-        low = both.groupBy("x").agg(F.min("y").alias("low")).select("x", F.least("x", "low").alias("low"))
-        large = both.join(low, "x").where("y > x").select(F.col("y").alias("x"), F.col("low").alias("y")).distinct()
+        # (written, so that the join below reads plain shuffles, which are split where one node has most of the edges)
+        low = stage.write(both.groupBy("x").agg(F.min("y").alias("low")).select("x", F.least("x", "low").alias("low")), "low")
+        large = stage.write(both.join(low, "x").where("y > x").select(F.col("y").alias("x"), F.col("low").alias("y")).distinct(), "large")
         # small star: the smaller neighbours of x, and x, move to the smallest of them
-        low = large.groupBy("x").agg(F.min("y").alias("low"))
-        small = large.join(low, "x").where("y <> low").select(F.col("y").alias("x"), F.col("low").alias("y"))
-        following = stage.write(small.union(low).distinct(), "edges")
-        stage.drop(current)
+        least = stage.write(large.groupBy("x").agg(F.min("y").alias("low")), "least")
+        small = large.join(least, "x").where("y <> low").select(F.col("y").alias("x"), F.col("low").alias("y"))
+        following = stage.write(small.union(least).distinct(), "edges")
+        for done in (current, low, large, least):
+            stage.drop(done)
         current = following
         mark = current.agg(F.count(F.lit(1)), F.sum(F.xxhash64("x", "y").cast("decimal(20,0)"))).first()
         if mark == seen:

@@ -25,9 +25,10 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.numbering import with_running_start
 from .components import connected_components
 from .kernels import SPACE_WORDS, Words, chunks, mix64, utf8
 from .tables import Stage, semi_join_texts
@@ -339,11 +340,13 @@ def jaccard_components(docs: DataFrame, words_per_shingle: int = 3, threshold: f
     if arrays.count() > n_wanted:  # rows that share a doc_id
         arrays = stage.write(arrays.dropDuplicates(["node"]), "arrays")
 
-    # blocks of a family: running weight by size; one number per set is sorted, never its shingles
-    sized = members.join(arrays.select("node", "n"), "node").withColumn("weight", F.greatest("n", F.lit(LEAST_WEIGHT)))
-    running = F.sum("weight").over(Window.partitionBy("family").orderBy("n", "node").rowsBetween(Window.unboundedPreceding, -1))
-    block = F.floor(F.coalesce(running, F.lit(0)) / BLOCK_SHINGLES).cast("int")
-    blocks = stage.write(sized.withColumn("block", block), "blocks")
+    # blocks of a family: running weight by size, over the sizes of all families at once, so that a large family lies in
+    # several tasks; one number per set is sorted, never its shingles
+    sized = members.join(arrays.select("node", "n"), "node").withColumn("weight", F.greatest("n", F.lit(LEAST_WEIGHT)).cast("long"))
+    running = stage.write(with_running_start(sized, ["family", "n", "node"], "weight", "running"), "running")
+    begins = stage.write(running.groupBy("family").agg(F.min("running").alias("begin")), "begins")
+    block = F.floor((F.col("running") - F.col("begin")) / BLOCK_SHINGLES).cast("int")
+    blocks = stage.write(running.join(begins, "family").select(*sized.columns, block.alias("block")), "blocks")
     spans = blocks.groupBy("family", "block").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.sum("weight").alias("weight"))
     spans = stage.write(spans, "spans")
     first, second = spans.alias("i"), spans.alias("j")
