@@ -1,8 +1,8 @@
 """G1: out-of-fold batch generation with a pluggable generator.
 
 Two kinds of generator:
-* a *column generator* ``(label: Column, key: Column) -> Column`` runs JVM-side inside
-  whole-stage codegen (the built-in deterministic one below);
+* a *column generator* ``(label: Column, key: Column) -> Column`` is an expression over the row (the
+  built-in deterministic one below hashes an Arrow batch of rows at a time);
 * a *pandas generator* ``fn(fold: int, pdf: DataFrame) -> Series`` runs in ``mapInPandas``
   (iterator form, so a model is loaded once per Python worker and reused across batches).
 Rows carry their ``fold`` so the generator picks the model trained without that fold.
@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.columns import phash
+from ..functions.drop import drop_tokens
 from ..functions.overlap import token_f1
 from ..functions.text import prompt_prefix
 
@@ -26,9 +26,7 @@ def drop_token_generator(label: Column, key: Column, modulus: int = 10) -> Colum
     """Built-in deterministic generator: split the target text on single spaces and drop the
     token at 1-based position i when H(key:i) mod ``modulus`` = 0; keep the text if every
     token would go."""
-    toks = F.split(label, " ")
-    kept = F.filter(toks, lambda x, i: phash(key, ":", i + 1) % modulus != 0)
-    return F.array_join(F.when(F.size(kept) == 0, toks).otherwise(kept), " ")
+    return drop_tokens(label, key, F.lit(modulus), whole=True)
 
 
 def overlap_f1(generation: Column, label: Column) -> Column:
