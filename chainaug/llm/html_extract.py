@@ -69,51 +69,62 @@ class Tree:
         self.pieces: list[list[int | str]] = [[]]
 
     def add(self, tag: str, attributes: str, parent: int) -> int:
+        node = len(self.tag)
         self.tag.append(tag)
         self.attributes.append(attributes)
         self.parent.append(parent)
         self.pieces.append([])
-        self.pieces[parent].append(len(self.tag) - 1)
-        return len(self.tag) - 1
+        self.pieces[parent].append(node)
+        return node
 
 
 def parse(html: str) -> Tree:
     """The element tree, with the end tags that HTML lets authors leave out."""
-    tree, open_, at, find = Tree(), [0], 0, _MARK.search
+    tree, open_, at, find, size = Tree(), [0], 0, _MARK.search, len(html)
+    tags, pieces = tree.tag, tree.pieces
     count: dict[str, int] = {}
 
     def close(depth: int) -> None:
         for n in open_[depth:]:
-            count[tree.tag[n]] -= 1
+            count[tags[n]] -= 1
         del open_[depth:]
 
     def close_upto(names: frozenset, stop: frozenset) -> None:
-        if not any(count.get(n) for n in names):
+        for name in names:
+            if count.get(name):
+                break
+        else:
             return
         for depth in range(len(open_) - 1, 0, -1):
-            tag = tree.tag[open_[depth]]
+            tag = tags[open_[depth]]
             if tag in names:
                 return close(depth)
             if tag in stop:
                 return
 
-    while at < len(html):
+    while at < size:
         m = find(html, at)
         if m is None:
-            tree.pieces[open_[-1]].append(unescape(html[at:]))
+            pieces[open_[-1]].append(unescape(html[at:]))
             break
-        if m.start() > at:
-            tree.pieces[open_[-1]].append(unescape(html[at : m.start()]))
-        at = m.end()
-        name = m[2] or m[5]
+        begin, end = m.span()
+        if begin > at:
+            pieces[open_[-1]].append(unescape(html[at:begin]))
+        at = end
+        ends, name, attributes, ends_open, name_open, attributes_open = m.groups()
+        name = name or name_open
         if not name:
             continue
         tag = name.lower()
-        if m[1] or m[4]:
+        if ends or ends_open:
             if not count.get(tag):
                 continue
+            if tags[open_[-1]] == tag:
+                open_.pop()
+                count[tag] -= 1
+                continue
             for depth in range(len(open_) - 1, 0, -1):
-                over = tree.tag[open_[depth]]
+                over = tags[open_[depth]]
                 if over == tag:
                     close(depth)
                     break
@@ -126,13 +137,13 @@ def parse(html: str) -> Tree:
             close_upto(*CLOSES[tag])
         if tag == "body":
             close_upto(_HEAD, frozenset())
-        attributes = m[3] or m[6] or ""
+        attributes = attributes or attributes_open or ""
         node = tree.add(tag, attributes, open_[-1])
         if tag in VOID or attributes.endswith("/") and tag not in CLOSES_P and tag not in RAW:
             continue
         if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>?", re.I).search(html, at)
-            at = end.end() if end else len(html)
+            close_mark = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>?", re.I).search(html, at)
+            at = close_mark.end() if close_mark else size
             continue
         open_.append(node)
         count[tag] = count.get(tag, 0) + 1

@@ -9,12 +9,12 @@ from the source's id and the kind, so a repeated task makes the same records."""
 from __future__ import annotations
 
 import base64
-import gzip
 import hashlib
 import re
 import uuid
 import zlib
 from collections.abc import Iterable, Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -26,8 +26,10 @@ from .tables import scratch_path
 
 RECORD = "headers map<string,string>, block binary"
 FILE_BYTES = 64 << 20  # record bytes after which a file is closed
+GZIP_LEVEL = 1  # of a record: a longer search costs twice the time and saves 5 % of the bytes
 READ_TASKS = 10_000  # tasks that read files, at most
-_PIECE = 1 << 20  # bytes read or unpacked at once
+_PIECE = 1 << 20  # bytes fetched or unpacked at once
+_FED = 1 << 16  # bytes of a file given to gzip at once: a member's end copies what is left of them
 _MOST_HEADER, _MOST_BLOCK = 1 << 20, 1 << 30  # a longer header or block makes a record unreadable
 _GZIP = b"\x1f\x8b\x08"
 _HEX = re.compile(rb"[0-9A-Fa-f]{1,15}")
@@ -41,10 +43,9 @@ _HIDDEN = frozenset("head script style noscript template iframe object svg texta
 def digest(data: bytes, like: str | None = None) -> str:
     """Labelled digest: sha1 in base 32, or the algorithm that ``like`` names where hashlib knows it."""
     name = (like or "sha1").split(":")[0].lower().replace("-", "")
-    if name not in hashlib.algorithms_guaranteed or name.startswith("shake"):
-        name = "sha1"
-    found = hashlib.new(name, data)
-    return f"{name}:{base64.b32encode(found.digest()).decode() if name == 'sha1' else found.hexdigest()}"
+    if name == "sha1" or name not in hashlib.algorithms_guaranteed or name.startswith("shake"):
+        return f"sha1:{base64.b32encode(hashlib.sha1(data, usedforsecurity=False).digest()).decode()}"
+    return f"{name}:{hashlib.new(name, data).hexdigest()}"
 
 
 def record_id(*parts: str) -> str:
@@ -178,8 +179,10 @@ def _fields(lines: list[str]) -> dict[str, str]:
     for line in lines:
         if line[:1] in (" ", "\t") and last:
             out[last] += " " + line.strip()
-        elif ":" in line:
-            name, value = (x.strip() for x in line.split(":", 1))
+            continue
+        name, colon, value = line.partition(":")
+        if colon:
+            name, value = name.strip(), value.strip()
             out[name] = f"{out[name]}, {value}" if name in out else value
             last = name
     return out
@@ -237,33 +240,35 @@ def decoded(http: dict[str, str], payload: bytes) -> tuple[bytes, list[str]]:
 def plain_text(html: str) -> str:
     """All visible text of a page: a line per block, white space inside it as one blank."""
     tree = parse(html)
+    tags, pieces = tree.tag, tree.pieces
     lines, line = [], []
 
     def end() -> None:
-        text = " ".join("".join(line).split())
-        if text:
-            lines.append(text)
+        words = "".join(line).split()
+        if words:
+            lines.append(" ".join(words))
         line.clear()
 
-    todo = [(0, 0)]
+    todo = [(iter(pieces[0]), True)]
     while todo:
-        node, at = todo.pop()
-        block = tree.tag[node] not in INLINE
-        if block and not at:
-            end()
-        for k in range(at, len(tree.pieces[node])):
-            piece = tree.pieces[node][k]
-            if isinstance(piece, str):
+        rest, block = todo[-1]
+        for piece in rest:
+            if piece.__class__ is str:
                 line.append(piece)
-            elif tree.tag[piece] == "br":
+                continue
+            tag = tags[piece]
+            if tag == "br":
                 end()
-            elif tree.tag[piece] not in _HIDDEN:
-                todo += [(node, k + 1), (piece, 0)]
+            elif tag not in _HIDDEN:
+                inner = tag not in INLINE
+                if inner and line:
+                    end()
+                todo.append((iter(pieces[piece]), inner))
                 break
         else:
-            if block:
+            todo.pop()
+            if block and line:
                 end()
-    end()
     return "\n".join(lines)
 
 
@@ -271,20 +276,29 @@ def _get(headers: dict[str, str], name: str) -> str | None:
     return next((v for k, v in headers.items() if k.lower() == name.lower()), None)
 
 
+def _by_name(headers: dict[str, str]) -> dict[str, str]:
+    """Values by lower-case name, the first one of each."""
+    out: dict[str, str] = {}
+    for name, value in headers.items():
+        out.setdefault(name.lower(), value)
+    return out
+
+
 def derive(headers: dict[str, str], block: bytes) -> list[tuple[dict[str, str], bytes]]:
     """The metadata and conversion records of a response record (none of any other)."""
-    if (_get(headers, "WARC-Type") or "").lower() != "response":
+    named = _by_name(headers)
+    if (named.get("warc-type") or "").lower() != "response":
         return []
     status, http, payload = http_parts(block)
-    source = _get(headers, "WARC-Record-ID") or record_id("unnamed", digest(block))
+    source = named.get("warc-record-id") or record_id("unnamed", digest(block))
     link = {"WARC-Refers-To": source}
     for name, of in (("WARC-Refers-To-Target-URI", "WARC-Target-URI"), ("WARC-Refers-To-Date", "WARC-Date"), ("WARC-Target-URI",) * 2, ("WARC-Date",) * 2):
-        if _get(headers, of):
-            link[name] = _get(headers, of)
+        if named.get(of.lower()):
+            link[name] = named[of.lower()]
     fields = [("http-status", status)] if status else []
     fields += [(f"http-header-{k.lower()}", v) for k, v in http.items()]
     for name, data in (("Payload", payload), ("Block", block)):
-        stated = _get(headers, f"WARC-{name}-Digest")
+        stated = named.get(f"warc-{name.lower()}-digest")
         own = digest(data, stated)
         fields += [(f"source-{name.lower()}-digest", stated or own)]
         if stated:
@@ -296,23 +310,37 @@ def derive(headers: dict[str, str], block: bytes) -> list[tuple[dict[str, str],
         fields.append(("payload-not-decoded", ", ".join(left)))
     meta = "".join(f"{k}: {v}\r\n" for k, v in fields).encode()
     kind = _get(http, "Content-Type") or ""
-    named = _CHARSET.search(kind)
+    charset = _CHARSET.search(kind)
     try:
-        page = raw.decode(named[1] if named else "utf-8", "replace")
+        page = raw.decode(charset[1] if charset else "utf-8", "replace")
     except LookupError:
         page = raw.decode("utf-8", "replace")
     text = (page if kind.lower().startswith("text/plain") else plain_text(page)).encode("utf-8", "replace")
     out = []
     for name, content_type, body in (("metadata", "application/warc-fields", meta), ("conversion", "text/plain; charset=utf-8", text)):
+        labelled = digest(body)
         own = {"WARC-Type": name, "WARC-Record-ID": record_id(name, source), **link, "Content-Type": content_type,
-               "WARC-Block-Digest": digest(body), "WARC-Payload-Digest": digest(body), "Content-Length": str(len(body))}
+               "WARC-Block-Digest": labelled, "WARC-Payload-Digest": labelled, "Content-Length": str(len(body))}
         out.append((own, body))
     return out
 
 
 def _batch(rows: list[tuple[dict[str, str], bytes]]) -> pa.RecordBatch:
+    ends = pa.array([0, *accumulate(len(h) for h, _ in rows)], pa.int32())
+    names = pa.array([k for h, _ in rows for k in h], pa.string())
+    values = pa.array([v for h, _ in rows for v in h.values()], pa.string())
     return pa.RecordBatch.from_arrays(
-        [pa.array([list(h.items()) for h, _ in rows], _TYPE), pa.array([b for _, b in rows], pa.binary())], ["headers", "block"])
+        [pa.MapArray.from_arrays(ends, names, values, _TYPE), pa.array([b for _, b in rows], pa.binary())], ["headers", "block"])
+
+
+def _records(batch: pa.RecordBatch) -> Iterator[tuple[dict[str, str | None], bytes]]:
+    """The rows of a batch; null headers are none, a null block is empty."""
+    maps = batch["headers"]
+    names, values = maps.keys.to_pylist(), maps.items.to_pylist()
+    ends, null = maps.offsets.to_pylist(), maps.is_null().to_pylist()
+    for k, block in enumerate(batch["block"].to_pylist()):
+        some = slice(0, 0) if null[k] else slice(ends[k], ends[k + 1])
+        yield dict(zip(names[some], values[some])), block or b""
 
 
 def derivatives(records: DataFrame) -> DataFrame:
@@ -324,8 +352,7 @@ def derivatives(records: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield _batch([
-                record for headers, block in zip(batch["headers"].to_pylist(), batch["block"].to_pylist())
-                for record in derive({k: v or "" for k, v in headers or []}, block or b"")])
+                record for headers, block in _records(batch) for record in derive({k: v or "" for k, v in headers.items()}, block)])
 
     return records.select("headers", "block").mapInArrow(run, RECORD)
 
@@ -366,11 +393,11 @@ def write_warc(records: DataFrame, folder: str) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array([file]), pa.array([count], pa.int64())], ["file", "n_records"])
 
         for batch in batches:
-            for headers, block in zip(batch["headers"].to_pylist(), batch["block"].to_pylist()):
+            for headers, block in _records(batch):
                 if out is None:
                     file = f"{part:07d}-{number:05d}-{attempt}.warc.gz"
                     out, size, count, number = store.open_output_stream(f"{base}/{file}", compression=None), 0, 0, number + 1
-                member = gzip.compress(serialise(dict(headers or []), block or b""), mtime=0)
+                member = zlib.compress(serialise(headers, block), GZIP_LEVEL, wbits=31)
                 out.write(member)
                 size, count = size + len(member), count + 1
                 if size >= FILE_BYTES:
@@ -384,7 +411,7 @@ def write_warc(records: DataFrame, folder: str) -> DataFrame:
 
 
 def _blocks(stream) -> Iterator[bytes]:
-    while block := stream.read(_PIECE):
+    while block := stream.read(_FED):
         yield block
 
 
@@ -414,7 +441,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for file in batch["path"].to_pylist():
                 store, inner = FileSystem.from_uri(re.sub("^file:/+", "file:///", file))
-                with store.open_input_stream(inner, compression=None) as stream:
+                with store.open_input_stream(inner, compression=None, buffer_size=_PIECE) as stream:
                     yield from _rows(parse_records(inflated(_blocks(stream))))
 
     files = spark.read.format("binaryFile").load(path).select("path")

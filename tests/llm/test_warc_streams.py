@@ -208,3 +208,20 @@ def test_the_query_equals_a_plain_derivation(spark):
 def test_no_records_are_written_and_read(spark, no_docs):
     none = spark.createDataFrame([], warc.RECORD)
     assert warc.written_and_read(none).collect() == [] and scratch_path(spark, "x").endswith("/x")
+
+
+def test_a_record_costs_one_digest_per_block_and_a_quick_gzip(spark, monkeypatch):
+    calls = []
+    plain = warc.digest
+    monkeypatch.setattr(warc, "digest", lambda data, like=None: calls.append(len(data)) or plain(data, like))
+    page = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n<p>one <b>two</b><br>three<ul><li>x<li>y</ul><script>z</script>"
+    out = warc.derive({"warc-type": "response", "WARC-Record-ID": "<a>"}, page)
+    assert [b for _, b in out][1] == b"one two\nthree\nx\ny" and len(calls) == 4
+    assert all(h["WARC-Block-Digest"] == h["WARC-Payload-Digest"] == plain(b) for h, b in out)
+    rows = [({"n": str(i)}, b"abc" * i) for i in range(30)] + [(None, None), ({}, b"")]
+    folder = scratch_path(spark, "warc")
+    written = warc.write_warc(spark.createDataFrame(rows, warc.RECORD).coalesce(1), folder)
+    files = [f"{folder}/files/{r['file']}".removeprefix("file:") for r in written.collect()]
+    members = [f.read() for f in (open(name, "rb") for name in files)]
+    assert all(m[8] == 4 for m in members)  # the mark of gzip's quickest method (2: its slowest)
+    assert b"".join(map(gzip.decompress, members)) == b"".join(warc.serialise(h or {}, b or b"") for h, b in rows)
