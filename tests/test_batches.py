@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from chainaug.operators import batches as B
 from chainaug.operators.sequences import BOS, EOS, IGNORE, MASK, PAD, SO
+from chainaug.session import materialize
 
 
 @pytest.fixture(scope="module")
@@ -67,6 +68,39 @@ def test_budget_batches_hold_every_row_once_within_the_budget(encoded, budget, s
         assert b["n_rows"] * b["width"] <= budget or b["n_rows"] == 1
 
 
+def moves(df):
+    """Exchanges of rows that carry ids, in the plan without adaptive execution."""
+    spark = df.sparkSession
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        lines = df.select("*")._jdf.queryExecution().executedPlan().toString().splitlines()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+    return sum("Exchange hashpartitioning" in x for x in lines), lines
+
+
+def test_ids_move_to_their_batch_once(encoded):
+    one = B.fixed_batches(B.family_rows(B.with_batch(encoded, "pos", 8), "p1", "p2", "c", "pre", 256), "pos", "idx", 8)
+    assert moves(one)[0] == 1
+    two = B.fixed_batches(B.family_rows(encoded, "p1", "p2", "c", "pre", 256), "pos", "idx", 8)
+    assert sorted(map(str, one.collect())) == sorted(map(str, two.collect()))
+    # stored by position, the rows of a budget take no exchange before the one to their batch
+    stored = materialize(encoded.repartition(4, "pos"))
+    _, lines = moves(B.budget_batches(B.family_rows(stored, "p1", "p2", "c", "pre", 256), "pos", "idx", 64))
+    assert not any("Exchange" in x and "family" in x and "pos" in x and "batch_id" not in x for x in lines)
+
+
+def test_repeated_positions_and_rows_that_are_their_own_target(spark):
+    rows = [("f", p // 2, 10 + p, [p] * (p % 5 + 1), [p] * (p % 5 + 1) if p % 3 else [7], 0) for p in range(40)]
+    df = spark.createDataFrame(rows, "family string, pos long, idx long, input_ids array<int>, labels array<int>, pad_id int")
+    for b in B.fixed_batches(df, "pos", "idx", 4).collect():
+        check_batch(b, [(r[2], r[3], r[4], r[5]) for r in rows if r[1] // 4 == b["batch_id"]])
+    seen = [k for b in B.budget_batches(df, "pos", "idx", 64, 2).collect() for k in b["keys"]]
+    alone = [p for p in range(40) if (p % 5 + 2) // 2 != ((p ^ 1) % 5 + 2) // 2]  # the other row of the position is in another bucket
+    assert sorted(k for k in seen if k - 10 in alone) == [10 + p for p in alone]
+
+
 def test_batches_of_no_rows(encoded):
     rows = B.family_rows(encoded.where("false"), "p1", "p2", "c", "pre", 256)
     assert B.fixed_batches(rows, "pos", "idx", 8).collect() == [] == B.budget_batches(rows, "pos", "idx", 64).collect()
