@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import shutil
 import tempfile
 import threading
@@ -83,13 +84,50 @@ def materialize(df: DataFrame) -> DataFrame:
     The plan is made with adaptive execution off: an adaptive plan reports no output partitioning before
     it runs, so the checkpointed scan would forget that the data is already hash-partitioned (and
     co-partitioned joins on it would shuffle again).  Only the planning sees that setting, for some
-    milliseconds; the job, and what other threads plan meanwhile, run as configured."""
+    milliseconds; the job, and what other threads plan meanwhile, run as configured.  Python columns do not
+    move rows either, but Spark forgets the partitioning below them; the stored frame is told it again."""
     checkpoint_dir(df.sparkSession)
     with _MATERIALIZE_LOCK:  # a session setting: one planning at a time
         before = df.sparkSession.conf.get(_ADAPTIVE)
         df.sparkSession.conf.set(_ADAPTIVE, "false")
         try:
-            df._jdf.queryExecution().executedPlan()
+            lies = _lies(df._jdf.queryExecution().executedPlan())
         finally:
             df.sparkSession.conf.set(_ADAPTIVE, before)
-    return df.checkpoint(eager=True)
+    stored = df.checkpoint(eager=True)
+    if lies is None or stored.columns.count(lies[0]) != 1 or hash_partitions(stored, lies[0]):
+        return stored
+    return _told(stored, *lies)
+
+
+#: operators that leave every row in its partition
+_STAYS = ("ProjectExec", "FilterExec", "GenerateExec", "ArrowEvalPythonExec", "BatchEvalPythonExec", "WholeStageCodegenExec", "InputAdapter")
+
+
+def _lies(plan) -> tuple[str, int] | None:
+    """The column of a physical plan's output that its rows are hash-partitioned by, and the number of partitions; None if not known."""
+    output = {str(a).removesuffix("L") for a in (plan.output().apply(i) for i in range(plan.output().size()))}
+    while True:
+        found = re.search(r"hashpartitioning\((\w+)(#\d+)L?, (\d+)\)", plan.outputPartitioning().toString())
+        if found:
+            return (found[1], int(found[3])) if found[1] + found[2] in output else None
+        if plan.getClass().getSimpleName() not in _STAYS:
+            return None
+        plan = plan.child()
+
+
+def _told(stored: DataFrame, column: str, parts: int) -> DataFrame:
+    """A checkpointed frame whose scan reports that it is hash-partitioned by ``column``."""
+    spark, plan = stored.sparkSession, stored._jdf.logicalPlan()
+    sql, none = spark._jvm.org.apache.spark.sql, spark._jvm.scala.Option.empty()
+    at = stored.columns.index(column)
+    hashed = sql.catalyst.plans.physical.HashPartitioning(plan.output().slice(at, at + 1), parts)
+    told = sql.execution.LogicalRDD(plan.output(), plan.rdd(), hashed, plan.outputOrdering(), False, none, spark._jsparkSession, none, none)
+    return type(stored)(sql.classic.Dataset.ofRows(spark._jsparkSession, told), spark)
+
+
+def hash_partitions(df: DataFrame, key: str) -> int | None:
+    """The number of partitions of a frame that Spark knows to be hash-partitioned by ``key`` alone, else None."""
+    found = df._jdf.queryExecution().sparkPlan().outputPartitioning()
+    named = re.fullmatch(r"hashpartitioning\((\w+)#\d+L?, (\d+)\)", found.toString())
+    return found.numPartitions() if named and named[1] == key else None
