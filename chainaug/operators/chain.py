@@ -68,7 +68,7 @@ def chain(originals: DataFrame, rounds: int,
         rows = _round_rows(originals, prev, r)
         rows = rows.withColumn("input", prompt_prefix(F.col("input_premise"), F.col("conclusion"), F.lit(""))[0])
         if ledger is not None:
-            g = ledger.generated(rows)
+            g = ledger.generated(rows, [c for c in rows.columns if c not in ("conclusion", "label")])  # the prompt holds the conclusion
         elif pandas_generator is not None:
             g = generate_with_pandas(rows, pandas_generator)
         else:

@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,44 +40,60 @@ class Ledger:
         found = path.getFileSystem(self.spark._jsc.hadoopConfiguration()).globStatus(path)
         return sorted(str(f.getPath().getParent()) for f in found or [])
 
-    def stored(self) -> DataFrame:
-        """One row per key; where two runs made the same work, the smaller text."""
+    def _read(self) -> DataFrame:
+        """The committed rows, dealt by idx: grouping by the keys moves them no more, nor does a join with rows that lie by idx."""
         paths = self.committed()
         if not paths:
             return self.spark.createDataFrame([], LEDGER)
-        return self.spark.read.schema(LEDGER).parquet(*paths).groupBy(*KEYS).agg(F.min("generation").alias("generation"))
+        return self.spark.read.schema(LEDGER).parquet(*paths).repartition(int(self.spark.conf.get("spark.sql.shuffle.partitions")), "idx")
+
+    def stored(self) -> DataFrame:
+        """One row per key; where two runs made the same work, the smaller text."""
+        return self._read().groupBy(*KEYS).agg(F.min("generation").alias("generation"))
+
+    def _meet(self, rows: DataFrame, stored: DataFrame, how: str) -> DataFrame:
+        """``rows`` joined with ``stored`` on the keys.  Only idx deals the rows out, so that texts stored by idx stay there; an idx has few
+        keys (a round's targets), which are compared in its join."""
+        stored = stored.withColumnsRenamed({k: f"_{k}" for k in KEYS})
+        same = [F.col("idx") == F.col("_idx")]
+        for k in KEYS:
+            if k != "idx":
+                same += [F.col(k) <= F.col(f"_{k}"), F.col(k) >= F.col(f"_{k}")]  # an equality would deal by it too
+        return rows.join(stored, reduce(and_, same), how).drop(*[f"_{k}" for k in KEYS])
 
     def run(self, rows: DataFrame) -> int:
         """Generate what the ledger lacks of ``rows(round, target, idx, input, ...)``, a committed chunk at a time;
         returns the number of rows made."""
         keyed = rows.withColumn("digest", self.digest(F.col("input"))).dropDuplicates(KEYS)
-        todo = keyed.join(self.stored().select(KEYS), KEYS, "left_anti")
-        work = f"{self.folder}/work/{uuid.uuid4().hex}"
-        todo.withColumn("chunk_hash", F.xxhash64(*KEYS)).write.parquet(work)
-        todo = self.spark.read.parquet(work)
+        todo = self._meet(keyed, self._read().select(KEYS), "left_anti")
         made = todo.count()
         n_chunks = -(-made // self.chunk_rows)
-        if n_chunks > 1:
-            # a chunk's rows lie together, so that a chunk reads itself only
-            chunks = f"{work}-chunks"
-            todo.withColumn("chunk", F.pmod("chunk_hash", F.lit(n_chunks))).write.partitionBy("chunk").parquet(chunks)
-            todo = self.spark.read.parquet(chunks)
-        for chunk in range(n_chunks):
-            if self.chunks_left is not None:
-                if not self.chunks_left:
-                    raise Stopped(f"{n_chunks - chunk} of {n_chunks} chunks left")
-                self.chunks_left -= 1
-            part = (todo.where(F.col("chunk") == chunk).drop("chunk") if n_chunks > 1 else todo).drop("chunk_hash")
-            # rows of like length meet in a generator's batches
-            ordered = part.withColumn("input_length", F.length("input")).repartition("fold" if "fold" in part.columns else "idx", "idx")
-            ordered = ordered.sortWithinPartitions("input_length", *KEYS).drop("input_length")
-            out = self.generate(ordered).select(
-                F.col("round").cast("int").alias("round"), "target", F.col("idx").cast("long").alias("idx"), "digest", "generation")
-            out.write.parquet(f"{self.folder}/chunks/{uuid.uuid4().hex}")
+        work = f"{self.folder}/work/{uuid.uuid4().hex}"
+        try:
+            if n_chunks > 1:
+                # a chunk's rows lie together, so that a chunk reads itself only
+                chunked = todo.withColumn("chunk", F.pmod(F.xxhash64(*KEYS), F.lit(n_chunks)))
+                chunked.write.partitionBy("chunk").option("compression", "zstd").parquet(work)
+                todo = self.spark.read.parquet(work)
+            for chunk in range(n_chunks):
+                if self.chunks_left is not None:
+                    if not self.chunks_left:
+                        raise Stopped(f"{n_chunks - chunk} of {n_chunks} chunks left")
+                    self.chunks_left -= 1
+                part = todo.where(F.col("chunk") == chunk).drop("chunk") if n_chunks > 1 else todo
+                # rows of like length meet in a generator's batches
+                ordered = part.withColumn("input_length", F.length("input")).sortWithinPartitions("input_length", *KEYS).drop("input_length")
+                out = self.generate(ordered).select(
+                    F.col("round").cast("int").alias("round"), "target", F.col("idx").cast("long").alias("idx"), "digest", "generation")
+                out.write.option("compression", "zstd").parquet(f"{self.folder}/chunks/{uuid.uuid4().hex}")
+        finally:
+            # what is left is found anew by the next run
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(work)
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
         return made
 
-    def generated(self, rows: DataFrame) -> DataFrame:
-        """``rows`` with their ``generation``: what is stored, after the rest has been made."""
-        self.run(rows)
+    def generated(self, rows: DataFrame, needs: list | None = None) -> DataFrame:
+        """``rows`` with their ``generation``: what is stored, after the rest has been made from the columns ``needs`` (all unless given)."""
+        self.run(rows.select(needs) if needs else rows)
         keyed = rows.withColumn("digest", self.digest(F.col("input")))
-        return keyed.join(self.stored(), KEYS).drop("digest")
+        return self._meet(keyed, self.stored(), "inner").drop("digest")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from chainaug.operators import chain as CH
 from chainaug.operators import ledger as LG
 from chainaug.operators.generate import generate_with_pandas
+from chainaug.session import hash_partitions, materialize
 
 
 @pytest.fixture()
@@ -92,3 +93,35 @@ def test_changed_inputs_and_generators_are_work_of_their_own(spark, originals, t
     twice = rows.union(rows).union(rows.limit(1).withColumn("idx", F.lit(99).cast("long")).withColumn("input", F.lit(None).cast("string")))
     assert upper.run(twice) == 1 and upper.generated(twice).count() == 121
     assert upper.generated(rows.where("false")).count() == 0
+
+
+def test_work_is_kept_once_and_only_while_it_is_done(spark, originals, tmpdir_path):
+    """A run stores the prompts of its work once, not the labels, and removes them; texts stored by idx are not dealt for the ledger."""
+    seen = []
+
+    def watching(rows):
+        work = os.path.join(store, "work")
+        seen.append((rows.columns, len(os.listdir(work)) if os.path.exists(work) else 0, "Exchange" in rows._jdf.queryExecution().executedPlan().toString()))
+        return rows.withColumn("generation", F.upper("input"))
+
+    store = os.path.join(tmpdir_path, "ledger")
+    ledger = LG.Ledger(spark, store, watching, "upper", chunk_rows=25)
+    ledger.chunks_left = 2
+    stored = materialize(originals.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "idx"))
+    with pytest.raises(LG.Stopped):
+        CH.chain(stored, 1, ledger=ledger)
+    assert not os.listdir(os.path.join(store, "work"))
+    ledger.chunks_left = None
+    done = CH.chain(stored, 1, ledger=ledger)
+    assert done.count() == 120 and hash_partitions(done, "idx") and not os.listdir(os.path.join(store, "work"))
+    assert all(n == 1 and not dealt and not {"label", "conclusion"} & set(columns) for columns, n, dealt in seen) and len(seen) >= 5
+
+
+def test_keys_that_share_an_idx_or_have_none(spark, tmpdir_path):
+    rows = spark.createDataFrame([(r, t, i, f"{r} {t} {i} {k}") for r in (1, 2) for t in ("a", "b", None) for i in (1, 2, None) for k in range(3)],
+                                 "round int, target string, idx long, input string")
+    ledger = LG.Ledger(spark, tmpdir_path, lambda x: x.withColumn("generation", F.upper("input")), "upper")
+    assert ledger.run(rows) == 54
+    got = ledger.generated(rows)  # a null key meets none
+    assert sorted(r["generation"] for r in got.collect()) == sorted(f"{r} {t} {i} {k}".upper() for r in (1, 2) for t in "ab" for i in (1, 2) for k in range(3))
+    assert got.where("generation <> upper(input)").isEmpty()
