@@ -9,13 +9,14 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
-from functools import reduce
-from operator import and_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .numbering import join_near
+
 KEYS = ["round", "target", "idx", "digest"]
+_BESIDE_IDX = ["round", "target", "digest"]
 LEDGER = "round int, target string, idx long, digest string, generation string"
 
 
@@ -51,21 +52,11 @@ class Ledger:
         """One row per key; where two runs made the same work, the smaller text."""
         return self._read().groupBy(*KEYS).agg(F.min("generation").alias("generation"))
 
-    def _meet(self, rows: DataFrame, stored: DataFrame, how: str) -> DataFrame:
-        """``rows`` joined with ``stored`` on the keys.  Only idx deals the rows out, so that texts stored by idx stay there; an idx has few
-        keys (a round's targets), which are compared in its join."""
-        stored = stored.withColumnsRenamed({k: f"_{k}" for k in KEYS})
-        same = [F.col("idx") == F.col("_idx")]
-        for k in KEYS:
-            if k != "idx":
-                same += [F.col(k) <= F.col(f"_{k}"), F.col(k) >= F.col(f"_{k}")]  # an equality would deal by it too
-        return rows.join(stored, reduce(and_, same), how).drop(*[f"_{k}" for k in KEYS])
-
     def run(self, rows: DataFrame) -> int:
         """Generate what the ledger lacks of ``rows(round, target, idx, input, ...)``, a committed chunk at a time;
         returns the number of rows made."""
         keyed = rows.withColumn("digest", self.digest(F.col("input"))).dropDuplicates(KEYS)
-        todo = self._meet(keyed, self._read().select(KEYS), "left_anti")
+        todo = join_near(keyed, self._read().select(KEYS), "idx", _BESIDE_IDX, "left_anti")
         made = todo.count()
         n_chunks = -(-made // self.chunk_rows)
         work = f"{self.folder}/work/{uuid.uuid4().hex}"
@@ -96,4 +87,4 @@ class Ledger:
         """``rows`` with their ``generation``: what is stored, after the rest has been made from the columns ``needs`` (all unless given)."""
         self.run(rows.select(needs) if needs else rows)
         keyed = rows.withColumn("digest", self.digest(F.col("input")))
-        return self._meet(keyed, self.stored(), "inner").drop("digest")
+        return join_near(keyed, self.stored(), "idx", _BESIDE_IDX).drop("digest")

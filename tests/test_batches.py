@@ -145,3 +145,26 @@ def test_planning_a_checkpoint_leaves_the_session_as_it_was(spark):
     assert spark.conf.get("spark.sql.adaptive.enabled") == seen
     joined = stored.groupBy("id").count()
     assert "Exchange" not in joined._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("home", [1, 7, 1000])
+def test_budget_rows_move_once_to_a_home(encoded, monkeypatch, home):
+    monkeypatch.setattr(B, "HOME_ROWS", (home, home))
+    stored = materialize(encoded.repartition(4, "idx"))
+    args = ("p1", "p2", "c", "pre", 60)
+    for budget, step in ((256, 32), (64, 8), (1, 16)):
+        one = B.budget_family_batches(stored, *args, "pos", "idx", budget, step, near="idx")
+        two = B.budget_batches(B.family_rows(stored, *args), "pos", "idx", budget, step)
+        assert one.columns == two.columns and sorted(map(str, one.collect())) == sorted(map(str, two.collect()))
+    _, lines = moves(B.budget_family_batches(stored, *args, "pos", "idx", 64, 8, near="idx"))
+    ids = [x for x in lines if "Exchange" in x and "_home" in x]
+    assert len(ids) == 1 and not any("Exchange" in x and "batch_id" in x and "_home" in x for x in lines)
+    assert B.budget_family_batches(stored.where("false"), *args, "pos", "idx", 64, 8, near="idx").collect() == []
+
+
+def test_budget_rows_of_repeated_positions(encoded):
+    stored = materialize(encoded.union(encoded.where("pos % 5 = 0")).repartition(4, "idx"))
+    one = B.budget_family_batches(stored, "p1", "p2", "c", "pre", 60, "pos", "idx", 64, 8, near="idx")
+    seen = lambda df: sorted((r["family"], r["bucket"], r["batch_id"], r["n_rows"], r["keys"]) for r in df.collect())
+    assert sum(r[3] for r in seen(one)) == 3 * (101 - 21 + 4 * 21)  # each copy meets the numbers of both
+    assert seen(one) == seen(B.budget_batches(B.family_rows(stored, "p1", "p2", "c", "pre", 60), "pos", "idx", 64, 8))
